@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from folioscope.llm import byte_bpe, language_id, licenses, secrets
+from folioscope.llm import byte_bpe, decontaminate, language_id, licenses, line_dedup, ngram_join, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_language_id": language_id.op10_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.OP6_SQL}
