@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from folioscope.llm import byte_bpe, decontaminate, language_id, licenses, line_dedup, ngram_join, secrets, toxicity
+from folioscope.llm import byte_bpe, decontaminate, embedding_dedup, language_id, licenses, line_dedup, ngram_join, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_language_id": language_id.op10_language_id,
 }
