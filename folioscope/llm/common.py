@@ -139,3 +139,14 @@ def doc_words(b: pa.RecordBatch, separators: np.ndarray = SPACE, text: str = "te
     raw, off = utf8(b.column(text))
     starts, ends, first = spans(raw, off, separators)
     return raw, starts, ends, hash_words(raw, starts, ends), first
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in a folder of its own beside the checkpoints, read again."""
+    import uuid
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -203,35 +203,51 @@ def distinct_terms(text: str | None) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in (5, 6, 7) if len(w) > k}
 
 
+def score_texts(texts: list[str | None], x: Index | None) -> tuple[list[float], list[list[int]]]:
+    """Scores, and the keys of the three nearest examples."""
+    scores, evidence = [], []
+    for t in texts:
+        if x is None:
+            scores.append(0.0)
+            evidence.append([])
+            continue
+        bag: dict[int, int] = {}
+        term = x.term
+        for w, n in Counter(_WORDS.findall((t or "").lower())).items():
+            for part in (w, *(w[:k] + "*" for k in (5, 6, 7) if len(w) > k)):
+                if part in term:
+                    bag[term[part]] = bag.get(term[part], 0) + n
+        at, s = x.nearest(bag)
+        scores.append(x.score(x.votes(at, s)))
+        evidence.append(x.ids[at[:3]].tolist())
+    return scores, evidence
+
+
 def toxicity(docs: DataFrame, index: Index | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of docs: key, score, evidence (keys of the three nearest examples)."""
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, evidence array<long>"
     shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * EXAMPLES vectors over TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = shared.value
         for b in slices(batches, "t"):
-            scores, evidence = [], []
-            for t in b.column("t").to_pylist():
-                if x is None:
-                    scores.append(0.0)
-                    evidence.append([])
-                    continue
-                words = Counter(_WORDS.findall((t or "").lower()))
-                bag: dict[int, int] = {}
-                term = x.term
-                for w, n in words.items():
-                    for part in (w, *(w[:k] + "*" for k in (5, 6, 7) if len(w) > k)):
-                        if part in term:
-                            bag[term[part]] = bag.get(term[part], 0) + n
-                at, s = x.nearest(bag)
-                scores.append(x.score(x.votes(at, s)))
-                evidence.append(x.ids[at[:3]].tolist())
+            scores, evidence = score_texts(b.column("t").to_pylist(), shared.value)
             yield pa.RecordBatch.from_pydict({key: b.column("k"), "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, pa.list_(pa.int64()))})
 
     return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, index: Index | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns kept, without the rows that score at least `threshold`; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            scores, _ = score_texts(b.column(text).to_pylist(), shared.value)
+            yield b.filter(pa.array(np.array(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_held_out(docs: DataFrame, labels: DataFrame) -> Index | None:
     """Learns from the labels of keys that aren't held out."""
     return fit(docs, labels.where(~held_out(F.col("doc_id"), 3, 1)))
