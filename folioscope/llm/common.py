@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,15 @@ def checkpoint_dir(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results have been written; else they stay until the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -149,4 +158,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)

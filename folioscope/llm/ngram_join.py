@@ -5,36 +5,40 @@ T = ceil(t * n) of the n shingles of either. Of a document's n inverted lists, t
 then occurs in at least one of the remaining short lists. So only the short lists are merged, and the long ones are probed
 for what the merge leaves: here, for a whole block of partners at once.
 
-1. List lengths. All documents are counted into LENGTHS hash buckets, a table of fixed size that is broadcast. The order by
+1. Summaries. One pass gives for each document the signature of its set (equal sets are one node from here on), its size and a
+   parity bitmap, and counts all documents into LENGTHS hash buckets, a table of fixed size that is broadcast. The order by
    (bucket count, hash) is the same for all, so the result doesn't depend on it; it only decides which lists are short.
-2. Each document gives its n - T + 1 shortest lists, a signature of its whole set, and a parity bitmap of it. Documents
-   with the same set become one representative.
-3. Merging starts with two pivots for each short list, its members of the lowest and highest hash: all others are compared with these.
-   First by bitmaps (the number of differing bits is at most the size of the symmetric difference, so no linked pair is
-   lost), then exactly, by probing one sorted set for the members of the other. Links give components.
-4. Lists whose members are all in one component are done. In the others, each member looks for partners in other, larger
+2. A second pass sends each node to its n - T + 1 shortest lists. Lists that may be longer than LIST_ROWS by these counts are split,
+   and their parts' pivots meet in a second step. Each part has two pivots, its lowest and highest node; all others are
+   compared with these by bitmap (the number of differing bits is at most the size of the symmetric difference, so no
+   linked pair is lost). The closest pair of each node is verified exactly, by probing one sorted set for the members
+   of the other. Links give components.
+3. Lists whose members are all in one component are done. In the others, each member looks for partners in other, larger
    components (ties by component): its lists are merged, partners with too few common short lists to reach T are
-   dropped, and the rest is compared as before. After that each pair of different components has been compared wherever
+   dropped, and the rest is compared by bitmap and verified exactly. After that each pair of different components has been compared wherever
    a link was possible, and no group was ever expanded into all its pairs.
 
 Defined results: a null or empty text, or one of separators only, has no shingles and is linked with nothing; a text of one to
-four words has one shingle, the whole sequence. Copies share a component. Rows with a null key are kept, linked with
+four words has one shingle, the whole sequence. Copies share a component. Rows with a null key are kept, with no component, and link
 nothing. A repeated key keeps a row for each of its rows; their sets count for the one key. Only the key and the text are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import doc_words, materialize, shingle_hashes, short_hash, slices, table
+from folioscope.llm.common import doc_words, materialize, shingle_hashes, short_hash, slices, table, written
 from folioscope.llm.graph import components
 
 LENGTHS_BITS = 18
+#: Rows of one list that go to one task.
+LIST_ROWS = 1_000_000
 #: Members of one list that go together when a list's partners are looked up; longer lists go in several parts.
 PART = 1024
 
@@ -48,58 +52,64 @@ def shingle_sets(b: pa.RecordBatch, k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def list_lengths(docs: DataFrame, k: int = 5) -> np.ndarray:
-    """How many documents have a shingle in each of 2^LENGTHS_BITS buckets."""
+def parity_bitmap(s: np.ndarray) -> bytes:
+    bits = max(64, 1 << int(2 * len(s)).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest intersection of sets of n and m that has Jaccard similarity of at least percent / 100."""
+    return -(-(percent * (n + m)) // (100 + percent))
+
+
+def summaries(docs: DataFrame, k: int = 5) -> DataFrame:
+    """Rows (doc, node, n, bits) of all documents, and rows (bucket, count) of each task: how many of its documents have a
+    shingle in each of 2^LENGTHS_BITS buckets."""
     size, shift = 1 << LENGTHS_BITS, np.uint64(64 - LENGTHS_BITS)
+    none = {"doc": pa.int64(), "node": pa.int64(), "n": pa.int32(), "bits": pa.binary(), "bucket": pa.int32(), "count": pa.int64()}
+
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({c: columns[c] if c in columns else pa.nulls(rows, t) for c, t in none.items()})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in slices(batches, "t"):
             sets = shingle_sets(b, k)
             total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=size)
+            node = [signature(s) for s in sets]
+            yield batch(b.num_rows, doc=b.column("doc"), node=pa.array(node, pa.int64()), n=pa.array([len(s) for s in sets], pa.int32()), bits=pa.array([parity_bitmap(s) for s in sets], pa.binary()))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at])})
+        yield batch(len(at), bucket=pa.array(at, pa.int32()), count=pa.array(total[at]))
 
-    total = np.zeros(size, np.int64)
-    rows = docs.select("t").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return total
+    return docs.mapInArrow(run, "doc long, node long, n int, bits binary, bucket int, count long")
 
 
-def parity_bitmap(s: np.ndarray) -> bytes:
-    bits = max(64, 1 << int(2 * len(s)).bit_length())
-    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+def signature(s: np.ndarray) -> int:
+    return int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), np.int64)[0])
 
 
-def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest intersection of sets of n and m that has Jaccard similarity of at least percent / 100."""
-    return -(-(percent * (n + m)) // (100 + percent))
-
-
-def features(docs: DataFrame, percent: int, k: int = 5) -> DataFrame:
-    """doc, n, the two halves of the set's signature, its shortest lists and its bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(list_lengths(docs, k))  # 2^LENGTHS_BITS numbers
+def short_lists(docs: DataFrame, lengths: np.ndarray, percent: int, k: int = 5) -> DataFrame:
+    """(list, part, node, n): each document's node in its shortest lists; split: whether the list has several parts."""
+    shared = docs.sparkSession.sparkContext.broadcast(lengths)  # 2^LENGTHS_BITS numbers
     shift = np.uint64(64 - LENGTHS_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in slices(batches, "t"):
-            n, high, low, lists, bitmaps = [], [], [], [], []
-            for s in shingle_sets(b, k):
-                n.append(len(s))
-                digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                high.append(digest[0])
-                low.append(digest[1])
+            sets = shingle_sets(b, k)
+            lists, counts, nodes = [], [], []
+            for s in sets:
+                count = shared.value[(s >> shift).astype(np.int64)]
                 short = len(s) - -(-(percent * len(s)) // 100) + 1 if len(s) else 0
-                order = np.argsort(shared.value[(s >> shift).astype(np.int64)], kind="stable")[:short]
-                lists.append(s[order].view(np.int64))
-                bitmaps.append(parity_bitmap(s))
-            offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
-            flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n": pa.array(n, pa.int32()), "high": pa.array(high, pa.int64()), "low": pa.array(low, pa.int64()), "lists": pa.ListArray.from_arrays(pa.array(offsets), flat), "bits": pa.array(bitmaps, pa.binary())})
+                order = np.argsort(count, kind="stable")[:short]
+                lists.append(s[order])
+                counts.append(count[order])
+                nodes.append(signature(s))
+            size = [len(x) for x in lists]
+            node = np.repeat(np.array(nodes, np.int64), size)
+            parts = np.concatenate(counts) // LIST_ROWS + 1
+            yield pa.RecordBatch.from_pydict({"list": pa.array(np.concatenate(lists).view(np.int64)), "part": pa.array((node.view(np.uint64) % parts.astype(np.uint64)).astype(np.int32)), "split": pa.array(parts > 1), "node": pa.array(node), "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), size))})
 
-    return docs.mapInArrow(run, "doc long, n int, high long, low long, lists array<long>, bits binary")
+    return docs.mapInArrow(run, "list long, part int, split boolean, node long, n int")
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> int:
@@ -111,27 +121,28 @@ def _near(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def may_link(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sizes and bitmaps allow a link."""
+def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far): those of pairs (a, b) whose sizes and bitmaps allow a link, and how many bits differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = b.column("na").to_numpy().astype(np.int64), b.column("nb").to_numpy().astype(np.int64)
-            most = n + m - 2 * least_overlap(n, m, percent)
-            keep = [_near(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= d for x, y, d in zip(b.column("ba").to_pylist(), b.column("bb").to_pylist(), most.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            far = np.array([_near(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(b.column("ba").to_pylist(), b.column("bb").to_pylist(), strict=True)], np.int32)
+            keep = pa.array(far <= n + m - 2 * least_overlap(n, m, percent))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(far)], ["a", "b", "far"]).filter(keep)
 
-    side = reps.select("doc", "n", "bits")
-    wide = pairs.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b")
-    return wide.where(f"least(na, nb) * 100L >= greatest(na, nb) * {percent}L").mapInArrow(run, "a long, b long")
+    wide = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    return wide.where(f"least(na, nb) * 100L >= greatest(na, nb) * {percent}L").mapInArrow(run, "a long, b long, far int")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, percent: int, k: int = 5) -> DataFrame:
-    """Those of pairs (a, b) that are linked, by their whole sets."""
+def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, k: int = 5) -> DataFrame:
+    """Those of pairs (a, b) of nodes that are linked, by their whole sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "set": pa.array([s.tobytes() for s in shingle_sets(b, k)], pa.binary())})
+            found = shingle_sets(b, k)  # of a repeated key only the text whose set is the node's
+            own = pa.array([signature(s) == node for s, node in zip(found, b.column("node").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "set": pa.array([s.tobytes() for s in found], pa.binary())}).filter(own)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,23 +156,23 @@ def linked(pairs: DataFrame, docs: DataFrame, percent: int, k: int = 5) -> DataF
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.selectExpr("explode(array(a, b)) as doc").distinct()
-    whole = docs.join(needed, "doc", "left_semi").mapInArrow(sets, "doc long, set binary")
-    return pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").mapInArrow(probe, "a long, b long")
+    needed = nodes.select("node", "doc").join(pairs.selectExpr("explode(array(a, b)) as node").distinct(), "node")
+    whole = docs.join(needed, "doc").select("node", "t").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+    return pairs.select("a", "b").join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").mapInArrow(probe, "a long, b long")
 
 
 def partners(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for members (list, doc, n, component, size) the pairs across components that share enough short lists."""
+    """(a, b): for members (list, node, n, component, size) the pairs across components that share enough short lists."""
     rank = F.struct("size", "component")
     open_lists = members.groupBy("list").agg(F.min(rank).alias("low"), F.max(rank).alias("high"), F.count("*").alias("n_members")).where("low.component != high.component or low.size != high.size")
     inside = members.join(open_lists.select("list", "high", "n_members"), "list")
     parts = (
-        inside.withColumn("part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n_members") / PART)))
+        inside.withColumn("part", F.pmod(F.col("node"), F.ceil(F.col("n_members") / PART)))
         .groupBy("list", "part")
-        .agg(F.collect_list(F.struct("doc", "n", "size", "component")).alias("m"))
-        .select("list", F.col("m.doc").alias("docs"), F.col("m.n").alias("ns"), F.col("m.size").alias("sizes"), F.col("m.component").alias("components"))
+        .agg(F.collect_list(F.struct("node", "n", "size", "component")).alias("m"))
+        .select("list", F.col("m.node").alias("docs"), F.col("m.n").alias("ns"), F.col("m.size").alias("sizes"), F.col("m.component").alias("components"))
     )
-    queries = inside.where(rank < F.col("high")).select("list", "doc", "n", "size", "component")
+    queries = inside.where(rank < F.col("high")).select("list", "node", "n", "size", "component")
 
     def numbers(x: pa.ListScalar) -> np.ndarray:
         return x.values.to_numpy(zero_copy_only=False)
@@ -170,7 +181,7 @@ def partners(members: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             a, n, found, ns = [], [], [], []
             for i in range(b.num_rows):
-                doc, own, size, comp = (b.column(c)[i].as_py() for c in ("doc", "n", "size", "component"))
+                doc, own, size, comp = (b.column(c)[i].as_py() for c in ("node", "n", "size", "component"))
                 docs, m, sizes, comps = (numbers(b.column(c)[i]) for c in ("docs", "ns", "sizes", "components"))
                 keep = ((sizes > size) | (sizes == size) & (comps > comp)) & (np.minimum(m, own) * 100 >= np.maximum(m, own).astype(np.int64) * percent)
                 if keep.any():
@@ -195,24 +206,37 @@ def partners(members: DataFrame, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """One row for each of docs: key, n_shingles, component_id (the smallest key reachable by links)."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
-    known = materialize(features(rows, percent, k))
+    both = written(summaries(rows, k), "summaries")
+    lengths = np.zeros(1 << LENGTHS_BITS, np.int64)
+    counted = both.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("n")).toArrow()
+    lengths[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    known = both.where("bucket is null").select("doc", "node", "n", "bits")
     some = known.where("n > 0 and doc is not null")
-    same = some.groupBy("high", "low", "n").agg(F.min("doc").alias("rep"))
-    reps = some.join(same.select("rep").distinct(), F.col("doc") == F.col("rep"), "left_semi").dropDuplicates(["doc"])
-    lists = reps.select(F.explode("lists").alias("list"), "doc", "n")
-    hashed = F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("p"))
-    shared = lists.groupBy("list").agg(F.min(hashed).alias("first"), F.max(hashed).alias("last")).where("first.p != last.p").select("list", F.col("first.p").alias("p"), F.col("last.p").alias("q"))
-    members = materialize(lists.join(shared, "list"))
-    pairs = members.selectExpr("inline(array(struct(doc as x, p as y), struct(doc as x, q as y)))").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = materialize(linked(materialize(may_link(pairs, reps, percent)), rows, percent, k))
-    parts = components(links)
+    nodes = written(some.groupBy("node").agg(F.min(F.struct("doc", "n", "bits")).alias("x")).select("node", "x.*"), "nodes")
+
+    lists = short_lists(rows.where("doc is not null"), lengths, percent, k)
+    part = Window.partitionBy("list", "part")
+    pivots = lists.withColumns({"p": F.min("node").over(part), "q": F.max("node").over(part)}).where("p != q or split").dropDuplicates(["list", "part", "node"])
+    members = written(pivots, "members")
+    hot = members.where("split").groupBy("list").agg(F.min("node").alias("x"), F.max("node").alias("y"))
+    between = members.where("split").select("list", "p").distinct().join(hot, "list").selectExpr("inline(array(struct(p as x, x as y), struct(p as x, y as y)))")
+    within = members.selectExpr("inline(array(struct(node as x, p as y), struct(node as x, q as y)))")
+    pairs = within.unionByName(between).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = written(may_link(pairs, nodes, percent), "near")
+    closest = near.selectExpr("inline(array(struct(a as x, b as y, far), struct(b as x, a as y, far)))").groupBy("x").agg(F.min(F.struct("far", "y")).alias("c")).select(F.least("x", "c.y").alias("a"), F.greatest("x", "c.y").alias("b")).distinct()
+    links = written(linked(closest, rows, nodes, percent, k), "links")
+    parts = materialize(components(links))
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    labelled = members.select("list", "doc", "n").join(parts.join(sizes, "component").withColumnRenamed("node", "doc"), "doc", "left").select("list", "doc", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    more = materialize(may_link(partners(materialize(labelled), percent), reps, percent))
-    links = links.unionByName(linked(more, rows, percent, k)) if more.take(1) else links
-    whole = components(links)
-    of_set = same.join(whole, F.col("rep") == F.col("node"), "left").select("high", "low", "n", F.coalesce("component", "rep").alias("c"))
-    found = known.select("doc", "n", "high", "low").join(of_set.withColumnRenamed("n", "m"), ["high", "low"], "left")
+    labelled = members.select("list", "node", "n").join(parts.join(sizes, "component"), "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    more = written(may_link(partners(written(labelled, "labelled"), percent), nodes, percent), "more")
+    if more.take(1):
+        links = links.unionByName(written(linked(more, rows, nodes, percent, k), "links"))
+        parts = components(links)
+    # the smallest key of each component
+    of_node = nodes.select("node", "doc").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = of_node.groupBy("component").agg(F.min("doc").alias("c"))
+    of_set = of_node.select("node", "component").join(smallest, "component").select("node", "c")
+    found = known.select("doc", "n", "node").join(of_set, "node", "left")
     return found.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("c", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
 
