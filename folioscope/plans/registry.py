@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from folioscope.plans import article_queries
+
+_MODULES = (article_queries,)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
