@@ -6,8 +6,8 @@ finds nearest examples by topic; the vocabulary is therefore the TERMS terms tha
 all documents. A text's vector is (1 + log tf) * idf * z over that vocabulary, of length one.
 
 The index keeps for each term its postings in blocks of BLOCK examples and each block's largest weight. A query adds these
-to an upper bound for each block, scores blocks from the highest bound down, and stops when the K-th best score is above the
-rest: the K nearest are exact, ties to the earlier example. Their cosine-weighted vote is turned into a probability by
+to an upper bound for each block and scores the block of the highest bound; blocks whose bound is below its K-th best score are
+skipped: the K nearest are exact, ties to the earlier example. Their cosine-weighted vote is turned into a probability by
 a monotone map learned from each example's vote by all others, with classes weighted as among all labels. The three
 nearest examples are returned as evidence.
 
@@ -47,11 +47,36 @@ def terms(text: str | None) -> Counter:
     return out
 
 
+class Vocabulary:
+    """Numbers of the vocabulary's terms that a word gives: itself and its stems."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.words = {t: i for i, t in enumerate(names) if t[-1:] != "*"}
+        self.stems = {t[:-1]: i for i, t in enumerate(names) if t[-1:] == "*"}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        got = [self.words[word]] if word in self.words else []
+        got += [self.stems[word[:k]] for k in (5, 6, 7) if len(word) > k and word[:k] in self.stems]
+        if len(self.known) > 200_000:  # bounds memory only
+            self.known.clear()
+        self.known[word] = out = tuple(got)
+        return out
+
+    def bag(self, text: str | None) -> dict[int, int]:
+        out: dict[int, int] = {}
+        known = self.known
+        for w in _WORDS.findall((text or "").lower()):
+            for i in known[w] if w in known else self.of(w):
+                out[i] = out.get(i, 0) + 1
+        return out
+
+
 class Index:
     """Block-max inverted index of the examples, and what turns votes into scores."""
 
     def __init__(self, vocabulary: list[str], weight: np.ndarray, ids: list[int], labels: list[int], bags: list[dict[int, int]], class_weight: tuple[float, float]) -> None:
-        self.term = {t: i for i, t in enumerate(vocabulary)}
+        self.vocabulary = Vocabulary(vocabulary)
         self.weight, self.ids, self.labels = weight, np.array(ids, np.int64), np.array(labels, float)
         self.vote = np.where(self.labels > 0, class_weight[1], class_weight[0])
         self.blocks = max(1, -(-len(ids) // BLOCK))
@@ -61,45 +86,49 @@ class Index:
                 lists[t].append((x, v))
         self.docs = [np.array([x for x, _ in one], np.int64) for one in lists]
         self.values = [np.array([v for _, v in one]) for one in lists]
-        self.cuts = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK) for d in self.docs]
+        self.cuts = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK).tolist() for d in self.docs]
         self.most = np.zeros((len(vocabulary), self.blocks))
         for t, (d, v) in enumerate(zip(self.docs, self.values, strict=True)):
             np.maximum.at(self.most[t], d // BLOCK, v)
         self.bounds, self.scores, self.empty = np.zeros(0), np.zeros(0), 0.0
 
-    def bag(self, counts: Counter) -> dict[int, int]:
-        term = self.term
-        return {term[t]: n for t, n in counts.items() if t in term}
-
     def vector(self, bag: dict[int, int]) -> tuple[list[int], np.ndarray]:
         at = sorted(bag)
         v = np.array([(1 + math.log(bag[t])) * self.weight[t] for t in at])
         return at, v / np.linalg.norm(v) if len(at) else v
 
     def nearest(self, bag: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the K nearest examples with a common term, best first."""
+        """Positions and cosines of the K nearest examples with a common term, best first.
+
+        The block of the highest bound is scored first; its K-th best score rules out all blocks of a lower bound at once,
+        and the postings of the others are added term by term."""
         at, v = self.vector(bag)
         if not at:
             return np.zeros(0, np.int64), np.zeros(0)
         bound = v @ self.most[at]
-        best_x, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at, v, strict=True):
-                s, e = self.cuts[t][b], self.cuts[t][b + 1]
-                if s < e:
-                    score[self.docs[t][s:e] - b * BLOCK] += w * self.values[t][s:e]
-            x = np.flatnonzero(score > 0)
-            s, x = score[x], x + b * BLOCK
-            if without >= 0:
-                s, x = s[x != without], x[x != without]
-            best_x, best_s = np.append(best_x, x), np.append(best_s, s)
-            order = np.lexsort((best_x, -best_s))[:K]
-            best_x, best_s = best_x[order], best_s[order]
-            least = best_s[-1] if len(best_s) == K else 0.0
-        return best_x, best_s
+        top = int(bound.argmax())
+        first = np.zeros(BLOCK)
+        for t, w in zip(at, v.tolist(), strict=True):
+            s, e = self.cuts[t][top], self.cuts[t][top + 1]
+            if s < e:
+                first[self.docs[t][s:e] - top * BLOCK] += w * self.values[t][s:e]
+        if 0 <= without - top * BLOCK < BLOCK:
+            first[without - top * BLOCK] = 0.0
+        least = np.partition(first, -K)[-K] if BLOCK > K else 0.0
+        left = bound >= max(least - 1e-12, 1e-12)
+        score = np.zeros(self.blocks * BLOCK)
+        whole = left.mean() > 0.25
+        for t, w in zip(at, v.tolist(), strict=True):
+            d, x = self.docs[t], self.values[t]
+            if not whole:
+                own = left[d // BLOCK]
+                d, x = d[own], x[own]
+            score[d] += w * x
+        if without >= 0:
+            score[without] = 0.0
+        x = np.flatnonzero(score >= max(least, 1e-12))
+        order = np.lexsort((x, -score[x]))[:K]
+        return x[order], score[x[order]]
 
     def votes(self, x: np.ndarray, s: np.ndarray) -> float:
         w = s * self.vote[x]
@@ -181,28 +210,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def document_frequency(docs: DataFrame, vocabulary: list[str], text: str) -> tuple[int, list[int]]:
     """Number of all documents, and of those with each term."""
-    term = {t: i for i, t in enumerate(vocabulary)}
+    size = len(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(term) + 1, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for b in slices(batches, "t"):
             total[-1] += b.num_rows
             for t in b.column("t").to_pylist():
-                for i in {term[x] for x in distinct_terms(t) if x in term}:
-                    total[i] += 1
+                total[list(shared.value.bag(t))] += 1
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "n": pa.array(total)})
 
-    total = [0] * (len(vocabulary) + 1)
+    total = [0] * (size + 1)
     for r in docs.select(F.col(text).alias("t")).mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         total[r["i"]] = r["n"]
     return total[-1], total[:-1]
 
 
-def distinct_terms(text: str | None) -> set[str]:
-    words = set(_WORDS.findall((text or "").lower()))
-    return words | {w[:k] + "*" for w in words for k in (5, 6, 7) if len(w) > k}
-
-
 def score_texts(texts: list[str | None], x: Index | None) -> tuple[list[float], list[list[int]]]:
     """Scores, and the keys of the three nearest examples."""
     scores, evidence = [], []
@@ -211,13 +235,7 @@ def score_texts(texts: list[str | None], x: Index | None) -> tuple[list[float],
             scores.append(0.0)
             evidence.append([])
             continue
-        bag: dict[int, int] = {}
-        term = x.term
-        for w, n in Counter(_WORDS.findall((t or "").lower())).items():
-            for part in (w, *(w[:k] + "*" for k in (5, 6, 7) if len(w) > k)):
-                if part in term:
-                    bag[term[part]] = bag.get(term[part], 0) + n
-        at, s = x.nearest(bag)
+        at, s = x.nearest(x.vocabulary.bag(t))
         scores.append(x.score(x.votes(at, s)))
         evidence.append(x.ids[at[:3]].tolist())
     return scores, evidence
