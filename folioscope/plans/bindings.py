@@ -40,7 +40,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records of two sources: all from the first, every third also from the second with other fields blank."""
     docs = table(spark, sf_dir, "documents")
-    common = ["cast(doc_id as string) as source_record_id", "source as journal_short", "cast(1975 + doc_id % 51 as string) as publication_year", "if(doc_id % 5 = 0, '', concat('10.1000/', doc_id % 5000)) as doi", "'' as jel_codes", "substring_index(text, '\n', 1) as title"]
+    common = ["cast(doc_id as string) as source_record_id", "source as journal_short", "cast(1975 + doc_id % 51 as string) as publication_year", "if(doc_id % 5 = 0, '', concat('10.1000/', doc_id % 400)) as doi", "'' as jel_codes", "substring_index(text, '\n', 1) as title"]
     a = docs.selectExpr(*common, "'crossref' as source", "if(doc_id % 2 = 0, substring(text, 1, 300), '') as abstract", "cast(doc_id % 40 as string) as volume", "'journal-article' as article_type")
     b = docs.where("doc_id % 3 = 0").selectExpr(*common, "'openalex' as source", "substring(text, 1, 200) as abstract", "if(doc_id % 2 = 0, '', cast(doc_id % 41 as string)) as volume", "if(doc_id % 4 = 0, 'report', 'article') as article_type")
     return a.unionByName(b)
@@ -69,9 +69,9 @@ SQL = {
   ['research', 'comment_reply', '', 'lecture_address', 'research'][doc_id % 5 + 1] AS article_scope,
   CASE WHEN doc_id % 4 = 1 THEN '' ELSE source END AS abstract_source FROM documents)""",
     "records": r"""records AS (SELECT CAST(doc_id AS VARCHAR) AS source_record_id, source AS journal_short, CAST(1975 + doc_id % 51 AS VARCHAR) AS publication_year,
-  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '10.1000/' || (doc_id % 5000) END AS doi, '' AS jel_codes, split_part(text, chr(10), 1) AS title, 'crossref' AS source,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '10.1000/' || (doc_id % 400) END AS doi, '' AS jel_codes, split_part(text, chr(10), 1) AS title, 'crossref' AS source,
   CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 300) ELSE '' END AS abstract, CAST(doc_id % 40 AS VARCHAR) AS volume, 'journal-article' AS article_type FROM documents
-  UNION ALL SELECT CAST(doc_id AS VARCHAR), source, CAST(1975 + doc_id % 51 AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN '' ELSE '10.1000/' || (doc_id % 5000) END, '', split_part(text, chr(10), 1), 'openalex',
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), source, CAST(1975 + doc_id % 51 AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN '' ELSE '10.1000/' || (doc_id % 400) END, '', split_part(text, chr(10), 1), 'openalex',
   substr(text, 1, 200), CASE WHEN doc_id % 2 = 0 THEN '' ELSE CAST(doc_id % 41 AS VARCHAR) END, CASE WHEN doc_id % 4 = 0 THEN 'report' ELSE 'article' END FROM documents WHERE doc_id % 3 = 0)""",
     "validation": r"""validation AS (SELECT 'VAL' || doc_id AS validation_id, CAST(doc_id AS VARCHAR) AS article_id,
   CASE WHEN doc_id % 13 = 0 THEN '' WHEN toxic = 1 THEN 'causal' WHEN quality = 1 THEN 'predictive' ELSE 'other' END AS manual_label,
