@@ -9,13 +9,14 @@ for what the merge leaves: here, for a whole block of partners at once.
    parity bitmap, and counts all documents into LENGTHS hash buckets, a table of fixed size that is broadcast. The order by
    (bucket count, hash) is the same for all, so the result doesn't depend on it; it only decides which lists are short.
 2. A second pass sends each node to its n - T + 1 shortest lists. Lists that may be longer than LIST_ROWS by these counts are split,
-   and their parts' pivots meet in a second step. Each part has two pivots, its lowest and highest node; all others are
+   and their parts' pivots meet in a second step. Each part has PIVOTS pivots, its first nodes by as many hash orders; all others are
    compared with these by bitmap (the number of differing bits is at most the size of the symmetric difference, so no
-   linked pair is lost). The closest pair of each node is verified exactly, by probing one sorted set for the members
+   linked pair is lost). The closest pairs of each node are verified exactly, by probing one sorted set for the members
    of the other. Links give components.
 3. Lists whose members are all in one component are done. In the others, each member looks for partners in other, larger
    components (ties by component): its lists are merged, partners with too few common short lists to reach T are
-   dropped, and the rest is compared by bitmap and verified exactly. After that each pair of different components has been compared wherever
+   dropped, and the rest is compared by bitmap and verified exactly; first the likeliest of each member, then, with the components that this
+   leaves, all. After that each pair of different components has been compared wherever
    a link was possible, and no group was ever expanded into all its pairs.
 
 Defined results: a null or empty text, or one of separators only, has no shingles and is linked with nothing; a text of one to
@@ -37,6 +38,9 @@ from folioscope.llm.common import doc_words, materialize, shingle_hashes, short_
 from folioscope.llm.graph import components
 
 LENGTHS_BITS = 18
+#: Pivots of each list, and how many of each node's closest pivots are verified before all other pairs are looked at. Both only move work
+#: from the last step to the first.
+PIVOTS, CLOSEST = 6, 8
 #: Rows of one list that go to one task.
 LIST_ROWS = 1_000_000
 #: Members of one list that go together when a list's partners are looked up; longer lists go in several parts.
@@ -161,8 +165,9 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, k:
     return pairs.select("a", "b").join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").mapInArrow(probe, "a long, b long")
 
 
-def partners(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for members (list, node, n, component, size) the pairs across components that share enough short lists."""
+def partners(members: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """(a, b): for members (list, node, n, component, size) the pairs across components that share enough short lists; with `best`
+    only those of each a that share most."""
     rank = F.struct("size", "component")
     open_lists = members.groupBy("list").agg(F.min(rank).alias("low"), F.max(rank).alias("high"), F.count("*").alias("n_members")).where("low.component != high.component or low.size != high.size")
     inside = members.join(open_lists.select("list", "high", "n_members"), "list")
@@ -196,13 +201,25 @@ def partners(members: DataFrame, percent: int) -> DataFrame:
         docs, at, common = np.unique(t["docs"].combine_chunks().flatten().to_numpy(), return_index=True, return_counts=True)
         m = t["ns"].combine_chunks().flatten().to_numpy()[at].astype(np.int64)
         longest = np.maximum(-(-(percent * n) // 100), -(-(percent * m) // 100)) - 1
-        docs = docs[common >= least_overlap(n, m, percent) - longest]
+        keep = common >= least_overlap(n, m, percent) - longest
+        docs = docs[keep][np.argsort(-common[keep], kind="stable")[:best]]
         return pa.table({"a": pa.array(np.full(len(docs), a)), "b": pa.array(docs)})
 
     got = queries.join(parts, "list").mapInArrow(look, "a long, n int, docs array<long>, ns array<int>")
     return got.groupBy("a").applyInArrow(merge, "a long, b long")
 
 
+def labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """members with their components and the components' sizes."""
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    return members.select("list", "node", "n").join(parts.join(sizes, "component"), "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
+def top_by_distance(near: DataFrame) -> DataFrame:
+    """The CLOSEST pairs (x, y, far) of each x."""
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("far", "y"))).where(F.col("k") <= CLOSEST)
+
+
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """One row for each of docs: key, n_shingles, component_id (the smallest key reachable by links)."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
@@ -216,22 +233,24 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 
     lists = short_lists(rows.where("doc is not null"), lengths, percent, k)
     part = Window.partitionBy("list", "part")
-    pivots = lists.withColumns({"p": F.min("node").over(part), "q": F.max("node").over(part)}).where("p != q or split").dropDuplicates(["list", "part", "node"])
-    members = written(pivots, "members")
-    hot = members.where("split").groupBy("list").agg(F.min("node").alias("x"), F.max("node").alias("y"))
-    between = members.where("split").select("list", "p").distinct().join(hot, "list").selectExpr("inline(array(struct(p as x, x as y), struct(p as x, y as y)))")
-    within = members.selectExpr("inline(array(struct(node as x, p as y), struct(node as x, q as y)))")
+    order = [F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("p")) for i in range(PIVOTS)]
+    heads = lists.withColumns({"p": F.min("node").over(part), "q": F.max("node").over(part)} | {f"h{i}": F.min(h).over(part)["p"] for i, h in enumerate(order)}).where("p != q or split")
+    pivots = F.array(*[f"h{i}" for i in range(PIVOTS)])
+    members = written(heads.select("list", "part", "split", "node", "n", pivots.alias("pivots")).dropDuplicates(["list", "part", "node"]), "members")
+    hot = members.where("split").groupBy("list").agg(*[F.min(h)["p"].alias(f"h{i}") for i, h in enumerate(order)]).select("list", F.array(*[f"h{i}" for i in range(PIVOTS)]).alias("tops"))
+    between = members.where("split").select("list", F.explode("pivots").alias("x")).distinct().join(hot, "list").select("x", F.explode("tops").alias("y"))
+    within = members.select(F.col("node").alias("x"), F.explode(F.array_distinct("pivots")).alias("y"))
     pairs = within.unionByName(between).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     near = written(may_link(pairs, nodes, percent), "near")
-    closest = near.selectExpr("inline(array(struct(a as x, b as y, far), struct(b as x, a as y, far)))").groupBy("x").agg(F.min(F.struct("far", "y")).alias("c")).select(F.least("x", "c.y").alias("a"), F.greatest("x", "c.y").alias("b")).distinct()
+    either = near.selectExpr("inline(array(struct(a as x, b as y, far), struct(b as x, a as y, far)))")
+    closest = top_by_distance(either).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = written(linked(closest, rows, nodes, percent, k), "links")
     parts = materialize(components(links))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    labelled = members.select("list", "node", "n").join(parts.join(sizes, "component"), "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    more = written(may_link(partners(written(labelled, "labelled"), percent), nodes, percent), "more")
-    if more.take(1):
-        links = links.unionByName(written(linked(more, rows, nodes, percent, k), "links"))
-        parts = components(links)
+    for best in (CLOSEST, None):  # the likeliest partners first: their links leave fewer members to look up against all
+        more = written(may_link(partners(written(labelled(members, parts), "labelled"), percent, best), nodes, percent), "more")
+        if more.take(1):
+            links = links.unionByName(written(linked(more, rows, nodes, percent, k), "links"))
+            parts = materialize(components(links))
     # the smallest key of each component
     of_node = nodes.select("node", "doc").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("doc").alias("c"))
