@@ -108,6 +108,8 @@ class Coder:
         """The ids of each pre-token. All are merged by one queue: a bar before and after each takes part in no pair, so
         each one's merges come in its own order, lowest rank and then leftmost first. The positions of a bucket go together,
         as in a trained vocabulary no merge makes a pair of a lower rank; should one do so, all goes again position by position."""
+        if not pieces:
+            return []
         raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
         bars = np.append(0, np.cumsum([len(p) + 1 for p in pieces]))
         sym = self.symbol[raw]
@@ -169,7 +171,7 @@ class Coder:
         new = list({p for pieces in found for p in pieces if p not in cache})
         coded = [p.encode() for p in new]
         whole = [self.ranks.get(p) for p in coded]
-        merged = iter(self.merge([p for p, r in zip(coded, whole, strict=True) if r is None]) if new else [])
+        merged = iter(self.merge([p for p, r in zip(coded, whole, strict=True) if r is None]))
         known = {p: str(r) if r is not None else " ".join(map(str, next(merged))) for p, r in zip(new, whole, strict=True)}
         cache.update(known)
         out = [" ".join(map(cache.__getitem__, pieces)) for pieces in found]

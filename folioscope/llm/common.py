@@ -37,9 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    del df
+    release(spark)
     return out
 
 
@@ -158,5 +160,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    schema = df.schema
+    del df
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
