@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioscope.config import QUALITY_PATTERNS, STRIP_PATTERNS
 
@@ -14,7 +15,7 @@ from folioscope.config import QUALITY_PATTERNS, STRIP_PATTERNS
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -138,7 +139,7 @@ def author_names(authors: Column | str, entities: bool = False) -> Column:
         both = F.concat_ws(" ", *[F.when(clean(a[x], entities) != "", clean(a[x], entities)) for x in ("given", "family")])
         return F.when(both != "", both).otherwise(clean(a["name"], entities))
 
-    return F.filter(F.transform(F.coalesce(col(authors), F.array().cast("array<struct<given:string,family:string,name:string>>")), one), lambda x: x != "")
+    return F.coalesce(F.filter(F.transform(col(authors), one), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def from_inverted_index(index: Column | str) -> Column:

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from folioscope.functions import text as T
 from folioscope.operators.rank import first_by
@@ -19,7 +20,7 @@ ACCEPTED_TIERS = ("tier_a_formal_abstract", "tier_b_verified_summary", "tier_c_f
 NONRESEARCH = ("review_erratum_paratext", "comment_reply", "lecture_address")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     def one(a: str, b: str) -> float:
         if not a or not b:
