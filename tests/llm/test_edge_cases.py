@@ -69,6 +69,9 @@ def test_ngram_join(odd, none):
 def test_line_dedup(odd, none):
     runs = {r["doc_id"]: r["runs"] for r in line_dedup.repeated_runs(odd.dropDuplicates(["doc_id"])).collect()}
     assert [tuple(x) for x in runs[14]] == [(0, 3, 13, 0)] and set(runs) == {14}
+    twice = odd.where("doc_id = 14").withColumn("text", F.lit("own\nline a\nline b\nrest"))
+    left = {r["text"] for r in line_dedup.dedup_lines(odd.where("doc_id in (13, 14)").unionByName(twice)).where("doc_id = 14").collect()}
+    assert left == {"own\nrest"}
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.where("doc_id = 14").count() == 0
     assert out.where("doc_id is null").count() == 1 and out.where("text is null").count() == 1
