@@ -5,7 +5,7 @@ and read again as the next one's docs. All but the last keep those columns:
 
 - toxicity: documents that score at least THRESHOLD go; learned from `labels` joined with the stage's own docs.
 - line_dedup: lines of later repeated runs go; documents of which nothing is left go.
-- ngram_join: of each group of near duplicates the document with the smallest doc_id stays; rows that only repeat it (same doc_id) too, once.
+- ngram_join: of each group of near duplicates the document with the smallest doc_id stays, with all rows of that doc_id.
 - decontaminate: documents that cover a benchmark item go.
 - byte_bpe: token counts and digests of what is left.
 
