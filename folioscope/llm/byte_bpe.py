@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN_PATTERN = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 BEYOND_PLAIN = "[^\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]"
 #: Pre-tokens whose ids a task keeps; when full, it starts anew. Bounds memory only.
-CACHE = 600_000
+CACHE = 300_000
 
 
 class RankQueue:

@@ -22,7 +22,15 @@ PUNCT[0x30:0x3A] = PUNCT[0x41:0x5B] = PUNCT[0x61:0x7B] = PUNCT[0x80:] = False
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch, unless the session says otherwise: a batch holds whole texts, on both sides of the pipe to Python."""
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -58,7 +58,7 @@ class Vocabulary:
     def of(self, word: str) -> tuple[int, ...]:
         got = [self.words[word]] if word in self.words else []
         got += [self.stems[word[:k]] for k in (5, 6, 7) if len(word) > k and word[:k] in self.stems]
-        if len(self.known) > 200_000:  # bounds memory only
+        if len(self.known) > 100_000:  # bounds memory only
             self.known.clear()
         self.known[word] = out = tuple(got)
         return out
