@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps whose results have been written; else they stay until the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python has let go reaches the JVM with the next call only
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
