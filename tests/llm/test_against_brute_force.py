@@ -181,6 +181,24 @@ def test_substring_dedup(spark, sf_dir, texts):
     assert want <= got
 
 
+@pytest.mark.parametrize("n", [50, 51, 60, 70, 80, 100])
+def test_passages_with_one_word_changed_inserted_or_deleted(n):
+    noise = [f"n{i}" for i in range(400)]
+    passage = [f"p{i}" for i in range(n)]
+    ids: dict = {}
+    tokens = lambda w: np.array([ids.setdefault(tuple(w[i : i + 5]), len(ids)) for i in range(len(w) - 4)], np.uint32)
+    first = tokens(noise[:100] + passage + noise[100:200])
+    for i in range(n):
+        for other in (passage[:i] + ["new"] + passage[i + 1 :], passage[:i] + ["new"] + passage[i:], passage[:i] + passage[i + 1 :]):
+            later = tokens(noise[200:300] + other + noise[300:])
+            for a, b in ((later, first), (first, later)):
+                found = substring_dedup.segments(a, b, 46, 0.8)
+                assert len(found) == 1
+                s, e, p, q, similarity = found[0]
+                x, y = set(a[s : e + 1].tolist()), set(b[p : q + 1].tolist())
+                assert e - s + 1 >= 46 and similarity == len(x & y) / len(x | y) >= 0.8 and e - s + 5 >= n - 5
+
+
 def test_compact_windows_hold_every_minimum():
     v = np.random.default_rng(2).permutation(60).astype(np.uint64)
     found = substring_dedup.compact_windows(v, 10)
