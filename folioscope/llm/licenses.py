@@ -2,7 +2,7 @@
 
 The rules are written by family: a table of licenses with their names, abbreviations and versions, and templates for the
 ways in which a text says it is licensed (a license line, a plain name, an SPDX tag, a header, a URL). They make some
-hundreds of regexes, each with a keyword that must occur in the text before the regex is tried and a priority: where
+hundreds of regexes, each with keywords of which one must occur in the text before the regex is tried, and a priority: where
 detections overlap, one whose span lies within that of an equal or higher priority is suppressed (interval containment), so
 `Apache License, Version 2.0` leaves `apache-2.0` and not also `apache`. Independently of suppression, the base phrases give
 their labels.
@@ -29,81 +29,85 @@ from folioscope.llm.common import PUNCT, slices, spans, table, utf8
 #: The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Family: keyword, regex of its name, versions.
+#: Family: keywords, one of them in each alternative of its name (words of a keyword may stand apart, but for `cc by`), regex of its name, versions.
 FAMILIES = {
-    "gpl": ("gnu", r"gnu\s+general\s+public\s+licen[sc]e|gnu\s+gpl", ("1.0", "2.0", "3.0", "2", "3")),
-    "lgpl": ("lesser", r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[sc]e|gnu\s+lgpl", ("2.0", "2.1", "3.0", "3")),
-    "agpl": ("affero", r"gnu\s+affero\s+general\s+public\s+licen[sc]e|gnu\s+agpl", ("1.0", "3.0", "3")),
-    "apache": ("apache", r"apache\s+(?:software\s+)?licen[sc]e", ("1.0", "1.1", "2.0", "2")),
-    "mit": ("mit", r"mit\s+licen[sc]e|mit\s*/\s*x11\s+licen[sc]e", ()),
-    "bsd-2-clause": ("bsd", r"(?:simplified|2-clause)\s+bsd\s+licen[sc]e|bsd\s+2-clause", ()),
-    "bsd-3-clause": ("bsd", r"(?:new|revised|modified|3-clause)\s+bsd\s+licen[sc]e|bsd\s+3-clause", ()),
-    "mpl": ("mozilla", r"mozilla\s+public\s+licen[sc]e", ("1.0", "1.1", "2.0")),
-    "epl": ("eclipse", r"eclipse\s+public\s+licen[sc]e", ("1.0", "2.0")),
-    "eupl": ("european", r"european\s+union\s+public\s+licen[sc]e", ("1.0", "1.1", "1.2")),
-    "cddl": ("common development", r"common\s+development\s+and\s+distribution\s+licen[sc]e", ("1.0", "1.1")),
-    "cc-by-nc-nd": ("cc by", r"cc[ -]by[ -]nc[ -]nd", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-nc-sa": ("cc by", r"cc[ -]by[ -]nc[ -]sa", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-nc": ("cc by", r"cc[ -]by[ -]nc", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-nd": ("cc by", r"cc[ -]by[ -]nd", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by-sa": ("cc by", r"cc[ -]by[ -]sa", ("2.0", "2.5", "3.0", "4.0")),
-    "cc-by": ("cc by", r"cc[ -]by", ("2.0", "2.5", "3.0", "4.0")),
-    "cc0": ("cc0", r"cc0", ("1.0",)),
-    "isc": ("isc", r"isc\s+licen[sc]e", ()),
-    "zlib": ("zlib", r"zlib\s+licen[sc]e", ()),
-    "boost": ("boost", r"boost\s+software\s+licen[sc]e", ("1.0",)),
-    "artistic": ("artistic", r"artistic\s+licen[sc]e", ("1.0", "2.0")),
-    "unlicense": ("unlicense", r"the\s+unlicense", ()),
-    "wtfpl": ("wtfpl", r"wtfpl", ("2",)),
-    "odbl": ("open database", r"open\s+database\s+licen[sc]e", ("1.0",)),
-    "ofl": ("open font", r"(?:sil\s+)?open\s+font\s+licen[sc]e", ("1.0", "1.1")),
-    "psf": ("python software", r"python\s+software\s+foundation\s+licen[sc]e", ("2",)),
-    "proprietary": ("rights reserved", r"all\s+rights\s+reserved", ()),
+    "gpl": (("gnu",), r"gnu\s+general\s+public\s+licen[sc]e|gnu\s+gpl", ("1.0", "2.0", "3.0", "2", "3")),
+    "lgpl": (("lesser", "library", "lgpl"), r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[sc]e|gnu\s+lgpl", ("2.0", "2.1", "3.0", "3")),
+    "agpl": (("affero", "agpl"), r"gnu\s+affero\s+general\s+public\s+licen[sc]e|gnu\s+agpl", ("1.0", "3.0", "3")),
+    "apache": (("apache",), r"apache\s+(?:software\s+)?licen[sc]e", ("1.0", "1.1", "2.0", "2")),
+    "mit": (("mit",), r"mit\s+licen[sc]e|mit\s*/\s*x11\s+licen[sc]e", ()),
+    "bsd-2-clause": (("bsd",), r"(?:simplified|2-clause)\s+bsd\s+licen[sc]e|bsd\s+2-clause", ()),
+    "bsd-3-clause": (("bsd",), r"(?:new|revised|modified|3-clause)\s+bsd\s+licen[sc]e|bsd\s+3-clause", ()),
+    "mpl": (("mozilla",), r"mozilla\s+public\s+licen[sc]e", ("1.0", "1.1", "2.0")),
+    "epl": (("eclipse",), r"eclipse\s+public\s+licen[sc]e", ("1.0", "2.0")),
+    "eupl": (("european",), r"european\s+union\s+public\s+licen[sc]e", ("1.0", "1.1", "1.2")),
+    "cddl": (("common development",), r"common\s+development\s+and\s+distribution\s+licen[sc]e", ("1.0", "1.1")),
+    "cc-by-nc-nd": (("cc by", "cc-by"), r"cc[ -]by[ -]nc[ -]nd", ("2.0", "2.5", "3.0", "4.0")),
+    "cc-by-nc-sa": (("cc by", "cc-by"), r"cc[ -]by[ -]nc[ -]sa", ("2.0", "2.5", "3.0", "4.0")),
+    "cc-by-nc": (("cc by", "cc-by"), r"cc[ -]by[ -]nc", ("2.0", "2.5", "3.0", "4.0")),
+    "cc-by-nd": (("cc by", "cc-by"), r"cc[ -]by[ -]nd", ("2.0", "2.5", "3.0", "4.0")),
+    "cc-by-sa": (("cc by", "cc-by"), r"cc[ -]by[ -]sa", ("2.0", "2.5", "3.0", "4.0")),
+    "cc-by": (("cc by", "cc-by"), r"cc[ -]by", ("2.0", "2.5", "3.0", "4.0")),
+    "cc0": (("cc0",), r"cc0", ("1.0",)),
+    "isc": (("isc",), r"isc\s+licen[sc]e", ()),
+    "zlib": (("zlib",), r"zlib\s+licen[sc]e", ()),
+    "boost": (("boost",), r"boost\s+software\s+licen[sc]e", ("1.0",)),
+    "artistic": (("artistic",), r"artistic\s+licen[sc]e", ("1.0", "2.0")),
+    "unlicense": (("unlicense",), r"the\s+unlicense", ()),
+    "wtfpl": (("wtfpl",), r"wtfpl", ("2",)),
+    "odbl": (("open database",), r"open\s+database\s+licen[sc]e", ("1.0",)),
+    "ofl": (("open font",), r"(?:sil\s+)?open\s+font\s+licen[sc]e", ("1.0", "1.1")),
+    "psf": (("python software",), r"python\s+software\s+foundation\s+licen[sc]e", ("2",)),
+    "proprietary": (("rights reserved",), r"all\s+rights\s+reserved", ()),
 }
+#: Bare abbreviations, and those that count with a version only.
+ABBREVIATIONS, WITH_VERSION = ("gpl", "lgpl", "agpl", "eupl", "cddl", "odbl"), ("mpl", "epl", "ofl")
 _BEFORE = r"(?:this\s+\w+\s+is\s+)?(?:dual[- ])?(?:licen[sc]ed|released|distributed|available|published|covered)\s+(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
 _VERSION = r"[,;]?\s*\(?(?:version|ver\.?|v\.?)?\s*"
-#: Single rules beside those of the families: label, keyword, regex, priority, confidence.
+#: Single rules beside those of the families: label, keywords, regex, priority, confidence.
 EXTRA = (
-    ("mit", "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge", 4, 1.0),
-    ("apache-2.0", "apache.org/licenses", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?", 4, 1.0),
-    ("gpl", "gnu.org/licenses", r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?gpl[\w.-]*", 4, 1.0),
-    ("lgpl", "gnu.org/licenses", r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?lgpl[\w.-]*", 4, 1.0),
-    ("mpl-2.0", "mozilla.org/mpl", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0/?", 4, 1.0),
-    ("cc", "creativecommons.org", r"https?://(?:www\.)?creativecommons\.org/licenses/[a-z-]+/\d\.\d/?", 4, 1.0),
-    ("cc0", "creativecommons.org", r"https?://(?:www\.)?creativecommons\.org/publicdomain/zero/1\.0/?", 4, 1.0),
-    ("cc", "creative commons", r"creative\s+commons\s+(?:attribution|licen[sc]e|zero)[\w\s.-]{0,60}", 2, 0.8),
-    ("public-domain", "public domain", r"(?:in|to|into)\s+the\s+public\s+domain", 2, 0.8),
-    ("copyright", "copyright", r"copyright\s+(?:\(c\)|©)?\s*(?:19|20)\d\d", 1, 0.5),
+    ("mit", ("permission is hereby granted",), r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge", 4, 1.0),
+    ("apache-2.0", ("apache.org/licenses",), r"https?://(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?", 4, 1.0),
+    ("gpl", ("gnu.org/licenses",), r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?gpl[\w.-]*", 4, 1.0),
+    ("lgpl", ("gnu.org/licenses",), r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?lgpl[\w.-]*", 4, 1.0),
+    ("mpl-2.0", ("mozilla.org/mpl",), r"https?://(?:www\.)?mozilla\.org/mpl/2\.0/?", 4, 1.0),
+    ("cc", ("creativecommons.org",), r"https?://(?:www\.)?creativecommons\.org/licenses/[a-z-]+/\d\.\d/?", 4, 1.0),
+    ("cc0", ("creativecommons.org",), r"https?://(?:www\.)?creativecommons\.org/publicdomain/zero/1\.0/?", 4, 1.0),
+    ("cc", ("creative commons",), r"creative\s+commons\s+(?:attribution|licen[sc]e|zero)[\w\s.-]{0,60}", 2, 0.8),
+    ("public-domain", ("public domain",), r"(?:in|to|into)\s+the\s+public\s+domain", 2, 0.8),
+    ("copyright", ("copyright",), r"copyright\s+(?:\(c\)|©)?\s*(?:19|20)\d\d", 1, 0.5),
 )
 
 
 @lru_cache(maxsize=1)
-def rules() -> list[tuple[str, str, re.Pattern, int, float]]:
-    """(label, keyword, regex over lower-cased text, priority, confidence), highest priority first."""
+def rules() -> list[tuple[str, tuple[str, ...], re.Pattern, int, float]]:
+    """(label, keywords, regex over lower-cased text, priority, confidence), highest priority first."""
     out = []
-    for label, (keyword, name, versions) in FAMILIES.items():
+    for label, (keywords, name, versions) in FAMILIES.items():
         name = rf"(?<!\w)(?:{name})(?!\w)"
         forms = [("", 4, "")] if not versions else [("", 2, "")]
         for version in versions:
             number = re.escape(version) + (r"(?:\.0)?" if "." not in version else "")
             forms.append((f"-{version if '.' in version else version + '.0'}", 4, rf"{_VERSION}{number}\)?(?![\w]|\.\d)"))
         for suffix, priority, tail in forms:
-            out.append((label + suffix, keyword, re.compile(_BEFORE + name + tail), priority + 2, 1.0))
-            out.append((label + suffix, keyword, re.compile(name + tail), priority, 0.8))
-            out.append((label + suffix, "spdx-license-identifier", re.compile(rf"spdx-license-identifier:\s*{re.escape(label + suffix)}(?:-only|-or-later)?(?![\w.-])"), priority + 3, 1.0))
-    out += [(label, keyword, re.compile(regex), priority, confidence) for label, keyword, regex, priority, confidence in EXTRA]
+            out.append((label + suffix, keywords, re.compile(_BEFORE + name + tail), priority + 2, 1.0))
+            out.append((label + suffix, keywords, re.compile(name + tail), priority, 0.8))
+            out.append((label + suffix, ("spdx-license-identifier",), re.compile(rf"spdx-license-identifier:\s*{re.escape(label + suffix)}(?:-only|-or-later)?(?![\w.-])"), priority + 3, 1.0))
+            if label in ABBREVIATIONS or suffix and label in WITH_VERSION:
+                out.append((label + suffix, (label,), re.compile(rf"(?<!\w){label}-?{tail}" if suffix else rf"(?<!\w){label}(?!\w)"), 1 if suffix else 0, 0.5))
+    out += [(label, keywords, re.compile(regex), priority, confidence) for label, keywords, regex, priority, confidence in EXTRA]
     return sorted(out, key=lambda r: -r[3])
 
 
 
 def detect(low: str, known: list | None = None) -> list[tuple[int, int, str, float]]:
     """(start, end, label, confidence) of what the rules find in a lower-cased text, contained detections suppressed."""
-    present: dict[str, bool] = {}
+    present: dict[tuple[str, ...], bool] = {}
     kept: list[tuple[int, int, str, float]] = []
-    for label, keyword, regex, _, confidence in known or rules():
-        if keyword not in present:
-            present[keyword] = all(part in low for part in keyword.split()) if " " in keyword and keyword != "cc by" else keyword in low or keyword == "cc by" and "cc-by" in low
-        if present[keyword]:
+    for label, keywords, regex, _, confidence in known or rules():
+        if keywords not in present:
+            present[keywords] = any(k in low if k == "cc by" else all(part in low for part in k.split()) for k in keywords)
+        if present[keywords]:
             for m in regex.finditer(low):
                 s, e = m.span()
                 if not any(a <= s and e <= b for a, b, _, _ in kept):

@@ -84,6 +84,27 @@ def test_licenses(spark, texts):
     assert len(licenses.rules()) > 200
 
 
+def test_license_keywords_cover_every_alternative():
+    names = {
+        "gpl": ["GNU General Public License", "GNU GPL"], "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL"], "agpl": ["GNU Affero General Public License", "GNU AGPL"],
+        "apache": ["Apache License", "Apache Software Licence"], "mit": ["MIT License", "MIT/X11 License"], "bsd-2-clause": ["Simplified BSD License", "2-clause BSD License", "BSD 2-Clause"],
+        "bsd-3-clause": ["New BSD License", "Revised BSD License", "Modified BSD License", "3-clause BSD License", "BSD 3-Clause"], "mpl": ["Mozilla Public License"], "epl": ["Eclipse Public License"],
+        "eupl": ["European Union Public Licence"], "cddl": ["Common Development and\nDistribution License"], "cc-by-nc-nd": ["CC BY NC ND", "CC-BY-NC-ND"], "cc-by-nc-sa": ["CC BY-NC-SA"], "cc-by-nc": ["CC BY NC", "CC-BY-NC"],
+        "cc-by-nd": ["CC-BY-ND"], "cc-by-sa": ["CC BY-SA"], "cc-by": ["CC BY", "CC-BY"], "cc0": ["CC0"], "isc": ["ISC License"], "zlib": ["zlib License"], "boost": ["Boost Software License"], "artistic": ["Artistic License"],
+        "unlicense": ["The Unlicense"], "wtfpl": ["WTFPL"], "odbl": ["Open Database License"], "ofl": ["SIL Open Font License", "Open  Font License"], "psf": ["Python Software Foundation License"], "proprietary": ["All rights reserved"],
+    }
+    assert set(names) == set(licenses.FAMILIES)
+    ungated = [(label, ("",), *rest) for label, _, *rest in licenses.rules()]
+    for label, (_, _, versions) in licenses.FAMILIES.items():
+        for name in names[label]:
+            for t, want in [(name, label), *((f"{name} {v}", f"{label}-{v if '.' in v else v + '.0'}") for v in versions)]:
+                found = licenses.detect(f"see {t}, then".lower())
+                assert found == licenses.detect(f"see {t}, then".lower(), ungated) and (want, 0.8) in {x[2:] for x in found}, t
+    for t, want in (("GPL", "gpl"), ("LGPL", "lgpl"), ("GPLv2", "gpl-2.0"), ("AGPL-3.0", "agpl-3.0"), ("MPL 2.0", "mpl-2.0")):
+        assert [x[2:] for x in licenses.detect(f"under {t} here".lower())] == [(want, 0.5)]
+    assert licenses.detect("mpl and gplus") == []
+
+
 def test_ngram_join(spark, sf_dir, texts):
     sets = {}
     for d, t in texts.items():
