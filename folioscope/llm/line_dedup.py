@@ -9,8 +9,11 @@ extended both ways over whatever windows follow on the same diagonal, and the la
 repeated window has a key of its own, the lines that go are exactly those in some run of RUN lines that has occurred
 before (in an earlier document, or earlier in the same one without overlapping it at the same place).
 
+A run also counts by its words: with `words`, a single line of that many words or more is a fingerprint of its own besides the windows. That holds for
+`dedup_lines`, the pipeline's stage; `repeated_runs` and op6_line_dedup, whose SQL knows windows only, leave such lines out unless asked.
+
 Defined results: null and empty texts stay as they are. A document all whose lines go is dropped where `dedup_lines` is
-asked for text; `repeated_runs` lists its runs all the same. Copies of a document of fewer than RUN lines stay, as no run is that short. Rows of
+asked for text; `repeated_runs` lists its runs all the same. Copies of a document of fewer than RUN lines stay where no line has `words` words. Rows of
 a repeated key are told apart by a hash of the text; rows with the same key and text count as one document and are treated alike. A null key sorts
 first. Extra columns stay as they are.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import mix, slices, table
 
-RUN = 2
+RUN, WORDS = 2, 50
 
 
 def line_hashes(text: str | None) -> tuple[list[int], np.ndarray]:
@@ -55,42 +58,52 @@ def fingerprints(hashes: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n), mix(whole + chosen.astype(np.uint64))
 
 
+def long_lines(text: str | None, words: int) -> np.ndarray:
+    """Numbers, among the lines that aren't blank, of those of at least `words` words."""
+    at, _ = line_hashes(text)
+    lines = (text or "").split("\n")
+    return np.array([i for i, x in enumerate(at) if len(lines[x]) >= 2 * words - 1 and len(lines[x].split()) >= words], np.int64)
+
+
 def _identity(key: str, text: str):
     """What tells documents apart, in their order: the key, then a hash of the text."""
     return F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"))
 
 
-def window_keys(docs: DataFrame, run: int, where: str) -> DataFrame:
-    """(key, doc, start) of all windows; docs has doc and t."""
+def window_keys(docs: DataFrame, run: int, where: str, words: int | None = None) -> DataFrame:
+    """(key, doc, start, lines) of all windows, and of single lines of at least `words` words; docs has doc and t."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            counts, starts, keys = [], [], []
+            counts, starts, keys, lines = [], [], [], []
             for t in b.column("t").to_pylist():
-                s, k = fingerprints(line_hashes(t)[1], run)
-                counts.append(len(s))
-                starts.append(s)
-                keys.append(k)
+                h = line_hashes(t)[1]
+                s, k = fingerprints(h, run)
+                one = long_lines(t, words) if words is not None and run > 1 else np.zeros(0, np.int64)
+                counts.append(len(s) + len(one))
+                starts += [s, one]
+                keys += [k, mix(h[one] + np.uint64(0x9E3779B97F4A7C15))]
+                lines += [np.full(len(s), run), np.ones(len(one), np.int64)]
             at = np.repeat(np.arange(b.num_rows), counts)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "doc": b.column("doc").take(pa.array(at)), "start": pa.array(np.concatenate(starts), pa.int32())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "doc": b.column("doc").take(pa.array(at)), "start": pa.array(np.concatenate(starts), pa.int32()), "lines": pa.array(np.concatenate(lines), pa.int32())})
 
-    return docs.mapInArrow(find, f"key long, doc {where}, start int")
+    return docs.mapInArrow(find, f"key long, doc {where}, start int, lines int")
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, first_doc, first_start): each window that occurred before, with its first position; doc is struct(k, h)."""
+def repeated_windows(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """(doc, start, lines, first_doc, first_start): each window that occurred before, with its first position; doc is struct(k, h)."""
     kind = f"struct<k:{docs.schema[key].dataType.simpleString()},h:bigint>"
-    keys = window_keys(docs.select(_identity(key, text).alias("doc"), F.col(text).alias("t")), run, kind)
+    keys = window_keys(docs.select(_identity(key, text).alias("doc"), F.col(text).alias("t")), run, kind, words)
     first = keys.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f")
-    return keys.join(first, "key").where("struct(doc, start) != f").select("doc", "start", F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"))
+    return keys.join(first, "key").where("struct(doc, start) != f").select("doc", "start", "lines", F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """One row for each document with later repeats: key, text_hash and `runs`, an array of (start, lines, first_doc, first_start) over its
     lines that aren't blank: seeds on one diagonal that touch, extended both ways to one run."""
     kind = docs.schema[key].dataType.simpleString()
-    seeds = repeated_windows(docs, run, key, text)
-    by_doc = seeds.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "first_doc", "first_start"))).alias("seeds"))  # at most a document's own lines
+    seeds = repeated_windows(docs, run, key, text, words)
+    by_doc = seeds.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "first_doc", "first_start", "lines"))).alias("seeds"))  # at most a document's own lines
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,9 +116,9 @@ def repeated_runs(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: st
                     diagonal = (x["first_doc"]["k"], x["first_doc"]["h"], x["first_start"] - x["start"])
                     last = open_runs.get(diagonal)
                     if last is not None and x["start"] <= last["start"] + last["lines"]:
-                        last["lines"] = max(last["lines"], x["start"] + run - last["start"])
+                        last["lines"] = max(last["lines"], x["start"] + x["lines"] - last["start"])
                     else:
-                        open_runs[diagonal] = last = {"start": x["start"], "lines": run, "first_doc": x["first_doc"]["k"], "first_start": x["first_start"]}
+                        open_runs[diagonal] = last = {"start": x["start"], "lines": x["lines"], "first_doc": x["first_doc"]["k"], "first_start": x["first_start"]}
                         runs.append(last)
                 rows.append(runs)
             yield pa.RecordBatch.from_pydict({key: b.column("k"), "text_hash": b.column("h"), "runs": pa.array(rows, shape)})
@@ -113,10 +126,10 @@ def repeated_runs(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: st
     return by_doc.select("doc.k", "doc.h", "seeds").mapInArrow(extend, f"`{key}` {kind}, text_hash long, runs array<struct<start:int,lines:int,first_doc:{kind},first_start:int>>")
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", words: int | None = WORDS) -> DataFrame:
     """docs without the lines of later repeated runs, all columns kept (`n_chars` counted anew where there is one);
     documents of which nothing but blank lines is left go."""
-    runs = repeated_runs(docs, run, key, text).toDF("__key", "__hash", "__runs")
+    runs = repeated_runs(docs, run, key, text, words).toDF("__key", "__hash", "__runs")
     joined = docs.join(runs, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left").drop("__key", "__hash")
     order = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -165,6 +165,13 @@ def test_line_dedup_is_its_sql(spark, sf_dir):
     assert got == set(con.execute(f"SELECT doc_id, n_runs, n_lines, first_doc FROM ({registry.SQL['op6_line_dedup']})").fetchall()) and got
 
 
+def test_long_repeated_lines_go(spark):
+    passage, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    docs = [(1, f"one\n{passage}\ntwo\n{short}"), (2, f"three\n{passage}\n\nfour\n{short}\nfive"), (3, passage), (4, f" {passage} \nsix\n{passage}"), (5, short)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert left == {1: docs[0][1], 2: f"three\n\nfour\n{short}\nfive", 4: "six", 5: short}
+
+
 def test_tiles_cover_reordered_passages():
     rng = np.random.default_rng(3)
     item = rng.integers(0, 2**63, 40).astype(np.uint64)
