@@ -2,8 +2,9 @@
 
 Coarse centroids and, for the residuals, one codebook for each of PARTS subspaces are fitted on at most SAMPLE vectors (by a
 hash of the key). Every vector is then put into the inverted list of its nearest centroid, with its code. Each vector is
-also a query: it probes its own list, and any other whose centroid is nearly as close, x.c1 - x.c <= TURN * |c1 - c|. A vector at cosine 0.9 that turns from x in a random direction of d dimensions
-moves by 0.48 / sqrt(d) of |c1 - c| in the mean square, 0.06 for 64; recall is measured in the tests. There is no cap on probes. In a
+also a query: it probes its own list, and any other whose centroid is nearly as close, x.c1 - x.c <= TURN / sqrt(d) * |c1 - c|. A vector at cosine 0.9 that turns from x in a random direction of d dimensions
+moves by 0.48 / sqrt(d) of |c1 - c| in the mean square; recall is measured in the tests. There is no cap on probes. A pair that only one of the two vectors
+finds counts for both: the asking block adds the other's link where the other doesn't probe the asker's list. In a
 list, distances of all codes come from the query's table of subspace products; since a vector's distance from its code is kept, a pair
 is passed over only if its cosine can't reach the threshold; the rest get their exact cosine in double precision.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import materialize, table
 from folioscope.llm.graph import components
 
-THRESHOLD, SAMPLE, PARTS, CODES, TURN, BLOCK = 0.9, 20_000, 8, 64, 0.08, 2048
+THRESHOLD, SAMPLE, PARTS, CODES, TURN, BLOCK = 0.9, 20_000, 8, 64, 0.64, 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -50,7 +51,7 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int) -> None:
         c = _kmeans(sample, lists, 10, 1)
         self.centroids = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        self.gaps = TURN * np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))
+        self.gaps = TURN / np.sqrt(sample.shape[1]) * np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))
         rest = sample - self.centroids[(sample @ self.centroids.T).argmax(1)]
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.books = [_kmeans(rest[:, s:e], CODES, 8, 2 + i) for i, (s, e) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
@@ -135,11 +136,11 @@ def near_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
             yield pa.RecordBatch.from_pydict({"rep": b.column("rep"), "weight": b.column("weight"), "v": b.column("v"), "list": pa.array(at, pa.int32()), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "lost": pa.array(lost), "probes": pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))})
 
     coded = materialize(points.mapInArrow(encode, f"rep long, weight long, v {kind}, list int, code binary, lost double, probes array<int>"))
-    queries = coded.select("rep", "weight", "v", F.explode("probes").alias("list"))
+    queries = coded.select("rep", "weight", "v", F.col("list").alias("home"), F.explode("probes").alias("list"))
     blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("mb")).join(queries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb")), "list")
     spread = F.xxhash64("rep", F.lit(7))
-    members = coded.drop("probes").join(blocks, "list").select("rep", "weight", "v", "list", "code", "lost", F.pmod(spread, "mb").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"))
-    asking = queries.join(blocks, "list").select("rep", "weight", "v", "list", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("lost"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(spread, "qb").cast("int").alias("q"))
+    members = coded.join(blocks, "list").select("rep", "weight", "v", "list", F.col("list").alias("home"), "probes", "code", "lost", F.pmod(spread, "mb").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"))
+    asking = queries.join(blocks, "list").select("rep", "weight", "v", "list", "home", F.lit(None).cast("array<int>").alias("probes"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("lost"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(spread, "qb").cast("int").alias("q"))
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -156,7 +157,10 @@ def near_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         i, j = q[i[keep]], m[j[keep]]
         good = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65536]], x[j[s : s + 65536]]) >= threshold for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
         i, j = i[good], j[good]
-        links = np.bincount(i, weights=weight[j], minlength=len(ids)).astype(np.int64)
+        home, probes, lists = t["home"].to_numpy().astype(np.int64), t["probes"].combine_chunks(), len(shared.value.centroids)
+        asked = np.repeat(np.arange(len(ids)), pa.compute.fill_null(pa.compute.list_value_length(probes), 0).to_numpy(zero_copy_only=False)) * lists + probes.flatten().to_numpy()
+        alone = ~np.isin(j * lists + home[i], asked)  # j doesn't probe the list of i
+        links = (np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j[alone], weights=weight[i[alone]], minlength=len(ids))).astype(np.int64)
         uniq, inverse = np.unique(ids, return_inverse=True)
         root = uniq[_local_roots(inverse[i], inverse[j], len(uniq))][inverse]
         out = np.flatnonzero((links > 0) | (root != ids))

@@ -246,6 +246,37 @@ def test_embedding_recall(spark):
     assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= 0.9 * want.sum() > 500
 
 
+@pytest.mark.parametrize("d", [16, 32, 64])
+def test_embedding_links_count_for_both_ends(spark, monkeypatch, d):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=(1500, d))
+    turn -= (turn * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    x[1500:] = 0.901 * x[:1500] + np.sqrt(1 - 0.901**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    monkeypatch.setattr(embedding_dedup, "fit", lambda points, n: embedding_dedup.Quantiser(embedding_dedup.unit(points.select("v").toArrow()["v"].combine_chunks())[1], 150))
+    got = embedding_dedup.near_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).orderBy("vec_id").toPandas()
+    near = x @ x.T >= 0.9
+    want, links = near.sum(1) - 1, got.n_links.to_numpy()
+    single = np.flatnonzero((want[:1500] == 1) & (want[1500:] == 1))
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum() and len(single) > 500
+    assert (links[single] == links[single + 1500]).all()
+
+
+@pytest.mark.parametrize("d", [16, 32, 64])
+def test_embedding_recall_at_all_lists(d):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sample = unit(rng.normal(size=(20480, d)))
+    q = embedding_dedup.Quantiser(sample, 1024)
+    a, turn = sample[:3000], rng.normal(size=(3000, d))
+    b = 0.9 * a + np.sqrt(0.19) * unit(turn - (turn * a).sum(1, keepdims=True) * a)
+    (home_a, _, _, probes_a), (home_b, _, _, probes_b) = q.encode(a), q.encode(b)
+    found = [y in p or x in r for x, y, p, r in zip(home_a, home_b, probes_a, probes_b, strict=True)]
+    print(d, np.mean(found), np.mean([len(p) for p in probes_a]))
+    assert np.mean(found) >= 0.9
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(0)
     bags = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 9), replace=False)} for _ in range(400)]
