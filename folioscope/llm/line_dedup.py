@@ -1,9 +1,8 @@
-"""Line dedup: winnowing over line hashes.
+"""Line dedup over hashes of line windows.
 
 A document is the sequence of its lines' hashes (split at newlines; surrounding spaces don't count; blank lines are left out
-and never removed by themselves). Each window of RUN consecutive lines selects its minimal hash, the rightmost on ties: so any run of
-RUN or more lines that two places share selects the same line in both, a guaranteed fingerprint. A fingerprint's key is
-its line's place in a window and the window's hash, so that a very common line alone joins nothing. Each key's first
+and never removed by themselves). Every window of RUN consecutive lines is a fingerprint, keyed by its hash, so that a very common line
+alone joins nothing. None is left out by winnowing: with windows of two lines selecting saves little, and each repeated window must be found. Each key's first
 position (lowest document, then line) is found by a min that combines before the shuffle and joined with all its other positions; a match is then
 extended both ways over whatever windows follow on the same diagonal, and the later repeated run goes. As every
 repeated window has a key of its own, the lines that go are exactly those in some run of RUN lines that has occurred
@@ -46,7 +45,7 @@ def line_hashes(text: str | None) -> tuple[list[int], np.ndarray]:
 
 
 def fingerprints(hashes: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts and the keys of the fingerprints that they select."""
+    """Window starts and their keys."""
     n = len(hashes) - run + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
