@@ -1,10 +1,11 @@
 """Secret scan: pattern rules, and a token-efficiency test for random strings.
 
 A random string takes more tokens for its length than prose does: under a byte-level BPE vocabulary it gets few characters
-to a token. Candidate runs are `[A-Za-z0-9+/_=-]{20,}` (wide enough for keys in hex, base64 or URL-safe form) with a digit
-and a letter. Excluded before the test are known digests and identifiers: whole-run hex of 32, 40, 56, 64, 96 or 128
-digits (MD5, SHA-1, SHA-2), UUIDs, and runs made of dictionary-like words joined by `_`, `-` or `/` (each part of letters
-only or digits only). A candidate of at most MAX_CHARS_PER_TOKEN characters a token is reported as kind `random`; what the
+to a token. Candidate runs are `[A-Za-z0-9+/_=-]{20,}` (wide enough for keys in hex, base64 or URL-safe form), of letters or
+digits alone too. Excluded before the test are known digests and identifiers: whole-run hex of 32, 40, 56, 64, 96 or 128
+digits (MD5, SHA-1, SHA-2), UUIDs, and runs that signs split into nothing but words (letters that are one token or have more than
+MAX_CHARS_PER_TOKEN characters a token by themselves) and numbers of fewer than 20 digits.
+A candidate of at most MAX_CHARS_PER_TOKEN characters a token is reported as kind `random`; what the
 pattern rules find is reported as `assign`, `access` and `hex` in any case.
 
 Defined results: a null or empty text has no spans: zero counts, empty `spans`, and `base_sha256` of the empty string.
@@ -32,7 +33,6 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are taken whole, so this is [0-9a-f]+
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 MAX_CHARS_PER_TOKEN = 2.2
 
 
@@ -45,11 +45,11 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def excluded(run: str) -> bool:
+def excluded(run: str, count_tokens, threshold: float = MAX_CHARS_PER_TOKEN) -> bool:
     """Known digests, identifiers and joined words."""
-    if not MIXED.match(run) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return True
-    return all(not part or part.isalpha() or part.isdigit() for part in re.split(r"[_/+=-]", run))
+    return all(not part or part.isdigit() and len(part) < 20 or part.isalpha() and ((n := count_tokens(part)) == 1 or len(part) > threshold * n) for part in re.split(r"[_/+=-]", run))
 
 
 def find(text: str, count_tokens, threshold: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
@@ -62,7 +62,7 @@ def find(text: str, count_tokens, threshold: float = MAX_CHARS_PER_TOKEN) -> lis
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if not excluded(run) and len(run) <= threshold * count_tokens(run):
+        if len(run) <= threshold * count_tokens(run) and not excluded(run, count_tokens, threshold):
             out.append((m.start(), 3, m.end()))
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     out.sort()

@@ -84,6 +84,24 @@ def test_licenses(spark, texts):
     assert len(licenses.rules()) > 200
 
 
+def test_secrets_of_letters_or_digits_alone():
+    import string
+
+    import public_tokenizers as public
+
+    encoding = secrets._encoding(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    rng = np.random.default_rng(9)
+    spans = lambda t: [x for x in secrets.find(t, lambda r: len(encoding.encode_ordinary(r))) if x[1] == 3]
+    draw = lambda signs, n: "".join(rng.choice(list(signs), n))
+    for n in (20, 24, 32, 40):
+        keys = [draw(string.ascii_letters, n) for _ in range(100)]
+        assert sum(spans(f"key {k} end") == [(4, 3, 4 + n)] for k in keys) >= 99
+    halves = [f"{draw(string.ascii_letters, 16)}-{draw(string.ascii_letters, 16)}_{draw(string.digits, 8)}" for _ in range(100)]
+    assert sum(bool(spans(k)) for k in halves) >= 99
+    for t in ("internationalization-of-the-responsibilities", "some_very_long_variable_name_2024_01_05", "2024-01-05-12-30-45-000", "-" * 40, "=-" * 20, "9f86d081884c7d65" * 2, "123e4567-e89b-12d3-a456-426614174000"):
+        assert spans(t) == []
+
+
 def test_license_keywords_cover_every_alternative():
     names = {
         "gpl": ["GNU General Public License", "GNU GPL"], "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL"], "agpl": ["GNU Affero General Public License", "GNU AGPL"],
