@@ -27,3 +27,24 @@ def test_queries_match_their_sql(spark, sf_dir):
         got = plain(df.select(*names).collect())
         quoted = ", ".join(f'"{n}"' for n in names)
         assert got == plain(con.execute(f"SELECT {quoted} FROM ({SQL[name]})").fetchall()), name
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(e.__file__).parent
+    for gone in (("folioscope/llm",), ("folioscope/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)):
+        copy = tmp_path / "-".join(g.replace("/", "_") for g in gone)
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests"))
+        for g in gone:
+            if (copy / g).exists():
+                shutil.rmtree(copy / g) if (copy / g).is_dir() else (copy / g).unlink()
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(set(e.queries()) | set(e.oracle_sql())))"], cwd=copy, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+        assert said.returncode == 0, said.stderr
+        names = said.stdout.split()
+        assert "pipeline" not in names and "trend_changes" in names
+        if "folioscope/llm" in gone:
+            assert not any(n.startswith("op") for n in names)
