@@ -54,12 +54,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+_released = [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps whose results have been written; else they stay until the driver's JVM collects garbage."""
+    """Lets Spark remove the shuffle files of steps whose results have been written; else they stay until the driver's JVM collects garbage.
+    At most every few seconds: steps that short leave little."""
+    if time.monotonic() - _released[0] < 3:
+        return
     for _ in range(2):  # what Python has let go reaches the JVM with the next call only
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.1)
+    _released[0] = time.monotonic()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,11 +80,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]  # A-Z count as a-z
-_POW = np.ones(1 << 16, np.uint64)
-_POW[1:] = np.uint64(0xD6E8FEB86659FD93)
-_POW = np.multiply.accumulate(_POW)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32  # A-Z count as a-z
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first bytes of eight
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -119,18 +124,19 @@ def spans(raw: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.
 
 
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, A-Z counted as a-z."""
-    out = np.empty(len(starts), np.uint64)
-    step, at = 1 << 18, 0
-    while at < len(starts):  # some words at a time: temporary arrays stay small for any text
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 4 * step, side="right")))
-        s, e = starts[at:to] - starts[at], ends[at:to] - starts[at]
-        piece = _BYTE[raw[starts[at] : ends[to - 1]]]
-        within = np.arange(len(piece)) - np.repeat(s, np.diff(np.append(s, len(piece))))
-        piece *= _POW[within & 0xFFFF]
-        total = np.cumsum(piece)
-        out[at:to] = total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))
-        at = to
+    """64-bit hashes of the words, A-Z counted as a-z; eight bytes of all words at a time."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = _LOWER[raw]
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    left = ends - starts
+    out = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live, at = np.arange(len(starts)), starts
+    while len(live):
+        h = out[live] ^ (eight[at] & _FIRST[np.minimum(left, 8)])
+        h *= _M1
+        out[live] = h ^ (h >> np.uint64(29))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
     return mix(out)
 
 
@@ -163,6 +169,29 @@ def doc_words(b: pa.RecordBatch, separators: np.ndarray = SPACE, text: str = "te
     return raw, starts, ends, hash_words(raw, starts, ends), first
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows sorted by keys, cut anew so that all rows of one key come together; only the last key's rows are held back."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        opens = np.zeros(b.num_rows, bool)
+        for k in keys:
+            column = b.column(k).to_numpy(zero_copy_only=False)
+            opens[1:] |= column[1:] != column[:-1]
+        if held and any(held[-1].column(k)[-1] != b.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        at = np.flatnonzero(opens)
+        if len(at):
+            yield pa.Table.from_batches([*held, b.slice(0, at[-1])]).combine_chunks()
+            held = [b.slice(at[-1])]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in a folder of its own beside the checkpoints, read again."""
     import uuid

@@ -2,21 +2,22 @@
 
 A document's set are its distinct 5-word shingles, hashed. A pair with Jaccard similarity of at least t shares at least
 T = ceil(t * n) of the n shingles of either. Of a document's n inverted lists, the T - 1 longest are set apart; any partner
-then occurs in at least one of the remaining short lists. So only the short lists are merged, and the long ones are probed
-for what the merge leaves: here, for a whole block of partners at once.
+then occurs in at least one of the remaining short lists. So only the short lists are merged, and partners that the merge leaves are
+probed for the long ones. A long list is never built: whether a candidate stands on it is the question whether its shingle is in
+the candidate's sorted set, and is answered there by binary search.
 
 1. Summaries. One pass gives for each document the signature of its set (equal sets are one node from here on), its size and a
-   parity bitmap, and counts all documents into LENGTHS hash buckets, a table of fixed size that is broadcast. The order by
-   (bucket count, hash) is the same for all, so the result doesn't depend on it; it only decides which lists are short.
-2. A second pass sends each node to its n - T + 1 shortest lists. Lists that may be longer than LIST_ROWS by these counts are split,
-   and their parts' pivots meet in a second step. Each part has PIVOTS pivots, its first nodes by as many hash orders; all others are
-   compared with these by bitmap (the number of differing bits is at most the size of the symmetric difference, so no
-   linked pair is lost). The closest pairs of each node are verified exactly, by probing one sorted set for the members
-   of the other. Links give components.
+   parity bitmap, and counts all documents into LENGTHS hash buckets, a table of fixed size that is broadcast. Lists are ordered by
+   the half octave of the bucket's count, then by hash. The order is the same for all, so the result doesn't depend on it; it only
+   decides which lists are short.
+2. A second pass sends each node to its n - T + 1 shortest lists. One sort brings each list's nodes together; lists of one node
+   are done. Lists that may be longer than LIST_ROWS by these counts are split, and their parts' pivots meet in a second step. Each part has PIVOTS
+   pivots, its first nodes by as many orders; all others are compared with these by bitmap (the number of differing bits is at most the size of
+   the symmetric difference, so no linked pair is lost). The closest pairs of each node are verified exactly. Links give components.
 3. Lists whose members are all in one component are done. In the others, each member looks for partners in other, larger
-   components (ties by component): its lists are merged, partners with too few common short lists to reach T are
-   dropped, and the rest is compared by bitmap and verified exactly; first the likeliest of each member, then, with the components that this
-   leaves, all. After that each pair of different components has been compared wherever
+   components (ties by component): its lists are merged by one sort that counts how often each partner occurs, partners with too few
+   common short lists to reach T are dropped, the rest is compared by bitmap and verified exactly; first the likeliest of each member, then, with
+   the components that this leaves, all. After that each pair of different components has been compared wherever
    a link was possible, and no group was ever expanded into all its pairs.
 
 Defined results: a null or empty text, or one of separators only, has no shingles and is linked with nothing; a text of one to
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import doc_words, materialize, shingle_hashes, short_hash, slices, table, written
+from folioscope.llm.common import doc_words, mix, shingle_hashes, short_hash, slices, table, whole_runs, written
 from folioscope.llm.graph import components
 
 LENGTHS_BITS = 18
@@ -45,15 +46,32 @@ PIVOTS, CLOSEST = 6, 8
 LIST_ROWS = 1_000_000
 #: Members of one list that go together when a list's partners are looked up; longer lists go in several parts.
 PART = 1024
+#: Orders of the nodes that give the pivots: each takes the node with the smallest `node ^ order`.
+ORDERS = mix(np.arange(1, 65, dtype=np.uint64)).view(np.int64)
 
 
-def shingle_sets(b: pa.RecordBatch, k: int = 5) -> list[np.ndarray]:
-    """Each row's sorted distinct shingle hashes."""
+def shingle_sets(b: pa.RecordBatch, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' sorted distinct shingle hashes, one row after the other, and where each row begins and the last ends."""
     _, _, _, words, first = doc_words(b, text="t")
-    hashed, out = shingle_hashes(words, k), []
-    for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append(np.unique(hashed[s : e - k + 1]) if e - s >= k else np.array([short_hash(words[s:e])] if e > s else [], np.uint64))
-    return out
+    hashed, n = shingle_hashes(words, k), np.diff(first)
+    ends = np.cumsum(np.where(n >= k, n - k + 1, np.minimum(n, 1)))
+    begins = np.append(0, ends)
+    out = np.empty(int(begins[-1]), np.uint64)
+    for s, w, at in zip(first[:-1].tolist(), n.tolist(), begins.tolist(), strict=False):
+        if w >= k:
+            own = out[at : at + w - k + 1]
+            own[:] = hashed[s : s + w - k + 1]
+            own.sort()
+        elif w:
+            out[at] = short_hash(words[s : s + w])
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[begins[begins < len(out)]] = True
+    return out[fresh], np.append(0, np.cumsum(fresh))[begins]
+
+
+def pieces(values: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    return [values[s:e] for s, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
 
 
 def parity_bitmap(s: np.ndarray) -> bytes:
@@ -78,10 +96,10 @@ def summaries(docs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in slices(batches, "t"):
-            sets = shingle_sets(b, k)
-            total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=size)
-            node = [signature(s) for s in sets]
-            yield batch(b.num_rows, doc=b.column("doc"), node=pa.array(node, pa.int64()), n=pa.array([len(s) for s in sets], pa.int32()), bits=pa.array([parity_bitmap(s) for s in sets], pa.binary()))
+            values, begins = shingle_sets(b, k)
+            sets = pieces(values, begins)
+            total += np.bincount((values >> shift).astype(np.int64), minlength=size)
+            yield batch(b.num_rows, doc=b.column("doc"), node=pa.array([signature(s) for s in sets], pa.int64()), n=pa.array(np.diff(begins), pa.int32()), bits=pa.array([parity_bitmap(s) for s in sets], pa.binary()))
         at = np.flatnonzero(total)
         yield batch(len(at), bucket=pa.array(at, pa.int32()), count=pa.array(total[at]))
 
@@ -93,36 +111,75 @@ def signature(s: np.ndarray) -> int:
 
 
 def short_lists(docs: DataFrame, lengths: np.ndarray, percent: int, k: int = 5) -> DataFrame:
-    """(list, part, node, n): each document's node in its shortest lists; split: whether the list has several parts."""
-    shared = docs.sparkSession.sparkContext.broadcast(lengths)  # 2^LENGTHS_BITS numbers
+    """(run, part, node, n): each document's node in its shortest lists; part is -1 where the list isn't split. A list's number is its place in the
+    order: the half octave of its bucket's count, then the hash; a part's run is that number under a mask of its own."""
+    octave = np.minimum(63, 2 * np.log2(1.0 + lengths)).astype(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast((octave, lengths // LIST_ROWS + 1))  # 2^LENGTHS_BITS numbers each
     shift = np.uint64(64 - LENGTHS_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        octave, parts = shared.value
         for b in slices(batches, "t"):
-            sets = shingle_sets(b, k)
-            lists, counts, nodes = [], [], []
-            for s in sets:
-                count = shared.value[(s >> shift).astype(np.int64)]
-                short = len(s) - -(-(percent * len(s)) // 100) + 1 if len(s) else 0
-                order = np.argsort(count, kind="stable")[:short]
-                lists.append(s[order])
-                counts.append(count[order])
-                nodes.append(signature(s))
-            size = [len(x) for x in lists]
-            node = np.repeat(np.array(nodes, np.int64), size)
-            parts = np.concatenate(counts) // LIST_ROWS + 1
-            yield pa.RecordBatch.from_pydict({"list": pa.array(np.concatenate(lists).view(np.int64)), "part": pa.array((node.view(np.uint64) % parts.astype(np.uint64)).astype(np.int32)), "split": pa.array(parts > 1), "node": pa.array(node), "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), size))})
-
-    return docs.mapInArrow(run, "list long, part int, split boolean, node long, n int")
-
-
-def _near(x: np.ndarray, y: np.ndarray) -> int:
-    """Differing bits of two parity bitmaps, the longer one folded."""
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) > len(y):
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+            values, begins = shingle_sets(b, k)
+            n = np.diff(begins)
+            short = np.where(n > 0, n - -(-(percent * n) // 100) + 1, 0)
+            node = np.repeat(np.array([signature(s) for s in pieces(values, begins)], np.int64), short)
+            lists = octave[(values >> shift).astype(np.int64)] << np.uint64(58) | values >> np.uint64(6)
+            chosen = []
+            for own, w in zip(pieces(lists, begins), short.tolist(), strict=True):
+                own.sort()
+                chosen.append(own[:w])
+            lists = np.concatenate(chosen)
+            split = parts[((lists << np.uint64(6)) >> shift).astype(np.int64)]
+            part = np.where(split > 1, (node.view(np.uint64) % split.astype(np.uint64)).astype(np.int64), -1)
+            yield pa.RecordBatch.from_pydict({"run": pa.array(lists.view(np.int64) ^ mask_of(part)), "part": pa.array(part, pa.int32()), "node": pa.array(node), "n": pa.array(np.repeat(n, short), pa.int32())})
+
+    return docs.mapInArrow(run, "run long, part int, node long, n int")
+
+
+def mask_of(part: np.ndarray) -> np.ndarray:
+    return np.where(part < 0, 0, mix(part.astype(np.uint64)).view(np.int64))
+
+
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """(list, part, node, n, pivots) of lists, distinct, without lists of one node."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, "run"):
+            which, part, node, n = (t[c].to_numpy() for c in ("run", "part", "node", "n"))
+            first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            several = (np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)) | (part[first] >= 0)
+            rows = np.flatnonzero(np.repeat(several, np.diff(np.append(first, len(node)))))
+            if not len(rows):
+                continue
+            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))[rows]
+            order = np.lexsort((node[rows], run))
+            rows, run = rows[order], run[order]
+            fresh = np.append(True, (run[1:] != run[:-1]) | (node[rows[1:]] != node[rows[:-1]]))
+            rows, run = rows[fresh], run[fresh]
+            first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            pivots = np.stack([np.minimum.reduceat(node[rows] ^ o, first) ^ o for o in ORDERS[:PIVOTS]], 1)
+            pivots = np.repeat(pivots, np.diff(np.append(first, len(rows))), 0)
+            yield pa.RecordBatch.from_pydict({
+                "list": pa.array(which[rows] ^ mask_of(part[rows])), "part": pa.array(part[rows]), "node": pa.array(node[rows]), "n": pa.array(n[rows]),
+                "pivots": pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * PIVOTS, pivots.ravel()),
+            })
+
+    return lists.repartition("run").sortWithinPartitions("run").mapInArrow(find, "list long, part int, node long, n int, pivots array<long>")
+
+
+def differing_bits(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Differing bits of pairs of parity bitmaps, the longer one folded."""
+    out = np.zeros(len(x), np.int64)
+    (raw_x, off_x), (raw_y, off_y) = ((np.frombuffer(c.buffers()[2], np.uint8), np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)) for c in (x, y))
+    size = np.stack([np.diff(off_x), np.diff(off_y)], 1)
+    for kx, ky in np.unique(size, axis=0).tolist():
+        rows = np.flatnonzero((size == (kx, ky)).all(1))
+        for at in np.array_split(rows, -(-len(rows) * max(kx, ky) // (1 << 22))):  # 4 MB at a time
+            p, q = raw_x[off_x[at][:, None] + np.arange(kx)], raw_y[off_y[at][:, None] + np.arange(ky)]
+            p, q = (z if z.shape[1] == min(kx, ky) else np.bitwise_xor.reduce(z.reshape(len(at), -1, min(kx, ky)), axis=1) for z in (p, q))
+            out[at] = np.bitwise_count(p ^ q).sum(1)
+    return out
 
 
 def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -131,20 +188,20 @@ def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = b.column("na").to_numpy().astype(np.int64), b.column("nb").to_numpy().astype(np.int64)
-            far = np.array([_near(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(b.column("ba").to_pylist(), b.column("bb").to_pylist(), strict=True)], np.int32)
+            far = differing_bits(b.column("ba"), b.column("bb"))
             keep = pa.array(far <= n + m - 2 * least_overlap(n, m, percent))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(far)], ["a", "b", "far"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(far, pa.int32())], ["a", "b", "far"]).filter(keep)
 
     wide = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
     return wide.where(f"least(na, nb) * 100L >= greatest(na, nb) * {percent}L").mapInArrow(run, "a long, b long, far int")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, k: int = 5) -> DataFrame:
-    """Those of pairs (a, b) of nodes that are linked, by their whole sets."""
+    """Those of pairs (a, b) of nodes that are linked: each shingle of the smaller set is probed for in the larger one."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            found = shingle_sets(b, k)  # of a repeated key only the text whose set is the node's
+            found = pieces(*shingle_sets(b, k))  # of a repeated key only the text whose set is the node's
             own = pa.array([signature(s) == node for s, node in zip(found, b.column("node").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_pydict({"node": b.column("node"), "set": pa.array([s.tobytes() for s in found], pa.binary())}).filter(own)
 
@@ -179,40 +236,55 @@ def partners(members: DataFrame, percent: int, best: int | None = None) -> DataF
     )
     queries = inside.where(rank < F.col("high")).select("list", "node", "n", "size", "component")
 
-    def numbers(x: pa.ListScalar) -> np.ndarray:
-        return x.values.to_numpy(zero_copy_only=False)
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, n, found, ns = [], [], [], []
-            for i in range(b.num_rows):
-                doc, own, size, comp = (b.column(c)[i].as_py() for c in ("node", "n", "size", "component"))
-                docs, m, sizes, comps = (numbers(b.column(c)[i]) for c in ("docs", "ns", "sizes", "components"))
-                keep = ((sizes > size) | (sizes == size) & (comps > comp)) & (np.minimum(m, own) * 100 >= np.maximum(m, own).astype(np.int64) * percent)
-                if keep.any():
-                    a.append(doc)
-                    n.append(own)
-                    found.append(docs[keep])
-                    ns.append(m[keep])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "n": pa.array(n, pa.int32()), "docs": pa.array(found, pa.list_(pa.int64())), "ns": pa.array(ns, pa.list_(pa.int32()))})
-
-    def merge(t: pa.Table) -> pa.Table:
-        a, n = t["a"][0].as_py(), t["n"][0].as_py()
-        docs, at, common = np.unique(t["docs"].combine_chunks().flatten().to_numpy(), return_index=True, return_counts=True)
-        m = t["ns"].combine_chunks().flatten().to_numpy()[at].astype(np.int64)
-        longest = np.maximum(-(-(percent * n) // 100), -(-(percent * m) // 100)) - 1
-        keep = common >= least_overlap(n, m, percent) - longest
-        docs = docs[keep][np.argsort(-common[keep], kind="stable")[:best]]
-        return pa.table({"a": pa.array(np.full(len(docs), a)), "b": pa.array(docs)})
+            if not b.num_rows:
+                continue
+            row = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(b.column("docs")).to_numpy())
+            own, size, comp = (b.column(c).to_numpy()[row] for c in ("n", "size", "component"))
+            docs, m, sizes, comps = (b.column(c).flatten().to_numpy() for c in ("docs", "ns", "sizes", "components"))
+            larger = (sizes > size) | (sizes == size) & (comps > comp)
+            keep = larger & (np.minimum(m, own).astype(np.int64) * 100 >= np.maximum(m, own).astype(np.int64) * percent)
+            count = np.bincount(row[keep], minlength=b.num_rows)
+            ends = pa.array(np.append(0, np.cumsum(count)), pa.int32())
+            out = {"a": b.column("node"), "n": b.column("n"), "docs": pa.ListArray.from_arrays(ends, docs[keep]), "ns": pa.ListArray.from_arrays(ends, m[keep])}
+            yield pa.RecordBatch.from_pydict(out).filter(pa.array(count > 0))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, "a"):
+            row = np.repeat(np.arange(t.num_rows), pa.compute.list_value_length(t["docs"]).to_numpy())
+            a, n = t["a"].to_numpy()[row], t["n"].to_numpy()[row].astype(np.int64)
+            b, m = (t[c].combine_chunks().flatten().to_numpy() for c in ("docs", "ns"))
+            order = np.lexsort((b, a))
+            first = np.flatnonzero(np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+            common = np.diff(np.append(first, len(order)))
+            a, n, b, m = (x[order[first]] for x in (a, n, b, m.astype(np.int64)))
+            longest = np.maximum(-(-(percent * n) // 100), -(-(percent * m) // 100)) - 1
+            keep = common >= least_overlap(n, m, percent) - longest
+            a, b, common = a[keep], b[keep], common[keep]
+            if best is not None:
+                order = np.lexsort((b, -common, a))
+                a, b = a[order], b[order]
+                opens = np.append(True, a[1:] != a[:-1])[: len(a)]
+                keep = np.arange(len(a)) - np.maximum.accumulate(np.where(opens, np.arange(len(a)), 0)) < best
+                a, b = a[keep], b[keep]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
     got = queries.join(parts, "list").mapInArrow(look, "a long, n int, docs array<long>, ns array<int>")
-    return got.groupBy("a").applyInArrow(merge, "a long, b long")
+    return got.repartition("a").sortWithinPartitions("a").mapInArrow(merge, "a long, b long")
 
 
-def labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """members with their components and the components' sizes."""
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    return members.select("list", "node", "n").join(parts.join(sizes, "component"), "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return members.select("list", "node", "n").join(labels.join(sizes, "component", "left"), "node").select("list", "node", "n", "component", F.coalesce("size", F.lit(1)).alias("size"))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) of all nodes after links (a, b): components that links join get the smallest one's label."""
+    ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    new = components(ends).toDF("component", "new")
+    return written(labels.join(new, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
 
 
 def top_by_distance(near: DataFrame) -> DataFrame:
@@ -230,29 +302,25 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     known = both.where("bucket is null").select("doc", "node", "n", "bits")
     some = known.where("n > 0 and doc is not null")
     nodes = written(some.groupBy("node").agg(F.min(F.struct("doc", "n", "bits")).alias("x")).select("node", "x.*"), "nodes")
+    labels = nodes.select("node", F.col("node").alias("component"))
 
-    lists = short_lists(rows.where("doc is not null"), lengths, percent, k)
-    part = Window.partitionBy("list", "part")
-    order = [F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("p")) for i in range(PIVOTS)]
-    heads = lists.withColumns({"p": F.min("node").over(part), "q": F.max("node").over(part)} | {f"h{i}": F.min(h).over(part)["p"] for i, h in enumerate(order)}).where("p != q or split")
-    pivots = F.array(*[f"h{i}" for i in range(PIVOTS)])
-    members = written(heads.select("list", "part", "split", "node", "n", pivots.alias("pivots")).dropDuplicates(["list", "part", "node"]), "members")
-    hot = members.where("split").groupBy("list").agg(*[F.min(h)["p"].alias(f"h{i}") for i, h in enumerate(order)]).select("list", F.array(*[f"h{i}" for i in range(PIVOTS)]).alias("tops"))
-    between = members.where("split").select("list", F.explode("pivots").alias("x")).distinct().join(hot, "list").select("x", F.explode("tops").alias("y"))
+    members = written(shared_lists(short_lists(rows.where("doc is not null"), lengths, percent, k)), "members")
+    split = members.where("part >= 0")
+    tops = F.array(*[F.min(F.expr(f"node ^ {o}L")).bitwiseXOR(F.lit(o)) for o in ORDERS[:PIVOTS].tolist()])
+    hot = split.groupBy("list").agg(tops.alias("tops"))
+    between = split.select("list", F.explode("pivots").alias("x")).distinct().join(hot, "list").select("x", F.explode("tops").alias("y"))
     within = members.select(F.col("node").alias("x"), F.explode(F.array_distinct("pivots")).alias("y"))
     pairs = within.unionByName(between).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     near = written(may_link(pairs, nodes, percent), "near")
     either = near.selectExpr("inline(array(struct(a as x, b as y, far), struct(b as x, a as y, far)))")
-    closest = top_by_distance(either).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = written(linked(closest, rows, nodes, percent, k), "links")
-    parts = materialize(components(links))
+    candidates = top_by_distance(either).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    labels = relabelled(labels, written(linked(candidates, rows, nodes, percent, k), "links"))
     for best in (CLOSEST, None):  # the likeliest partners first: their links leave fewer members to look up against all
-        more = written(may_link(partners(written(labelled(members, parts), "labelled"), percent, best), nodes, percent), "more")
+        more = written(may_link(partners(written(labelled(members, labels), "labelled"), percent, best), nodes, percent), "more")
         if more.take(1):
-            links = links.unionByName(written(linked(more, rows, nodes, percent, k), "links"))
-            parts = materialize(components(links))
+            labels = relabelled(labels, written(linked(more, rows, nodes, percent, k), "links"))
     # the smallest key of each component
-    of_node = nodes.select("node", "doc").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_node = nodes.select("node", "doc").join(labels, "node")
     smallest = of_node.groupBy("component").agg(F.min("doc").alias("c"))
     of_set = of_node.select("node", "component").join(smallest, "component").select("node", "c")
     found = known.select("doc", "n", "node").join(of_set, "node", "left")
