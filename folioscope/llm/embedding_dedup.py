@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import materialize, table
-from folioscope.llm.graph import components
+from folioscope.llm.graph import components, local_roots
 
 THRESHOLD, SAMPLE, PARTS, CODES, TURN, BLOCK = 0.9, 20_000, 8, 64, 0.64, 2048
 
@@ -96,20 +96,6 @@ def fit(points: DataFrame, n: int, sample: int = SAMPLE) -> Quantiser:
     return Quantiser(x, int(min(1024, max(8, n // 400), max(1, len(x) // 20))))
 
 
-def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Root of each of n points under the links a[i]-b[i]."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each of vectors: key, n_links, component_id, kept."""
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
@@ -162,7 +148,7 @@ def near_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         alone = ~np.isin(j * lists + home[i], asked)  # j doesn't probe the list of i
         links = (np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j[alone], weights=weight[i[alone]], minlength=len(ids))).astype(np.int64)
         uniq, inverse = np.unique(ids, return_inverse=True)
-        root = uniq[_local_roots(inverse[i], inverse[j], len(uniq))][inverse]
+        root = uniq[local_roots(inverse[i], inverse[j], len(uniq))][inverse]
         out = np.flatnonzero((links > 0) | (root != ids))
         return pa.table({"a": pa.array(ids[out]), "n": pa.array(links[out]), "b": pa.array(root[out])})
 

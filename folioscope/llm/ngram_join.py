@@ -12,8 +12,9 @@ the candidate's sorted set, and is answered there by binary search.
    decides which lists are short.
 2. A second pass sends each node to its n - T + 1 shortest lists. One sort brings each list's nodes together; lists of one node
    are done. Lists that may be longer than LIST_ROWS by these counts are split, and their parts' pivots meet in a second step. Each part has PIVOTS
-   pivots, its first nodes by as many orders; all others are compared with these by bitmap (the number of differing bits is at most the size of
-   the symmetric difference, so no linked pair is lost). The closest pairs of each node are verified exactly. Links give components.
+   pivots, its first nodes by as many orders. Pairs of a node and a pivot that meet on as many lists as linked sets of one size share are
+   compared by bitmap (the number of differing bits is at most the size of the symmetric difference); the closest pairs of each node are verified
+   exactly. Links give components. This step only saves work in the next one, which misses nothing that it leaves out.
 3. Lists whose members are all in one component are done. In the others, each member looks for partners in other, larger
    components (ties by component): its lists are merged by one sort that counts how often each partner occurs, partners with too few
    common short lists to reach T are dropped, the rest is compared by bitmap and verified exactly; first the likeliest of each member, then, with
@@ -309,8 +310,11 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     tops = F.array(*[F.min(F.expr(f"node ^ {o}L")).bitwiseXOR(F.lit(o)) for o in ORDERS[:PIVOTS].tolist()])
     hot = split.groupBy("list").agg(tops.alias("tops"))
     between = split.select("list", F.explode("pivots").alias("x")).distinct().join(hot, "list").select("x", F.explode("tops").alias("y"))
-    within = members.select(F.col("node").alias("x"), F.explode(F.array_distinct("pivots")).alias("y"))
-    pairs = within.unionByName(between).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    within = members.select(F.col("node").alias("x"), "n", F.explode(F.array_distinct("pivots")).alias("y"))
+    sorted_pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    often = F.ceil(2 * percent * F.col("n") / (100 + percent)) - F.ceil(percent * F.col("n") / 100) + 1  # common short lists of linked sets of equal size
+    counted = within.where("x != y").groupBy(*sorted_pair).agg(F.count("*").alias("common"), F.min("n").alias("n")).where(F.col("common") >= often)
+    pairs = counted.select("a", "b").unionByName(between.where("x != y").select(*sorted_pair)).distinct()
     near = written(may_link(pairs, nodes, percent), "near")
     either = near.selectExpr("inline(array(struct(a as x, b as y, far), struct(b as x, a as y, far)))")
     candidates = top_by_distance(either).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

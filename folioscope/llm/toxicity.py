@@ -13,7 +13,8 @@ nearest examples are returned as evidence.
 
 Defined results: a text without terms of the vocabulary, empty and null included, gets the share of toxic labels among
 examples without any, and no evidence. Without labels of both classes all scores are 0. A key with several labels is toxic if
-one says so; null labels and labels of missing documents don't count. Repeated rows each give their row.
+one says so, and its texts count together as one example; null labels and labels of missing documents don't count. Repeated rows each give their row.
+Keys of labels are whole numbers.
 """
 
 from __future__ import annotations
@@ -91,6 +92,7 @@ class Index:
         for t, (d, v) in enumerate(zip(self.docs, self.values, strict=True)):
             np.maximum.at(self.most[t], d // BLOCK, v)
         self.bounds, self.scores, self.empty = np.zeros(0), np.zeros(0), 0.0
+        self.bags = list(bags)
 
     def vector(self, bag: dict[int, int]) -> tuple[list[int], np.ndarray]:
         at = sorted(bag)
@@ -184,26 +186,32 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     odds = f"(ln((a + 0.5) / ({n1} - a + 0.5)) - ln((b + 0.5) / ({n0} - b + 0.5))) / sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / ({n1} - a + 0.5) + 1 / ({n0} - b + 0.5))"
     picked = counted.where("a >= 3").selectExpr("term", f"{odds} as z").where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "term").limit(TERMS).collect()
     vocabulary = [r["term"] for r in picked]
+    place = {r["k"]: i for i, r in enumerate(found)}
     mine = all_bags.join(F.broadcast(docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(vocabulary)], "term string, i int")), "term")
-    by_key: dict[int, dict[int, int]] = {r["k"]: {} for r in found}
-    for r in mine.select("k", "i", "n").collect():
-        by_key[r["k"]][r["i"]] = r["n"]
+    at = mine.groupBy("k", "i").agg(F.sum("n").alias("n")).toArrow()
+    bags_of: list[dict[int, int]] = [{} for _ in found]
+    for k, i, n in zip(*(at[c].to_numpy() for c in ("k", "i", "n")), strict=True):
+        bags_of[place[int(k)]][int(i)] = int(n)
+    del at
     all_bags.unpersist()
     n_docs, df = document_frequency(docs, vocabulary, text)
-    weight = np.array([(math.log((n_docs + 1) / (d + 1)) + 1) * r["z"] for d, r in zip(df, picked, strict=True)])
-    index = Index(vocabulary, weight, [r["k"] for r in found], [r["y"] for r in found], [by_key[r["k"]] for r in found], (size[0] / n0, size[1] / n1))
-    votes = docs.sparkSession.createDataFrame([(i, [*by_key[r["k"]].items()]) for i, r in enumerate(found)], "i int, bag array<struct<t:int,n:long>>")
+    weight = np.array([(math.log((n_docs + 1) / (d + 1)) + 1) * abs(r["z"]) for d, r in zip(df, picked, strict=True)])
+    index = Index(vocabulary, weight, [r["k"] for r in found], [r["y"] for r in found], bags_of, (size[0] / n0, size[1] / n1))
+    bags_of.clear()
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("i").to_pylist()
-            got = [shared.value.votes(*shared.value.nearest({x["t"]: x["n"] for x in bag}, i)) for i, bag in zip(at, b.column("bag").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int32()), "v": pa.array(got, pa.float64())})
+            own = b.column("i").to_pylist()
+            got = [shared.value.votes(*shared.value.nearest(shared.value.bags[i], i)) for i in own]
+            yield pa.RecordBatch.from_pydict({"i": pa.array(own, pa.int32()), "v": pa.array(got, pa.float64())})
 
     out = np.full(len(found), -1.0)
-    for r in votes.repartition(24).mapInArrow(others, "i int, v double").collect():
-        out[r["i"]] = r["v"]
+    numbers = docs.sparkSession.range(0, len(found), 1, 24).select(F.col("id").cast("int").alias("i"))
+    voted = numbers.mapInArrow(others, "i int, v double").toArrow()
+    out[voted["i"].to_numpy()] = voted["v"].to_numpy()
+    shared.destroy()
+    index.bags = []  # needed for these votes only
     index.calibrate(out)
     return index
 
