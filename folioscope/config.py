@@ -42,6 +42,13 @@ STRIP_PATTERNS = [
     r"\ball rights reserved\b",
 ]
 
+#: Lower-case wordings of which every text that a pattern above matches has at least one: the patterns run on such texts only.
+STRIP_WORDINGS = ["terms and conditions of use", "all use subject to http", "all rights reserved"]
+QUALITY_WORDINGS = ["your use of the jstor archive", *STRIP_WORDINGS]
+
+# DOI prefixes with a family of their own.
+DOI_PREFIXES = ["10.1257", "10.7916", "10.1086", "10.3982", "10.2307", "10.1111"]
+
 # Which source a field is taken from first.
 SOURCE_PRIORITY = {
     "bibliographic": ["crossref", "openalex"],
@@ -51,6 +58,7 @@ SOURCE_PRIORITY = {
     "keywords": ["openalex", "crossref"],
 }
 
+# Labels, scopes outside research, thresholds of the expansion gate, the tier of formal abstracts.
 CATEGORIES = ["causal", "predictive", "other", "insufficient_text"]
 CONFIDENCE = ["high", "medium", "low"]
 EXCLUDED_SCOPES = ["review_erratum_paratext", "comment_reply", "lecture_address"]

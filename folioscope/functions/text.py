@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioscope.config import QUALITY_PATTERNS, STRIP_PATTERNS
+from folioscope.config import DOI_PREFIXES, QUALITY_PATTERNS, QUALITY_WORDINGS, STRIP_PATTERNS, STRIP_WORDINGS
 
-#: White space as Unicode has it, no-break spaces included.
-SPACE = r"(?U)\s+"
+#: White space as Unicode has it, no-break spaces included; UNEVEN: runs of it other than one space.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNEVEN = rf"[{WHITE}&&[^ ]][{WHITE}]*| [{WHITE}]+"
 
 
 @F.pandas_udf(StringType())
@@ -30,7 +33,7 @@ def text(c: Column | str) -> Column:
 
 
 def collapse(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(c), SPACE, " "))
+    return F.trim(F.regexp_replace(col(c), UNEVEN, " "))
 
 
 def blank(c: Column | str) -> Column:
@@ -47,32 +50,60 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
+def _bare(x: Column) -> Column:
+    return F.regexp_replace(x, "<[^>]+>", " ")
+
+
+def let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """make(x) with x evaluated once, however often make names it: expressions that name their input several times would double it at each step."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
+
+
 def clean(c: Column | str, entities: bool = True) -> Column:
     """Markup to spaces, then entities decoded, then white space collapsed: an escaped tag stays as text. A list gives its first
     entry that isn't empty before it comes here (see first_present). entities=False for sources that have none."""
-    bare = F.regexp_replace(text(c), "<[^>]+>", " ")
+    bare = _bare(text(c))
     return collapse(unescape(bare) if entities else bare)
 
 
+def with_clean(df: DataFrame, columns: dict[str, Column | str], entities: bool = True) -> DataFrame:
+    """df with clean() of `columns`, by new name. Each step is a column of its own, so that no step runs twice."""
+    df = df.withColumns({n: text(c) for n, c in columns.items()}).withColumns({n: _bare(F.col(n)) for n in columns})
+    if entities:
+        df = df.withColumns({n: unescape(F.col(n)) for n in columns})
+    return df.withColumns({n: collapse(F.col(n)) for n in columns})
+
+
+def _without_notices(c: Column) -> Column:
+    """Clean text without archive terms, rights notices and lone bars; only texts with one of the wordings go through all patterns."""
+
+    def strip(x: Column) -> Column:
+        some = reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(w)) for w in STRIP_WORDINGS])
+        return F.when(some, reduce(lambda y, p: F.regexp_replace(y, f"(?i){p}", " "), STRIP_PATTERNS, x)).otherwise(x)
+
+    return F.regexp_replace(F.regexp_replace(let(c, strip), " +([,.;:])", "$1"), r"(^| )[_|]+( |$)", " ")
+
+
 def strip_boilerplate(c: Column | str, entities: bool = True) -> Column:
     """Clean text without archive terms and rights notices."""
-    out = clean(c, entities)
-    for pattern in STRIP_PATTERNS:
-        out = F.regexp_replace(out, f"(?i){pattern}", " ")
-    out = F.regexp_replace(out, r"(?U)\s+([,.;:])", "$1")
-    out = F.regexp_replace(out, r"(?U)(^|\s)[_|]+(\s|$)", " ")
-    return clean(out, entities)
+    return clean(_without_notices(clean(c, entities)), entities)
+
+
+def with_stripped(df: DataFrame, columns: dict[str, str], entities: bool = True) -> DataFrame:
+    """df with strip_boilerplate() of columns that are clean already, by new name, step by step."""
+    return with_clean(df.withColumns({n: _without_notices(F.col(c)) for n, c in columns.items()}), {n: n for n in columns}, entities)
 
 
-def quality_flags(*fields: Column | str, entities: bool = True) -> Column:
-    """Names of the pattern groups that any field matches, in order of first appearance, joined by `|`."""
-    found = []
-    for field in fields:
-        low = F.lower(clean(field, entities))
-        for flag, patterns in QUALITY_PATTERNS.items():
-            hit = low.rlike("|".join(f"(?:{p})" for p in patterns))
-            found.append(F.when(hit, F.lit(flag)))
-    return F.array_join(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), "|")
+def quality_flags(*fields: Column | str, entities: bool = True, cleaned: bool = False) -> Column:
+    """Names of the pattern groups that any field matches, in order of first appearance, joined by `|`. cleaned: fields are clean already."""
+
+    def flags(low: Column) -> Column:
+        some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in QUALITY_WORDINGS])
+        hits = F.array(*[F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(flag)) for flag, patterns in QUALITY_PATTERNS.items()])
+        return F.when(some, hits).otherwise(F.array().cast("array<string>"))
+
+    found = F.concat(*[let(F.lower(col(f) if cleaned else clean(f, entities)), flags) for f in fields])
+    return F.array_join(F.array_distinct(F.filter(found, lambda x: x.isNotNull())), "|")
 
 
 def matching(c: Column | str) -> Column:
@@ -82,8 +113,12 @@ def matching(c: Column | str) -> Column:
 
 def classification_text(fields: list[str], entities: bool = True) -> Column:
     """Fields without boilerplate, made ready for matching, joined by one space where they aren't empty."""
-    pieces = F.array(*[matching(strip_boilerplate(f, entities)) for f in fields])
-    return F.array_join(F.filter(pieces, lambda x: x != ""), " ")
+    return join_pieces([matching(strip_boilerplate(f, entities)) for f in fields])
+
+
+def join_pieces(pieces: list[Column | str]) -> Column:
+    """What isn't empty, joined by one space."""
+    return F.array_join(F.filter(F.array(*pieces), lambda x: x != ""), " ")
 
 
 def doi(c: Column | str) -> Column:
@@ -179,11 +214,13 @@ def score_bin(c: Column | str) -> Column:
 
 
 def doi_prefix_family(c: Column | str, journals: tuple[str, ...] = ("10.1093",)) -> Column:
-    """Registrant of a DOI; with the journal's code for registrants that hold many journals; `no_doi` without one."""
+    """A known beginning, or else the registrant of a DOI, with the journal's code (up to the first dot) for registrants that hold many
+    journals; empty without a DOI."""
     d = doi(c)
-    parts = F.split(d, "/", 2)
-    code = F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "^([a-z]+)", 1)
-    return F.when(d == "", "no_doi").when(parts[0].isin(*journals) & (code != ""), F.concat_ws("/", parts[0], code)).otherwise(parts[0])
+    parts = F.split(d, "/")
+    code = F.trim(F.substring_index(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ".", 1))
+    known = reduce(lambda out, p: F.when(d.startswith(p), p).otherwise(out), reversed(DOI_PREFIXES), F.when(parts[0].isin(*journals) & (code != ""), F.concat_ws("/", parts[0], code)).otherwise(parts[0]))
+    return F.when(d == "", "").otherwise(known)
 
 
 def _percent(c: Column, keep: str) -> Column:

@@ -9,47 +9,54 @@ from folioscope.functions import text as T
 from folioscope.operators.rank import first_by, top_by
 from folioscope.operators.shares import flag
 
-STATUSES = ["found", "not_found", "error", "rate_limited", "skipped", "not_cached"]
+# Statuses of attempts; those that count as failed.
+STATUSES = ["found", "error", "not_found", "skipped", "not_cached", "rate_limited"]
+FAILED = STATUSES[1:]
 
 
-def top_values(df: DataFrame, keys: list[str], value: str, n: int, name: str, max_chars: int = 80) -> DataFrame:
-    """The n most frequent values of each key as `value (count)`, joined by `; `: counted before anything is gathered."""
-    counted = df.where(T.present(value)).groupBy(*keys, F.substring(T.collapse(value), 1, max_chars).alias("__v")).agg(F.count("*").alias("__c"))
+def top_values(df: DataFrame, keys: list[str], value: str, n: int, name: str, max_chars: int = 140) -> DataFrame:
+    """The n most frequent values of each key as `value (count)`, joined by `; `: whole values are counted before anything is gathered, long ones
+    cut for display. Ties by value."""
+    counted = df.where(T.present(value)).groupBy(*keys, T.collapse(T.text(value)).alias("__v")).agg(F.count("*").alias("__c"))
     best = top_by(counted, keys, [F.desc("__c"), F.asc("__v")], n)
-    listed = F.array_sort(F.collect_list(F.struct("__n", F.concat("__v", F.lit(" ("), "__c", F.lit(")")).alias("s"))))  # n entries a key
+    shown = F.when(F.length("__v") > max_chars, F.concat(F.rtrim(F.substring("__v", 1, max_chars - 3)), F.lit("..."))).otherwise(F.col("__v"))
+    listed = F.array_sort(F.collect_list(F.struct("__n", F.concat(shown, F.lit(" ("), "__c", F.lit(")")).alias("s"))))  # n entries a key
     return best.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["s"]), "; ").alias(name))
 
 
+def _prepared(attempts: DataFrame) -> DataFrame:
+    return attempts.withColumn("doi_prefix", T.doi_prefix_family("doi")).where("doi_prefix <> ''")
+
+
+def _articles(found: bool) -> Column:
+    named = F.when(T.present("article_id"), F.col("article_id"))
+    return F.count_distinct(F.when(F.col("attempt_status") == "found", named) if found else named)
+
+
 def by_prefix_source(attempts: DataFrame) -> DataFrame:
-    """DOI prefix by source: attempts, articles, articles found, counts by status, share found, the two most frequent errors."""
+    """DOI prefix by source: attempts, articles, articles found, attempts by status, the two most frequent errors."""
     keys = ["doi_prefix", "attempt_source"]
-    work = attempts.withColumn("doi_prefix", T.doi_prefix_family("doi"))
-    found = F.col("attempt_status") == "found"
-    counts = work.groupBy(*keys).agg(F.count("*").alias("attempt_rows"), F.count_distinct("article_id").alias("articles"), F.count_distinct(F.when(found, F.col("article_id"))).alias("articles_found"), *[F.sum(flag(F.col("attempt_status") == s)).alias(f"{s}_rows") for s in STATUSES])
-    out = counts.withColumn("found_share", F.round(F.col("articles_found") / F.col("articles"), 6))
-    return out.join(top_values(work, keys, "attempt_error", 2, "top_errors"), keys, "left").na.fill("", ["top_errors"])
+    work = _prepared(attempts)
+    status = F.coalesce("attempt_status", F.lit(""))
+    counts = work.groupBy(*keys).agg(F.count("*").alias("attempt_rows"), _articles(False).alias("attempted_articles"), _articles(True).alias("found_articles"), *[F.sum(flag(status == s)).alias(f"{s}_attempts") for s in STATUSES], F.sum(flag(~status.isin(*STATUSES))).alias("other_attempts"))
+    return counts.join(top_values(work.where("attempt_status = 'error'"), keys, "attempt_error", 2, "top_errors", 80), keys, "left").na.fill("", ["top_errors"])
 
 
 def by_prefix(attempts: DataFrame) -> DataFrame:
-    work = attempts.withColumn("doi_prefix", T.doi_prefix_family("doi"))
-    found = F.col("attempt_status") == "found"
-    return work.groupBy("doi_prefix").agg(F.count("*").alias("attempt_rows"), F.count_distinct("article_id").alias("articles"), F.count_distinct(F.when(found, F.col("article_id"))).alias("articles_found"), F.count_distinct("attempt_source").alias("sources"))
+    """What prior attempts gave for each DOI prefix."""
+    failed = [F.sum(flag(F.col("attempt_status") == s)).alias(f"prior_{s}_attempts") for s in FAILED]
+    return _prepared(attempts).groupBy("doi_prefix").agg(_articles(False).alias("prior_attempted_articles"), _articles(True).alias("prior_found_articles"), *failed)
 
 
-def best_and_worst_source(summary: DataFrame) -> DataFrame:
-    """Of each prefix the source with the largest and with the smallest share found; ties to more articles, then by name."""
-    best = first_by(summary, ["doi_prefix"], [F.desc("found_share"), F.desc("articles"), F.asc("attempt_source")]).select("doi_prefix", F.col("attempt_source").alias("best_source"), F.col("found_share").alias("best_share"))
-    worst = first_by(summary, ["doi_prefix"], [F.asc("found_share"), F.desc("articles"), F.asc("attempt_source")]).select("doi_prefix", F.col("attempt_source").alias("worst_source"), F.col("found_share").alias("worst_share"))
+def source_context(summary: DataFrame) -> DataFrame:
+    """Of each prefix the source that found most articles (then most attempts found, most attempts, by name) and the one that failed most often."""
+    failed = sum((F.col(f"{s}_attempts") for s in FAILED), F.lit(0))
+    work = summary.withColumn("__failed", failed)
+    best = first_by(work, ["doi_prefix"], [F.desc("found_articles"), F.desc("found_attempts"), F.desc("attempt_rows"), F.asc("attempt_source")]).select("doi_prefix", F.col("attempt_source").alias("best_prior_source"), F.col("found_articles").alias("best_prior_source_found_articles"))
+    worst = first_by(work, ["doi_prefix"], [F.desc("__failed"), F.desc("attempt_rows"), F.asc("attempt_source")]).select("doi_prefix", F.col("attempt_source").alias("top_failure_source"), F.col("__failed").alias("top_failure_attempts"))
     return best.join(worst, "doi_prefix")
 
 
-def prefix_decision(rollup: DataFrame, least_articles: int = 10, good_share: float = 0.2) -> DataFrame:
-    """What to do with a prefix: scale up, investigate, try first, or stop."""
-    share = F.round(F.col("articles_found") / F.col("articles"), 6)
-    decision = F.when(F.col("articles") < least_articles, "try_more_rows_first").when(share >= good_share, "scale_up").when(F.col("articles_found") > 0, "investigate_failures").otherwise("stop_automated_attempts")
-    return rollup.withColumn("found_share", share).withColumn("decision", decision)
-
-
 def sample_attempts(attempts: DataFrame, per_group: int, order: list[Column]) -> DataFrame:
     """Equal attempts once, then the first rows of each source and status."""
     keys = ["article_id", "attempt_source", "attempt_status", "attempt_error", "attempt_url"]
@@ -83,13 +90,14 @@ def impact(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def impact_summary(rows: DataFrame, groupings: list[str]) -> DataFrame:
     """Totals overall and by each grouping column, one pass by grouping sets; medians are cut to whole numbers."""
-    sets = ", ".join(["()", *[f"({g})" for g in groupings]])
-    rows.createOrReplaceTempView("__impact")
-    name = " ".join(f"WHEN grouping({g}) = 0 THEN '{g}'" for g in groupings)
-    value = ", ".join(f"CASE WHEN grouping({g}) = 0 THEN {g} END" for g in groupings)
-    return rows.sparkSession.sql(f"""SELECT CASE {name} ELSE 'overall' END AS grouping, coalesce({value}, 'all') AS group_value, count(*) AS rows,
-      count_if(before_category = 'insufficient_text') AS before_insufficient, count_if(after_category = 'insufficient_text') AS after_insufficient,
-      count_if(recovered) AS recovered, count_if(newly_insufficient) AS newly_insufficient, count_if(recovered) - count_if(newly_insufficient) AS net_recovered,
-      cast(percentile(after_chars, 0.5) AS int) AS median_chars FROM __impact GROUP BY GROUPING SETS ({sets})""")
-
-
+    columns = [F.col(g) for g in groupings]
+    sets = rows.groupingSets([[], *[[c] for c in columns]], *columns)
+    name, value = F.lit("overall"), F.lit("all")
+    for g in reversed(groupings):
+        name, value = F.when(F.grouping(g) == 0, g).otherwise(name), F.when(F.grouping(g) == 0, F.col(g)).otherwise(value)
+    count = lambda c: F.count_if(c)
+    short = {w: F.col(f"{w}_category") == "insufficient_text" for w in ("before", "after")}
+    return sets.agg(
+        name.alias("grouping"), value.alias("group_value"), F.count("*").alias("rows"), *[count(c).alias(f"{w}_insufficient") for w, c in short.items()], count(F.col("recovered")).alias("recovered"), count(F.col("newly_insufficient")).alias("newly_insufficient"),
+        (count(F.col("recovered")) - count(F.col("newly_insufficient"))).alias("net_recovered"), F.percentile("after_chars", F.lit(0.5)).cast("int").alias("median_chars"),
+    ).drop(*groupings)

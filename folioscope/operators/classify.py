@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.config import CATEGORIES, CLASSIFICATION_RULES, CONFIDENCE
-from folioscope.functions.text import blank, classification_text, col, payload_key, present, quality_flags, text
+from folioscope.functions.text import blank, classification_text, col, join_pieces, matching, payload_key, present, quality_flags, text, with_clean, with_stripped
 
 
 def phrase_regex(phrase: str) -> str:
     """The phrase between characters that are no letters or digits; a space matches any white space, a hyphen also a space."""
-    words = re.split(r"\s+", phrase.lower().strip())
-    body = r"\s+".join(re.escape(w).replace(r"\-", r"[-\s]") for w in words)
-    return f"(?<![a-z0-9]){body}(?![a-z0-9])"
+    first, *words = re.split(r"(?=[-\s])", re.sub(r"\s+", " ", phrase.lower().strip()))  # what comes before the first space or hyphen is looked for as it is
+    body = "".join((r"\s+" if w[0] == " " else r"[-\s]") + re.escape(w[1:]) for w in words)
+    return f"{re.escape(first)}(?<![a-z0-9]{re.escape(first)}){body}(?![a-z0-9])"
 
 
 def matched(c: Column, phrases: list[str]) -> Column:
@@ -58,12 +58,14 @@ def classify(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool =
     """Adds the classification columns. The matching text is made once and reused by all phrases."""
     fields = [f for f in rules["text_fields"] if f in df.columns]
     keep = df.columns
-    work = with_scores(df.withColumn("__text", classification_text(fields, entities)).withColumn("__flags", quality_flags(*fields, entities=entities)), "__text", rules)
+    clean, bare = ({f: f"__{kind}_{i}" for i, f in enumerate(fields)} for kind in ("clean", "bare"))
+    work = with_clean(df, {n: f for f, n in clean.items()}, entities).withColumn("__flags", quality_flags(*clean.values(), cleaned=True))
+    work = with_stripped(work, {bare[f]: clean[f] for f in fields}, entities).withColumns({n: matching(n) for n in bare.values()})
+    work = with_scores(work.withColumn("__text", join_pieces(list(bare.values()))), "__text", rules)
     short = F.length("__text") < rules["minimum_chars"]
     category, confidence, reason = _decision(rules, "Matched", "medium", "No causal or predictive rule terms matched in usable title/abstract text.")
     too_short = F.when(F.col("__flags") != "", "Title and abstract text are too short after removing source boilerplate.").otherwise("Title and abstract text are too short for reliable rule-based classification.")
-    return work.select(
-        *keep,
+    made = F.struct(
         F.when(short, "insufficient_text").otherwise(category).alias("causal_predictive_category"),
         F.when(short, "low").otherwise(confidence).alias("classification_confidence"),
         F.when(short, too_short).otherwise(reason).alias("classification_reason"),
@@ -76,6 +78,7 @@ def classify(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool =
         (~short).alias("has_usable_classification_text"),
         F.col("__flags").alias("classification_text_quality_flags"),
     )
+    return work.select(*keep, F.inline(F.array(made)))  # one row each; filters stay above, so that Spark doesn't repeat all steps in them
 
 
 def resolved(df: DataFrame, kind: str = "category") -> Column:

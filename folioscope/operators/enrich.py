@@ -16,7 +16,8 @@ from folioscope.operators.rank import first_by
 STATUS_RANK = {"enriched": 60, "pdf_candidate": 50, "partial_short_text": 40, "not_found": 30, "rate_limited": 20, "error": 20, "skipped_nonresearch_scope": 10}
 ABSTRACT_SOURCES = ("crossref", "econpapers", "openalex", "publisher_metadata", "semantic_scholar")
 TIER_FORMAL, TIER_FIRST_PAGES = "tier_a_formal_abstract", "tier_c_first_page_abstract_or_intro"
-ACCEPTED_TIERS = ("tier_a_formal_abstract", "tier_b_verified_summary", "tier_c_first_page_abstract_or_intro")
+ACCEPTED_TIERS = ("tier_a_formal_abstract", "tier_b_source_description", "tier_c_first_page_abstract_or_intro")
+REJECTED_TIERS = ("tier_d_title_only_triage", "tier_e_blocked")
 NONRESEARCH = ("review_erratum_paratext", "comment_reply", "lecture_address")
 
 
@@ -191,8 +192,8 @@ def merge_document_text(enrichment: DataFrame, documents: DataFrame, minimum_cha
 
 
 def tier_error(c: Column | str) -> Column:
-    t = F.lower(F.trim(T.text(c)))
-    return F.when(t == "", "missing_evidence_tier").when(t == "not_importable", "unimportable_evidence_tier").when(~t.isin(*ACCEPTED_TIERS), "invalid_evidence_tier").otherwise("")
+    t = F.trim(T.text(c))
+    return F.when(t == "", "missing_evidence_tier").when(t.isin(*REJECTED_TIERS), "unimportable_evidence_tier").when(~t.isin(*ACCEPTED_TIERS), "invalid_evidence_tier").otherwise("")
 
 
 def source_error(source: Column | str, url: Column | str, record: Column | str, tier: Column | str) -> Column:
@@ -200,8 +201,10 @@ def source_error(source: Column | str, url: Column | str, record: Column | str,
     return F.when(T.blank(source), "missing_source").when(T.blank(url) & T.blank(record), "missing_source_locator").otherwise(tier_error(tier))
 
 
-def completion(abstract: Column | str, source: Column | str, url: Column | str, record: Column | str, tier: Column | str) -> Column:
-    return F.when(T.blank(abstract), "empty").when(source_error(source, url, record, tier) == "", "ready").otherwise("needs_source_metadata")
+def completion(abstract: Column | str, source: Column | str, url: Column | str, record: Column | str) -> Column:
+    """Whether a row still needs its text, or only where the text is from."""
+    named = T.present(source) & (T.present(url) | T.present(record))
+    return F.when(T.blank(abstract), "needs_abstract_recovery").when(named, "ready_to_import").otherwise("needs_source_metadata")
 
 
 def filter_empty(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -210,12 +213,12 @@ def filter_empty(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFram
     return rows.where(has), rows.agg(F.count_if(~has).alias("skipped"))
 
 
-def match_backfill(backfill: DataFrame, articles: DataFrame, minimum: float = 0.9, require_source: bool = False, entities: bool = True) -> DataFrame:
+def match_backfill(backfill: DataFrame, articles: DataFrame, minimum: float = 0.9, require_source: bool = False, entities: bool = True, within: list[str] | None = None) -> DataFrame:
     """One row for each backfill row (row_number, article_id, doi, title, publication_year, abstract, source, ...): matched_id, matched_by and error.
 
     By article id if one is given, else by DOI (must be unique), else by title within the year. The title block is sound: a similarity r
     needs lengths within r / (2 - r) of each other. Rows without a year are compared with all years, as a side of their own. In order of
-    row_number the first row of an article whose title fits is taken; later ones are duplicates."""
+    row_number the first row of an article whose title fits is taken; later ones are duplicates (`within`: among rows of the same keys)."""
     ratio = minimum / (2 - minimum)
     b = backfill.withColumns({"__id": _of(backfill, "article_id"), "__doi": T.doi("doi"), "__t": T.title_key("title", entities), "__y": _of(backfill, "publication_year")})
     a = articles.select(F.col("article_id").alias("__aid"), T.doi("doi").alias("__adoi"), T.title_key("title", entities).alias("__at"), T.collapse(T.text("publication_year")).alias("__ay"))
@@ -239,6 +242,6 @@ def match_backfill(backfill: DataFrame, articles: DataFrame, minimum: float = 0.
     early = F.when(T.blank("abstract"), "missing_abstract").when(needs != "", needs).when(F.col("matched_id").isNull(), "unmatched_article").otherwise("")
     fits = (F.col("__t") == "") | (F.coalesce(_ratio("__t", F.coalesce("__mt", F.lit(""))), F.lit(0.0)) >= minimum)
     work = work.withColumn("__early", early).withColumn("__fits", (F.col("__early") == "") & fits)
-    taken = F.min(F.when(F.col("__fits"), F.col("row_number"))).over(Window.partitionBy("matched_id", F.col("__early") == ""))
+    taken = F.min(F.when(F.col("__fits"), F.col("row_number"))).over(Window.partitionBy("matched_id", F.col("__early") == "", *(within or [])))
     error = F.when(F.col("__early") != "", F.col("__early")).when(F.col("row_number") == taken, "").when(taken < F.col("row_number"), "duplicate_backfill_article_id").otherwise("title_mismatch")
     return work.select("row_number", "matched_id", "matched_by", error.alias("error"))

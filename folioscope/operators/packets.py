@@ -30,16 +30,25 @@ def profile(packet: DataFrame, chars: str = "classification_text_chars") -> Data
 
 
 def cue_profile(causal: Column, predictive: Column) -> Column:
-    return F.when((causal > 0) & (predictive > 0), "mixed_cues").when(causal > 0, "causal_cues").when(predictive > 0, "predictive_cues").otherwise("no_cues")
+    return F.when((causal > 0) & (predictive > 0), "causal_and_predictive_cues").when(causal > 0, "causal_cues").when(predictive > 0, "predictive_cues").otherwise("no_keyword_cues")
+
+
+def text_status(chars: Column, abstract_chars: Column, minimum: int) -> Column:
+    return F.when(abstract_chars == 0, "no_abstract").when(chars < minimum, "short_text").otherwise("usable_text")
+
+
+def review_difficulty(status: Column, cues: Column) -> Column:
+    return F.when((status == "no_abstract") | (cues == "causal_and_predictive_cues"), "high").when(status == "short_text", "medium").otherwise("routine")
 
 
 def review_guide(packet: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool = True) -> DataFrame:
-    """Each packet row's text status, cues and difficulty."""
+    """Each packet row's characters, text status, cues and difficulty."""
     work = with_scores(packet.withColumn("__t", T.classification_text([f for f in rules["text_fields"] if f in packet.columns], entities)), "__t", rules)
-    status = F.when(T.blank("abstract"), "title_only").when(F.length("__t") < rules["minimum_chars"], "short_text").otherwise("full_text")
+    size, own = F.length("__t"), F.length(F.trim(T.text("abstract")))
+    status = text_status(size, own, rules["minimum_chars"])
     cues = cue_profile(F.col("__causal_score"), F.col("__predictive_score"))
-    difficulty = F.when((status != "full_text") | (cues == "mixed_cues"), "hard").when(cues == "no_cues", "medium").otherwise("easy")
-    return work.select(*packet.columns, status.alias("text_status"), cues.alias("cue_profile"), difficulty.alias("review_difficulty"))
+    terms = [F.array_join(f"__{f}_terms", "|").alias(f"{f}_cue_terms") for f in ("causal", "predictive")]
+    return work.select(*packet.columns, own.alias("abstract_chars"), size.alias("guide_text_chars"), status.alias("text_status"), cues.alias("cue_profile"), review_difficulty(status, cues).alias("review_difficulty"), *terms)
 
 
 def guide_counts(guide: DataFrame) -> DataFrame:

@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.checkpoints import materialized
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds 1..n by `order`, which should end in a unique column.
 
-    Rows are range-partitioned by the order, so partitions follow each other; each row's place within its partition is added
-    to the number of rows in the partitions before. Of these one count for each partition comes to the driver."""
-    ordered = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ordered = ordered.persist()
-    try:
-        counts = sorted((r["__part"], r["count"]) for r in ordered.groupBy("__part").count().collect())
-    finally:
-        ordered.unpersist()
-    before, total = {}, 0
-    for part, n in counts:
-        before[part], total = total, total + n
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long")
-    offset = F.coalesce(F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__part")], F.lit(0)) if before else F.lit(0)
-    return ordered.withColumn(name, within + offset).drop("__part")
+    Rows are range-partitioned and sorted by the order, so partitions follow each other, and written once with their place within their partition;
+    to that the number of rows in the partitions before is added, from a table of one row for each partition."""
+    place = F.monotonically_increasing_id()  # the partition above 33 bits, the place within it below
+    placed = materialized(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    ranked = placed.withColumn("__part", part).join(F.broadcast(before), "__part")  # as many rows as partitions
+    return ranked.withColumn(name, F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1).drop("__part", "__at", "__before")
+
+
+def padded_id(prefix: str, number: Column | str, width: int) -> Column:
+    """The number after a prefix, padded with zeros to at least `width` digits."""
+    at = (F.col(number) if isinstance(number, str) else number).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(at) >= width, at).otherwise(F.lpad(at, width, "0")))
 
 
 def batch_id(rank: Column | str, size: int = 100, prefix: str = "R") -> Column:
     """R001 for the first `size` ranks, and so on."""
     at = F.col(rank) if isinstance(rank, str) else rank
-    return F.concat(F.lit(prefix), F.lpad(((at - 1) / size).cast("long") + F.lit(1).cast("long"), 3, "0")) if size else F.lit("")
+    return padded_id(prefix, ((at - 1) / size).cast("long") + F.lit(1).cast("long"), 3) if size else F.lit("")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

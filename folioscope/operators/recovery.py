@@ -10,7 +10,7 @@ from folioscope.operators.classify import resolved
 from folioscope.operators.rank import batch_id, global_rank, top_by
 from folioscope.operators.shares import flag
 
-# Journals that count more.
+# Journals that count more; in recovery_score the points, reasons and actions.
 PRIORITY_JOURNALS, SECONDARY_JOURNALS = ("aer", "ecta", "jpe"), ("qje", "restud")
 
 
@@ -79,12 +79,18 @@ def recovery_queue(df: DataFrame, triage: DataFrame | None = None, batch_size: i
 
 
 def target_level(rows: Column, share: Column) -> Column:
-    return F.when((rows >= 100) & (share >= 0.4), "critical").when((rows >= 50) & (share >= 0.25), "high").when(rows >= 25, "moderate").otherwise("watch")
+    """Rows or share of rows with too little text from which a cell is of a level."""
+    return F.when((rows >= 250) | (share >= 0.45), "critical").when((rows >= 100) | (share >= 0.25), "high").when((rows >= 50) | (share >= 0.15), "medium").otherwise("low")
+
+
+def target_score(rows: Column, share: Column, ready: Column, partial: Column) -> Column:
+    """A point a row and a per cent, five for a ready row, one for a partial one, 50 of each at most."""
+    return (rows + F.bround(share * 100) + F.least(ready * 5, F.lit(50)) + F.least(partial, F.lit(50))).cast("int")
 
 
 def recoveries_needed(short: Column, rows: Column, share: float) -> Column:
     """How many of the rows must be recovered for at most this share to be left."""
-    return F.greatest(F.lit(0), F.ceil(short - share * rows)).cast("long")
+    return F.when(rows > 0, F.greatest(F.lit(0), short - F.floor(F.lit(share) * rows))).otherwise(0).cast("long")
 
 
 def projected_share(short: Column, rows: Column, recovered: Column) -> Column:
@@ -92,25 +98,26 @@ def projected_share(short: Column, rows: Column, recovered: Column) -> Column:
 
 
 def coverage_ratio(available: Column, needed: Column) -> Column:
-    return F.when(needed > 0, F.round(available / needed, 6)).otherwise(F.lit(1.0))
+    return F.when(needed > 0, F.round(F.least(available / needed, F.lit(1.0)), 4)).otherwise(F.lit(1.0))
 
 
-def cell_targets(profile: DataFrame, queue: DataFrame, ready: DataFrame, least: int = 25, top: int = 20) -> DataFrame:
-    """The cells where recoveries matter most: level, score, recoveries to a share of 20 % and 10 %, and what is at hand."""
+def cell_targets(profile: DataFrame, queue: DataFrame, ready: DataFrame, least: int = 25, top: int = 20, share: float = 0.2, stretch: float = 0.1) -> DataFrame:
+    """The cells where recoveries matter most: level, score, recoveries to a target and a stretch share, and what is at hand. ready: rows of the
+    queue that can be worked on, with review_rank."""
     cell = ["journal_short", "decade"]
-    queued = queue.groupBy(*cell).agg(F.count("*").alias("queue_rows"), F.min("recovery_rank").alias("first_queue_rank"), F.sum(flag(F.col("text_enrichment_status") == "partial_short_text")).alias("partial_rows"))
-    at_hand = ready.groupBy(*cell).agg(F.count("*").alias("ready_rows"))
-    work = profile.where(F.col("insufficient_rows") >= least).join(queued, cell, "left").join(at_hand, cell, "left").na.fill(0, ["queue_rows", "partial_rows", "ready_rows"])
-    short, rows = F.col("insufficient_rows"), F.col("rows")
+    queued = queue.where(T.present("article_id")).groupBy(*cell).agg(F.count("*").alias("queue_rows"), F.min("recovery_rank").alias("first_recovery_rank"))
+    at_hand = ready.where(T.present("article_id")).groupBy(*cell).agg(F.count("*").alias("ready_rows"), F.min("review_rank").alias("first_ready_review_rank"))
+    work = profile.where(F.col("insufficient_rows") >= least).join(queued, cell, "left").join(at_hand, cell, "left").na.fill(0, ["queue_rows", "ready_rows"])
+    short, rows, ready_rows = F.col("insufficient_rows"), F.col("rows"), F.col("ready_rows")
+    need = recoveries_needed(short, rows, share)
     out = work.select(
-        *cell, "rows", "insufficient_rows", "insufficient_share", "queue_rows", "first_queue_rank", "partial_rows", "ready_rows",
-        target_level(short, F.col("insufficient_share")).alias("target_level"),
-        F.round(short * F.col("insufficient_share") + 0.5 * F.col("ready_rows") + 0.25 * F.col("partial_rows"), 6).alias("target_score"),
-        recoveries_needed(short, rows, 0.2).alias("recoveries_to_20pct"), recoveries_needed(short, rows, 0.1).alias("recoveries_to_10pct"),
-        projected_share(short, rows, F.col("ready_rows")).alias("projected_share"),
-        coverage_ratio(F.col("ready_rows"), recoveries_needed(short, rows, 0.2)).alias("ready_coverage"),
+        *cell, F.col("rows").alias("cell_rows"), "insufficient_rows", "insufficient_share", target_level(short, F.col("insufficient_share")).alias("target_level"),
+        target_score(short, F.col("insufficient_share"), ready_rows, F.col("partial_short_text_rows")).alias("target_score"),
+        need.alias("recoveries_to_target_share"), recoveries_needed(short, rows, stretch).alias("recoveries_to_stretch_share"), projected_share(short, rows, ready_rows).alias("projected_share_after_ready"),
+        coverage_ratio(ready_rows, need).alias("ready_target_coverage"), coverage_ratio(F.col("queue_rows"), need).alias("queue_target_coverage"),
+        "queue_rows", "ready_rows", "partial_short_text_rows", "missing_abstract_rows", F.col("has_oa_pdf_rows").alias("oa_pdf_rows"), "first_recovery_rank", "first_ready_review_rank",
     )
-    order = [F.desc("target_score"), F.desc("insufficient_rows"), F.asc("journal_short"), F.asc("decade")]
+    order = [F.desc("target_score"), F.desc("insufficient_rows"), F.desc("insufficient_share"), F.asc("journal_short"), F.asc("decade")]
     return global_rank(out.orderBy(*order).limit(top), order, "target_rank")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators.classify import resolved
-from folioscope.operators.rank import first_by, numbered, top_by
+from folioscope.operators.rank import first_by, global_rank, padded_id, top_by
 
 
 def draw(seed: int | str, key: str = "article_id") -> Column:
@@ -53,7 +53,7 @@ def calibration_packet(sample: DataFrame, size: int, seed: int = 1) -> DataFrame
     work = sample.withColumn("__d", draw(f"calibration-{seed}"))
     each = top_by(work, ["stratum_category"], [F.asc("__d"), F.asc("article_id")], max(1, size // 4)).drop("__n").withColumn("__part", F.lit(0))
     picked = _settle([each, _top(work.where("is_ambiguous"), max(1, size // 4), 1)], work, size).drop("__part")
-    return numbered(picked.withColumn("__all", F.lit(1)), ["__all"], [F.asc("__d"), F.asc("article_id")], "__k").withColumn("calibration_id", F.concat(F.lit("CAL"), "__k")).drop("__k", "__all", "__d")
+    return global_rank(picked, [F.asc("__d"), F.asc("article_id")], "__k").withColumn("calibration_id", padded_id("CAL", "__k", 3)).drop("__k", "__d")
 
 
 def overlap_packet(sample: DataFrame, size: int, seed: int = 1) -> DataFrame:
@@ -74,7 +74,6 @@ def reviewer_packet(sample: DataFrame, mode: str = "blind") -> DataFrame:
 
 def label_template(sample: DataFrame, seed: int = 1, batch: int = 25) -> DataFrame:
     """A drawn sample (a bounded packet) numbered VAL0001... in draw order and put in batches B001..."""
-    work = sample.withColumn("__d", draw(seed)).withColumn("__all", F.lit(1))
-    out = numbered(work, ["__all"], [F.asc("__d"), F.asc("article_id")], "__k", 4)
-    at = ((F.col("__k").cast("int") - 1) / batch).cast("int") + 1
-    return out.withColumn("validation_id", F.concat(F.lit("VAL"), "__k")).withColumn("batch_id", F.concat(F.lit("B"), F.lpad(at.cast("string"), 3, "0"))).drop("__d", "__all", "__k")
+    out = global_rank(sample.withColumn("__d", draw(seed)), [F.asc("__d"), F.asc("article_id")], "__k")
+    at = ((F.col("__k") - 1) / batch).cast("long") + 1
+    return out.withColumn("validation_id", padded_id("VAL", "__k", 4)).withColumn("batch_id", padded_id("B", at, 3)).drop("__d", "__k")

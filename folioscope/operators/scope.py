@@ -9,7 +9,7 @@ from folioscope.config import EXCLUDED_SCOPES
 from folioscope.functions import text as T
 from folioscope.operators.classify import article_scope
 from folioscope.operators.labels import errors_of
-from folioscope.operators.rank import numbered
+from folioscope.operators.rank import global_rank, padded_id
 from folioscope.operators.shares import flag
 
 DECISIONS = ("exclude_from_research_scope", "keep_as_research", "unsure")
@@ -52,8 +52,8 @@ def review_packet(candidates: DataFrame, existing: DataFrame | None = None, rece
     else:
         rows = rows.withColumns({c: F.lit("") for c in kept})
     lane = F.when(T.number("publication_year") >= recent_from, "recent").otherwise("older")
-    rows = rows.withColumn("review_lane", lane).withColumn("__all", F.lit(1))
-    return numbered(rows, ["__all"], [F.desc("review_lane"), F.asc("journal_short"), F.desc("publication_year"), F.asc("title"), F.asc("article_id")], "__k", 4).withColumn("scope_review_id", F.concat(F.lit("SR"), "__k")).drop("__all", "__k")
+    rows = rows.withColumn("review_lane", lane)
+    return global_rank(rows, [F.desc("review_lane"), F.asc("journal_short"), F.desc("publication_year"), F.asc("title"), F.asc("article_id")], "__k").withColumn("scope_review_id", padded_id("SR", "__k", 4)).drop("__k")
 
 
 def validate_decisions(packet: DataFrame, targets: DataFrame) -> DataFrame:

@@ -77,37 +77,41 @@ def disagreement_packet(spark, sf_dir):
     return L.disagreement_packet(_submissions(spark, sf_dir), ["item"])
 
 
-def _attempts(spark, sf_dir):
+_PREFIXES = "'10.1257', '10.1086', '10.2307', '10.1111', '10.3982', '10.7916', '10.5555'"
+
+
+def attempts(spark, sf_dir):
+    """Events as attempts to look up texts."""
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id", "cast(user_id as string) as article_id", "event_type as attempt_source", "concat('10.', 1000 + user_id % 7, '/x', user_id) as doi",
+        "event_id", "cast(user_id as string) as article_id", "event_type as attempt_source", f"concat(element_at(array({_PREFIXES}), cast(user_id % 7 as int) + 1), '/x', user_id) as doi",
         "element_at(array('found', 'not_found', 'error', 'rate_limited', 'skipped'), cast(event_id % 5 as int) + 1) as attempt_status",
         "if(event_id % 5 = 2, concat('http_', 400 + event_id % 4), '') as attempt_error", "if(event_id % 5 = 0, concat('abstract ', event_id), '') as abstract", "if(event_id % 6 = 0, concat('https://example.org/', event_id, '.pdf'), '') as oa_pdf_url",
     )
 
 
 def attempts_by_prefix_source(spark, sf_dir):
-    return A.by_prefix_source(_attempts(spark, sf_dir))
+    return A.by_prefix_source(attempts(spark, sf_dir))
 
 
 def attempts_by_prefix(spark, sf_dir):
-    return A.prefix_decision(A.by_prefix(_attempts(spark, sf_dir)))
+    return A.by_prefix(attempts(spark, sf_dir))
 
 
 def best_and_worst_source(spark, sf_dir):
-    return A.best_and_worst_source(A.by_prefix_source(_attempts(spark, sf_dir)))
+    return A.source_context(A.by_prefix_source(attempts(spark, sf_dir)))
 
 
 def attempt_context(spark, sf_dir):
-    return A.article_context(_attempts(spark, sf_dir), "event_id")
+    return A.article_context(attempts(spark, sf_dir), "event_id")
 
 
 def attempt_sample(spark, sf_dir):
-    return A.sample_attempts(_attempts(spark, sf_dir), 5, [F.asc("event_id")]).select("event_id", "attempt_source", "attempt_status", "sample_row")
+    return A.sample_attempts(attempts(spark, sf_dir), 5, [F.asc("event_id")]).select("event_id", "attempt_source", "attempt_status", "sample_row")
 
 
 def first_found(spark, sf_dir):
     """One attempt a source and article, then the first abstract found in order of sources."""
-    one = _attempts(spark, sf_dir).groupBy("article_id", "attempt_source").agg(F.min(F.struct("event_id", "attempt_status", "abstract", "oa_pdf_url")).alias("x"))
+    one = attempts(spark, sf_dir).groupBy("article_id", "attempt_source").agg(F.min(F.struct("event_id", "attempt_status", "abstract", "oa_pdf_url")).alias("x"))
     rows = one.select("article_id", F.col("attempt_source").alias("source"), F.col("x.attempt_status").alias("status"), F.col("x.abstract").alias("abstract"), F.col("x.oa_pdf_url").alias("oa_pdf_url"))
     return E.first_found(rows, ["purchase", "view", "click", "signup", "error"])
 
@@ -117,16 +121,21 @@ def enrichment_candidates(spark, sf_dir):
 
 
 def _state(spark, sf_dir, shift):
-    docs = table(spark, sf_dir, "documents").where(f"doc_id % 4 <> {shift}")
+    """Enrichment rows of documents: those with a label, by their whole text (1), or all, by what follows the title line (2)."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi") if shift == 1 else docs
     return docs.selectExpr(
         "cast(doc_id as string) as article_id", f"element_at(array('enriched', 'not_found', 'partial_short_text', 'skipped_nonresearch_scope'), cast((doc_id + {shift}) % 4 as int) + 1) as enrichment_status",
-        f"element_at(array('openalex', 'crossref', 'oa_pdf_first_pages'), cast((doc_id + {shift}) % 3 as int) + 1) as enrichment_source", f"concat('text {shift} ', doc_id) as enriched_abstract", "'' as evidence_tier", "'' as enrichment_detail",
+        f"element_at(array('openalex', 'crossref', 'oa_pdf_first_pages'), cast((doc_id + {shift}) % 3 as int) + 1) as enrichment_source", f"{'text' if shift == 1 else _REST} as enriched_abstract", "'' as evidence_tier", "'' as enrichment_detail",
         f"if(doc_id % 5 = {shift}, concat('https://example.org/', doc_id, '.pdf'), '') as oa_pdf_url", f"if(doc_id % 3 = {shift}, 'comment_reply', '') as article_scope", "'' as article_scope_reason", f"if(doc_id % 2 = 0, 'openalex|crossref', 'crossref|s{shift}') as attempted_sources",
     )
 
 
+_REST = "if(instr(text, '\n') > 0, substring(text, instr(text, '\n') + 1), '')"
+
+
 def upsert_enrichment(spark, sf_dir):
-    return E.upsert_enrichment(_state(spark, sf_dir, 1), _state(spark, sf_dir, 2)).drop("enrichment_detail", "article_scope_reason")
+    return E.upsert_enrichment(_state(spark, sf_dir, 1), _state(spark, sf_dir, 2)).drop("enrichment_detail", "article_scope_reason").withColumn("enriched_abstract", F.md5(F.col("enriched_abstract").cast("binary")))
 
 
 def apply_enrichment(spark, sf_dir):
@@ -135,14 +144,14 @@ def apply_enrichment(spark, sf_dir):
 
 
 def append_log(spark, sf_dir):
-    a = _attempts(spark, sf_dir).select("article_id", "attempt_source", "attempt_status")
+    a = attempts(spark, sf_dir).select("article_id", "attempt_source", "attempt_status")
     return E.append_log(a.where("attempt_status <> 'found'"), a, "new.csv")
 
 
 def backfill_match(spark, sf_dir):
-    """Every tenth document as a backfill row, by id, DOI or title."""
+    """Every document as a backfill row: the long ones by id, others by DOI where they have one, else by title."""
     a = articles(spark, sf_dir)
-    rows = a.where("cast(article_id as long) % 10 = 0").selectExpr("cast(article_id as long) as row_number", "if(cast(article_id as long) % 30 = 0, article_id, '') as article_id", "if(cast(article_id as long) % 20 = 0, doi, '') as doi", "title", "publication_year", "'recovered' as abstract")
+    rows = a.selectExpr("cast(article_id as long) as row_number", "if(length(abstract) > 1000, article_id, '') as article_id", "if(length(abstract) > 1000, '', doi) as doi", "title", "publication_year", "'recovered' as abstract")
     return E.match_backfill(rows, a)
 
 
@@ -182,18 +191,22 @@ def _normal(field: str) -> str:
 
 
 _SUBMISSIONS = "WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS item, role || turn AS reviewer_id, ['causal', 'predictive', 'other', ''][length(text) % 4 + 1] AS manual_label FROM conversations), i AS (SELECT item, count(*) AS n, count(DISTINCT reviewer_id) AS r, count(DISTINCT manual_label) AS l, array_to_string(list_sort(list(DISTINCT reviewer_id || '=' || manual_label)), '|') AS reviewer_labels FROM s WHERE manual_label <> '' GROUP BY 1)"
-_ATTEMPTS = """WITH a AS (SELECT event_id, CAST(user_id AS VARCHAR) AS article_id, event_type AS attempt_source, '10.' || (1000 + user_id % 7) AS doi_prefix, ['found', 'not_found', 'error', 'rate_limited', 'skipped'][event_id % 5 + 1] AS attempt_status,
+_ATTEMPTS = f"""WITH a AS (SELECT event_id, CAST(user_id AS VARCHAR) AS article_id, event_type AS attempt_source, [{_PREFIXES}][user_id % 7 + 1] AS doi_prefix, ['found', 'not_found', 'error', 'rate_limited', 'skipped'][event_id % 5 + 1] AS attempt_status,
  CASE WHEN event_id % 5 = 2 THEN 'http_' || (400 + event_id % 4) ELSE '' END AS attempt_error, CASE WHEN event_id % 5 = 0 THEN 'abstract ' || event_id ELSE '' END AS abstract, CASE WHEN event_id % 6 = 0 THEN 'https://example.org/' || event_id || '.pdf' ELSE '' END AS oa_pdf_url FROM events)"""
-_BY = f"""{_ATTEMPTS}, n AS (SELECT doi_prefix, attempt_source, count(*) AS attempt_rows, count(DISTINCT article_id) AS articles, count(DISTINCT CASE WHEN attempt_status = 'found' THEN article_id END) AS articles_found,
- {", ".join(f"count(*) FILTER (attempt_status = '{s}') AS {s}_rows" for s in A.STATUSES)}, round(count(DISTINCT CASE WHEN attempt_status = 'found' THEN article_id END) / count(DISTINCT article_id), 6) AS found_share FROM a GROUP BY 1, 2),
+_BY = f"""{_ATTEMPTS}, n AS (SELECT doi_prefix, attempt_source, count(*) AS attempt_rows, count(DISTINCT article_id) AS attempted_articles, count(DISTINCT CASE WHEN attempt_status = 'found' THEN article_id END) AS found_articles,
+ {", ".join(f"count(*) FILTER (attempt_status = '{s}') AS {s}_attempts" for s in A.STATUSES)}, CAST(0 AS BIGINT) AS other_attempts FROM a GROUP BY 1, 2),
 e AS (SELECT doi_prefix, attempt_source, attempt_error, count(*) AS c FROM a WHERE attempt_error <> '' GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY doi_prefix, attempt_source ORDER BY c DESC, attempt_error) AS k FROM e),
 s AS (SELECT doi_prefix, attempt_source, string_agg(attempt_error || ' (' || c || ')', '; ' ORDER BY k) AS top_errors FROM t WHERE k <= 2 GROUP BY 1, 2),
 summary AS (SELECT n.*, coalesce(top_errors, '') AS top_errors FROM n LEFT JOIN s USING (doi_prefix, attempt_source))"""
+#: For queries that have other tables in WITH: prior attempts by prefix, best and worst source.
+PRIOR = f"""{_BY.removeprefix("WITH ")}, prior AS (SELECT doi_prefix, count(DISTINCT article_id) AS prior_attempted_articles, count(DISTINCT CASE WHEN attempt_status = 'found' THEN article_id END) AS prior_found_articles, {", ".join(f"count(*) FILTER (attempt_status = '{s}') AS prior_{s}_attempts" for s in A.FAILED)} FROM a GROUP BY 1),
+tried AS (SELECT *, {" + ".join(f"{s}_attempts" for s in A.FAILED)} AS failed FROM summary), ranked AS (SELECT *, row_number() OVER (PARTITION BY doi_prefix ORDER BY found_articles DESC, found_attempts DESC, attempt_rows DESC, attempt_source) AS b, row_number() OVER (PARTITION BY doi_prefix ORDER BY failed DESC, attempt_rows DESC, attempt_source) AS w FROM tried),
+context AS (SELECT x.doi_prefix, x.attempt_source AS best_prior_source, x.found_articles AS best_prior_source_found_articles, y.attempt_source AS top_failure_source, y.failed AS top_failure_attempts FROM ranked x JOIN ranked y ON x.doi_prefix = y.doi_prefix AND x.b = 1 AND y.w = 1)"""
 
 
 def _state_sql(shift: int) -> str:
     return f"""(SELECT CAST(doc_id AS VARCHAR) AS article_id, ['enriched', 'not_found', 'partial_short_text', 'skipped_nonresearch_scope'][(doc_id + {shift}) % 4 + 1] AS st, ['openalex', 'crossref', 'oa_pdf_first_pages'][(doc_id + {shift}) % 3 + 1] AS so,
- 'text {shift} ' || doc_id AS ab, CASE WHEN doc_id % 5 = {shift} THEN 'https://example.org/' || doc_id || '.pdf' ELSE '' END AS pdf, CASE WHEN doc_id % 3 = {shift} THEN 'comment_reply' ELSE '' END AS sc, CASE WHEN doc_id % 2 = 0 THEN ['openalex', 'crossref'] ELSE ['crossref', 's{shift}'] END AS att FROM documents WHERE doc_id % 4 <> {shift})"""
+ {"text" if shift == 1 else "CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END"} AS ab, CASE WHEN doc_id % 5 = {shift} THEN 'https://example.org/' || doc_id || '.pdf' ELSE '' END AS pdf, CASE WHEN doc_id % 3 = {shift} THEN 'comment_reply' ELSE '' END AS sc, CASE WHEN doc_id % 2 = 0 THEN ['openalex', 'crossref'] ELSE ['crossref', 's{shift}'] END AS att FROM documents{" WHERE doc_id IN (SELECT doc_id FROM labels)" if shift == 1 else ""})"""
 
 
 _TIER = "CASE WHEN st <> 'enriched' THEN '' WHEN so = 'oa_pdf_first_pages' THEN 'tier_c_first_page_abstract_or_intro' ELSE 'tier_a_formal_abstract' END"
@@ -218,9 +231,8 @@ SELECT article_id, 'article_id' AS "column", article_id AS sample_value, '' AS c
     "reviewer_agreement": f"{_SUBMISSIONS} SELECT CAST(sum(n) AS BIGINT) AS completed_labels, count(*) AS labeled_items, count(*) FILTER (n >= 2 OR r >= 2) AS comparable_items, count(*) FILTER ((n >= 2 OR r >= 2) AND l = 1) AS unanimous_items, count(*) FILTER ((n >= 2 OR r >= 2) AND l > 1) AS disagreeing_items, round(count(*) FILTER ((n >= 2 OR r >= 2) AND l = 1) / count(*) FILTER (n >= 2 OR r >= 2), 4) AS agreement_rate FROM i",
     "disagreement_packet": f"{_SUBMISSIONS} SELECT item, l AS labels, reviewer_labels FROM i WHERE l > 1",
     "attempts_by_prefix_source": f"{_BY} SELECT * FROM summary",
-    "attempts_by_prefix": f"""{_ATTEMPTS}, r AS (SELECT doi_prefix, count(*) AS attempt_rows, count(DISTINCT article_id) AS articles, count(DISTINCT CASE WHEN attempt_status = 'found' THEN article_id END) AS articles_found, count(DISTINCT attempt_source) AS sources FROM a GROUP BY 1)
-SELECT *, round(articles_found / articles, 6) AS found_share, CASE WHEN articles < 10 THEN 'try_more_rows_first' WHEN round(articles_found / articles, 6) >= 0.2 THEN 'scale_up' WHEN articles_found > 0 THEN 'investigate_failures' ELSE 'stop_automated_attempts' END AS decision FROM r""",
-    "best_and_worst_source": f"{_BY}, b AS (SELECT *, row_number() OVER (PARTITION BY doi_prefix ORDER BY found_share DESC, articles DESC, attempt_source) AS k, row_number() OVER (PARTITION BY doi_prefix ORDER BY found_share, articles DESC, attempt_source) AS w FROM summary) SELECT x.doi_prefix, x.attempt_source AS best_source, x.found_share AS best_share, y.attempt_source AS worst_source, y.found_share AS worst_share FROM b x JOIN b y ON x.doi_prefix = y.doi_prefix AND x.k = 1 AND y.w = 1",
+    "attempts_by_prefix": f"WITH {PRIOR} SELECT * FROM prior",
+    "best_and_worst_source": f"WITH {PRIOR} SELECT * FROM context",
     "attempt_context": f"{_ATTEMPTS}, o AS (SELECT article_id, attempt_source || ':' || attempt_status AS p, min(event_id) AS o FROM a GROUP BY 1, 2) SELECT article_id, string_agg(p, '|' ORDER BY o, p) AS attempt_context, count(*) AS attempt_kinds FROM o GROUP BY 1",
     "attempt_sample": f"{_ATTEMPTS}, d AS (SELECT min(event_id) AS event_id, article_id, attempt_source, attempt_status, attempt_error FROM a GROUP BY 2, 3, 4, 5), k AS (SELECT *, row_number() OVER (PARTITION BY attempt_source, attempt_status ORDER BY event_id) AS sample_row FROM d) SELECT event_id, attempt_source, attempt_status, CAST(sample_row AS INTEGER) AS sample_row FROM k WHERE sample_row <= 5",
     "first_found": f"""{_ATTEMPTS}, one AS (SELECT article_id, attempt_source AS source, coalesce(list_position(['purchase', 'view', 'click', 'signup', 'error'], attempt_source), 6) AS o, arg_min(attempt_status, event_id) AS status, arg_min(abstract, event_id) AS abstract, arg_min(oa_pdf_url, event_id) AS pdf FROM a GROUP BY ALL),
@@ -232,11 +244,13 @@ CASE WHEN p IS NOT NULL AND (s IS NULL OR s.status = 'found' AND p.o <= s.o) THE
 j AS (SELECT coalesce(r.article_id, q.article_id) AS article_id, r.article_id IS NULL OR q.article_id IS NOT NULL AND (q.sc = 'comment_reply' AND q.st = 'skipped_nonresearch_scope' OR q.k >= r.k) AS w, r.article_id IS NOT NULL AND q.article_id IS NOT NULL AS b2, r.st AS rst, q.st AS qst, r.so AS rso, q.so AS qso, r.ab AS rab, q.ab AS qab, r.pdf AS rpdf, q.pdf AS qpdf, r.sc AS rsc, q.sc AS qsc, r.att AS ratt, q.att AS qatt FROM r FULL JOIN q ON r.article_id = q.article_id),
 b AS (SELECT article_id, CASE WHEN w THEN qst ELSE rst END AS st, CASE WHEN w THEN qso ELSE rso END AS so, CASE WHEN w THEN qab ELSE rab END AS ab, CASE WHEN w THEN coalesce(nullif(qpdf, ''), rpdf, '') ELSE coalesce(nullif(rpdf, ''), qpdf, '') END AS oa_pdf_url,
  CASE WHEN b2 AND qsc <> '' THEN qsc WHEN w THEN qsc ELSE rsc END AS article_scope, CASE WHEN w THEN list_concat(qatt, coalesce(ratt, [])) ELSE list_concat(ratt, coalesce(qatt, [])) END AS l FROM j)
-SELECT article_id, st AS enrichment_status, so AS enrichment_source, ab AS enriched_abstract, {_TIER} AS evidence_tier, oa_pdf_url, article_scope, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '|') AS attempted_sources FROM b""",
-    "apply_enrichment": f"""WITH {B["articles"]}, e AS {_state_sql(1)}, n AS (SELECT a.*, e.st, e.so, e.ab, length({Q.clean("title")}) AS tl, length({Q.strip("abstract")}) AS al FROM articles a LEFT JOIN e USING (article_id)),
-m AS (SELECT *, tl + length(ab) + CASE WHEN tl > 0 THEN 1 ELSE 0 END AS chars, tl + al + CASE WHEN tl > 0 AND al > 0 THEN 1 ELSE 0 END AS cur FROM n), z AS (SELECT *, coalesce(st = 'enriched' AND (chars >= cur OR cur < 60), FALSE) AS rep FROM m)
-SELECT article_id, coalesce(st, 'not_needed') AS text_enrichment_status, coalesce(so, '') AS text_enrichment_source, CASE WHEN st = 'enriched' THEN {_TIER} ELSE '' END AS text_enrichment_evidence_tier, CASE WHEN st IS NULL THEN '' ELSE CAST(chars AS VARCHAR) END AS text_enrichment_chars,
-CASE WHEN rep THEN 'text_enrichment:' || so ELSE abstract_source END AS abstract_source, md5(CASE WHEN rep THEN ab ELSE abstract END) AS abstract_md5 FROM z""",
+SELECT article_id, st AS enrichment_status, so AS enrichment_source, md5(ab) AS enriched_abstract, CASE WHEN {Q.collapse('ab')} = '' THEN '' ELSE {_TIER} END AS evidence_tier, oa_pdf_url, article_scope, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '|') AS attempted_sources FROM b""",
+    "apply_enrichment": f"""WITH {B["articles"]}, e AS {_state_sql(1)}, f AS (SELECT *, {Q.clean("ab")} AS raw, {Q.strip("ab")} AS cab, {Q.flags("ab")} AS fl FROM e),
+n AS (SELECT a.*, f.st, f.so, f.raw, f.cab, f.fl, f.article_id IS NOT NULL AS has, length({Q.clean("title")}) AS tl, length({Q.strip("abstract")}) AS al FROM articles a LEFT JOIN f USING (article_id)),
+m AS (SELECT *, CASE WHEN cab <> '' THEN tl + length(cab) + CASE WHEN tl > 0 THEN 1 ELSE 0 END ELSE 0 END AS chars, tl + al + CASE WHEN tl > 0 AND al > 0 THEN 1 ELSE 0 END AS cur FROM n),
+d AS (SELECT *, CASE WHEN NOT has THEN 'not_needed' WHEN st = 'enriched' AND fl <> '' AND chars < 60 THEN 'partial_short_text' ELSE st END AS st2 FROM m), g AS (SELECT *, st2 = 'enriched' AND coalesce(cab, '') <> '' AS good FROM d), z AS (SELECT *, good AND (chars >= cur OR cur < 60) AS rep FROM g)
+SELECT article_id, st2 AS text_enrichment_status, coalesce(so, '') AS text_enrichment_source, CASE WHEN good THEN {_TIER} ELSE '' END AS text_enrichment_evidence_tier, CASE WHEN coalesce(raw, '') = '' THEN '' ELSE CAST(chars AS VARCHAR) END AS text_enrichment_chars,
+CASE WHEN rep THEN 'text_enrichment:' || so ELSE abstract_source END AS abstract_source, md5(CASE WHEN rep THEN cab ELSE abstract END) AS abstract_md5 FROM z""",
     "append_log": f"{_ATTEMPTS} SELECT DISTINCT article_id, attempt_source, attempt_status, 'new.csv' AS import_source_file FROM a UNION SELECT DISTINCT article_id, attempt_source, attempt_status, '' FROM a WHERE attempt_status <> 'found'",
     "strata": f"""{_C}, s AS (SELECT *, CASE WHEN c <= 0 THEN 'none' WHEN c <= 1 THEN 'low' WHEN c <= 3 THEN 'medium' ELSE 'high' END AS cb, CASE WHEN p <= 0 THEN 'none' WHEN p <= 1 THEN 'low' WHEN p <= 3 THEN 'medium' ELSE 'high' END AS pb FROM classified)
 SELECT category || '|' || confidence || '|' || CASE WHEN {Q.collapse("abstract")} <> '' THEN 'yes' ELSE 'no' END || '|' || CAST(CAST(publication_year AS INTEGER) // 10 * 10 AS VARCHAR) || '|' || cb || '|' || pb AS stratum, (c > 0 AND p > 0) OR confidence = 'low' AS is_ambiguous, count(*) AS n FROM s GROUP BY 1, 2""",

@@ -21,7 +21,7 @@ def test_queries_match_their_sql(spark, sf_dir):
     def plain(rows):
         return sorted(tuple("" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
-    for name in ("classify_rules", "trend_changes", "link_articles", "category_metrics", "attempts_by_prefix_source", "first_found", "upsert_enrichment", "local_evidence", "impact_summary"):
+    for name in SQL:
         df = QUERIES[name](spark, sf_dir)
         names = sorted(df.columns)
         got = plain(df.select(*names).collect())

@@ -25,7 +25,7 @@ def one(spark, column, value=None, schema="v string"):
         (T.decade, "n/a", "missing"),
         (T.doi_prefix_family, "10.1093/qje/abc", "10.1093/qje"),
         (T.doi_prefix_family, "10.2307/123", "10.2307"),
-        (T.doi_prefix_family, "", "no_doi"),
+        (T.doi_prefix_family, "", ""),
         (T.doi_url, "10.1/a b", "https://doi.org/10.1/a%20b"),
         (lambda c: T.preview(c, 8), "abcdefghijk", "abcde..."),
         (lambda c: T.abstract_section(c, 20, 5), "Title Abstract: we find things. Introduction more", "we find things."),

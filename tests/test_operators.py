@@ -57,6 +57,15 @@ def test_trend_of_an_absent_category(spark):
 
 
 def test_global_rank(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ranked = R.global_rank(spark.range(1000).mapInArrow(count, "id long"), [F.desc("id")])
+    assert ranked.where("rank = 1000 - id").count() == 1000 and ranked.count() == 1000 and seen.value <= 2000  # the range bounds' sample, and once more
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 97).alias("v")).repartition(9)
     got = R.global_rank(df, [F.desc("v"), F.asc("id")]).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 1001)) and [(-r["v"], r["id"]) for r in got] == sorted((-r["v"], r["id"]) for r in got)
@@ -136,15 +145,101 @@ def test_edits_and_autofill(spark):
     assert {r["article_id"]: r["backfill_abstract"] for r in filled.collect()} == {"1": "text", "2": "new"}
 
 
+def one_row(spark, **columns):
+    return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
+
+
 def test_cells(spark):
-    df = spark.createDataFrame([(100, 200)], "s int, n int").select(V.recoveries_needed(F.col("s"), F.col("n"), 0.2).alias("a"), V.projected_share(F.col("s"), F.col("n"), F.lit(40)).alias("b"), V.coverage_ratio(F.lit(6), F.lit(60)).alias("c"), V.target_level(F.lit(120), F.lit(0.5)).alias("d"))
-    assert tuple(df.first()) == (60, 0.3, 0.1, "critical")
+    level = lambda n, share: V.target_level(F.lit(n), F.lit(share))
+    got = one_row(spark, a=level(250, 0.1), b=level(10, 0.45), c=level(100, 0.1), d=level(10, 0.25), e=level(50, 0.1), f=level(10, 0.15), g=level(49, 0.1499))
+    assert tuple(got) == ("critical", "critical", "high", "high", "medium", "medium", "low")
+    got = one_row(spark, a=V.recoveries_needed(F.lit(100), F.lit(204), 0.2), b=V.recoveries_needed(F.lit(5), F.lit(0), 0.2), c=V.projected_share(F.lit(100), F.lit(200), F.lit(40)), d=V.coverage_ratio(F.lit(6), F.lit(60)), e=V.coverage_ratio(F.lit(90), F.lit(60)), f=V.coverage_ratio(F.lit(0), F.lit(0)))
+    assert tuple(got) == (60, 0, 0.3, 0.1, 1.0, 1.0)
+    assert one_row(spark, a=V.target_score(F.lit(100), F.lit(0.305), F.lit(20), F.lit(7)))["a"] == 100 + 30 + 50 + 7
+    profile = spark.createDataFrame([("aer", "1990", 100, 60, 0.6, 5, 40, 3), ("jpe", "1990", 100, 30, 0.3, 0, 30, 0), ("qje", "2000", 50, 3, 0.06, 0, 3, 0)], "journal_short string, decade string, rows long, insufficient_rows long, insufficient_share double, partial_short_text_rows long, missing_abstract_rows long, has_oa_pdf_rows long")
+    queue = spark.createDataFrame([("1", "aer", "1990", 4), ("2", "jpe", "1990", 2)], "article_id string, journal_short string, decade string, recovery_rank int")
+    got = V.cell_targets(profile, queue, queue.where("article_id = '2'").withColumn("review_rank", F.lit(9))).orderBy("target_rank").collect()
+    assert [(r["journal_short"], r["target_level"], r["target_score"], r["recoveries_to_target_share"], r["ready_rows"], r["first_ready_review_rank"]) for r in got] == [("aer", "critical", 125, 40, 0, None), ("jpe", "high", 65, 10, 1, 9)]
+
+
+def test_lanes_and_decisions(spark):
+    lane = lambda action, doi="": W.expansion_lane(F.lit(action), F.lit(doi))
+    got = one_row(spark, a=lane("review_oa_pdf_or_first_pages"), b=lane(W.DOI_ACTION, "https://doi.org/10.1086/x"), c=lane(W.DOI_ACTION, "10.5555/x"), d=lane("review_openalex_or_title_match", "10.1086/x"), e=lane("?"))
+    assert tuple(got) == ("oa_pdf_review", "jpe_chicago_or_repec_10_1086", "doi_publisher_metadata_other", "openalex_or_title_search", "unassigned_review")
+    got = one_row(spark, **{f"x{i}": W.lane_type(F.lit(x)) for i, x in enumerate(("wiley_or_society_metadata_10_1111", "oa_pdf_review", "manual_title_year_search", "unassigned_review"))})
+    assert tuple(got) == ("targeted_source_pass", "pdf_or_ocr_review", "manual_recovery", "review")
+    cols = "doi_prefix string, row_count int, prior_attempted_articles int, prior_found_articles int, prior_error_attempts int, prior_not_found_attempts int, prior_skipped_attempts int, prior_not_cached_attempts int, prior_rate_limited_attempts int, supported boolean"
+    data = [
+        ("10.2307", 9, 0, 0, 0, 0, 0, 0, 0, True), ("10.1111", 50, 9, 1, 0, 0, 0, 0, 0, False), ("10.1111", 49, 9, 1, 0, 0, 0, 0, 0, False), ("10.1086", 5, 0, 0, 0, 0, 0, 0, 0, True),
+        ("10.1086", 5, 40, 5, 20, 6, 0, 0, 0, True), ("10.1086", 5, 40, 5, 20, 5, 0, 0, 0, True), ("10.1086", 5, 40, 0, 0, 0, 0, 0, 1, True), ("10.1086", 5, 40, 0, 0, 0, 0, 0, 0, True),
+    ]
+    got = [r["d"] for r in spark.createDataFrame(data, cols).coalesce(1).select(W.prefix_decision().alias("d")).collect()]
+    assert got == ["bounded_scienceon_recovery", "new_source_template_or_manual_recovery", "low_volume_manual_recovery", "bounded_source_pass", "source_specific_investigation_before_rerun", "bounded_rerun_only_if_logic_changed", "do_not_rerun_unchanged_logic", "inspect_before_rerun"]
 
 
 def test_routes(spark):
-    d = spark.createDataFrame([("u1", "scale_up"), ("u2", "stop_automated_attempts"), ("u3", "x")], "unit string, decision string")
-    p = spark.createDataFrame([("u2", "access_challenge"), ("u3", "abstract_found")], "unit string, outcome string")
-    assert {r["unit"]: r["route_status"] for r in W.route_matrix(d, p).collect()} == {"u1": "ready_for_batch", "u2": "blocked_by_access", "u3": "metadata_route_ready"}
+    d = spark.createDataFrame([("u1", "doi_prefix", "bounded_source_pass"), ("u2", "doi_prefix", "source_specific_investigation_before_rerun"), ("u3", "doi_prefix", "source_specific_investigation_before_rerun"), ("u4", "doi_prefix", "source_specific_investigation_before_rerun"), ("u5", "doi_prefix", "new_source_template_or_manual_recovery"), ("oa_pdf_review", "expansion_lane", "inspect_pdf_blockers")], "decision_unit string, unit_type string, decision string")
+    p = spark.createDataFrame([("u2", "access_challenge"), ("u3", "abstract_found"), ("u3", "not_found")], "decision_unit string, outcome string")
+    got = {r["decision_unit"]: r["current_route_status"] for r in W.route_matrix(d, p).collect()}
+    assert got == {"u1": "ready_bounded_source_pass", "u2": "do_not_rerun_landing_pages", "u3": "candidate_route_requires_parser_or_url_update", "u4": "source_specific_probe_needed", "u5": "unsupported_existing_route", "oa_pdf_review": "manual_pdf_blocker_review"}
+
+
+def test_workflow_and_split_groups(spark):
+    cols = "d string, s string, f boolean, a string, p string, r string, u string"
+    pdf, doi = "review_oa_pdf_or_first_pages", W.DOI_ACTION
+    cases = [
+        (("exclude_nonresearch", "", False, pdf, "", "", ""), "scope_review_excluded_nonresearch", "excluded_nonresearch"), (("unsure", "", True, pdf, "", "", ""), "scope_review_unsure_before_recovery", "waiting_scope_review"),
+        (("", "comment_reply", True, pdf, "", "", ""), "scope_review_before_recovery", "waiting_scope_review"), (("", "", True, pdf, "", "", ""), "completed_backfill", "ready_autofill_or_completed"),
+        (("", "", False, pdf, "extracted", "", "x/referee.pdf"), "autofill_pdf_text", "ready_autofill_or_completed"), (("", "", False, pdf, "too_short", "", "x/Referee.pdf"), "suspect_pdf_url_use_manual_metadata", "ready_manual_metadata"),
+        (("", "", False, pdf, "too_short", "", ""), "pdf_route_blocked_use_manual_metadata", "ready_manual_metadata"), (("", "", False, pdf, "", "", ""), "try_public_pdf_once", "ready_manual_metadata"),
+        (("", "", False, "extend_existing_short_abstract", "", "", ""), "manual_extend_partial_text", "ready_partial_text_extension"), (("", "", False, doi, "", "do_not_rerun_landing_pages", ""), "manual_index_or_new_template", "ready_manual_metadata"),
+        (("", "", False, doi, "", "source_specific_probe_needed", ""), "source_specific_followup", "ready_manual_metadata"), (("", "", False, doi, "", "", ""), "manual_doi_metadata_review", "ready_manual_metadata"), (("", "", False, "?", "", "", ""), "manual_review", "other_manual_review"),
+    ]
+    status = W.row_workflow(*[F.col(c) for c in "dsfapru"])
+    got = spark.createDataFrame([c[0] for c in cases], cols).coalesce(1).select(status.alias("x")).select("x", W.split_group("x").alias("g")).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
+
+
+def test_review_tiers(spark):
+    cols = "article_id string, split_group string, row_status string, abstract string, source string, source_url string, source_record_id string, current_text_chars string, current_abstract string, current_abstract_source string, recovery_rank string, doi string, journal_short string, publication_year string, title string, text_enrichment_status string"
+    part, notice = "ready_partial_text_extension", "All use subject to https://about.jstor.org/terms"
+    data = [
+        ("fix", part, "", "Recovered.", "econlit", "", "", "210", "", "", "3", "", "a", "1", "t", ""), ("near", part, "", "", "", "", "", "175", "x", "s", "2", "", "a", "1", "t", ""), ("notice", part, "", "", "", "", "", "245", notice, "s", "6", "", "a", "1", "t", ""),
+        ("long", part, "", "", "", "", "", "174", "x", "s", "1", "", "a", "1", "t", ""), ("blocked", "ready_manual_metadata", "pdf_route_blocked_use_manual_metadata", "", "", "", "", "0", "", "", "5", "10.1086/x", "a", "1", "t", ""), ("some", "ready_manual_metadata", "", "", "", "", "", "9", "x", "", "7", "10.1093/restud/9", "a", "1", "t", ""),
+        ("none", "ready_manual_metadata", "", "", "", "", "", "0", "", "", "8", "", "a", "1", "t", ""), ("done", part, "", "Text.", "econlit", "u", "", "0", "", "", "9", "", "a", "1", "t", ""), ("usable", part, "", "", "", "", "", "300", "", "", "4", "", "a", "1", "t", "enriched"),
+    ]
+    got = W.review_queue(spark.createDataFrame(data, cols)).orderBy("review_rank").collect()
+    assert [(r["article_id"], r["quick_win_tier"]) for r in got] == list(zip(["fix", "near", "notice", "long", "some", "blocked", "none", "done"], W.TIERS, strict=True))
+    assert [r["source_route_family"] for r in got] == ["source_metadata_fix", *["partial_text_extension"] * 3, "oup_journal_metadata", "pdf_blocker_metadata", "title_index_search", "partial_text_extension"]
+
+
+def test_evidence_and_tiers(spark):
+    status = lambda a, t, now, flags="", fallback="", pdf="": W.evidence_status(F.lit(a), F.lit(t), F.lit(now), F.lit(flags), F.lit(fallback), F.lit(pdf))
+    got = one_row(spark, a=status(300, 320, 0, "x"), b=status(240, 250, 0), c=status(100, 120, 90), d=status(79, 90, 90), e=status(80, 90, 90), f=status(0, 0, 0, pdf="u"), g=status(0, 0, 0, fallback="rate_limited"), h=status(0, 0, 0, fallback="not_cached"), i=status(0, 0, 0))
+    assert tuple(got) == ("cached_suspect_text_only", "cached_import_candidate", "cached_partial_extension_candidate", "cached_fragment_only", "cached_current_text_only", "cached_pdf_candidate_only", "cached_prior_rate_limited_only", "no_cached_response", "no_cached_text_candidate")
+    group = lambda s, t: W.action_group(F.lit(s), F.lit(t))
+    assert tuple(one_row(spark, a=group("cached_current_text_only", "tier_1_partial_near_threshold"), b=group("cached_current_text_only", ""), c=group("?", ""))) == ("find_external_extension", "do_not_rerun_cached_source", "manual_review")
+    errors = [E.tier_error(F.lit(t)) for t in ("tier_b_source_description", " ", "tier_d_title_only_triage", "tier_e_blocked", "tier_b_verified_summary")]
+    assert tuple(one_row(spark, **{f"x{i}": c for i, c in enumerate(errors)})) == ("", "missing_evidence_tier", "unimportable_evidence_tier", "unimportable_evidence_tier", "invalid_evidence_tier")
+
+
+def test_preflight(spark):
+    a = spark.createDataFrame([("a1", "10.1/x", "Alpha beta gamma", "2000"), ("a2", "10.1/d", "Delta", "2001")], "article_id string, doi string, title string, publication_year string")
+    cols = "row_number int, recovery_batch string, split_group string, article_id string, doi string, title string, publication_year string, abstract string, source string, source_url string, source_record_id string, evidence_tier string"
+    tier = "tier_a_formal_abstract"
+    rows_ = [(1, "R1", "g", "a1", "", "", "", "text", "s", "u", "", tier), (2, "R1", "g", "a2", "", "", "", "", "", "", "", ""), (3, "R1", "h", "a2", "", "", "", "text", "s", "", "", tier), (4, "R2", "g", "a2", "", "", "", "", "", "", "", ""), (5, "R2", "h", "a1", "", "", "", "text", "s", "u", "", "tier_e_blocked")]
+    summary, errors = W.import_preflight(spark.createDataFrame(rows_, cols), a)
+    got = {(r["recovery_batch"], r["split_group"]): (r["preflight_status"], r["total_rows"], r["skipped_empty_abstract_rows"], r["import_ready_rows"], r["error_rows"]) for r in summary.collect()}
+    assert got == {("R1", "g"): ("pass_ready", 2, 1, 1, 0), ("R1", "h"): ("blocked_errors", 1, 0, 0, 1), ("R2", "g"): ("pass_empty", 1, 1, 0, 0), ("R2", "h"): ("blocked_errors", 1, 0, 0, 1)}
+    assert {r["row_number"]: r["error"] for r in errors.collect()} == {3: "missing_source_locator", 5: "unimportable_evidence_tier"}
+
+
+def test_top_values_count_before_they_cut(spark):
+    from folioscope.operators import attempts as A
+
+    long = "x" * 150
+    df = spark.createDataFrame([("k", long + "1"), ("k", long + "2"), ("k", "short"), ("k", "short")], "k string, v string")
+    assert A.top_values(df, ["k"], "v", 2, "top").first()["top"] == f"short (2); {'x' * 137}... (1)"
 
 
 def test_json_pages(spark, tmp_path):

@@ -16,7 +16,7 @@ def test_packets(spark):
 def test_guides_and_snapshots(spark):
     a = spark.createDataFrame([("1", "An experiment", "", "aer", "2001", "other", 13), ("2", "Forecasts", "forecast " * 60, "aer", "1999", "predictive", 500)], "article_id string, title string, abstract string, journal_short string, publication_year string, causal_predictive_category string, classification_text_chars int")
     got = {r["article_id"]: (r["text_status"], r["cue_profile"], r["review_difficulty"]) for r in P.review_guide(a).collect()}
-    assert got == {"1": ("title_only", "causal_cues", "hard"), "2": ("full_text", "predictive_cues", "easy")}
+    assert got == {"1": ("no_abstract", "causal_cues", "high"), "2": ("usable_text", "predictive_cues", "routine")}
     assert P.guide_counts(P.review_guide(a)).count() == 6
     assert P.profile(a).first()["median_chars"] == 256
     snap = P.snapshot(a, "before", include=a.where("article_id = '1'")).collect()
