@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.checkpoints import checkpoint_dir, materialized
+
 #: Bytes of text that one vectorised step handles at once; one text may be longer.
 SLICE_BYTES = 1 << 21
 
@@ -35,20 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; a local folder only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
+    out = materialized(df)
     del df
     release(spark)
     return out
@@ -197,8 +189,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
     del df

@@ -1,7 +1,7 @@
 """Embedding near-dedup by product quantisation.
 
 Coarse centroids and, for the residuals, one codebook for each of PARTS subspaces are fitted on at most SAMPLE vectors (by a
-hash of the key). Every vector is then put into the inverted list of its nearest centroid, with its code. Each vector is
+hash of the key); there is a list for every 400 vectors, LISTS at most. Every vector is then put into the inverted list of its nearest centroid, with its code. Each vector is
 also a query: it probes its own list, and any other whose centroid is nearly as close, x.c1 - x.c <= TURN / sqrt(d) * |c1 - c|. A vector at cosine 0.9 that turns from x in a random direction of d dimensions
 moves by 0.48 / sqrt(d) of |c1 - c| in the mean square; recall is measured in the tests. There is no cap on probes. A pair that only one of the two vectors
 finds counts for both: the asking block adds the other's link where the other doesn't probe the asker's list. In a
@@ -12,8 +12,8 @@ Equal vectors are compared once, with their number as weight. A list goes in blo
 alike, so that a list with a third of all vectors is many small tasks. A block gives link counts and a spanning forest of its links,
 not its pairs. There is no cap on links or candidates.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite components, or are of another length than most, link with nothing: n_links 0,
-their own component. Rows with a null key likewise (component null). A repeated key keeps its rows: each counts as a vector. Only key and vector are read.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing: n_links 0, their own component.
+Vectors of different lengths don't link; each length is joined by itself. Rows with a null key likewise (component null). A repeated key keeps its rows: each counts as a vector. Only key and vector are read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import materialize, table
 from folioscope.llm.graph import components, local_roots
 
-THRESHOLD, SAMPLE, PARTS, CODES, TURN, BLOCK = 0.9, 20_000, 8, 64, 0.64, 2048
+THRESHOLD, SAMPLE, LISTS, PARTS, CODES, TURN, BLOCK = 0.9, 40_000, 4096, 8, 64, 0.64, 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def fit(points: DataFrame, n: int, sample: int = SAMPLE) -> Quantiser:
     share = min(1.0, 1.2 * sample / max(1, n))
     some = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("rep")).limit(sample).select("v").toArrow()
     x = unit(some["v"].combine_chunks())[1]
-    return Quantiser(x, int(min(1024, max(8, n // 400), max(1, len(x) // 20))))
+    return Quantiser(x, int(min(LISTS, max(8, n // 400), max(1, len(x) // 10))))
 
 
 def near_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -101,20 +101,26 @@ def near_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     finite = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    usual = rows.where(finite).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    lengths = [r["d"] for r in rows.where(finite).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
+    out = rows.where(~F.coalesce(finite, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for d in lengths:  # vectors link with others of their length only; most tables have one
+        out = out.unionByName(_links_of_one_length(rows.where(finite & (F.size("v") == d)), kind, threshold))
+    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _links_of_one_length(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(id, n_links, component_id) of rows (id, v), all of one length and with a direction."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.ascontiguousarray(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)) + 0.0  # -0 counts as 0
             yield pa.RecordBatch.from_pydict({"id": b.column("id"), "same": pa.array([hashlib.md5(r.tobytes()).hexdigest() for r in x]), "v": b.column("v")})
 
-    valid = materialize(rows.where(finite & (F.size("v") == usual["d"])).mapInArrow(digest, f"id long, same string, v {kind}"))
+    valid = materialize(rows.mapInArrow(digest, f"id long, same string, v {kind}"))
     groups = valid.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     points = materialize(valid.select("id", "same", "v").join(groups, "same").where("id = rep").dropDuplicates(["rep"]).select("rep", "weight", "v"))
     n = points.count()
-    shared = vectors.sparkSession.sparkContext.broadcast(fit(points, n))  # at most 1024 centroids
+    shared = rows.sparkSession.sparkContext.broadcast(fit(points, n))  # at most LISTS centroids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,9 +162,7 @@ def near_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(found.select("a", "b"))
     results = groups.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("same", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = valid.select("id", "same").join(results, "same").select("id", "n_links", "component_id")
-    others = rows.where(~F.coalesce(finite, F.lit(False)) | (F.size("v") != usual["d"])).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(others).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return valid.select("id", "same").join(results, "same").select("id", "n_links", "component_id")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
