@@ -3,8 +3,9 @@
 A random string takes more tokens for its length than prose does: under a byte-level BPE vocabulary it gets few characters
 to a token. Candidate runs are `[A-Za-z0-9+/_=-]{20,}` (wide enough for keys in hex, base64 or URL-safe form), of letters or
 digits alone too. Excluded before the test are known digests and identifiers: whole-run hex of 32, 40, 56, 64, 96 or 128
-digits (MD5, SHA-1, SHA-2), UUIDs, and runs that signs split into nothing but words (letters that are one token or have more than
-MAX_CHARS_PER_TOKEN characters a token by themselves) and numbers of fewer than 20 digits.
+digits (MD5, SHA-1, SHA-2), UUIDs, and runs that are nothing but words (letters that are one token or have more than
+MAX_CHARS_PER_TOKEN characters a token by themselves) and numbers of fewer than 20 digits, split at signs; where there are signs, also between
+letters and digits, so that timestamps and names with versions are no secrets.
 A candidate of at most MAX_CHARS_PER_TOKEN characters a token is reported as kind `random`; what the
 pattern rules find is reported as `assign`, `access` and `hex` in any case.
 
@@ -49,7 +50,10 @@ def excluded(run: str, count_tokens, threshold: float = MAX_CHARS_PER_TOKEN) ->
     """Known digests, identifiers and joined words."""
     if DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return True
-    return all(not part or part.isdigit() and len(part) < 20 or part.isalpha() and ((n := count_tokens(part)) == 1 or len(part) > threshold * n) for part in re.split(r"[_/+=-]", run))
+    parts = re.split(r"[_/+=-]", run)
+    if len(parts) > 1:  # timestamps and names with versions: letters and digits apart
+        parts = [p for part in parts for p in re.findall(r"[A-Za-z]+|[0-9]+", part)]
+    return all(not part or part.isdigit() and len(part) < 20 or part.isalpha() and ((n := count_tokens(part)) == 1 or len(part) > threshold * n) for part in parts)
 
 
 def find(text: str, count_tokens, threshold: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
