@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     counted = all_bags.groupBy("term").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("k"))).alias("a"), F.countDistinct(F.when(F.col("y") == 0, F.col("k"))).alias("b"))
     odds = f"(ln((a + 0.5) / ({n1} - a + 0.5)) - ln((b + 0.5) / ({n0} - b + 0.5))) / sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / ({n1} - a + 0.5) + 1 / ({n0} - b + 0.5))"
-    picked = counted.where("a >= 3").selectExpr("term", f"{odds} as z").where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    picked = counted.where("a + b >= 3").selectExpr("term", f"{odds} as z").where(f"abs(z) >= {MIN_Z}").orderBy(F.desc(F.abs("z")), "term").limit(TERMS).collect()
     vocabulary = [r["term"] for r in picked]
     place = {r["k"]: i for i, r in enumerate(found)}
     mine = all_bags.join(F.broadcast(docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(vocabulary)], "term string, i int")), "term")
