@@ -7,7 +7,7 @@ MIN_MATCH. The tiles' share of the item's words is its coverage. As tiles may co
 interleaved passages count in full. A document is contaminated by the items with a coverage of at least COVERAGE.
 
 Items go to the executors in blocks of about BLOCK_WORDS words whatever the benchmark's size, one pass over the documents for each block;
-a usual benchmark is one block. Seeds are joined inside the scan, so documents without one are never shuffled.
+a usual benchmark is one block. Of several, each block's matches are written before the next block is sent, so that the driver never holds more than one. Seeds are joined inside the scan, so documents without one are never shuffled.
 
 Defined results: null and empty texts, and those of fewer than MIN_MATCH words, match nothing; so do items of fewer than
 MIN_MATCH words. Items with the same text are all reported. Repeated rows of a key give one row with the largest coverage.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import PUNCT, doc_words, shingle_hashes, slices, table
+from folioscope.llm.common import PUNCT, doc_words, shingle_hashes, slices, table, written
 
 MIN_MATCH, INITIAL, COVERAGE, BLOCK_WORDS = 5, 20, 0.6, 1_000_000
 
@@ -148,6 +148,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == block)
         shared = docs.sparkSession.sparkContext.broadcast(_items(part, item_key, item_text, min_match))  # about block_words words
         found = source.mapInArrow(scan(shared), schema)
+        if blocks > 1:
+            found = written(found, "matches")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
