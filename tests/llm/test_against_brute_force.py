@@ -217,6 +217,29 @@ def test_tiles_cover_reordered_passages():
     assert decontaminate.tiles(item, noise(100)) == [] and decontaminate.tiles(item[:3], doc) == []
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_tiles_leave_no_common_run(seed):
+    rng = np.random.default_rng(seed)
+    words = rng.integers(0, 2**63, int(rng.integers(2, 40))).astype(np.uint64)
+    item, doc = rng.choice(words, int(rng.integers(5, 60))), rng.choice(words, int(rng.integers(5, 200)))
+    for _ in range(int(rng.integers(0, 4))):  # copied pieces, in any order
+        s, at = int(rng.integers(0, len(item))), int(rng.integers(0, len(doc)))
+        doc = np.concatenate([doc[:at], item[s : s + int(rng.integers(3, 40))], doc[at:]])
+    found = decontaminate.tiles(item, doc)
+    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
+    for i, j, k in found:
+        assert k >= 5 and (item[i : i + k] == doc[j : j + k]).all() and free_item[i : i + k].all() and free_doc[j : j + k].all()
+        free_item[i : i + k] = free_doc[j : j + k] = False
+    run = lambda i, j: i < len(item) and j < len(doc) and item[i] == doc[j] and free_item[i] and free_doc[j]
+    assert not any(all(run(i + x, j + x) for x in range(5)) for i in range(len(item) - 4) for j in range(len(doc) - 4))
+    common = [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            common[i + 1][j + 1] = common[i][j] + 1 if item[i] == doc[j] else 0
+    longest = max(map(max, common))
+    assert max((k for *_, k in found), default=0) == (longest if longest >= 5 else 0)
+
+
 def test_decontaminate_in_blocks(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     one = {tuple(map(str, r)) for r in decontaminate.contaminated(docs, bench).collect()}
