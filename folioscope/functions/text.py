@@ -237,6 +237,20 @@ def doi_url(c: Column | str) -> Column:
     return F.when(d == "", "").otherwise(F.concat(F.lit("https://doi.org/"), _percent(d, "/:;()._-")))
 
 
+def repec_urls(article_url: Column | str, doi_col: Column | str, journal: Column | str) -> Column:
+    """Index pages of an article: its own link if it leads to the index, and the page of one journal's DOIs. Addresses."""
+    own, d = collapse(text(article_url)), doi(doi_col)
+    page = F.concat(F.lit("https://ideas.repec.org/a/ucp/jpolec/doi"), F.replace(d, F.lit("/"), F.lit("-")), F.lit(".html"))
+    return distinct_urls(F.when(F.lower(own).contains("econpapers") | F.lower(own).contains("repec"), own), F.when((F.lower(collapse(text(journal))) == "jpe") & d.startswith("10.1086/"), page))
+
+
+def publisher_urls(article_url: Column | str, doi_col: Column | str) -> Column:
+    """Publisher pages of an article, each once. Addresses by DOI prefix."""
+    own, d = collapse(text(article_url)), doi(doi_col)
+    pages = [("10.1257/", "https://www.aeaweb.org/articles?id=", d), ("10.7916/", "https://academiccommons.columbia.edu/doi/", F.upper(d)), ("10.3982/", "https://www.econometricsociety.org/doi/", F.upper(d))]
+    return distinct_urls(F.when(F.lower(own).contains("aeaweb.org/articles"), own), *[F.when(d.startswith(p), F.concat(F.lit(u), _percent(x, "/._-"))) for p, u, x in pages])
+
+
 def work_url(base: str, c: Column | str) -> Column:
     """base followed by the value with nothing but letters, digits and `_.-~` left as it is; empty for none."""
     return F.when(blank(c), "").otherwise(F.concat(F.lit(base), _percent(F.trim(text(c)), "")))

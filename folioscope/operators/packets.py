@@ -57,12 +57,23 @@ def guide_counts(guide: DataFrame) -> DataFrame:
     return guide.select(F.explode(parts).alias("x")).groupBy("x.section", "x.value").agg(F.count("*").alias("rows"))
 
 
-def packet_errors(sample: DataFrame, packet: DataFrame, id_column: str) -> DataFrame:
-    """Error rows of a packet against its sample: stale or unknown keys and duplicate ids."""
+def packet_errors(sample: DataFrame, packet: DataFrame, id_column: str, expected_rows: int | None = None) -> DataFrame:
+    """Error rows of a packet against its sample: stale or unknown keys, missing and duplicate ids, duplicate keys, and one row where the packet has
+    not as many rows as it was drawn with."""
     known = sample.select(*KEY).distinct().withColumn("__known", F.lit(True))
     ids = sample.select("validation_id").distinct().withColumn("__id", F.lit(True))
-    work = packet.withColumn("__same", F.count("*").over(Window.partitionBy(id_column))).join(known, KEY, "left").join(ids, "validation_id", "left")
-    return errors_of(work, KEY, [(id_column, F.col("__same") > 1, "duplicate_packet_id"), ("article_id", F.col("__known").isNull() & F.col("__id").isNotNull(), "stale_packet_row"), ("validation_id", F.col("__id").isNull(), "unknown_packet_row")])
+    same, keys = F.count("*").over(Window.partitionBy(id_column)), F.count("*").over(Window.partitionBy(*KEY))
+    work = packet.withColumns({"__same": same, "__keys": keys}).join(known, KEY, "left").join(ids, "validation_id", "left")
+    named = T.present(id_column)
+    out = errors_of(work, KEY, [
+        (id_column, ~named, "missing_packet_id"), (id_column, named & (F.col("__same") > 1), "duplicate_packet_id"), ("validation_id", (T.present("validation_id") | T.present("article_id")) & (F.col("__keys") > 1), "duplicate_packet_key"),
+        ("article_id", F.col("__known").isNull() & F.col("__id").isNotNull(), "stale_packet_row"), ("validation_id", F.col("__id").isNull(), "unknown_packet_row"),
+    ])
+    if expected_rows is None:
+        return out
+    size = packet.agg(F.count("*").alias("n")).where(F.col("n") != expected_rows)
+    none = F.lit("")
+    return out.unionByName(size.select(none.alias("validation_id"), none.alias("article_id"), F.lit("packet_rows").alias("field"), F.col("n").cast("string").alias("value"), F.lit("packet_row_count_mismatch").alias("error")))
 
 
 def submission_errors(packet: DataFrame, submissions: DataFrame, id_column: str) -> DataFrame:
@@ -112,5 +123,5 @@ def snapshot(classified: DataFrame, label: str, queue: DataFrame | None = None,
 
 
 def queue_summary(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Rows, first rank, and the median of missing characters (rounded) by groups."""
-    return rows.groupBy(*groups).agg(F.count("*").alias("rows"), F.min("recovery_rank").alias("first_rank"), F.round(F.percentile("chars_to_threshold", 0.5)).cast("int").alias("median_chars_to_threshold"), F.count_distinct("article_id").alias("articles"))
+    """Rows and the median of missing characters (rounded, halves to even) by groups."""
+    return rows.groupBy(*groups).agg(F.count("article_id").alias("rows"), F.bround(F.percentile("chars_needed_to_threshold", F.lit(0.5))).cast("int").alias("median_chars_needed_to_threshold"))

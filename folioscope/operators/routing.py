@@ -456,11 +456,49 @@ def batch_summary(rows: DataFrame, actions: list[str]) -> DataFrame:
 
 
 def history_by_batch(history: DataFrame, name: str) -> DataFrame:
-    """Rows of an import history by the batch in its file name (R012 in .../recovery_R012_done.csv)."""
-    batch = F.regexp_extract("import_source_file", r"(R\d{3,})", 1)
+    """Rows of an import history by the batch in its file name. Fixed value: the form of the name."""
+    batch = F.regexp_extract(F.coalesce("import_source_file", F.lit("")), r"insufficient_text_recovery_batch_(R\d{3})(?:_[A-Za-z0-9_]+)?\.csv", 1)
     return history.withColumn("recovery_batch", batch).where("recovery_batch <> ''").groupBy("recovery_batch").agg(F.count("*").alias(name))
 
 
+def batch_progress(rows: DataFrame, imported: DataFrame, errors: DataFrame) -> DataFrame:
+    """Batches of packet rows (recovery_batch, abstract): rows, filled ones and their share, rows of the import and error histories."""
+    out = rows.groupBy("recovery_batch").agg(F.count("*").alias("total_rows"), F.sum(flag(T.present("abstract"))).alias("completed_backfill_abstracts"), F.sum(flag(T.blank("abstract"))).alias("remaining_backfill_abstracts"))
+    counts = ["history_imported_rows", "history_error_rows"]
+    for history, name in zip((imported, errors), counts, strict=True):
+        out = out.join(history_by_batch(history, name), "recovery_batch", "left")
+    return out.na.fill(0, counts).withColumn("completed_backfill_share", F.round(F.col("completed_backfill_abstracts") / F.col("total_rows"), 6))
+
+
+def progress_overview(progress: DataFrame, queue: DataFrame, imported: DataFrame, errors: DataFrame) -> DataFrame:
+    """(metric, value): batches and rows of the queue, filled and imported rows, the next batch (of the first rank) and its rows."""
+    q = queue.agg(F.count_distinct(F.when(T.present("recovery_batch"), F.col("recovery_batch"))).alias("recovery_batches"), F.count("*").alias("remaining"), F.min_by("recovery_batch", F.when(T.present("recovery_batch"), F.col("recovery_rank"))).alias("next"))
+    of_next = queue.join(F.broadcast(q.select(F.col("next").alias("recovery_batch"))), "recovery_batch").agg(F.count("*").alias("next_rows"))
+    done = progress.agg(F.coalesce(F.sum("completed_backfill_abstracts"), F.lit(0)).alias("filled"))
+    i, e = imported.agg(F.count("*").alias("imported")), errors.agg(F.count("*").alias("errors"))
+    one = q
+    for other in (of_next, done, i, e):  # one row each
+        one = one.join(F.broadcast(other), F.lit(True))
+    completed = F.greatest("filled", "imported")
+    metrics = {
+        "recovery_batches": F.col("recovery_batches"), "recovery_rows": F.col("remaining") + completed, "current_recovery_queue_rows": F.col("remaining"), "completed_backfill_abstracts": completed,
+        "current_packet_completed_backfill_abstracts": F.col("filled"), "cumulative_imported_recovery_rows": F.col("imported"), "remaining_backfill_abstracts": F.col("remaining"),
+        "next_recovery_batch": F.coalesce("next", F.lit("")), "next_recovery_batch_remaining": F.col("next_rows"), "import_history_rows": F.col("imported"), "import_error_history_rows": F.col("errors"),
+    }
+    return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("string").alias("value")) for m, c in metrics.items()])))
+
+
+def ranked_summary(rows: DataFrame, groups: list[str], listed: list[str] | None = None) -> DataFrame:
+    """Rows and first review rank of each group, and the distinct values of other columns in order of their first rank, joined by `|`. The
+    listed columns have few values: they are cut down to those before anything is gathered."""
+    out = rows.groupBy(*groups).agg(F.count("*").alias("rows"), F.min("review_rank").alias("first_review_rank"))
+    for c in listed or []:
+        once = rows.where(T.present(c)).groupBy(*groups, c).agg(F.min("review_rank").alias("__r"))
+        values = once.groupBy(*groups).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(c).alias("v")))), lambda x: x["v"]), "|").alias(f"{c}s"))
+        out = out.join(values, groups, "left").na.fill("", [f"{c}s"])
+    return out
+
+
 def cells_top(rows: DataFrame, per_cell: int) -> DataFrame:
     return top_by(rows, ["journal_short", "decade"], [F.asc("recovery_rank"), F.asc("article_id")], per_cell)
 

@@ -96,13 +96,42 @@ def action_packet(spark, sf_dir):
     return R.action_packet(_evidence(spark, sf_dir), q, cell_targets(spark, sf_dir), auto).select("article_id", "cached_evidence_status", "evidence_tier_suggestion", "quick_win_tier", "cell_target_rank", "action_group")
 
 
+def candidate_urls(spark, sf_dir):
+    a = articles(spark, sf_dir).withColumn("url", F.concat(F.lit("https://"), F.element_at(F.array(F.lit("econpapers.example/"), F.lit("www.aeaweb.org/articles?id="), F.lit("example.org/")), (F.length("title") % 3 + 1).cast("int")), F.col("article_id")))
+    return a.select("article_id", F.array_join(T.repec_urls("url", "doi", F.lit("JPE")), "|").alias("index_urls"), F.array_join(T.publisher_urls("url", "doi"), "|").alias("publisher_urls"))
+
+
+def _histories(spark, sf_dir):
+    """Imports and errors of batches by file name: attempts that found something, and those that failed."""
+    name = "if(event_id % 2 = 0, concat('x/insufficient_text_recovery_batch_R00', event_id % 5, '_done.csv'), concat('recovery_R00', event_id % 5, '.csv')) as import_source_file"
+    rows = attempts(spark, sf_dir).selectExpr(name, "attempt_status")
+    return rows.where("attempt_status = 'found'"), rows.where("attempt_status = 'error'")
+
+
+def batch_progress(spark, sf_dir):
+    return R.batch_progress(_split_rows(spark, sf_dir), *_histories(spark, sf_dir))
+
+
+def progress_overview(spark, sf_dir):
+    rows, (imported, errors) = _split_rows(spark, sf_dir), _histories(spark, sf_dir)
+    return R.progress_overview(R.batch_progress(rows, imported, errors), rows.withColumn("recovery_rank", F.col("row_number")), imported, errors)
+
+
+def review_summary(spark, sf_dir):
+    return K.queue_summary(R.review_queue(_split_rows(spark, sf_dir)), ["recovery_batch", "review_stage", "quick_win_tier", "split_group", "row_status"])
+
+
+def tier_summary(spark, sf_dir):
+    return R.ranked_summary(R.review_queue(_split_rows(spark, sf_dir)), ["source_route_family"], ["quick_win_tier"])
+
+
 def review_guide(spark, sf_dir):
     return K.review_guide(articles(spark, sf_dir), RULES).select("article_id", "abstract_chars", "guide_text_chars", "text_status", "cue_profile", "review_difficulty", "causal_cue_terms", "predictive_cue_terms")
 
 
 def cell_targets(spark, sf_dir):
     c = classified(spark, sf_dir)
-    wide = c.withColumn("causal_predictive_category", F.when(F.length("abstract") < 600, "insufficient_text").otherwise(F.col("causal_predictive_category")))
+    wide = c.withColumn("causal_predictive_category", F.when(F.length("abstract") < 2000, "insufficient_text").otherwise(F.col("causal_predictive_category")))
     queue = V.recovery_queue(wide)
     return V.cell_targets(S.insufficient_profile(wide), queue, queue.where("oa_pdf_url <> ''").withColumn("review_rank", F.col("recovery_rank")), 3).drop("first_recovery_rank", "first_ready_review_rank")
 
@@ -140,7 +169,7 @@ def page_outcomes(spark, sf_dir):
     return p.select("page_id", P.page_outcome("html", F.lit(200), P.usable_abstract(F.col("p.abstract")), F.col("p.pdf_url")).alias("outcome"), "p.title", "p.pdf_url")
 
 
-QUERIES = {f.__name__: f for f in (expansion_plan, lane_overview, prefix_plan, decision_plan, route_matrix, workplan, review_queue, automation, import_preflight, action_packet, review_guide, cell_targets, packet_rows, scope_candidates, scope_summary, scope_decisions, local_evidence, page_outcomes)}
+QUERIES = {f.__name__: f for f in (expansion_plan, lane_overview, prefix_plan, decision_plan, route_matrix, workplan, review_queue, automation, import_preflight, action_packet, candidate_urls, batch_progress, progress_overview, review_summary, tier_summary, review_guide, cell_targets, packet_rows, scope_candidates, scope_summary, scope_decisions, local_evidence, page_outcomes)}
 
 _W = f"WITH {Q.CLASSIFIED}"
 _QUEUE = A["recovery_queue"].rsplit("SELECT k AS recovery_rank", 1)[0].replace("coalesce(suggested, '') AS sg", "'' AS sg").replace(" LEFT JOIN triage USING (article_id) WHERE", " WHERE")
@@ -183,7 +212,10 @@ tiered AS (SELECT *, CASE WHEN state = 'needs_source_metadata' THEN 'source_meta
  WHEN i % 4 = 1 THEN 'tier_5_manual_metadata_pdf_blocked' WHEN chars > 0 OR abstract_source <> '' THEN 'tier_4_manual_metadata_has_context' ELSE 'tier_6_manual_metadata_sparse' END AS quick_win_tier FROM rv),
 family AS (SELECT *, CASE WHEN quick_win_tier = 'source_metadata_fix' THEN quick_win_tier WHEN split_group = 'ready_partial_text_extension' THEN 'partial_text_extension' WHEN i % 4 = 1 THEN 'pdf_blocker_metadata' WHEN doi LIKE '10.2307/%' THEN 'jstor_or_legacy_doi' WHEN doi LIKE '10.1086/%' THEN 'jpe_chicago_or_repec' WHEN doi LIKE '10.1257/%' THEN 'aea_publisher_metadata'
  WHEN doi LIKE '10.1111/%' THEN 'wiley_or_society_metadata' WHEN doi LIKE '10.3982/%' THEN 'econometric_society_metadata' WHEN doi <> '' THEN 'doi_or_publisher_metadata' ELSE 'title_index_search' END AS family FROM tiered)"""
-_CELLS = f"""{_W}, w AS (SELECT *, length(abstract) < 600 OR category = 'insufficient_text' AS sh, CAST(CAST(publication_year AS INTEGER) // 10 * 10 AS VARCHAR) AS decade FROM classified),
+_PROGRESS = f"""{_SPLIT}, hist AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'R00' || (event_id % 5) ELSE '' END AS hb, event_id % 5 AS st FROM events), imported AS (SELECT * FROM hist WHERE st = 0), failed AS (SELECT * FROM hist WHERE st = 2),
+progress AS (SELECT batch AS recovery_batch, count(*) AS total_rows, count(*) FILTER ({Q.collapse("filled")} <> '') AS completed_backfill_abstracts, count(*) FILTER ({Q.collapse("filled")} = '') AS remaining_backfill_abstracts, (SELECT count(*) FROM imported WHERE hb = batch) AS history_imported_rows, (SELECT count(*) FROM failed WHERE hb = batch) AS history_error_rows,
+ round(count(*) FILTER ({Q.collapse("filled")} <> '') / count(*), 6) AS completed_backfill_share FROM split GROUP BY batch)"""
+_CELLS = f"""{_W}, w AS (SELECT *, length(abstract) < 2000 OR category = 'insufficient_text' AS sh, CAST(CAST(publication_year AS INTEGER) // 10 * 10 AS VARCHAR) AS decade FROM classified),
 pr AS (SELECT journal_short, decade, count(*) AS n, count(*) FILTER (sh) AS ir, count(*) FILTER (sh AND oa_pdf_url <> '') AS ready, count(*) FILTER (sh AND text_enrichment_status = 'partial_short_text') AS part, count(*) FILTER (sh AND {Q.collapse("abstract")} = '') AS miss FROM w GROUP BY 1, 2 HAVING count(*) FILTER (sh) >= 3),
 sc AS (SELECT *, round(ir / n, 6) AS rate, greatest(0, ir - CAST(floor(CAST(0.2 AS DOUBLE) * n) AS BIGINT)) AS need, greatest(0, ir - CAST(floor(CAST(0.1 AS DOUBLE) * n) AS BIGINT)) AS need2 FROM pr), st AS (SELECT *, CAST(ir + round_even(rate * 100, 0) + least(ready * 5, 50) + least(part, 50) AS INTEGER) AS score FROM sc),
 cells AS (SELECT row_number() OVER (ORDER BY score DESC, ir DESC, rate DESC, journal_short, decade) AS target_rank, journal_short, decade, n AS cell_rows, ir AS insufficient_rows, rate AS insufficient_share, CASE WHEN ir >= 250 OR rate >= 0.45 THEN 'critical' WHEN ir >= 100 OR rate >= 0.25 THEN 'high' WHEN ir >= 50 OR rate >= 0.15 THEN 'medium' ELSE 'low' END AS target_level, score AS target_score,
@@ -213,6 +245,16 @@ SELECT *, CASE WHEN row_status = 'manual_extend_partial_text' THEN 'ready_partia
     "import_preflight": f"""{_SPLIT}, c AS (SELECT *, {Q.collapse("filled")} <> '' AS has, article_url <> '' AS named, {Q.collapse("tier")} AS t FROM split), x AS (SELECT *, has AND named AND t IN ('tier_a_formal_abstract', 'tier_b_source_description', 'tier_c_first_page_abstract_or_intro') AS good FROM c),
 p AS (SELECT batch AS recovery_batch, split_group, count(*) AS total_rows, count(*) FILTER (NOT has) AS skipped_empty_abstract_rows, count(*) FILTER (has) AS candidate_rows_after_skip, count(*) FILTER (has AND named) AS source_ready_backfill_abstracts, count(*) FILTER (has AND NOT named) AS source_incomplete_backfill_abstracts, count(*) FILTER (good) AS import_ready_rows, count(*) FILTER (has AND NOT good) AS error_rows FROM x GROUP BY 1, 2)
 SELECT *, CASE WHEN error_rows > 0 THEN 'blocked_errors' WHEN candidate_rows_after_skip = 0 THEN 'pass_empty' ELSE 'pass_ready' END AS preflight_status FROM p""",
+    "candidate_urls": f"""WITH {B["articles"]}, u AS (SELECT *, 'https://' || ['econpapers.example/', 'www.aeaweb.org/articles?id=', 'example.org/'][length(title) % 3 + 1] || article_id AS url FROM articles)
+SELECT article_id, array_to_string(list_filter([CASE WHEN length(title) % 3 = 0 THEN url END, CASE WHEN doi LIKE '10.1086/%' THEN 'https://ideas.repec.org/a/ucp/jpolec/doi' || replace(doi, '/', '-') || '.html' END], lambda v: v IS NOT NULL), '|') AS index_urls,
+array_to_string(list_filter([CASE WHEN length(title) % 3 = 1 THEN url END, CASE WHEN doi LIKE '10.1257/%' THEN 'https://www.aeaweb.org/articles?id=' || doi WHEN doi LIKE '10.7916/%' THEN 'https://academiccommons.columbia.edu/doi/' || upper(doi) WHEN doi LIKE '10.3982/%' THEN 'https://www.econometricsociety.org/doi/' || upper(doi) END], lambda v: v IS NOT NULL), '|') AS publisher_urls FROM u""",
+    "batch_progress": f"{_PROGRESS} SELECT * FROM progress",
+    "progress_overview": f"""{_PROGRESS}, o AS (SELECT (SELECT count(DISTINCT batch) FROM split) AS nb, (SELECT count(*) FROM split) AS n, (SELECT sum(completed_backfill_abstracts) FROM progress) AS f, (SELECT count(*) FROM imported) AS im, (SELECT count(*) FROM failed) AS er, (SELECT arg_min(batch, i) FROM split) AS nx)
+SELECT unnest(['recovery_batches', 'recovery_rows', 'current_recovery_queue_rows', 'completed_backfill_abstracts', 'current_packet_completed_backfill_abstracts', 'cumulative_imported_recovery_rows', 'remaining_backfill_abstracts', 'next_recovery_batch', 'next_recovery_batch_remaining', 'import_history_rows', 'import_error_history_rows']) AS metric,
+unnest([CAST(nb AS VARCHAR), CAST(CAST(n + greatest(f, im) AS BIGINT) AS VARCHAR), CAST(n AS VARCHAR), CAST(CAST(greatest(f, im) AS BIGINT) AS VARCHAR), CAST(CAST(f AS BIGINT) AS VARCHAR), CAST(im AS VARCHAR), CAST(n AS VARCHAR), nx, CAST((SELECT count(*) FROM split WHERE batch = nx) AS VARCHAR), CAST(im AS VARCHAR), CAST(er AS VARCHAR)]) AS value FROM o""",
+    "review_summary": f"""{_REVIEW} SELECT batch AS recovery_batch, CASE state WHEN 'needs_source_metadata' THEN 'source_metadata_fix' WHEN 'ready_to_import' THEN state ELSE 'recover_abstract' END AS review_stage, quick_win_tier, split_group, CASE WHEN i % 4 = 1 THEN 'pdf_route_blocked_use_manual_metadata' ELSE 'manual_extend_partial_text' END AS row_status, count(*) AS rows, CAST(round_even(median(need), 0) AS INTEGER) AS median_chars_needed_to_threshold FROM family GROUP BY 1, 2, 3, 4, 5""",
+    "tier_summary": f"""{_REVIEW}, ranked AS (SELECT *, row_number() OVER (ORDER BY list_position([{', '.join(repr(t) for t in R.TIERS)}], quick_win_tier), need, i, journal_short, publication_year, title, article_id) AS rr FROM family), tiers AS (SELECT family, quick_win_tier, min(rr) AS m, count(*) AS n FROM ranked GROUP BY 1, 2)
+SELECT family AS source_route_family, CAST(sum(n) AS BIGINT) AS rows, min(m) AS first_review_rank, string_agg(quick_win_tier, '|' ORDER BY m) AS quick_win_tiers FROM tiers GROUP BY 1""",
     "review_guide": f"""WITH {B["articles"]}, a AS (SELECT *, {Q.matching(Q.strip("title"))} AS mt, {Q.matching(Q.strip("abstract"))} AS ma FROM articles), j AS (SELECT *, array_to_string(list_filter([mt, ma], lambda v: v <> ''), ' ') AS t, length(trim(abstract)) AS n FROM a), {Q.scored("j", "t", "g")},
 s AS (SELECT *, CASE WHEN n = 0 THEN 'no_abstract' WHEN length(t) < 250 THEN 'short_text' ELSE 'usable_text' END AS text_status, CASE WHEN c > 0 AND p > 0 THEN 'causal_and_predictive_cues' WHEN c > 0 THEN 'causal_cues' WHEN p > 0 THEN 'predictive_cues' ELSE 'no_keyword_cues' END AS cue_profile FROM g)
 SELECT article_id, CAST(n AS INTEGER) AS abstract_chars, CAST(length(t) AS INTEGER) AS guide_text_chars, text_status, cue_profile, CASE WHEN text_status = 'no_abstract' OR cue_profile = 'causal_and_predictive_cues' THEN 'high' WHEN text_status = 'short_text' THEN 'medium' ELSE 'routine' END AS review_difficulty, array_to_string(ct, '|') AS causal_cue_terms, array_to_string(pt, '|') AS predictive_cue_terms FROM s""",
