@@ -67,7 +67,7 @@ def workplan(spark, sf_dir):
 
 
 def _split_rows(spark, sf_dir):
-    """Documents as split rows: the first 300 characters or fewer that a short text has stand for what is there; some are filled."""
+    """Documents as split rows: what follows the title line is the text that is there, and for some also the one that was filled in."""
     group = "element_at(array('ready_partial_text_extension', 'ready_manual_metadata', 'other_manual_review'), cast(cast(article_id as long) % 3 as int) + 1)"
     return articles(spark, sf_dir).selectExpr(
         "cast(article_id as long) as row_number", "article_id", "title", "doi", "journal_short", "publication_year", f"{group} as split_group", "concat('R00', cast(article_id as long) % 4) as recovery_batch",
