@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,9 +13,8 @@ from pyspark.sql.types import StringType
 
 from folioscope.config import DOI_PREFIXES, QUALITY_PATTERNS, QUALITY_WORDINGS, STRIP_PATTERNS, STRIP_WORDINGS
 
-#: White space as Unicode has it, no-break spaces included; UNEVEN: runs of it other than one space.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNEVEN = rf"[{WHITE}&&[^ ]][{WHITE}]*| [{WHITE}]+"
+#: White space as Unicode has it, no-break spaces included.
+SPACE = r"(?U)\s+"
 
 
 @F.pandas_udf(StringType())
@@ -33,7 +32,7 @@ def text(c: Column | str) -> Column:
 
 
 def collapse(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(c), UNEVEN, " "))
+    return F.trim(F.regexp_replace(col(c), SPACE, " "))
 
 
 def blank(c: Column | str) -> Column:
@@ -74,14 +73,15 @@ def with_clean(df: DataFrame, columns: dict[str, Column | str], entities: bool =
     return df.withColumns({n: collapse(F.col(n)) for n in columns})
 
 
-def _without_notices(c: Column) -> Column:
-    """Clean text without archive terms, rights notices and lone bars; only texts with one of the wordings go through all patterns."""
+def _having(wordings: list[str], x: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in wordings])
 
-    def strip(x: Column) -> Column:
-        some = reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(w)) for w in STRIP_WORDINGS])
-        return F.when(some, reduce(lambda y, p: F.regexp_replace(y, f"(?i){p}", " "), STRIP_PATTERNS, x)).otherwise(x)
 
-    return F.regexp_replace(F.regexp_replace(let(c, strip), " +([,.;:])", "$1"), r"(^| )[_|]+( |$)", " ")
+def _without_notices(c: Column) -> Column:
+    """Clean text without archive terms, rights notices and lone bars; only texts with one of the wordings or signs go through the patterns."""
+    out = let(c, lambda x: F.when(let(F.lower(x), partial(_having, STRIP_WORDINGS)), reduce(lambda y, p: F.regexp_replace(y, f"(?i){p}", " "), STRIP_PATTERNS, x)).otherwise(x))
+    out = let(out, lambda x: F.when(_having([" ,", " .", " ;", " :"], x), F.regexp_replace(x, " +([,.;:])", "$1")).otherwise(x))
+    return let(out, lambda x: F.when(_having(["_", "|"], x), F.regexp_replace(x, r"(^| )[_|]+( |$)", " ")).otherwise(x))
 
 
 def strip_boilerplate(c: Column | str, entities: bool = True) -> Column:
@@ -98,7 +98,7 @@ def quality_flags(*fields: Column | str, entities: bool = True, cleaned: bool =
     """Names of the pattern groups that any field matches, in order of first appearance, joined by `|`. cleaned: fields are clean already."""
 
     def flags(low: Column) -> Column:
-        some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in QUALITY_WORDINGS])
+        some = _having(QUALITY_WORDINGS, low)
         hits = F.array(*[F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(flag)) for flag, patterns in QUALITY_PATTERNS.items()])
         return F.when(some, hits).otherwise(F.array().cast("array<string>"))
 
@@ -106,14 +106,15 @@ def quality_flags(*fields: Column | str, entities: bool = True, cleaned: bool =
     return F.array_join(F.array_distinct(F.filter(found, lambda x: x.isNotNull())), "|")
 
 
-def matching(c: Column | str) -> Column:
-    """Lower case, five kinds of dashes as hyphens, white space collapsed."""
-    return collapse(F.translate(F.lower(text(c)), "‐‑‒–—", "-----"))
+def matching(c: Column | str, cleaned: bool = False) -> Column:
+    """Lower case, five kinds of dashes as hyphens, white space collapsed (cleaned: it is already)."""
+    out = F.regexp_replace(F.lower(text(c)), "[‐‑‒–—]", "-")
+    return out if cleaned else collapse(out)
 
 
 def classification_text(fields: list[str], entities: bool = True) -> Column:
     """Fields without boilerplate, made ready for matching, joined by one space where they aren't empty."""
-    return join_pieces([matching(strip_boilerplate(f, entities)) for f in fields])
+    return join_pieces([matching(strip_boilerplate(f, entities), cleaned=True) for f in fields])
 
 
 def join_pieces(pieces: list[Column | str]) -> Column:

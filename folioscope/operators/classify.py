@@ -60,7 +60,7 @@ def classify(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool =
     keep = df.columns
     clean, bare = ({f: f"__{kind}_{i}" for i, f in enumerate(fields)} for kind in ("clean", "bare"))
     work = with_clean(df, {n: f for f, n in clean.items()}, entities).withColumn("__flags", quality_flags(*clean.values(), cleaned=True))
-    work = with_stripped(work, {bare[f]: clean[f] for f in fields}, entities).withColumns({n: matching(n) for n in bare.values()})
+    work = with_stripped(work, {bare[f]: clean[f] for f in fields}, entities).withColumns({n: matching(n, cleaned=True) for n in bare.values()})
     work = with_scores(work.withColumn("__text", join_pieces(list(bare.values()))), "__text", rules)
     short = F.length("__text") < rules["minimum_chars"]
     category, confidence, reason = _decision(rules, "Matched", "medium", "No causal or predictive rule terms matched in usable title/abstract text.")
