@@ -194,4 +194,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, when nothing reads them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers as bytes: their width, then each in the fewest of 2, 4 or 8 bytes that hold all."""
+    most = max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return bytes([width]) + np.ascontiguousarray(x, f"<i{width}").tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<i{b[0]}", offset=1).astype(np.int64)

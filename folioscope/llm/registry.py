@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import byte_bpe, decontaminate, embedding_dedup, language_id, licenses, line_dedup, ngram_join, secrets, substring_dedup, toxicity
+from folioscope.llm import byte_bpe, centroid_clustering, decontaminate, embedding_dedup, heap_bpe, language_id, licenses, line_dedup, ngram_join, secrets, substring_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_language_id": language_id.op10_language_id,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_heap_bpe": heap_bpe.op12_heap_bpe,
+    "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
 }
-SQL: dict[str, str] = {"op6_line_dedup": line_dedup.OP6_SQL}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.OP6_SQL, "op11_vector_codes": vector_codes.OP11_SQL, "op13_centroid_clustering": centroid_clustering.OP13_SQL}
