@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 
 from folioscope.config import DOI_PREFIXES, QUALITY_PATTERNS, QUALITY_WORDINGS, STRIP_PATTERNS, STRIP_WORDINGS
 
-#: White space as Unicode has it, no-break spaces included.
-SPACE = r"(?U)\s+"
+#: White space as Unicode has it, no-break spaces included, and the four separator controls.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 @F.pandas_udf(StringType())

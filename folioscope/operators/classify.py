@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.config import CATEGORIES, CLASSIFICATION_RULES, CONFIDENCE
-from folioscope.functions.text import blank, classification_text, col, join_pieces, matching, payload_key, present, quality_flags, text, with_clean, with_stripped
+from folioscope.functions.features import features
+from folioscope.functions.text import blank, col, payload_key, present, text
+from folioscope.operators.rank import first_by
+
 
+FAMILIES = [(f, k) for f in ("causal", "predictive") for k in ("strong", "moderate")]
 
-def phrase_regex(phrase: str) -> str:
-    """The phrase between characters that are no letters or digits; a space matches any white space, a hyphen also a space."""
-    first, *words = re.split(r"(?=[-\s])", re.sub(r"\s+", " ", phrase.lower().strip()))  # what comes before the first space or hyphen is looked for as it is
-    body = "".join((r"\s+" if w[0] == " " else r"[-\s]") + re.escape(w[1:]) for w in words)
-    return f"{re.escape(first)}(?<![a-z0-9]{re.escape(first)}){body}(?![a-z0-9])"
 
+def all_phrases(rules: dict = CLASSIFICATION_RULES) -> list[str]:
+    """The phrases of both families in the order in which hits are numbered."""
+    return [p for f, k in FAMILIES for p in rules[f][k]]
 
-def matched(c: Column, phrases: list[str]) -> Column:
-    """The phrases that occur, in their order, each once."""
-    if not phrases:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.when(c.rlike(phrase_regex(p)), F.lit(p)) for p in phrases]), lambda x: x.isNotNull())
 
+def with_scores(df: DataFrame, hits: Column, rules: dict = CLASSIFICATION_RULES) -> DataFrame:
+    """Adds __<family>_strong, _terms and _score for both families from the numbers of the phrases found, ascending: each counts once."""
 
-def with_scores(df: DataFrame, source: str, rules: dict = CLASSIFICATION_RULES) -> DataFrame:
-    """Adds __<family>_strong, _terms and _score for both families over the column `source`."""
-    found = {f"__{f}_{k}": matched(F.col(source), rules[f][k]) for f in ("causal", "predictive") for k in ("strong", "moderate")}
-    df = df.withColumns(found)
+    def among(start: int, phrases: list[str]) -> Column:
+        if not phrases:
+            return F.array().cast("array<string>")
+        names = F.array(*[F.lit(p) for p in phrases])
+        return F.transform(F.filter("__hits", lambda i: i.between(start, start + len(phrases) - 1)), lambda i: F.get(names, i - start))
+
+    sizes = [len(rules[f][k]) for f, k in FAMILIES]
+    found = {f"__{f}_{k}": among(sum(sizes[:at]), rules[f][k]) for at, (f, k) in enumerate(FAMILIES)}
+    df = df.withColumn("__hits", hits).withColumns(found)
     return df.withColumns(
         {f"__{f}_terms": F.concat(f"__{f}_strong", f"__{f}_moderate") for f in ("causal", "predictive")}
         | {f"__{f}_score": rules["strong_weight"] * F.size(f"__{f}_strong") + rules["moderate_weight"] * F.size(f"__{f}_moderate") for f in ("causal", "predictive")}
@@ -54,15 +56,13 @@ def _decision(rules: dict, prefix: str, none_confidence: str, none_reason: str)
     return category, confidence, reason
 
 
-def classify(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool = True) -> DataFrame:
-    """Adds the classification columns. The matching text is made once and reused by all phrases."""
+def classify(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool = True, titles: bool = False) -> DataFrame:
+    """Adds the classification columns: one pass over a row's texts finds all phrases. titles: also __title_hits, for title_triage."""
     fields = [f for f in rules["text_fields"] if f in df.columns]
     keep = df.columns
-    clean, bare = ({f: f"__{kind}_{i}" for i, f in enumerate(fields)} for kind in ("clean", "bare"))
-    work = with_clean(df, {n: f for f, n in clean.items()}, entities).withColumn("__flags", quality_flags(*clean.values(), cleaned=True))
-    work = with_stripped(work, {bare[f]: clean[f] for f in fields}, entities).withColumns({n: matching(n, cleaned=True) for n in bare.values()})
-    work = with_scores(work.withColumn("__text", join_pieces(list(bare.values()))), "__text", rules)
-    short = F.length("__text") < rules["minimum_chars"]
+    made = features(fields, all_phrases(rules), entities, fields.index("title") if titles and "title" in fields else None)
+    work = with_scores(df.withColumn("__f", made), F.col("__f.hits"), rules).withColumns({"__chars": F.col("__f.chars"), "__flags": F.col("__f.flags")})
+    short = F.col("__chars") < rules["minimum_chars"]
     category, confidence, reason = _decision(rules, "Matched", "medium", "No causal or predictive rule terms matched in usable title/abstract text.")
     too_short = F.when(F.col("__flags") != "", "Title and abstract text are too short after removing source boilerplate.").otherwise("Title and abstract text are too short for reliable rule-based classification.")
     made = F.struct(
@@ -74,9 +74,10 @@ def classify(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool =
         F.array_join("__causal_terms", "|").alias("causal_language_terms"),
         F.array_join("__predictive_terms", "|").alias("predictive_language_terms"),
         F.lit("rule_based").alias("classification_method"),
-        F.length("__text").alias("classification_text_chars"),
+        F.col("__chars").alias("classification_text_chars"),
         (~short).alias("has_usable_classification_text"),
         F.col("__flags").alias("classification_text_quality_flags"),
+        *([F.col("__f.title_hits").alias("__title_hits")] if titles else []),
     )
     return work.select(*keep, F.inline(F.array(made)))  # one row each; filters stay above, so that Spark doesn't repeat all steps in them
 
@@ -89,11 +90,24 @@ def resolved(df: DataFrame, kind: str = "category") -> Column:
     return F.when(F.coalesce(own, F.lit("")) == "", "missing").otherwise(own)
 
 
+SUGGESTION = ["title_only_suggested_category", "title_only_confidence", "title_only_reason"]
+
+
+def with_title_suggestion(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool = True) -> DataFrame:
+    """Adds what the title alone suggests, empty for rows with enough text, and the scores behind it. Uses what classify(titles=True) found, else looks at titles anew."""
+    hits = F.col("__title_hits") if "__title_hits" in df.columns else F.col("__title_f.hits")
+    if "__title_hits" not in df.columns:
+        df = df.withColumn("__title_f", features(["title"], all_phrases(rules), entities))
+    work = with_scores(df, hits, rules)
+    made = dict(zip(SUGGESTION, _decision(rules, "Title matched", "low", "No causal or predictive rule terms matched in the title."), strict=True))
+    short = resolved(df) == "insufficient_text"
+    return work.withColumns({n: F.when(short, c).otherwise("") for n, c in made.items()})
+
+
 def title_triage(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool = True) -> DataFrame:
     """Suggestions by title alone for rows with too little text; the labels stay as they are. Order by triage_order()."""
     rows = df.withColumn("current_category", resolved(df)).where("current_category = 'insufficient_text'")
-    work = with_scores(rows.withColumn("__title", classification_text(["title"], entities)), "__title", rules)
-    category, confidence, reason = _decision(rules, "Title matched", "low", "No causal or predictive rule terms matched in the title.")
+    work = with_title_suggestion(rows, rules, entities)
     given = ["article_id", "journal_short", "publication_year", "title", "classification_text_chars", "current_category"]
     return work.select(
         *[F.col(c) if c in work.columns else F.lit("").alias(c) for c in given],
@@ -101,9 +115,7 @@ def title_triage(df: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bo
         F.col("__predictive_score").alias("title_predictive_language_indicator"),
         F.array_join("__causal_terms", "|").alias("title_causal_language_terms"),
         F.array_join("__predictive_terms", "|").alias("title_predictive_language_terms"),
-        category.alias("title_only_suggested_category"),
-        confidence.alias("title_only_confidence"),
-        reason.alias("title_only_reason"),
+        *SUGGESTION,
         F.lit(True).alias("needs_manual_review"),
     )
 
@@ -158,10 +170,11 @@ def parse_model_response(c: Column | str) -> Column:
 
 
 def merge_model_results(df: DataFrame, responses: DataFrame, prompt: str, model: str, minimum_chars: int = 250, hybrid: bool = True) -> DataFrame:
-    """Rule labels overwritten by good model responses (cache_key, response) where the text isn't short; llm_status says what happened."""
+    """Rule labels overwritten by good model responses (cache_key, response) where the text isn't short; llm_status says what happened. Of several
+    responses with one key the first by text counts."""
     key = payload_key(article_id="article_id", prompt_version=F.lit(prompt), model=F.lit(model), title="title", abstract="abstract")
     keep = [c for c in df.columns if c not in ("causal_predictive_category", "classification_confidence", "classification_reason", "classification_method")]
-    answers = responses.dropDuplicates(["cache_key"]).select(F.col("cache_key").alias("__key"), parse_model_response("response").alias("__a"))
+    answers = first_by(responses, ["cache_key"], [F.asc("response")]).select(F.col("cache_key").alias("__key"), parse_model_response("response").alias("__a"))
     work = df.withColumn("__key", key).join(answers, "__key", "left")
     short = F.col("classification_text_chars") < minimum_chars
     status = F.when(short, "skipped_insufficient_text").when(F.col("__a").isNull(), "not_cached").when(F.col("__a.error") != "", "error").otherwise("ok")

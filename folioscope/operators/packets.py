@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from folioscope.config import CATEGORIES, CLASSIFICATION_RULES
 from folioscope.functions import text as T
-from folioscope.operators.classify import resolved, with_scores
+from folioscope.functions.features import features
+from folioscope.operators.classify import all_phrases, resolved, with_scores
 from folioscope.operators.labels import KEY, errors_of
 from folioscope.operators.rank import first_by
 from folioscope.operators.shares import flag
@@ -43,8 +44,9 @@ def review_difficulty(status: Column, cues: Column) -> Column:
 
 def review_guide(packet: DataFrame, rules: dict = CLASSIFICATION_RULES, entities: bool = True) -> DataFrame:
     """Each packet row's characters, text status, cues and difficulty."""
-    work = with_scores(packet.withColumn("__t", T.classification_text([f for f in rules["text_fields"] if f in packet.columns], entities)), "__t", rules)
-    size, own = F.length("__t"), F.length(F.trim(T.text("abstract")))
+    made = features([f for f in rules["text_fields"] if f in packet.columns], all_phrases(rules), entities)
+    work = with_scores(packet.withColumn("__f", made), F.col("__f.hits"), rules)
+    size, own = F.col("__f.chars"), F.length(F.trim(T.text("abstract")))
     status = text_status(size, own, rules["minimum_chars"])
     cues = cue_profile(F.col("__causal_score"), F.col("__predictive_score"))
     terms = [F.array_join(f"__{f}_terms", "|").alias(f"{f}_cue_terms") for f in ("causal", "predictive")]

@@ -11,10 +11,11 @@ from folioscope.checkpoints import materialized
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds 1..n by `order`, which should end in a unique column.
 
-    Rows are range-partitioned and sorted by the order, so partitions follow each other, and written once with their place within their partition;
-    to that the number of rows in the partitions before is added, from a table of one row for each partition."""
+    Rows are range-partitioned and sorted by the order, so partitions follow each other, and written with their place within their partition;
+    to that the number of rows in the partitions before is added, from a table of one row for each partition. Both writes run at once, when this is called:
+    range partitioning samples its input first, so that the input is written before it, and what leads to it runs once."""
     place = F.monotonically_increasing_id()  # the partition above 33 bits, the place within it below
-    placed = materialized(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
+    placed = materialized(materialized(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

@@ -47,13 +47,14 @@ def recovery_score(df: DataFrame, title_category: Column) -> tuple[Column, Colum
 
 
 def recovery_queue(df: DataFrame, triage: DataFrame | None = None, batch_size: int = 100) -> DataFrame:
-    """Rows with too little text, ranked by score and put in batches, with the links a person needs to look them up."""
+    """Rows with too little text, ranked by score and put in batches, with the links a person needs to look them up. What titles suggest stands beside the
+    rows (with_title_suggestion), or comes from a triage table, or is empty."""
     rows = df.where(resolved(df) == "insufficient_text")
     found = ["title_only_suggested_category", "title_only_confidence", "title_only_reason"]
     if triage is not None:
         one = triage.groupBy("article_id").agg(F.max(F.struct(*found)).alias("__t"))
         rows = rows.join(one, "article_id", "left").withColumns({c: F.coalesce(F.col(f"__t.{c}"), F.lit("")) for c in found}).drop("__t")
-    else:
+    elif not set(found) <= set(rows.columns):
         rows = rows.withColumns({c: F.lit("") for c in found})
     score, action, reasons = recovery_score(rows, F.col("title_only_suggested_category"))
     work = _value(rows, "openalex_id")

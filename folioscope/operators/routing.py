@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.checkpoints import materialized
 from folioscope.config import EXCLUDED_SCOPES
 from folioscope.functions import text as T
+from folioscope.functions.features import with_text_features
 from folioscope.operators.attempts import FAILED, by_prefix, by_prefix_source, source_context
 from folioscope.operators.enrich import ACCEPTED_TIERS, completion, filter_empty, match_backfill, source_error
 from folioscope.operators.rank import first_by, global_rank, numbered, top_by
@@ -324,16 +326,18 @@ def tier_advice(status: Column) -> Column:
     return by_value(status, TIER_ADVICE, "not_importable_from_cache")
 
 
-def local_evidence(queue: DataFrame, records: DataFrame, minimum: int = 250, entities: bool = True) -> DataFrame:
+def local_evidence(queue: DataFrame, records: DataFrame, minimum: int = 250, entities: bool = True, features: DataFrame | None = None) -> DataFrame:
     """Best candidate text of each queue row among source records of the same DOI, or else of the same title, journal and year: import-ready,
-    then clean, then long with the title, then the first by `record_order`. Two equi-joins instead of a scan for each row."""
-    key = lambda: F.concat_ws("|", T.title_key("title", entities), F.lower(T.text("journal_short")), T.text("publication_year"))
-    r = records.select(T.doi("doi").alias("__doi"), key().alias("__key"), F.col("record_order"), T.strip_boilerplate("abstract", entities).alias("candidate_text"), T.quality_flags("abstract", entities=entities).alias("candidate_flags"), "source").where("candidate_text <> ''")
-    q = queue.select("article_id", T.doi("doi").alias("__doi"), key().alias("__key"), F.length(T.clean("title", entities)).alias("__title"))
-    found = ["article_id", "__title", "record_order", "candidate_text", "candidate_flags", "source"]
+    then clean, then long with the title, then the first by `record_order`. Each record's text is looked at once, or found by content in a feature table;
+    only sizes and flags, written once, go into the two equi-joins."""
+    key = F.concat_ws("|", T.title_key("title", entities), F.lower(T.text("journal_short")), T.text("publication_year"))
+    sized = with_text_features(records.withColumn("__key", key), "abstract", "candidate", features, entities).where("candidate_stripped_chars > 0")
+    r = materialized(sized.select(T.doi("doi").alias("__doi"), "__key", "record_order", "candidate_stripped_chars", "candidate_flags", "source"))
+    q = queue.select("article_id", T.doi("doi").alias("__doi"), key.alias("__key"), F.length(T.clean("title", entities)).alias("__title"))
+    found = ["article_id", "__title", "record_order", "candidate_stripped_chars", "candidate_flags", "source"]
     by_doi = q.where("__doi <> ''").join(r.drop("__key"), "__doi").select(F.lit("source_records_exact_doi").alias("matched_by"), *found)
     by_title = q.where("__doi = ''").join(r.drop("__doi"), "__key").select(F.lit("source_records_exact_title_year").alias("matched_by"), *found)
-    size = F.length("candidate_text")
+    size = F.col("candidate_stripped_chars")
     chars = size + F.when(F.col("__title") > 0, F.col("__title") + 1).otherwise(0)
     clean = F.col("candidate_flags") == ""
     best = F.max(F.struct((clean & (chars >= minimum)).alias("ready"), clean.alias("clean"), chars.alias("chars"), (-F.col("record_order")).alias("o"), size.alias("abstract_chars"), "candidate_flags", "source", "matched_by"))

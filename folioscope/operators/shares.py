@@ -47,10 +47,14 @@ def abstract_coverage(df: DataFrame, groups: list[str] | None = None) -> DataFra
     return out.withColumn("abstract_share", rate(F.col("abstract_count"), F.col("group_total")))
 
 
-def sensitivity_shares(df: DataFrame, groups: list[str], triage: DataFrame) -> DataFrame:
-    """Shares under five treatments of rows with too little text. A key has one suggestion, the last by text if there are several."""
-    suggested = triage.groupBy("article_id").agg(F.max("title_only_suggested_category").alias("__s"))
-    work = df.withColumn("__c", resolved(df)).join(suggested, "article_id", "left")
+def sensitivity_shares(df: DataFrame, groups: list[str], triage: DataFrame | None = None) -> DataFrame:
+    """Shares under five treatments of rows with too little text. Suggestions stand beside the rows, or come from a table of them; there a key
+    has one, the last by text if there are several."""
+    work = df.withColumn("__c", resolved(df))
+    if triage is None:
+        work = work.withColumn("__s", F.col("title_only_suggested_category"))
+    else:
+        work = work.join(triage.groupBy("article_id").agg(F.max("title_only_suggested_category").alias("__s")), "article_id", "left")
     short = F.col("__c") == "insufficient_text"
 
     def one(name: str, category: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import features as FT
 from folioscope.functions import text as T
 from folioscope.operators import classify as C
 from folioscope.operators import rank as R
@@ -20,7 +21,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triage(spark, sf_dir):
-    return C.title_triage(classified(spark, sf_dir), RULES)
+    return C.title_triage(C.classify(articles(spark, sf_dir), RULES, titles=True), RULES)
 
 
 def text_cleaning(spark, sf_dir):
@@ -28,6 +29,12 @@ def text_cleaning(spark, sf_dir):
     return a.select("article_id", F.md5(T.clean("abstract").cast("binary")).alias("clean_md5"), F.md5(T.strip_boilerplate("abstract").cast("binary")).alias("stripped_md5"), T.quality_flags("title", "abstract").alias("flags"), F.length(T.classification_text(["title", "abstract"])).alias("chars"))
 
 
+def text_features(spark, sf_dir):
+    a = articles(spark, sf_dir)
+    known = FT.feature_table(a.select("abstract"))
+    return FT.with_text_features(a.select("article_id", "abstract"), "abstract", "abstract", known).select("article_id", "abstract_clean_chars", "abstract_stripped_chars", "abstract_flags")
+
+
 def keys(spark, sf_dir):
     a = articles(spark, sf_dir)
     rule, key = T.link_key("doi", "journal_short", "publication_year", "title")
@@ -58,9 +65,13 @@ def abstract_coverage(spark, sf_dir):
     return S.abstract_coverage(articles(spark, sf_dir), ["journal_short"])
 
 
+def _suggested(spark, sf_dir):
+    """Classified rows with what their titles suggest, from one pass over the texts."""
+    return C.with_title_suggestion(C.classify(articles(spark, sf_dir), RULES, titles=True), RULES)
+
+
 def sensitivity_shares(spark, sf_dir):
-    c = classified(spark, sf_dir)
-    return S.sensitivity_shares(c, ["journal_short"], C.title_triage(c, RULES))
+    return S.sensitivity_shares(_suggested(spark, sf_dir), ["journal_short"])
 
 
 def tier_shares(spark, sf_dir):
@@ -115,8 +126,7 @@ def expansion_gate(spark, sf_dir):
 
 
 def recovery_queue(spark, sf_dir):
-    c = classified(spark, sf_dir)
-    return V.recovery_queue(c, C.title_triage(c, RULES)).select("recovery_rank", "recovery_batch", "recovery_priority", "recovery_priority_score", "recovery_action", "recovery_reason", "article_id", "decade")
+    return V.recovery_queue(_suggested(spark, sf_dir)).select("recovery_rank", "recovery_batch", "recovery_priority", "recovery_priority_score", "recovery_action", "recovery_reason", "article_id", "decade")
 
 
 def global_rank(spark, sf_dir):
@@ -124,7 +134,7 @@ def global_rank(spark, sf_dir):
     return R.global_rank(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")]).withColumn("batch", R.batch_id("rank"))
 
 
-QUERIES = {f.__name__: f for f in (text_cleaning, keys, classify_rules, title_triage, category_shares, confidence_distribution, insufficient_rates, abstract_coverage, sensitivity_shares, tier_shares, tier_sensitivity_shares, tier_sensitivity_summary, insufficient_profile, trend_changes, scope_counts, confusion, category_metrics, agreement_summary, disagreements, expansion_gate, recovery_queue, global_rank)}
+QUERIES = {f.__name__: f for f in (text_cleaning, text_features, keys, classify_rules, title_triage, category_shares, confidence_distribution, insufficient_rates, abstract_coverage, sensitivity_shares, tier_shares, tier_sensitivity_shares, tier_sensitivity_summary, insufficient_profile, trend_changes, scope_counts, confusion, category_metrics, agreement_summary, disagreements, expansion_gate, recovery_queue, global_rank)}
 
 _W = f"WITH {Q.CLASSIFIED}"
 _LABELLED = f"""{_W}, {B["validation"]},
@@ -140,6 +150,7 @@ def _shares(source: str, groups: str, value: str, out: str) -> str:
 
 
 SQL = {
+    "text_features": f"WITH {B['articles']} SELECT article_id, CAST(length({Q.clean('abstract')}) AS INTEGER) AS abstract_clean_chars, CAST(length({Q.strip('abstract')}) AS INTEGER) AS abstract_stripped_chars, {Q.flags('abstract')} AS abstract_flags FROM articles",
     "text_cleaning": f"WITH {B['articles']} SELECT article_id, md5({Q.clean('abstract')}) AS clean_md5, md5({Q.strip('abstract')}) AS stripped_md5, {Q.flags('title', 'abstract')} AS flags, CAST(length(array_to_string(list_filter([{Q.matching(Q.strip('title'))}, {Q.matching(Q.strip('abstract'))}], lambda v: v <> ''), ' ')) AS INTEGER) AS chars FROM articles",
     "keys": f"""WITH {B["articles"]}, k AS (SELECT *, {Q.title_key("title")} AS tk FROM articles)
 SELECT article_id, lower(doi) AS doi, tk AS title_key, 'art_' || substr(sha1(CASE WHEN doi <> '' THEN 'doi:' || lower(doi) ELSE 'title:' || journal_short || ':' || publication_year || ':' || tk END), 1, 16) AS key_id,

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import page as P
+from folioscope.functions import features as FT
 from folioscope.functions import text as T
 from folioscope.operators import classify as C
 from folioscope.operators import enrich as E
@@ -66,7 +67,45 @@ def test_rules(spark):
 
 def test_phrase_boundaries(spark):
     df = spark.createDataFrame([("causal effects",)], "t string")
-    assert df.select(C.matched(F.col("t"), ["causal effect", "causal effects"])).first()[0] == ["causal effects"]
+    assert df.select(FT.phrase_hits("t", ["causal effect", "causal effects"])).first()[0] == [1]
+
+
+def test_phrases_against_patterns_one_by_one():
+    import random
+    import re
+
+    phrases = ["causal effect", "difference-in-differences", "out-of-sample", "out of sample", "predict", "predicts", "effect of", "effects of", "-odd start", "a", "a-b-c", "effect"]
+    rules = [re.compile("(?<![a-z0-9])" + p[0].replace("-", r"\-") + r"".join("[- ]" if c == "-" else re.escape(c) for c in p[1:]) + "(?![a-z0-9])") for p in phrases]
+    rng = random.Random(4)
+    bits = ["causal", "effect", "effects", "of", "out", "sample", "-", "-", " ", " ", " ", "difference", "in", "differences", "predict", "s", "x", "é", "a", "b", "c", "odd start", "1", "."]
+    find = FT.Phrases(phrases).find
+    for _ in range(4000):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert find(t) == [i for i, r in enumerate(rules) if r.search(t)], t
+    assert FT.Phrases([]).find("a") == [] and FT.Phrases([""]).find("a") == []
+
+
+def test_features_are_the_text_functions(spark):
+    texts = [None, "", "  a\u00a0b\x1cc ", "<p>Text &lt;b&gt; x</p>", "A , b . _ | c", "Copyright © 1999 All rights reserved. Body — dash", "This content downloaded from 1.2.3.4 all use subject to http://about.jstor.org/terms", "x|y", "| lone | bars _", "R&amp;D &lt;i&gt;it"]
+    df = spark.createDataFrame([(i, t, texts[-1 - i]) for i, t in enumerate(texts)], "i int, t string, u string")
+    both = df.select("*", FT.features(["t", "u"], ["a", "body"], title=0).alias("f"), FT.stripped_size("t").alias("s"))
+    for r in both.select("*", F.length(T.classification_text(["t", "u"])).alias("chars"), T.quality_flags("t", "u").alias("flags"), F.length(T.strip_boilerplate("t")).alias("size"), F.length(T.clean("t")).alias("clean")).collect():
+        assert (r["f"]["chars"], r["f"]["flags"], r["s"]["stripped_chars"], r["s"]["clean_chars"]) == (r["chars"], r["flags"], r["size"], r["clean"]), r
+    assert {r["i"]: r["f"]["title_hits"] for r in both.collect()}[4] == [0]
+
+
+def test_a_distinct_text_is_looked_at_once(spark):
+    df = spark.createDataFrame([(i, f"text {i % 5} all rights reserved") for i in range(100)] + [(100, None), (101, "")], "i int, t string")
+    table = FT.feature_table(df.select("t"))
+    assert table.count() == 6
+    joined = FT.with_text_features(df, "t", "t", table)
+    assert joined.count() == 102 and joined.columns == ["i", "t", "t_clean_chars", "t_stripped_chars", "t_flags"]
+    assert {tuple(r) for r in joined.collect()} == {tuple(r) for r in FT.with_text_features(df, "t", "t").collect()}
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    classified = C.classify(df.selectExpr("cast(i as string) article_id", "t as title", "t as abstract"), titles=True)
+    plan = C.with_title_suggestion(classified).where("causal_predictive_category = 'insufficient_text'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_scope_order(spark):
