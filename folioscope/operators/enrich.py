@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from folioscope.checkpoints import materialized
 from folioscope.functions import text as T
 from folioscope.operators.rank import first_by
+from folioscope.operators.titles import best_titles, title_ratio
 
 # Which status wins an upsert, sources of formal abstracts, tiers, scopes that aren't research.
 STATUS_RANK = {"enriched": 60, "pdf_candidate": 50, "partial_short_text": 40, "not_found": 30, "rate_limited": 20, "error": 20, "skipped_nonresearch_scope": 10}
@@ -21,19 +19,9 @@ REJECTED_TIERS = ("tier_d_title_only_triage", "tier_e_blocked")
 NONRESEARCH = ("review_erratum_paratext", "comment_reply", "lecture_address")
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    def one(a: str, b: str) -> float:
-        if not a or not b:
-            return 0.0
-        return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
-
-    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
-
-
 def title_match(left: Column | str, right: Column | str, entities: bool = True) -> Column:
     """Similarity of normalised titles, 0 to 1. Not symmetric: the incoming title goes left."""
-    return _ratio(T.title_key(left, entities), T.title_key(right, entities))
+    return title_ratio(T.title_key(left, entities), T.title_key(right, entities))
 
 
 def text_chars(title: Column | str, abstract: Column | str, entities: bool = True) -> Column:
@@ -216,32 +204,29 @@ def filter_empty(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFram
 def match_backfill(backfill: DataFrame, articles: DataFrame, minimum: float = 0.9, require_source: bool = False, entities: bool = True, within: list[str] | None = None) -> DataFrame:
     """One row for each backfill row (row_number, article_id, doi, title, publication_year, abstract, source, ...): matched_id, matched_by and error.
 
-    By article id if one is given, else by DOI (must be unique), else by title within the year. The title block is sound: a similarity r
-    needs lengths within r / (2 - r) of each other. Rows without a year are compared with all years, as a side of their own. In order of
-    row_number the first row of an article whose title fits is taken; later ones are duplicates (`within`: among rows of the same keys)."""
-    ratio = minimum / (2 - minimum)
-    b = backfill.withColumns({"__id": _of(backfill, "article_id"), "__doi": T.doi("doi"), "__t": T.title_key("title", entities), "__y": _of(backfill, "publication_year")})
-    a = articles.select(F.col("article_id").alias("__aid"), T.doi("doi").alias("__adoi"), T.title_key("title", entities).alias("__at"), T.collapse(T.text("publication_year")).alias("__ay"))
-    by_id = a.select(F.col("__aid").alias("__id"), F.col("__aid").alias("__m_id")).dropDuplicates(["__id"])
-    by_doi = a.where("__adoi <> ''").groupBy(F.col("__adoi").alias("__doi")).agg(F.count("*").alias("__n_doi"), F.min("__aid").alias("__m_doi"))
-    work = b.join(by_id, "__id", "left").join(by_doi, "__doi", "left")
-    asks = work.where("__id = '' and __doi = '' and __t <> ''").select("row_number", "__t", "__y")
-    width = F.least(F.length("__t"), F.length("__at")) >= ratio * F.greatest(F.length("__t"), F.length("__at"))
-    dated = asks.where("__y <> ''").join(a, (F.col("__y") == F.col("__ay")) & width)
-    band = 8  # blank years: titles meet in bands of lengths instead
-    spread = F.sequence(F.floor(F.length("__t") * ratio / band), F.floor(F.length("__t") / ratio / band))
-    undated = asks.where("__y = ''").withColumn("__band", F.explode(spread)).join(a.withColumn("__band", F.floor(F.length("__at") / band)), "__band").where(width).drop("__band")
-    scored = dated.unionByName(undated).withColumn("__s", _ratio("__t", "__at")).where(F.col("__s") >= minimum)
-    best = scored.groupBy("row_number").agg(F.max("__s").alias("__best"), F.max_by("__aid", F.struct("__s", "__aid")).alias("__m_title")).join(scored.select("row_number", "__s"), "row_number").where("__s = __best").groupBy("row_number", "__best", "__m_title").agg(F.count("*").alias("__n_best"))
-    work = work.join(best, "row_number", "left")
-    by = F.when(F.col("__id") != "", F.when(F.col("__m_id").isNotNull(), "article_id").otherwise("unknown_article_id")).when(F.col("__doi") != "", F.when(F.col("__n_doi") == 1, "doi").when(F.col("__n_doi") > 1, "ambiguous_doi").otherwise("unknown_doi")).when(F.col("__t") == "", "missing_title").when(F.col("__n_best") == 1, "title_year").when(F.col("__n_best") > 1, "ambiguous_title").otherwise("no_title_match")
-    matched = F.when(by == "article_id", F.col("__m_id")).when(by == "doi", F.col("__m_doi")).when(by == "title_year", F.col("__m_title"))
-    work = work.withColumn("matched_by", by).withColumn("matched_id", matched)
-    work = work.join(a.select(F.col("__aid").alias("matched_id"), F.col("__at").alias("__mt")).dropDuplicates(["matched_id"]), "matched_id", "left")
+    By article id if one is given, else by DOI (must be unique), else by title within the year; rows without a year ask all years. Titles meet by a prefix filter
+    (see titles), so that no year is compared with itself as a whole. In order of row_number the first row of an article whose title fits is taken; later ones
+    are duplicates (`within`: among rows of the same keys). Keys and flags of both tables are written once; texts stay where they are."""
+    within = within or []
     needs = source_error(_of(backfill, "source"), _of(backfill, "source_url"), _of(backfill, "source_record_id"), _of(backfill, "evidence_tier")) if require_source else F.lit("")
-    early = F.when(T.blank("abstract"), "missing_abstract").when(needs != "", needs).when(F.col("matched_id").isNull(), "unmatched_article").otherwise("")
-    fits = (F.col("__t") == "") | (F.coalesce(_ratio("__t", F.coalesce("__mt", F.lit(""))), F.lit(0.0)) >= minimum)
-    work = work.withColumn("__early", early).withColumn("__fits", (F.col("__early") == "") & fits)
-    taken = F.min(F.when(F.col("__fits"), F.col("row_number"))).over(Window.partitionBy("matched_id", F.col("__early") == "", *(within or [])))
+    lacks = F.when(T.blank("abstract"), "missing_abstract").otherwise(needs)
+    b = materialized(backfill.select("row_number", *within, _of(backfill, "article_id").alias("__id"), T.doi("doi").alias("__doi"), T.title_key("title", entities).alias("__t"), _of(backfill, "publication_year").alias("__y"), lacks.alias("__lacks")))
+    a = materialized(articles.select(F.col("article_id").alias("__aid"), T.doi("doi").alias("__adoi"), T.title_key("title", entities).alias("__at"), T.collapse(T.text("publication_year")).alias("__ay")))
+    by_id = a.groupBy(F.col("__aid").alias("__id")).agg(F.min("__at").alias("__t_id"))
+    by_doi = a.where("__adoi <> ''").groupBy(F.col("__adoi").alias("__doi")).agg(F.count("*").alias("__n_doi"), F.min("__aid").alias("__m_doi"), F.min("__at").alias("__t_doi"))
+    asks = b.where("__id = '' and __doi = '' and __t <> ''").select(F.col("__t").alias("t"), F.col("__y").alias("__y"))
+    known = a.select(F.col("__at").alias("t"), F.col("__ay").alias("__y"), F.col("__aid").alias("key"))
+    dated = best_titles(asks.where("__y <> ''"), known, minimum, ["__y"])
+    undated = best_titles(asks.where("__y = ''"), known, minimum).withColumn("__y", F.lit(""))
+    best = dated.unionByName(undated).select(F.col("t").alias("__t"), "__y", F.col("n").alias("__n_best"), F.col("key").alias("__m_title"))
+    work = b.join(by_id, "__id", "left").join(by_doi, "__doi", "left").join(best, ["__t", "__y"], "left")
+    by = F.when(F.col("__id") != "", F.when(F.col("__t_id").isNotNull(), "article_id").otherwise("unknown_article_id")).when(F.col("__doi") != "", F.when(F.col("__n_doi") == 1, "doi").when(F.col("__n_doi") > 1, "ambiguous_doi").otherwise("unknown_doi")).when(F.col("__t") == "", "missing_title").when(F.col("__n_best") == 1, "title_year").when(F.col("__n_best") > 1, "ambiguous_title").otherwise("no_title_match")
+    matched = F.when(by == "article_id", F.col("__id")).when(by == "doi", F.col("__m_doi")).when(by == "title_year", F.col("__m_title"))
+    work = work.withColumns({"matched_by": by, "matched_id": matched, "__mt": F.when(by == "article_id", F.col("__t_id")).when(by == "doi", F.col("__t_doi"))})
+    early = F.when(F.col("__lacks") != "", F.col("__lacks")).when(F.col("matched_id").isNull(), "unmatched_article").otherwise("")
+    asked = (F.col("__t") != "") & F.col("matched_by").isin("article_id", "doi")  # a match by title fits already
+    work = work.withColumn("__early", early).withColumn("__s", title_ratio(F.when(asked, F.col("__t")), F.when(asked, F.col("__mt"))))
+    work = work.withColumn("__fits", (F.col("__early") == "") & (~asked | (F.col("__s") >= minimum)))
+    taken = F.min(F.when(F.col("__fits"), F.col("row_number"))).over(Window.partitionBy("matched_id", F.col("__early") == "", *within))
     error = F.when(F.col("__early") != "", F.col("__early")).when(F.col("row_number") == taken, "").when(taken < F.col("row_number"), "duplicate_backfill_article_id").otherwise("title_mismatch")
     return work.select("row_number", "matched_id", "matched_by", error.alias("error"))

@@ -11,6 +11,7 @@ from folioscope.operators import labels as L
 from folioscope.operators import link as K
 from folioscope.operators import sample as M
 from folioscope.operators import shares as S
+from folioscope.operators import titles as Y
 from folioscope.plans import sqltext as Q
 from folioscope.plans.article_queries import classified
 from folioscope.plans.bindings import SQL as B
@@ -155,6 +156,13 @@ def backfill_match(spark, sf_dir):
     return E.match_backfill(rows, a)
 
 
+def title_bound_pairs(spark, sf_dir):
+    """Titles of one year whose characters allow a ratio of 0.9."""
+    t = articles(spark, sf_dir).select("publication_year", T.title_key("title").alias("t")).distinct()
+    pairs = Y.bounded_pairs(t.withColumnRenamed("t", "l"), t.withColumnRenamed("t", "r"), 0.9, ["publication_year"])
+    return pairs.where("l < r").select("publication_year", F.md5(F.col("l").cast("binary")).alias("l_md5"), F.md5(F.col("r").cast("binary")).alias("r_md5"), "overlap")
+
+
 def strata(spark, sf_dir):
     return M.with_strata(classified(spark, sf_dir)).groupBy("stratum", "is_ambiguous").agg(F.count("*").alias("n"))
 
@@ -173,7 +181,7 @@ def tier_counts(spark, sf_dir):
     return S.shares(articles(spark, sf_dir), ["journal_short"], "text_enrichment_status")
 
 
-QUERIES = {f.__name__: f for f in (link_articles, source_overlap, duplicate_dois, coverage_by_source, missingness, article_counts, source_totals, validation_errors, merge_labels, label_drift, label_completion, reviewer_agreement, disagreement_packet, attempts_by_prefix_source, attempts_by_prefix, best_and_worst_source, attempt_context, attempt_sample, first_found, enrichment_candidates, upsert_enrichment, apply_enrichment, append_log, backfill_match, strata, validation_sample, impact_summary, tier_counts)}
+QUERIES = {f.__name__: f for f in (link_articles, source_overlap, duplicate_dois, coverage_by_source, missingness, article_counts, source_totals, validation_errors, merge_labels, label_drift, label_completion, reviewer_agreement, disagreement_packet, attempts_by_prefix_source, attempts_by_prefix, best_and_worst_source, attempt_context, attempt_sample, first_found, enrichment_candidates, upsert_enrichment, apply_enrichment, append_log, backfill_match, title_bound_pairs, strata, validation_sample, impact_summary, tier_counts)}
 
 _R = f"WITH {B['records']}, keyed AS (SELECT *, {Q.title_key('title')} AS tk, CASE WHEN doi <> '' THEN 'doi' ELSE 'title_journal_year' END AS rule, CASE WHEN doi <> '' THEN lower(doi) ELSE journal_short || '|' || publication_year || '|' || {Q.title_key('title')} END AS link_key FROM records)"
 
@@ -212,6 +220,9 @@ def _state_sql(shift: int) -> str:
 _TIER = "CASE WHEN st <> 'enriched' THEN '' WHEN so = 'oa_pdf_first_pages' THEN 'tier_c_first_page_abstract_or_intro' ELSE 'tier_a_formal_abstract' END"
 _C = f"WITH {Q.CLASSIFIED}"
 SQL = {
+    "title_bound_pairs": f"""WITH {B['articles']}, t AS (SELECT DISTINCT publication_year, {Q.title_key('title')} AS t FROM articles), n AS (SELECT *, list_transform(string_split({Q.lit(Y.ALPHABET)}, ''), lambda c: length(t) - length(replace(t, c, ''))) AS n FROM t WHERE t <> ''),
+p AS (SELECT l.publication_year, md5(l.t) AS l_md5, md5(r.t) AS r_md5, length(l.t) + length(r.t) AS size, list_sum(list_transform(range(1, {len(Y.ALPHABET) + 1}), lambda i: least(l.n[i], r.n[i]))) AS overlap FROM n l JOIN n r ON l.publication_year = r.publication_year AND l.t < r.t)
+SELECT publication_year, l_md5, r_md5, CAST(overlap AS INTEGER) AS overlap FROM p WHERE overlap >= ceil(size * 0.45 - 1e-9)""",
     "link_articles": f"""{_R}, g AS (SELECT rule, link_key, {_pick("title", "crossref")} AS ti, {_pick("volume", "crossref")} AS vo, {_pick("article_type", "crossref")} AS ty, {_pick("publication_year", "crossref")} AS ye, {_pick("abstract", "openalex")} AS ab, {_pick("doi", "crossref")} AS dd, {_pick("journal_short", "crossref")} AS jo,
  bool_or(source = 'crossref') AS cr, count(*) AS n, {", ".join(f"count(DISTINCT {_normal(f)}) FILTER ({Q.collapse(f)} <> '') > 1 AS d_{f}" for f in ("doi", "title", "publication_year", "volume", "article_type"))} FROM keyed GROUP BY 1, 2)
 SELECT 'art_' || substr(sha1(CASE WHEN dd.v IS NOT NULL THEN 'doi:' || lower(dd.v) ELSE 'title:' || jo.v || ':' || ye.v || ':' || split_part(link_key, '|', 3) END), 1, 16) AS article_id, coalesce(ti.v, '') AS title, coalesce(vo.v, '') AS volume, coalesce(ty.v, '') AS article_type, CAST(ye.v AS INTEGER) AS publication_year, md5(coalesce(ab.v, '')) AS abstract_md5,
