@@ -224,7 +224,7 @@ def route_matrix(decisions: DataFrame, probes: DataFrame) -> DataFrame:
     return work.withColumn("current_route_status", status)
 
 
-def route_unit(action: Column | str, doi: Column | str) -> Column:
+def route_unit(action: Column | str) -> Column:
     """The unit of the route matrix that a queue row looks up where its DOI prefix has none."""
     return by_value(T.text(action), {"extend_existing_short_abstract": "partial_short_text_extension", "review_openalex_or_title_match": "openalex_or_title_search", "review_oa_pdf_or_first_pages": "oa_pdf_review"}, "")
 
@@ -409,37 +409,6 @@ def duplicate_ids(df: DataFrame, key: str = "article_id") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
-def stage_exports(base: DataFrame, exports: DataFrame) -> DataFrame:
-    """Reviewer exports checked against split rows (article_id, split_group, current_abstract): one row an export with `error`, empty for those that can
-    be staged. The caller writes none if any has an error."""
-    b = first_by(base, ["article_id"], [F.asc("split_group"), F.asc("current_abstract")]).select("article_id", F.col("split_group").alias("__g"), T.text("current_abstract").alias("__now"), F.lit(True).alias("__known"))
-    work = exports.withColumn("__k", F.row_number().over(Window.partitionBy("article_id").orderBy("export_row"))).join(b, "article_id", "left")
-    error = (
-        F.when(F.col("__known").isNull(), "unknown_article_id").when(F.col("__k") > 1, "duplicate_article_id").when(F.col("__g") != F.col("split_group"), "split_group_mismatch").when(F.col("__g").isin("waiting_scope_review", "excluded_nonresearch"), "group_not_stageable")
-        .when(T.blank("backfill_abstract"), "missing_abstract").when(source_error("source", "source_url", "source_record_id", "evidence_tier") != "", source_error("source", "source_url", "source_record_id", "evidence_tier"))
-        .when((F.col("__g") == "ready_partial_text_extension") & (F.length("backfill_abstract") <= F.length("__now")), "partial_text_not_extended").otherwise("")
-    )
-    return work.select("export_row", "article_id", error.alias("error"))
-
-
-def action_progress(packet: DataFrame, exports: DataFrame, staged: DataFrame, errors: DataFrame) -> DataFrame:
-    """Each packet row with the counts of its exports, staged rows and errors, and what that makes its status."""
-    n = lambda df, name: df.groupBy("article_id").agg(F.count("*").alias(name))
-    work = packet.join(n(exports, "exports"), "article_id", "left").join(n(staged, "staged"), "article_id", "left").join(n(errors, "errors"), "article_id", "left").na.fill(0, ["exports", "staged", "errors"])
-    status = F.when(F.col("errors") > 0, "fix_errors").when(F.col("staged") > 0, "ready_for_import").when(F.col("exports") > 0, "exported_not_staged").otherwise("not_started")
-    return work.withColumn("progress_status", status)
-
-
-def progress_summary(detail: DataFrame, group: str) -> DataFrame:
-    order = F.array(*[F.lit(s) for s in ("fix_errors", "ready_for_import", "exported_not_staged", "not_started")])
-    return detail.groupBy(group).agg(F.count("*").alias("rows"), *[F.sum(flag(F.col("progress_status") == s)).alias(s) for s in ("fix_errors", "ready_for_import", "exported_not_staged", "not_started")], F.min(F.array_position(order, F.col("progress_status"))).alias("__o")).withColumn("next_status", F.element_at(order, F.col("__o").cast("int"))).drop("__o")
-
-
-def kickoff(detail: DataFrame, limit: int) -> DataFrame:
-    """The rows to begin with: unfinished ones, by priority, tier, rank and year (a top-k report)."""
-    return detail.where("progress_status <> 'ready_for_import'").orderBy(F.desc("recovery_priority_score"), F.asc("quick_win_tier"), F.asc("recovery_rank"), F.desc("publication_year"), F.asc("article_id")).limit(limit)
-
-
 def recent_triage(queue: DataFrame, scope_packet: DataFrame, start: int, journals: list[str] | None = None) -> DataFrame:
     """Recent queue rows in two lanes: those whose scope is under review wait."""
     rows = queue.where(T.number("publication_year") >= start)

@@ -11,6 +11,7 @@ from folioscope.operators import recovery as V
 from folioscope.operators import routing as R
 from folioscope.operators import scope as O
 from folioscope.operators import shares as S
+from folioscope.operators import staging as G
 from folioscope.operators.attempts import FAILED
 from folioscope.plans import sqltext as Q
 from folioscope.plans.article_queries import SQL as A
@@ -42,10 +43,10 @@ def decision_plan(spark, sf_dir):
     return R.decision_plan(R.prepared(_queue(spark, sf_dir)), attempts(spark, sf_dir))
 
 
-def _routes(spark, sf_dir):
+def _routes(spark, sf_dir, queue=None):
     """Pages as probes of the decisions."""
     probes = table(spark, sf_dir, "pages").selectExpr(f"element_at(array({', '.join(repr(u) for u in _PROBED)}), cast(page_id % {len(_PROBED)} as int) + 1) as decision_unit", "element_at(array('not_found', 'http_error', 'abstract_found'), cast(length(html) % 3 as int) + 1) as outcome")
-    return R.route_matrix(R.decision_plan(R.prepared(_queue(spark, sf_dir)), attempts(spark, sf_dir)), probes.where("decision_unit <> '10.1086' or outcome <> 'abstract_found'"))
+    return R.route_matrix(R.decision_plan(R.prepared(queue or _queue(spark, sf_dir)), attempts(spark, sf_dir)), probes.where("decision_unit <> '10.1086' or outcome <> 'abstract_found'"))
 
 
 _PROBED = ["10.1257", "10.1086", "10.1111", "oa_pdf_review"]
@@ -56,14 +57,13 @@ def route_matrix(spark, sf_dir):
 
 
 def workplan(spark, sf_dir):
-    """Status and split group of each queue row, with the route of its DOI prefix."""
-    q = _queue(spark, sf_dir).withColumns({"decision_unit": T.doi_prefix_family("doi"), "n": T.number("article_id").cast("long")})
-    routes = _routes(spark, sf_dir).select("decision_unit", "current_route_status")
+    """Status and split group of each queue row, with the route of its DOI prefix or else of its action."""
+    q = _queue(spark, sf_dir).withColumn("n", T.number("article_id").cast("long"))
     scope = F.when(F.col("n") % 5 == 1, "comment_reply").otherwise("")
     pdf = F.element_at(F.array(F.lit("extracted"), F.lit("too_short"), F.lit("")), (F.col("n") % 3 + 1).cast("int"))
     decided = F.element_at(F.array(F.lit(""), F.lit("exclude_nonresearch"), F.lit("unsure"), F.lit(""), F.lit("keep"), F.lit("")), (F.col("n") % 6 + 1).cast("int"))
-    work = q.join(routes, "decision_unit", "left").withColumn("row_status", R.row_workflow(decided, scope, F.lit(False), F.col("recovery_action"), pdf, T.text("current_route_status"), F.col("oa_pdf_url")))
-    return work.select("article_id", "row_status", R.split_group("row_status").alias("split_group"))
+    work = G.with_route(q, _routes(spark, sf_dir, q)).withColumn("row_status", R.row_workflow(decided, scope, F.lit(False), F.col("recovery_action"), pdf, T.text("current_route_status"), F.col("oa_pdf_url")))
+    return work.select("article_id", F.coalesce("current_route_status", F.lit("")).alias("route_status"), "row_status", R.split_group("row_status").alias("split_group"))
 
 
 def _split_rows(spark, sf_dir):
@@ -81,9 +81,10 @@ def review_queue(spark, sf_dir):
 
 
 def automation(spark, sf_dir):
-    q = R.review_queue(_split_rows(spark, sf_dir))
-    status = R.automation_status(F.col("completion_status"), F.col("quick_win_tier"), F.col("current_text_quality_flag"), F.col("source_route_family"), F.col("row_status"), F.when(F.col("doi").startswith("10.1111"), "unsupported_existing_route").otherwise(""), F.lit(""))
-    return q.select("article_id", status.alias("automation_status"))
+    """Automation status of each review row, with the route of its DOI or family."""
+    q = G.with_review_route(R.review_queue(_split_rows(spark, sf_dir)), _routes(spark, sf_dir))
+    status = R.automation_status(F.col("completion_status"), F.col("quick_win_tier"), F.col("current_text_quality_flag"), F.col("source_route_family"), F.col("row_status"), T.text("current_route_status"), T.text("decision"))
+    return q.select("article_id", T.text("current_route_status").alias("route_status"), status.alias("automation_status"))
 
 
 def import_preflight(spark, sf_dir):
@@ -92,8 +93,7 @@ def import_preflight(spark, sf_dir):
 
 def action_packet(spark, sf_dir):
     q = R.review_queue(_split_rows(spark, sf_dir)).withColumn("decade", T.decade("publication_year"))
-    auto = q.select("article_id", F.lit("manual_review_required").alias("automation_status"))
-    return R.action_packet(_evidence(spark, sf_dir), q, cell_targets(spark, sf_dir), auto).select("article_id", "cached_evidence_status", "evidence_tier_suggestion", "quick_win_tier", "cell_target_rank", "action_group")
+    return R.action_packet(_evidence(spark, sf_dir), q, cell_targets(spark, sf_dir), automation(spark, sf_dir)).select("article_id", "cached_evidence_status", "evidence_tier_suggestion", "quick_win_tier", "cell_target_rank", "action_group")
 
 
 def candidate_urls(spark, sf_dir):
@@ -233,15 +233,19 @@ SQL = {
     "prefix_plan": f"{_LANES}, {_PREFIX_PLAN} SELECT * FROM plan",
     "decision_plan": f"{_LANES}, {_OVERVIEW}, {_PREFIX_PLAN}, {_DECISIONS} SELECT * FROM decisions",
     "route_matrix": f"{_LANES}, {_OVERVIEW}, {_PREFIX_PLAN}, {_DECISIONS}, {_ROUTES} SELECT decision_unit, unit_type, decision, probe_rows, probe_abstract_found_rows, current_route_status FROM routes",
-    "workplan": f"""{_LANES}, {_OVERVIEW}, {_PREFIX_PLAN}, {_DECISIONS}, {_ROUTES}, wl AS (SELECT l.*, coalesce(current_route_status, '') AS rs, CAST(l.article_id AS BIGINT) AS i FROM l LEFT JOIN routes ON decision_unit = doi_prefix),
-w AS (SELECT article_id, CASE WHEN i % 6 = 1 THEN 'scope_review_excluded_nonresearch' WHEN i % 6 = 2 THEN 'scope_review_unsure_before_recovery' WHEN i % 5 = 1 THEN 'scope_review_before_recovery'
+    "workplan": f"""{_LANES}, {_OVERVIEW}, {_PREFIX_PLAN}, {_DECISIONS}, {_ROUTES}, wl AS (SELECT l.*, CASE WHEN r1.decision_unit IS NOT NULL THEN r1.current_route_status ELSE coalesce(r2.current_route_status, '') END AS rs, CAST(l.article_id AS BIGINT) AS i FROM l LEFT JOIN routes r1 ON r1.decision_unit = doi_prefix AND doi_prefix <> '' LEFT JOIN routes r2 ON r2.decision_unit = CASE recovery_action WHEN 'extend_existing_short_abstract' THEN 'partial_short_text_extension' WHEN 'review_openalex_or_title_match' THEN 'openalex_or_title_search' WHEN 'review_oa_pdf_or_first_pages' THEN 'oa_pdf_review' END),
+w AS (SELECT article_id, rs AS route_status, CASE WHEN i % 6 = 1 THEN 'scope_review_excluded_nonresearch' WHEN i % 6 = 2 THEN 'scope_review_unsure_before_recovery' WHEN i % 5 = 1 THEN 'scope_review_before_recovery'
  WHEN recovery_action = 'review_oa_pdf_or_first_pages' THEN CASE i % 3 WHEN 0 THEN 'autofill_pdf_text' WHEN 1 THEN 'pdf_route_blocked_use_manual_metadata' ELSE 'try_public_pdf_once' END WHEN recovery_action = 'extend_existing_short_abstract' THEN 'manual_extend_partial_text'
  WHEN recovery_action = 'recover_abstract_from_doi_or_publisher' THEN CASE WHEN rs IN ('unsupported_existing_route', 'do_not_rerun_landing_pages', 'manual_or_new_template_only') THEN 'manual_index_or_new_template' WHEN rs IN ('ready_bounded_source_pass', 'source_specific_probe_needed', 'candidate_route_requires_parser_or_url_update') THEN 'source_specific_followup' WHEN rs = 'scienceon_bounded_recovery' THEN rs ELSE 'manual_doi_metadata_review' END
  WHEN recovery_action = 'review_openalex_or_title_match' THEN 'manual_index_title_match' ELSE 'manual_review' END AS row_status FROM wl)
 SELECT *, CASE WHEN row_status = 'manual_extend_partial_text' THEN 'ready_partial_text_extension' WHEN row_status IN ('autofill_pdf_text', 'completed_backfill') THEN 'ready_autofill_or_completed' WHEN row_status IN ('scope_review_before_recovery', 'scope_review_unsure_before_recovery') THEN 'waiting_scope_review' WHEN row_status = 'scope_review_excluded_nonresearch' THEN 'excluded_nonresearch' WHEN row_status = 'manual_review' THEN 'other_manual_review' ELSE 'ready_manual_metadata' END AS split_group FROM w""",
     "review_queue": f"{_REVIEW} SELECT row_number() OVER (ORDER BY list_position([{', '.join(repr(t) for t in R.TIERS)}], quick_win_tier), need, i, journal_short, publication_year, title, article_id) AS review_rank, article_id, state AS completion_status, CASE state WHEN 'needs_source_metadata' THEN 'source_metadata_fix' WHEN 'ready_to_import' THEN state ELSE 'recover_abstract' END AS review_stage, quick_win_tier, family AS source_route_family, CAST(need AS INTEGER) AS chars_needed_to_threshold, fl AS current_text_quality_flag FROM family",
-    "automation": f"""{_REVIEW} SELECT article_id, CASE WHEN state = 'ready_to_import' THEN 'ready_for_preflight' WHEN state = 'needs_source_metadata' THEN 'source_metadata_incomplete' WHEN fl <> '' THEN 'manual_replace_boilerplate' WHEN family = 'pdf_blocker_metadata' OR i % 4 = 1 THEN 'manual_metadata_after_pdf_block'
- WHEN quick_win_tier = 'tier_1_partial_near_threshold' THEN 'manual_near_threshold_extension' WHEN quick_win_tier = 'tier_3_partial_extension' THEN 'manual_partial_extension' WHEN doi LIKE '10.1111%' THEN 'manual_index_or_template_spike_required' WHEN quick_win_tier = 'tier_4_manual_metadata_has_context' THEN 'manual_metadata_recovery' ELSE 'manual_review_required' END AS automation_status FROM family""",
+    "automation": f"""{_LANES}, {_OVERVIEW}, {_PREFIX_PLAN}, {_DECISIONS}, {_ROUTES}, {_REVIEW.removeprefix("WITH ").replace(B["articles"] + ", ", "")},
+au AS (SELECT family.*, CASE {" ".join(f"WHEN doi LIKE '{p}%' THEN '{p}'" for p in G.ROUTE_DOIS)} ELSE CASE family {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.ROUTE_UNITS.items())} ELSE family END END AS unit FROM family),
+ar AS (SELECT au.*, coalesce(current_route_status, '') AS rs, coalesce(decision, '') AS rd FROM au LEFT JOIN routes ON decision_unit = unit)
+SELECT article_id, rs AS route_status, CASE WHEN state = 'ready_to_import' THEN 'ready_for_preflight' WHEN state = 'needs_source_metadata' THEN 'source_metadata_incomplete' WHEN fl <> '' THEN 'manual_replace_boilerplate' WHEN family = 'pdf_blocker_metadata' OR i % 4 = 1 THEN 'manual_metadata_after_pdf_block'
+ WHEN quick_win_tier = 'tier_1_partial_near_threshold' THEN 'manual_near_threshold_extension' WHEN quick_win_tier = 'tier_3_partial_extension' THEN 'manual_partial_extension' WHEN rs IN ('unsupported_existing_route', 'do_not_rerun_landing_pages') OR rd = 'new_source_template_or_manual_recovery' THEN 'manual_index_or_template_spike_required'
+ WHEN quick_win_tier = 'tier_4_manual_metadata_has_context' THEN 'manual_metadata_recovery' ELSE 'manual_review_required' END AS automation_status FROM ar""",
     "import_preflight": f"""{_SPLIT}, c AS (SELECT *, {Q.collapse("filled")} <> '' AS has, article_url <> '' AS named, {Q.collapse("tier")} AS t FROM split), x AS (SELECT *, has AND named AND t IN ('tier_a_formal_abstract', 'tier_b_source_description', 'tier_c_first_page_abstract_or_intro') AS good FROM c),
 p AS (SELECT batch AS recovery_batch, split_group, count(*) AS total_rows, count(*) FILTER (NOT has) AS skipped_empty_abstract_rows, count(*) FILTER (has) AS candidate_rows_after_skip, count(*) FILTER (has AND named) AS source_ready_backfill_abstracts, count(*) FILTER (has AND NOT named) AS source_incomplete_backfill_abstracts, count(*) FILTER (good) AS import_ready_rows, count(*) FILTER (has AND NOT good) AS error_rows FROM x GROUP BY 1, 2)
 SELECT *, CASE WHEN error_rows > 0 THEN 'blocked_errors' WHEN candidate_rows_after_skip = 0 THEN 'pass_empty' ELSE 'pass_ready' END AS preflight_status FROM p""",
