@@ -102,14 +102,6 @@ def validate_adjudications(packet: DataFrame, sample: DataFrame) -> DataFrame:
     return errors_of(work, KEY, checks + [(c, made & T.blank(c), f"missing_{c}") for c in ("adjudication_notes", "adjudicator_id", "adjudication_date")])
 
 
-def readiness(sample: DataFrame, drift: DataFrame, batches: DataFrame) -> DataFrame:
-    """One row: size of the sample, labelled rows, drifted cells, batches, and whether labelling can go on (a sample without drift)."""
-    s = sample.agg(F.count("*").alias("sample_rows"), F.coalesce(F.sum(flag(T.present("manual_label"))), F.lit(0)).alias("labeled_rows"))
-    d = drift.agg(F.count("*").alias("drift_cells"))
-    b = batches.agg(F.count("*").alias("batches"))  # one row each
-    return s.join(F.broadcast(d), F.lit(True)).join(F.broadcast(b), F.lit(True)).withColumn("ready", (F.col("sample_rows") > 0) & (F.col("drift_cells") == 0))
-
-
 def snapshot(classified: DataFrame, label: str, queue: DataFrame | None = None, include: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """State of articles at a label in time: those of the queue and of `include`, or all; with the latest source they were imported from."""
     c = first_by(classified.withColumn("__c", resolved(classified)), ["article_id"], [F.asc("__c")])

@@ -405,10 +405,22 @@ def with_context(base: DataFrame, *contexts: tuple[DataFrame, list[str]]) -> Dat
 
 
 def duplicate_ids(df: DataFrame, key: str = "article_id") -> DataFrame:
-    """Keys with more than one row; a merged batch must have none."""
+    """Keys with more than one row."""
     return df.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
+def unique_by(df: DataFrame, key: str = "article_id") -> DataFrame:
+    """df, whose job fails as soon as a key turns out to have two rows. The check is part of the plan: whoever reads the result runs it."""
+    same = F.count("*").over(Window.partitionBy(key))
+    good = F.when(F.col("__same") > 1, F.raise_error(F.concat(F.lit(f"duplicate {key} after merge: "), T.text(key))).cast("boolean")).otherwise(True)
+    return df.withColumn("__same", same).where(good).drop("__same")
+
+
+def batch_with_context(batch: DataFrame, workplan: DataFrame, articles: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Batch rows with their workplan, article and attempt columns, one row each; fails on an article that the batch has twice."""
+    return unique_by(with_context(batch, (workplan, ["article_id"]), (articles, ["article_id"]), (attempts, ["article_id"])))
+
+
 def recent_triage(queue: DataFrame, scope_packet: DataFrame, start: int, journals: list[str] | None = None) -> DataFrame:
     """Recent queue rows in two lanes: those whose scope is under review wait."""
     rows = queue.where(T.number("publication_year") >= start)

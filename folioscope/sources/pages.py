@@ -22,6 +22,22 @@ def _pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path).withColumn("source_file", F.col("_metadata.file_path")).where(~F.col("source_file").endswith("_error.json"))
 
 
+def page_accounts(spark: SparkSession, path: str, kind: str = "crossref") -> DataFrame:
+    """One row for each page file: source_file, page_status (`ok`, `error_page` by its name, `malformed` JSON, `no_items` where the list isn't there), items, and for
+    malformed pages the text that couldn't be read. crossref_records and openalex_records take the items of `ok` pages, so that all items are in one or the other."""
+    shape, items = {"crossref": (_CROSSREF, "response.message.items"), "openalex": (_OPENALEX, "response.results")}[kind]
+    raw = spark.read.schema(f"{shape}, __bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "__bad").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
+    size = F.when(F.col(items).isNotNull(), F.size(items)).otherwise(0)
+    rows = raw.select(F.col("_metadata.file_path").alias("source_file"), "__bad", F.col(items).isNotNull().alias("listed"), size.alias("items"))
+    status = F.when(F.col("source_file").endswith("_error.json"), "error_page").when(F.col("__bad").isNotNull(), "malformed").when(~F.col("listed"), "no_items").otherwise("ok")
+    return rows.select("source_file", status.alias("page_status"), F.when(status == "ok", F.col("items")).otherwise(0).alias("items"), F.coalesce("__bad", F.lit("")).alias("unread_text"))
+
+
+def quarantined(accounts: DataFrame) -> DataFrame:
+    """The pages of page_accounts that gave no items though they should."""
+    return accounts.where("page_status in ('malformed', 'no_items')")
+
+
 def _in_years(year: Column, start: int, end: int) -> Column:
     return year.isNull() | year.between(start, end)
 
