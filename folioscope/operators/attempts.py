@@ -80,9 +80,11 @@ def url_candidates(packet: DataFrame, unit: str, columns: list[str], per_unit: i
 
 
 def impact(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Before left join after (article_id, journal_short, decade, category, chars): with recovered and newly insufficient flags."""
-    b = before.dropDuplicates(["article_id"]).withColumnsRenamed({"category": "before_category", "chars": "before_chars"})
-    a = after.dropDuplicates(["article_id"]).select("article_id", F.col("category").alias("after_category"), F.col("chars").alias("after_chars"))
+    """Before left join after (article_id, journal_short, decade, category, chars): with recovered and newly insufficient flags. Of an article's several rows on a
+    side the first by its values counts."""
+    one = lambda df: first_by(df, ["article_id"], [F.asc(c) for c in df.columns if c != "article_id"])
+    b = one(before).withColumnsRenamed({"category": "before_category", "chars": "before_chars"})
+    a = one(after.select("article_id", "category", "chars")).select("article_id", F.col("category").alias("after_category"), F.col("chars").alias("after_chars"))
     short = lambda c: F.coalesce(F.col(c) == "insufficient_text", F.lit(False))
     out = b.join(a, "article_id", "left").withColumn("after_category", F.coalesce("after_category", "before_category")).withColumn("after_chars", F.coalesce("after_chars", "before_chars"))
     return out.withColumn("recovered", short("before_category") & ~short("after_category")).withColumn("newly_insufficient", ~short("before_category") & short("after_category"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import CATEGORIES, CONFIDENCE
 from folioscope.functions import text as T
+from folioscope.operators.rank import first_by
 from folioscope.operators.shares import flag
 
 KEY = ["validation_id", "article_id"]
@@ -53,8 +54,9 @@ def merge_labels(sample: DataFrame, packet: DataFrame, columns: list[str] | None
 
 
 def drift(sample: DataFrame, current: DataFrame, columns: list[str], key: str = "article_id") -> DataFrame:
-    """One row for each cell of the sample that the current table has changed; a missing key gives one row."""
-    now = current.dropDuplicates([key]).select(key, F.struct(*[T.text(c).alias(c) for c in columns]).alias("__now"))
+    """One row for each cell of the sample that the current table has changed; a missing key gives one row.
+    Of a key's several current rows the first by the compared values counts."""
+    now = first_by(current, [key], [F.asc(c) for c in columns]).select(key, F.struct(*[T.text(c).alias(c) for c in columns]).alias("__now"))
     cells = F.when(F.col("__now").isNull(), F.array(F.struct(F.lit(key).alias("column"), T.text(key).alias("sample_value"), F.lit("").alias("current_value"), F.lit("missing_in_current").alias("issue")))).otherwise(
         F.filter(F.array(*[F.when(T.text(c) != F.col(f"__now.{c}"), F.struct(F.lit(c).alias("column"), T.text(c).alias("sample_value"), F.col(f"__now.{c}").alias("current_value"), F.lit("value_changed").alias("issue"))) for c in columns]), lambda x: x.isNotNull())
     )

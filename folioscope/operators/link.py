@@ -80,7 +80,7 @@ def link_articles(records: DataFrame, order: list[str], journals: DataFrame | No
         F.array_join(F.array_sort(F.filter(F.array(*warnings), lambda x: x.isNotNull())), ";").alias("metadata_warning"),
     )
     if journals is not None:  # a lookup of journal names: journal_short, journal
-        out = out.join(journals.select("journal_short", "journal").dropDuplicates(["journal_short"]), "journal_short", "left")
+        out = out.join(journals.groupBy("journal_short").agg(F.min("journal").alias("journal")), "journal_short", "left")
     return out
 
 
