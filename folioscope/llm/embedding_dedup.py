@@ -29,7 +29,15 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import materialize, table
 from folioscope.llm.graph import components, local_roots
 
-THRESHOLD, SAMPLE, LISTS, PARTS, CODES, TURN, BLOCK = 0.9, 40_000, 4096, 8, 64, 0.64, 2048
+THRESHOLD, SAMPLE, LISTS, PARTS, CODES, TURN, BLOCK, SLICE = 0.9, 40_000, 4096, 8, 64, 0.64, 2048, 2048
+#: Bytes of the sample on the driver, vectors of many components being fewer.
+SAMPLE_BYTES = 96 << 20
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest of c to each row; SLICE rows at a time, so that no matrix of all distances is made."""
+    half = 0.5 * (c * c).sum(1)
+    return np.concatenate([(x[s : s + SLICE] @ c.T - half).argmax(1) for s in range(0, len(x), SLICE)] or [np.zeros(0, np.int64)])
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -37,7 +45,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        at = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        at = _nearest(x, c)
         n = np.bincount(at, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, at, x)
@@ -51,8 +59,8 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int) -> None:
         c = _kmeans(sample, lists, 10, 1)
         self.centroids = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        self.gaps = TURN / np.sqrt(sample.shape[1]) * np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T))
-        rest = sample - self.centroids[(sample @ self.centroids.T).argmax(1)]
+        self.turn = TURN / np.sqrt(sample.shape[1])
+        rest = sample - self.centroids[_nearest(sample, self.centroids)]
         self.cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.books = [_kmeans(rest[:, s:e], CODES, 8, 2 + i) for i, (s, e) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
 
@@ -67,8 +75,13 @@ class Quantiser:
             book = self.books[m]
             codes[:, m] = (rest[:, s:e] @ book.T - 0.5 * (book * book).sum(1)).argmax(1)
             lost += ((rest[:, s:e] - book[codes[:, m]]) ** 2).sum(1)
-        near = dots[np.arange(len(x)), at][:, None] - dots <= self.gaps[at]
-        return at, codes, np.sqrt(lost), [np.flatnonzero(row) for row in near]
+        probes = []
+        for s in range(0, len(x), SLICE // 8):  # the gaps of a few rows' own centroids at a time
+            own = at[s : s + SLICE // 8]
+            gaps = self.turn * np.sqrt(np.maximum(0, 2 - 2 * self.centroids[own] @ self.centroids.T))
+            near = dots[s : s + SLICE // 8]
+            probes += [np.flatnonzero(row) for row in near[np.arange(len(own)), own][:, None] - near <= gaps]
+        return at, codes, np.sqrt(lost), probes
 
     def estimate(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Estimated dot products of queries with the members of one list, by table look-up."""
@@ -89,7 +102,8 @@ def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(points: DataFrame, n: int, sample: int = SAMPLE) -> Quantiser:
-    """points: key, v. At most `sample` vectors come to the driver."""
+    """points: key, v. At most `sample` vectors and SAMPLE_BYTES come to the driver."""
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * points.select(F.size("v")).first()[0])))
     share = min(1.0, 1.2 * sample / max(1, n))
     some = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("rep")).limit(sample).select("v").toArrow()
     x = unit(some["v"].combine_chunks())[1]
