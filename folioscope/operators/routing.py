@@ -12,7 +12,7 @@ from folioscope.config import EXCLUDED_SCOPES
 from folioscope.functions import text as T
 from folioscope.functions.features import with_text_features
 from folioscope.operators.attempts import FAILED, by_prefix, by_prefix_source, source_context
-from folioscope.operators.enrich import ACCEPTED_TIERS, completion, filter_empty, match_backfill, source_error
+from folioscope.operators.enrich import ACCEPTED_TIERS, completion, filter_empty, match_backfill
 from folioscope.operators.rank import first_by, global_rank, numbered, top_by
 from folioscope.operators.shares import flag
 

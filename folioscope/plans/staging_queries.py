@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import staging as G
 from folioscope.plans import sqltext as Q
-from folioscope.plans.bindings import SQL as B
 from folioscope.plans.bindings import articles, table
 from folioscope.plans.recovery_queries import _SPLIT, _split_rows
 
