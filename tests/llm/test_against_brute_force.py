@@ -306,6 +306,26 @@ def test_recall_of_passages_among_variants(spark, changed):
     assert found <= set(pairs) and len(found) >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("c", [25, 35, 42])
+def test_substring_dedup_in_a_crowd_that_shares_part_of_the_passage(spark, c):
+    """Of 60 documents that share c words, two share the 52 words that begin or end with them."""
+    rng = np.random.default_rng(c)
+    groups, size = 25, 60
+    docs, twins = [], []
+    for g in range(groups):
+        passage = [f"p{w}" for w in rng.integers(0, 1 << 30, 52)]
+        two = sorted(rng.choice(size, 2, replace=False).tolist())
+        twins.append((g * size + two[1], g * size + two[0]))
+        for d in range(size):
+            edge = [[f"w{w}" for w in rng.integers(0, 1 << 30, 60)] for _ in range(2)]
+            part = passage if d in two else passage[:c] if g % 2 else passage[-c:]
+            docs.append(" ".join([*edge[0], *part, *edge[1]]))
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["other"]) for r in rows}
+    assert sum(t in found for t in twins) >= 0.9 * groups
+    assert found <= set(twins)  # c words are no passage
+
+
 def test_compact_windows_hold_every_minimum():
     v = np.random.default_rng(2).permutation(60).astype(np.uint64)
     found = substring_dedup.compact_windows(v, 10)
