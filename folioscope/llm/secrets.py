@@ -5,7 +5,8 @@ to a token. Candidate runs are `[A-Za-z0-9+/_=-]{20,}` (wide enough for keys in
 digits alone too. Excluded before the test are known digests and identifiers: whole-run hex of 32, 40, 56, 64, 96 or 128
 digits (MD5, SHA-1, SHA-2), UUIDs, and runs that are nothing but words (letters that are one token or have more than
 MAX_CHARS_PER_TOKEN characters a token by themselves) and numbers of fewer than 20 digits, split at signs; where there are signs, also between
-letters and digits, so that timestamps and names with versions are no secrets.
+letters and digits, so that timestamps and names with versions are no secrets; hex parts of 20 digits or more with letters and digits stay whole, and only those of a
+digest's length are excluded. Digits alone have three characters to a token under most vocabularies and are then not found.
 A candidate of at most MAX_CHARS_PER_TOKEN characters a token is reported as kind `random`; what the
 pattern rules find is reported as `assign`, `access` and `hex` in any case.
 
@@ -33,6 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are taken whole, so this is [0-9a-f]+ of 32 or more
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
+HEX_PART = re.compile(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{20,}", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 MAX_CHARS_PER_TOKEN = 2.2
 
@@ -52,7 +54,9 @@ def excluded(run: str, count_tokens, threshold: float = MAX_CHARS_PER_TOKEN) ->
         return True
     parts = re.split(r"[_/+=-]", run)
     if len(parts) > 1:  # timestamps and names with versions: letters and digits apart
-        parts = [p for part in parts for p in re.findall(r"[A-Za-z]+|[0-9]+", part)]
+        if any(HEX_PART.fullmatch(p) and not DIGEST.fullmatch(p) for p in parts):
+            return False
+        parts = [p for part in parts if not DIGEST.fullmatch(part) for p in re.findall(r"[A-Za-z]+|[0-9]+", part)]
     return all(not part or part.isdigit() and len(part) < 20 or part.isalpha() and ((n := count_tokens(part)) == 1 or len(part) > threshold * n) for part in parts)
 
 

@@ -267,6 +267,21 @@ def test_substring_dedup(spark, sf_dir, texts):
     assert want <= got
 
 
+def test_secrets_hex_behind_signs():
+    import public_tokenizers as public
+
+    encoding = secrets._encoding(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    count = lambda x: len(encoding.encode_ordinary(x))
+    rng = np.random.default_rng(4)
+    digits = lambda n: "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, n))
+    random = lambda run: any(kind == 3 for _, kind, _ in secrets.find(f"key is {run} here", count))
+    for sign, n in (("x_", 24), ("k-", 30)):
+        assert sum(random(sign + digits(n)) for _ in range(200)) >= 198
+    for _ in range(200):
+        assert not random("sha256-" + digits(64))
+        assert not random(f"backup-2024-{rng.integers(10, 13)}-{rng.integers(10, 28)}T{rng.integers(10, 24)}-{rng.integers(10, 60)}-00Z")
+
+
 @pytest.mark.parametrize("n", [50, 51, 60, 70, 80, 100])
 def test_passages_with_one_word_changed_inserted_or_deleted(n):
     noise = [f"n{i}" for i in range(400)]
