@@ -143,6 +143,16 @@ SIGNATURES = (
     ("sleepycat", ("complete source code",), "redistributions in any form must be accompanied by information on how to obtain complete source code"),
 )
 
+#: SPDX identifiers that aren't a family with its version.
+TAGS = {"0bsd": "0bsd", "bsl-1.0": "boost-1.0", "python-2.0": "psf-2.0", "sspl-1.0": "sspl-1.0", "busl-1.1": "busl-1.1"}
+
+#: Label, keywords and name of licenses without families.
+NAMES = (
+    ("bsd", ("bsd",), r"bsd\s+licen[sc]e"),
+    ("sspl-1.0", ("server side",), r"server\s+side\s+public\s+licen[sc]e"),
+    ("busl-1.1", ("business source",), r"business\s+source\s+licen[sc]e"),
+)
+
 
 def _wording(wording: str) -> str:
     return r"[\s\S]{0,1500}?".join(part.replace(" ", _GAP) for part in wording.split(" ... "))
@@ -168,6 +178,8 @@ def rules() -> list[tuple[str, tuple[str, ...], re.Pattern, int, float]]:
             if label in ABBREVIATIONS or suffix and label in WITH_VERSION:
                 out.append((label + suffix, (label,), re.compile(rf"(?<!\w){label}-?{tail}" if suffix else rf"(?<!\w){label}(?!\w)"), 1 if suffix else 0, 0.5))
     out += [(label, keywords, re.compile(regex), priority, confidence) for label, keywords, regex, priority, confidence in EXTRA]
+    out += [(label, ("spdx-license-identifier",), re.compile(rf"spdx-license-identifier:\s*{re.escape(tag)}(?![\w.-])"), 7, 1.0) for tag, label in TAGS.items()]
+    out += [(label, keywords, re.compile(rf"(?<!\w)(?:{name})(?!\w)"), 4, 0.8) for label, keywords, name in NAMES]
     out += [(label, keywords, re.compile(_wording(wording)), 6, 1.0) for label, keywords, wording in SIGNATURES]
     return sorted(out, key=lambda r: -r[3])
 

@@ -282,6 +282,14 @@ def test_secrets_hex_behind_signs():
         assert not random(f"backup-2024-{rng.integers(10, 13)}-{rng.integers(10, 28)}T{rng.integers(10, 24)}-{rng.integers(10, 60)}-00Z")
 
 
+def test_licenses_named_bare_or_by_tag():
+    for t, want in {
+        "released under the bsd license.": "bsd", "the 3-clause bsd license": "bsd-3-clause", "server side public license, version 1": "sspl-1.0", "business source license 1.1": "busl-1.1",
+        "spdx-license-identifier: 0bsd": "0bsd", "spdx-license-identifier: bsl-1.0": "boost-1.0", "spdx-license-identifier: sspl-1.0": "sspl-1.0", "spdx-license-identifier: busl-1.1": "busl-1.1",
+    }.items():
+        assert {x[2] for x in licenses.detect(t)} == {want}, t
+
+
 @pytest.mark.parametrize("n", [50, 51, 60, 70, 80, 100])
 def test_passages_with_one_word_changed_inserted_or_deleted(n):
     noise = [f"n{i}" for i in range(400)]
