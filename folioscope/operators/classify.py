@@ -186,5 +186,5 @@ def merge_model_results(df: DataFrame, responses: DataFrame, prompt: str, model:
         F.when(ok, F.col("__a.reason")).otherwise(F.col("classification_reason")).alias("classification_reason"),
         F.when(ok, "hybrid" if hybrid else "llm_based").otherwise(F.col("classification_method")).alias("classification_method"),
         "llm_status",
-        F.coalesce("__a.error", F.lit("")).alias("llm_error"),
+        F.when(F.col("llm_status") == "error", F.col("__a.error")).otherwise("").alias("llm_error"),
     )

@@ -351,11 +351,14 @@ def local_evidence(queue: DataFrame, records: DataFrame, minimum: int = 250, ent
     )
 
 
-def action_packet(evidence: DataFrame, queue: DataFrame, cells: DataFrame, automation: DataFrame) -> DataFrame:
+def action_packet(evidence: DataFrame, queue: DataFrame, cells: DataFrame | None = None, automation: DataFrame | None = None) -> DataFrame:
     """Evidence rows with review rank, tier, route family, cell target and automation status beside them, and what the reviewer is to do. Each
     context gives one row for a key: queue, automation by article_id, cells by journal_short and decade."""
-    work = with_context(evidence, (queue.select("article_id", "review_rank", "quick_win_tier", "source_route_family", "journal_short", "decade"), ["article_id"]), (automation.select("article_id", "automation_status"), ["article_id"]))
-    work = with_context(work, (cells.select("journal_short", "decade", F.col("target_rank").alias("cell_target_rank"), F.col("target_level").alias("cell_target_level")), ["journal_short", "decade"]))
+    work = with_context(evidence, (queue.select("article_id", "review_rank", "quick_win_tier", "source_route_family", "journal_short", "decade"), ["article_id"]))
+    if automation is not None:
+        work = with_context(work, (automation.select("article_id", "automation_status"), ["article_id"]))
+    if cells is not None:
+        work = with_context(work, (cells.select("journal_short", "decade", F.col("target_rank").alias("cell_target_rank"), F.col("target_level").alias("cell_target_level")), ["journal_short", "decade"]))
     return work.withColumn("action_group", action_group(F.col("cached_evidence_status"), T.text("quick_win_tier")))
 
 
@@ -473,6 +476,10 @@ def progress_overview(progress: DataFrame, queue: DataFrame, imported: DataFrame
     return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("string").alias("value")) for m, c in metrics.items()])))
 
 
+#: Fixed value: the rank of rows that have none.
+UNRANKED = 999999
+
+
 def ranked_summary(rows: DataFrame, groups: list[str], listed: list[str] | None = None) -> DataFrame:
     """Rows and first review rank of each group, and the distinct values of other columns in order of their first rank, joined by `|`. The
     listed columns have few values: they are cut down to those before anything is gathered."""
@@ -484,6 +491,25 @@ def ranked_summary(rows: DataFrame, groups: list[str], listed: list[str] | None
     return out
 
 
+def _with_tier(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"quick_win_tier": T.text("quick_win_tier"), "review_rank": F.coalesce(F.col("review_rank"), F.lit(UNRANKED))})
+
+
+def evidence_summary(packet: DataFrame) -> DataFrame:
+    """Rows, first review rank and candidate sources of each evidence status and tier of an action packet; rows without a rank count as UNRANKED."""
+    return ranked_summary(_with_tier(packet), ["cached_evidence_status", "quick_win_tier"], ["source"]).withColumnRenamed("sources", "candidate_sources")
+
+
+def action_summary(packet: DataFrame) -> DataFrame:
+    """Rows and first review rank of each action group and tier of an action packet."""
+    return ranked_summary(_with_tier(packet), ["action_group", "quick_win_tier"])
+
+
+def automation_summary(rows: DataFrame) -> DataFrame:
+    """Rows, first positive review rank, tiers and route families (in order of first rank) of each automation status."""
+    return ranked_summary(rows.withColumn("review_rank", F.when(F.col("review_rank") > 0, F.col("review_rank"))), ["automation_status"], ["quick_win_tier", "source_route_family"]).withColumnRenamed("source_route_familys", "source_route_families")
+
+
 def cells_top(rows: DataFrame, per_cell: int) -> DataFrame:
     return top_by(rows, ["journal_short", "decade"], [F.asc("recovery_rank"), F.asc("article_id")], per_cell)
 

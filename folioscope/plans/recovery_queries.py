@@ -80,20 +80,30 @@ def review_queue(spark, sf_dir):
     return R.review_queue(_split_rows(spark, sf_dir)).select("review_rank", "article_id", "completion_status", "review_stage", "quick_win_tier", "source_route_family", "chars_needed_to_threshold", "current_text_quality_flag")
 
 
-def automation(spark, sf_dir):
-    """Automation status of each review row, with the route of its DOI or family."""
+def automation_rows(spark, sf_dir):
+    """Review rows with the route of their DOI or family and their automation status."""
     q = G.with_review_route(R.review_queue(_split_rows(spark, sf_dir)), _routes(spark, sf_dir))
     status = R.automation_status(F.col("completion_status"), F.col("quick_win_tier"), F.col("current_text_quality_flag"), F.col("source_route_family"), F.col("row_status"), T.text("current_route_status"), T.text("decision"))
-    return q.select("article_id", T.text("current_route_status").alias("route_status"), status.alias("automation_status"))
+    return q.withColumn("automation_status", status)
+
+
+def automation(spark, sf_dir):
+    return automation_rows(spark, sf_dir).select("article_id", T.text("current_route_status").alias("route_status"), "automation_status")
 
 
 def import_preflight(spark, sf_dir):
     return R.import_preflight(_split_rows(spark, sf_dir), articles(spark, sf_dir))[0]
 
 
-def action_packet(spark, sf_dir):
+def action_rows(spark, sf_dir, whole=True):
+    """Evidence rows with what stands beside them; not whole: without cells and automation, which are worked out for all of the queue."""
     q = R.review_queue(_split_rows(spark, sf_dir)).withColumn("decade", T.decade("publication_year"))
-    return R.action_packet(_evidence(spark, sf_dir), q, cell_targets(spark, sf_dir), automation(spark, sf_dir)).select("article_id", "cached_evidence_status", "evidence_tier_suggestion", "quick_win_tier", "cell_target_rank", "action_group")
+    beside = (cell_targets(spark, sf_dir), automation(spark, sf_dir)) if whole else ()
+    return R.action_packet(_evidence(spark, sf_dir), q, *beside)
+
+
+def action_packet(spark, sf_dir):
+    return action_rows(spark, sf_dir).select("article_id", "cached_evidence_status", "evidence_tier_suggestion", "quick_win_tier", "cell_target_rank", "action_group")
 
 
 def candidate_urls(spark, sf_dir):

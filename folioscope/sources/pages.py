@@ -22,15 +22,31 @@ def _pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path).withColumn("source_file", F.col("_metadata.file_path")).where(~F.col("source_file").endswith("_error.json"))
 
 
+def parsed_pages(raw: DataFrame, kind: str = "crossref") -> DataFrame:
+    """Pages that a table holds as text (source_file, body) as those read from files: metadata, response and source_file, and the body in `__bad` where it is no JSON object."""
+    shape = {"crossref": _CROSSREF, "openalex": _OPENALEX}[kind]
+    read = F.from_json("body", f"{shape}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    return raw.select("source_file", read.alias("p")).select("source_file", "p.metadata", "p.response", "p.__bad")
+
+
+def _accounts(pages: DataFrame, items: str) -> DataFrame:
+    size = F.when(F.col(items).isNotNull(), F.size(items)).otherwise(0)
+    rows = pages.select("source_file", "__bad", F.col(items).isNotNull().alias("listed"), size.alias("items"))
+    status = F.when(F.col("source_file").endswith("_error.json"), "error_page").when(F.col("__bad").isNotNull(), "malformed").when(~F.col("listed"), "no_items").otherwise("ok")
+    return rows.select("source_file", status.alias("page_status"), F.when(status == "ok", F.col("items")).otherwise(0).alias("items"), F.coalesce("__bad", F.lit("")).alias("unread_text"))
+
+
+def parsed_page_accounts(pages: DataFrame, kind: str = "crossref") -> DataFrame:
+    """page_accounts of parsed_pages."""
+    return _accounts(pages, {"crossref": "response.message.items", "openalex": "response.results"}[kind])
+
+
 def page_accounts(spark: SparkSession, path: str, kind: str = "crossref") -> DataFrame:
     """One row for each page file: source_file, page_status (`ok`, `error_page` by its name, `malformed` JSON, `no_items` where the list isn't there), items, and for
     malformed pages the text that couldn't be read. crossref_records and openalex_records take the items of `ok` pages, so that all items are in one or the other."""
     shape, items = {"crossref": (_CROSSREF, "response.message.items"), "openalex": (_OPENALEX, "response.results")}[kind]
     raw = spark.read.schema(f"{shape}, __bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "__bad").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
-    size = F.when(F.col(items).isNotNull(), F.size(items)).otherwise(0)
-    rows = raw.select(F.col("_metadata.file_path").alias("source_file"), "__bad", F.col(items).isNotNull().alias("listed"), size.alias("items"))
-    status = F.when(F.col("source_file").endswith("_error.json"), "error_page").when(F.col("__bad").isNotNull(), "malformed").when(~F.col("listed"), "no_items").otherwise("ok")
-    return rows.select("source_file", status.alias("page_status"), F.when(status == "ok", F.col("items")).otherwise(0).alias("items"), F.coalesce("__bad", F.lit("")).alias("unread_text"))
+    return _accounts(raw.withColumn("source_file", F.col("_metadata.file_path")), items)
 
 
 def quarantined(accounts: DataFrame) -> DataFrame:
@@ -44,7 +60,12 @@ def _in_years(year: Column, start: int, end: int) -> Column:
 
 def crossref_records(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
     """Records of the first source from start to end; those without a year are kept."""
-    items = _pages(spark, path, _CROSSREF).select("metadata", "source_file", F.posexplode("response.message.items").alias("item_no", "i"))
+    return crossref_items(_pages(spark, path, _CROSSREF), start, end)
+
+
+def crossref_items(pages: DataFrame, start: int, end: int) -> DataFrame:
+    """Records of the items of pages (metadata, response, source_file) as files or parsed_pages give them."""
+    items = pages.select("metadata", "source_file", F.posexplode("response.message.items").alias("item_no", "i"))
     date, year = T.best_date(*[F.get(F.col(f"i.`{k}`.`date-parts`"), F.lit(0)) for k in ("published-print", "published-online", "published", "issued", "created")])
     first, last = T.pages("i.page")
     names = T.author_names("i.author")
@@ -60,7 +81,11 @@ def crossref_records(spark: SparkSession, path: str, start: int, end: int) -> Da
 
 def openalex_records(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
     """Records of the second source; the abstract is put together from its inverted index."""
-    items = _pages(spark, path, _OPENALEX).select("metadata", "source_file", F.posexplode("response.results").alias("item_no", "i"))
+    return openalex_items(_pages(spark, path, _OPENALEX), start, end)
+
+
+def openalex_items(pages: DataFrame, start: int, end: int) -> DataFrame:
+    items = pages.select("metadata", "source_file", F.posexplode("response.results").alias("item_no", "i"))
     names = F.coalesce(F.filter(F.transform("i.authorships", lambda a: T.clean(a["author"]["display_name"], False)), lambda x: x != ""), F.array().cast("array<string>"))
     places = F.flatten(F.transform("i.authorships", lambda a: F.transform(a["institutions"], lambda p: F.struct(a["author"]["display_name"].alias("author"), p["display_name"].alias("affiliation")))))
     title = T.first_present("i.title", "i.display_name")

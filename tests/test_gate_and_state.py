@@ -112,3 +112,15 @@ def test_page_accounts(spark, tmp_path):
     assert {r["source_file"].rsplit("/", 1)[1]: bool(r["unread_text"]) for r in pages.quarantined(accounts).collect()} == {"x_page_2.json": True, "x_page_3.json": False, "x_page_6.json": True}
     assert pages.crossref_records(spark, str(tmp_path), 1975, 2025).count() == accounts.agg(F.sum("items")).first()[0]
     assert pages.page_accounts(spark, str(tmp_path), "openalex").where("page_status = 'ok'").count() == 0
+
+
+def test_pages_held_as_text(spark):
+    whole = '{"metadata":{"journal_short":"aer"},"response":{"message":{"items":[{"DOI":"10.1/A","title":["","T"],"issued":{"date-parts":[[2001]]}},{"DOI":null,"title":[]}]}}}'
+    raw = spark.createDataFrame([("a.json", whole), ("b.json", whole[:70]), ("c.json", '{"response":{"message":{}}}'), ("d.json", ""), ("e.json", None), ("f_error.json", whole), ("g.json", "[]"), ("h.json", '{"response":{"message":{"items":[]}}}')], "source_file string, body string")
+    read = pages.parsed_pages(raw)
+    got = {r["source_file"]: (r["page_status"], r["items"]) for r in pages.parsed_page_accounts(read).collect()}
+    assert got.pop("g.json")[1] == 0
+    assert got == {"a.json": ("ok", 2), "b.json": ("malformed", 0), "c.json": ("no_items", 0), "d.json": ("no_items", 0), "e.json": ("no_items", 0), "f_error.json": ("error_page", 0), "h.json": ("ok", 0)}
+    rows = pages.crossref_items(read.where("source_file = 'a.json'"), 1990, 2010).orderBy("item_no").collect()
+    assert [(r["doi"], r["title"], r["publication_date"], r["abstract"]) for r in rows] == [("10.1/a", "T", "2001-01-01", ""), ("", "", "", "")]
+    assert pages.parsed_page_accounts(pages.parsed_pages(raw.limit(0), "openalex"), "openalex").count() == 0

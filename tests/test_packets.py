@@ -21,3 +21,17 @@ def test_guides_and_snapshots(spark):
     assert [(r["snapshot_label"], r["article_id"], r["decade"]) for r in snap] == [("before", "1", "2000")]
     rows = spark.createDataFrame([("1", "10.1/a"), ("2", "10.1/b"), ("3", "10.2/c")], "article_id string, doi string")
     assert [r["article_id"] for r in P.unseen_rows(rows, ["10.1"], rows.where("article_id = '2'")).collect()] == ["1"]
+
+
+def test_summaries_count_rows_without_rank_or_tier(spark):
+    from folioscope.operators import routing as R
+
+    rows = [("s", "t1", "g", 5, "b"), ("s", "t1", "g", 3, "a"), ("s", "t1", "g", 4, "b"), ("s", None, "g", None, ""), ("z", None, "h", None, None)]
+    packet = spark.createDataFrame(rows, "cached_evidence_status string, quick_win_tier string, action_group string, review_rank long, source string")
+    got = {tuple(r) for r in R.evidence_summary(packet).collect()}
+    assert got == {("s", "t1", 3, 3, "a|b"), ("s", "", 1, R.UNRANKED, ""), ("z", "", 1, R.UNRANKED, "")}
+    assert {tuple(r) for r in R.action_summary(packet).collect()} == {("g", "t1", 3, 3), ("g", "", 1, R.UNRANKED), ("h", "", 1, R.UNRANKED)}
+    seen = spark.createDataFrame([("m", "t2", "f1", 2), ("m", "t1", "f1", 1), ("m", "t3", "f2", 0), ("n", "t1", "f1", -1)], "automation_status string, quick_win_tier string, source_route_family string, review_rank long")
+    got = {r["automation_status"]: (r["rows"], r["first_review_rank"], r["source_route_families"]) for r in R.automation_summary(seen).collect()}
+    assert got["m"][:2] == (3, 1) and set(got["m"][2].split("|")) == {"f1", "f2"} and got["n"] == (1, None, "f1")
+    assert R.evidence_summary(packet.limit(0)).count() == 0
