@@ -73,7 +73,7 @@ def lookup_urls(spark, sf_dir):
     return a.select("article_id", T.doi_url("d").alias("doi_url"), T.work_url("https://api.example.org/works/", "d").alias("work_url"), T.title_url("https://example.org/?q=", F.concat("journal_short", F.lit(" / it's: 50%"))).alias("title_url"), T.doi_url("doi").alias("plain_doi_url"))
 
 
-def open_pdfs(spark, sf_dir):
+def pdf_links(spark, sf_dir):
     a = articles(spark, sf_dir).selectExpr("article_id", "cast(article_id as long) % 6 as k", "oa_pdf_url", "concat('https://example.org/', article_id, if(cast(article_id as long) % 4 = 0, '.PDF', '.html')) as oa_url")
     spot = lambda ok, url: F.struct(ok.alias("is_oa"), url.alias("pdf_url"))
     places = F.array(spot(F.col("k") > 1, F.when(F.col("k") == 3, F.concat(F.lit("best/"), "article_id"))), spot(F.col("k") != 4, F.col("oa_pdf_url")))
@@ -100,7 +100,7 @@ def previews(spark, sf_dir):
     return a.select("article_id", T.preview("title", 40).alias("title_preview"), T.preview("abstract", 900).alias("abstract_preview"))
 
 
-QUERIES = {f.__name__: f for f in (page_states, page_records, indexed_records, lookup_urls, open_pdfs, abstract_sections, title_containment, previews)}
+QUERIES = {f.__name__: f for f in (page_states, page_records, indexed_records, lookup_urls, pdf_links, abstract_sections, title_containment, previews)}
 
 _N = f"doc_id // {ITEMS}"
 _READ = f"({_N}) % 7 <> 3 AND ({_N}) % 11 <> 5 AND ({_N}) % 13 <> 6"
@@ -128,7 +128,7 @@ SELECT 'https://example.org/W' || doc_id AS openalex_id, CASE WHEN doc_id % 2 =
 CASE WHEN doc_id % 3 = 0 THEN '3' ELSE '3-8' END AS pages_raw, 'B ' || (doc_id % 8) AS author_names, '1' AS num_authors, '[{{"author":"B ' || (doc_id % 8) || '","affiliation":"' || lang || '"}}]' AS author_affiliations_raw, array_to_string(list_sort(list_distinct([source, 'zeta', lang])), '|') AS keywords FROM d WHERE y BETWEEN {START} AND {END}""",
     "lookup_urls": f"""WITH {B["articles"]} SELECT article_id, 'https://doi.org/' || {_RESOLVER} AS doi_url, 'https://api.example.org/works/' || url_encode({_D}) AS work_url, 'https://example.org/?q=' || {_kept("url_encode(journal_short || ' / it''s: 50%')", "/")} AS title_url,
 CASE WHEN doi = '' THEN '' ELSE 'https://doi.org/' || lower(doi) END AS plain_doi_url FROM articles""",
-    "open_pdfs": f"""WITH {B["articles"]}, k AS (SELECT article_id, oa_pdf_url, CAST(article_id AS BIGINT) AS i FROM articles)
+    "pdf_links": f"""WITH {B["articles"]}, k AS (SELECT article_id, oa_pdf_url, CAST(article_id AS BIGINT) AS i FROM articles)
 SELECT article_id, CASE WHEN i % 6 = 3 THEN 'best/' || article_id WHEN i % 6 <> 4 AND oa_pdf_url <> '' THEN oa_pdf_url WHEN i % 4 = 0 THEN 'https://example.org/' || article_id || '.PDF' ELSE '' END AS pdf_url FROM k""",
     "abstract_sections": f"""WITH {B["articles"]}, b AS (SELECT article_id, {Q.collapse("title || '  ABSTRACT: ' || abstract || [' 1. Introduction and more', ' Key words: a, b', ' JEL C1', ''][CAST(article_id AS BIGINT) % 4 + 1]")} AS w FROM articles),
 s AS (SELECT *, trim(regexp_extract(w, '\\babstract\\b[:.\\s-]*(.*?)(?:\\b(?:1\\.?\\s+)?introduction\\b|\\bkey\\s*words?\\b|\\bjel\\b|$)', 1, 'is')) AS x FROM b)
