@@ -182,9 +182,12 @@ def from_inverted_index(index: Column | str) -> Column:
     """Text from a map of word to positions; of two words on a position the later entry wins, gaps collapse."""
     entries = F.map_entries(col(index))
     flat = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(flat)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"], F.lit(-1)) != x["p"])
-    return F.coalesce(collapse(F.array_join(F.transform(last, lambda x: x["w"]), " ")), F.lit(""))
+
+    def joined(ordered: Column) -> Column:
+        last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"], F.lit(-1)) != x["p"])
+        return collapse(F.array_join(F.transform(last, lambda x: x["w"]), " "))
+
+    return F.coalesce(let(F.array_sort(flat), joined), F.lit(""))  # sorted once, not for each word
 
 
 def keyword_set(*lists: Column | str, entities: bool = False) -> Column:

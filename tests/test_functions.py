@@ -47,6 +47,9 @@ def test_pages_and_dates(spark):
 def test_inverted_index(spark):
     assert one(spark, T.from_inverted_index("v"), {"world": [1, 3], "hello": [0], "again": [3]}, "v map<string,array<int>>") == "hello world again"
     assert one(spark, T.from_inverted_index("v"), None, "v map<string,array<int>>") == ""
+    long = spark.createDataFrame([({f"w{i}": [i] for i in range(3000)},)], "v map<string,array<int>>").select(T.from_inverted_index("v").alias("t"))
+    assert long._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1  # not again for each word
+    assert long.first()["t"] == " ".join(f"w{i}" for i in range(3000))
 
 
 def test_authors_and_keywords(spark):
