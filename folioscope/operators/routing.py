@@ -329,19 +329,23 @@ def tier_advice(status: Column) -> Column:
 def local_evidence(queue: DataFrame, records: DataFrame, minimum: int = 250, entities: bool = True, features: DataFrame | None = None) -> DataFrame:
     """Best candidate text of each queue row among source records of the same DOI, or else of the same title, journal and year: import-ready,
     then clean, then long with the title, then the first by `record_order`. Each record's text is looked at once, or found by content in a feature table;
-    only sizes and flags, written once, go into the two equi-joins."""
+    only sizes and flags, written once, go into the two equi-joins, one row a key."""
     key = F.concat_ws("|", T.title_key("title", entities), F.lower(T.text("journal_short")), T.text("publication_year"))
     sized = with_text_features(records.withColumn("__key", key), "abstract", "candidate", features, entities).where("candidate_stripped_chars > 0")
     r = materialized(sized.select(T.doi("doi").alias("__doi"), "__key", "record_order", "candidate_stripped_chars", "candidate_flags", "source"))
     q = queue.select("article_id", T.doi("doi").alias("__doi"), key.alias("__key"), F.length(T.clean("title", entities)).alias("__title"))
-    found = ["article_id", "__title", "record_order", "candidate_stripped_chars", "candidate_flags", "source"]
-    by_doi = q.where("__doi <> ''").join(r.drop("__key"), "__doi").select(F.lit("source_records_exact_doi").alias("matched_by"), *found)
-    by_title = q.where("__doi = ''").join(r.drop("__doi"), "__key").select(F.lit("source_records_exact_title_year").alias("matched_by"), *found)
-    size = F.col("candidate_stripped_chars")
-    chars = size + F.when(F.col("__title") > 0, F.col("__title") + 1).otherwise(0)
-    clean = F.col("candidate_flags") == ""
-    best = F.max(F.struct((clean & (chars >= minimum)).alias("ready"), clean.alias("clean"), chars.alias("chars"), (-F.col("record_order")).alias("o"), size.alias("abstract_chars"), "candidate_flags", "source", "matched_by"))
-    both = by_doi.unionByName(by_title).groupBy("article_id").agg(best.alias("x"), F.count("*").alias("candidates"))
+    size, clean = F.col("candidate_stripped_chars"), F.col("candidate_flags") == ""
+
+    def of(key: str, matched_by: str, asks: DataFrame) -> DataFrame:
+        # the title adds the same to all records of a key, so the key's best record is each row's: no pairs of rows and records are made
+        first = F.max(F.struct(clean.alias("clean"), size.alias("abstract_chars"), (-F.col("record_order")).alias("o"), "candidate_flags", "source"))
+        known = r.groupBy(key).agg(first.alias("k"), F.count("*").alias("n"))
+        return asks.join(known, key).select(F.lit(matched_by).alias("matched_by"), "article_id", "__title", "k.*", "n")
+
+    found = of("__doi", "source_records_exact_doi", q.where("__doi <> ''")).unionByName(of("__key", "source_records_exact_title_year", q.where("__doi = ''")))
+    chars = F.col("abstract_chars") + F.when(F.col("__title") > 0, F.col("__title") + 1).otherwise(0)
+    best = F.max(F.struct((F.col("clean") & (chars >= minimum)).alias("ready"), "clean", chars.alias("chars"), "o", "abstract_chars", "candidate_flags", "source", "matched_by"))
+    both = found.groupBy("article_id").agg(best.alias("x"), F.sum("n").alias("candidates"))
     zero = F.lit(0)
     out = queue.select("article_id", F.coalesce(T.number("current_text_chars"), F.lit(0.0)).cast("int").alias("current_text_chars")).join(both, "article_id", "left")
     status = evidence_status(F.coalesce("x.abstract_chars", zero), F.coalesce("x.chars", zero), F.col("current_text_chars"), F.coalesce("x.candidate_flags", F.lit("")), minimum=minimum)

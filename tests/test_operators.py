@@ -263,3 +263,28 @@ def test_string_tables(spark, tmp_path):
     assert tables.read_strings(spark, str(tmp_path / "none"), ["id"]).count() == 0
     tables.write_packets(df.select("id", F.lit("B001").alias("batch_id")), str(tmp_path / "p"))
     assert (tmp_path / "p" / "batch_id=B001").exists()
+
+
+def test_local_evidence_joins_one_row_a_key(spark):
+    """Of a DOI or title that many records have, queue rows meet its best record and count alone."""
+    from folioscope.operators import routing as R
+
+    texts = ["", "short", "x " * 200, "All rights reserved. " + "y " * 300, "z " * 150, "z " * 150]
+    records = [(f"10.1/{i % 2}" if i % 3 else "", f"Title {i % 2}", "aer", "2001", texts[i % 6], "s" + str(i % 4), i) for i in range(40)]
+    queue = [(str(i), f"10.1/{i % 3}" if i % 4 else "", f"Title {i % 2}" if i % 5 else "", "aer", "2001", "300") for i in range(30)]
+    r = spark.createDataFrame(records, "doi string, title string, journal_short string, publication_year string, abstract string, source string, record_order long")
+    q = spark.createDataFrame(queue, "article_id string, doi string, title string, journal_short string, publication_year string, current_text_chars string")
+    out = R.local_evidence(q, r)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3  # each key's records are one row before the join
+    got = {x["article_id"]: (x["candidates"], x["source"], x["candidate_text_chars"]) for x in out.collect()}
+    want = {}
+    for article, doi, title, *_ in queue:
+        met = [x for x in records if x[4] and ((x[0] == doi) if doi else x[1] == title)]
+        ranked = []
+        for x in met:
+            bare = " ".join(x[4].replace("All rights reserved", " ").split()).removeprefix(". ").strip()
+            size, flagged = len(bare) + (2 if x[4].startswith("All") else 0), x[4].startswith("All")
+            chars = size + (len(title) + 1 if title else 0)
+            ranked.append((not flagged and chars >= 250, not flagged, chars, -x[6], x[5]))
+        want[article] = (len(met), max(ranked)[4], max(ranked)[2]) if met else (0, "", 0)
+    assert got == want
