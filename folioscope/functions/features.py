@@ -6,54 +6,21 @@ however many phrases and fields there are; `feature_table` makes it one for each
 
 from __future__ import annotations
 
-import html
 import itertools
-import re
 from collections.abc import Iterable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.config import QUALITY_PATTERNS, QUALITY_WORDINGS, STRIP_PATTERNS, STRIP_WORDINGS
+from folioscope.functions.plain import cleaned, flags_of, stripped
 from folioscope.functions.text import col, text
 
-_TAG = re.compile(r"<[^>]+>")
-_STRIP = [re.compile(p, re.I) for p in STRIP_PATTERNS]
-_FLAGS = {flag: re.compile("|".join(f"(?:{p})" for p in patterns)) for flag, patterns in QUALITY_PATTERNS.items()}
-_BEFORE_SIGN, _BARS = re.compile(r" +([,.;:])"), re.compile(r"(^| )[_|]+( |$)")
 _DASHES = dict.fromkeys(map(ord, "‐‑‒–—"), "-")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def cleaned(s: str, entities: bool = True) -> str:
-    """Markup to spaces, then entities decoded, then white space collapsed."""
-    if "<" in s:
-        s = _TAG.sub(" ", s)
-    if entities and "&" in s:
-        s = html.unescape(s)
-    return " ".join(s.split())
-
-
-def stripped(clean: str, low: str, entities: bool = True) -> str:
-    """Clean text without archive terms, rights notices and lone bars; `low` is it in lower case."""
-    out = clean
-    if any(w in low for w in STRIP_WORDINGS):
-        for p in _STRIP:
-            out = p.sub(" ", out)
-    if " ," in out or " ." in out or " ;" in out or " :" in out:
-        out = _BEFORE_SIGN.sub(r"\1", out)
-    if "_" in out or "|" in out:
-        out = _BARS.sub(" ", out)
-    return clean if out is clean and "<" not in out and "&" not in out else cleaned(out, entities)
-
-
-def flags_of(low: str) -> list[str]:
-    """Names of the pattern groups that clean lower-case text matches."""
-    return [flag for flag, p in _FLAGS.items() if p.search(low)] if any(w in low for w in QUALITY_WORDINGS) else []
-
-
 class Phrases:
     """All places of all phrases in one pass over a matching text. A phrase stands between characters that are no letters or digits; its hyphens also match spaces."""
 
@@ -99,13 +66,13 @@ def features(fields: list[Column | str], phrases: list[str] | tuple[str, ...] =
     flags of all fields in order of appearance, joined by `|`; hits: numbers of the phrases in the joined text; title_hits: in the field of that number alone."""
     phrases = tuple(phrases)
 
-    def run(*columns: pd.Series) -> pd.DataFrame:
+    def run(*columns: pa.Array) -> pa.Array:
         find = _finder(phrases).find
         chars, flags, hits, title_hits = [], [], [], []
         for values in zip(*columns, strict=True):
             pieces, seen = [], []
             for v in values:
-                clean = cleaned(v, entities)
+                clean = cleaned(v.as_py(), entities)
                 low = clean.lower()
                 seen += flags_of(low)
                 bare = stripped(clean, low, entities)
@@ -116,34 +83,37 @@ def features(fields: list[Column | str], phrases: list[str] | tuple[str, ...] =
             flags.append("|".join(dict.fromkeys(seen)))
             hits.append(find(joined))
             title_hits.append([] if title is None else find(pieces[title]))
-        return pd.DataFrame({"chars": pd.Series(chars, dtype="int32"), "flags": pd.Series(flags, dtype=object), "hits": pd.Series(hits, dtype=object), "title_hits": pd.Series(title_hits, dtype=object)})
+        found = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(chars, pa.int32()), pa.array(flags, pa.string()), pa.array(hits, found), pa.array(title_hits, found)], ["chars", "flags", "hits", "title_hits"])
 
-    return F.pandas_udf(run, "chars int, flags string, hits array<int>, title_hits array<int>")(*[text(f) for f in fields])
+    return F.arrow_udf(run, "chars int, flags string, hits array<int>, title_hits array<int>")(*[text(f) for f in fields])
 
 
 def phrase_hits(c: Column | str, phrases: list[str] | tuple[str, ...]) -> Column:
     """Numbers of the phrases in a matching text."""
     phrases = tuple(phrases)
 
-    def run(s: pd.Series) -> pd.Series:
+    def run(s: pa.Array) -> pa.Array:
         find = _finder(phrases).find
-        return pd.Series([find(v) for v in s], dtype=object)
+        return pa.array((find(v.as_py()) for v in s), pa.list_(pa.int32()))
 
-    return F.pandas_udf(run, "array<int>")(text(c))
+    return F.arrow_udf(run, "array<int>")(text(c))
 
 
 def stripped_size(c: Column | str, entities: bool = True) -> Column:
     """struct(clean_chars, stripped_chars, flags) of one text."""
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        rows = []
+    def run(s: pa.Array) -> pa.Array:
+        sizes, left, flags = [], [], []
         for v in s:
-            clean = cleaned(v, entities)
+            clean = cleaned(v.as_py(), entities)
             low = clean.lower()
-            rows.append((len(clean), len(stripped(clean, low, entities)), "|".join(flags_of(low))))
-        return pd.DataFrame(rows, columns=["clean_chars", "stripped_chars", "flags"]).astype({"clean_chars": "int32", "stripped_chars": "int32"})
+            sizes.append(len(clean))
+            left.append(len(stripped(clean, low, entities)))
+            flags.append("|".join(flags_of(low)))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(left, pa.int32()), pa.array(flags, pa.string())], ["clean_chars", "stripped_chars", "flags"])
 
-    return F.pandas_udf(run, "clean_chars int, stripped_chars int, flags string")(text(c))
+    return F.arrow_udf(run, "clean_chars int, stripped_chars int, flags string")(text(c))
 
 
 def content_key(c: Column | str) -> Column:

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from folioscope.config import DOI_PREFIXES, QUALITY_PATTERNS, QUALITY_WORDINGS, STRIP_PATTERNS, STRIP_WORDINGS
+from folioscope.config import DOI_PREFIXES
+from folioscope.functions.plain import cleaned, flags_of, stripped
 
 #: White space as Unicode has it, no-break spaces included, and the four separator controls.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
-
-
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -44,9 +38,13 @@ def present(c: Column | str) -> Column:
     return ~blank(c)
 
 
-def unescape(c: Column) -> Column:
-    """HTML entities decoded; only values with an ampersand leave the JVM."""
-    return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+def _mapped(c: Column | str, one: Callable[[str], str]) -> Column:
+    """one(text) of each row, null as empty, in one Arrow evaluation."""
+
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array((one(v.as_py()) for v in s), pa.string())
+
+    return F.arrow_udf(run, "string")(text(c))
 
 
 def _bare(x: Column) -> Column:
@@ -60,50 +58,24 @@ def let(x: Column, make: Callable[[Column], Column]) -> Column:
 
 def clean(c: Column | str, entities: bool = True) -> Column:
     """Markup to spaces, then entities decoded, then white space collapsed: an escaped tag stays as text. A list gives its first
-    entry that isn't empty before it comes here (see first_present). entities=False for sources that have none."""
-    bare = _bare(text(c))
-    return collapse(unescape(bare) if entities else bare)
-
-
-def with_clean(df: DataFrame, columns: dict[str, Column | str], entities: bool = True) -> DataFrame:
-    """df with clean() of `columns`, by new name. Each step is a column of its own, so that no step runs twice."""
-    df = df.withColumns({n: text(c) for n, c in columns.items()}).withColumns({n: _bare(F.col(n)) for n in columns})
-    if entities:
-        df = df.withColumns({n: unescape(F.col(n)) for n in columns})
-    return df.withColumns({n: collapse(F.col(n)) for n in columns})
-
-
-def _having(wordings: list[str], x: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in wordings])
-
-
-def _without_notices(c: Column) -> Column:
-    """Clean text without archive terms, rights notices and lone bars; only texts with one of the wordings or signs go through the patterns."""
-    out = let(c, lambda x: F.when(let(F.lower(x), partial(_having, STRIP_WORDINGS)), reduce(lambda y, p: F.regexp_replace(y, f"(?i){p}", " "), STRIP_PATTERNS, x)).otherwise(x))
-    out = let(out, lambda x: F.when(_having([" ,", " .", " ;", " :"], x), F.regexp_replace(x, " +([,.;:])", "$1")).otherwise(x))
-    return let(out, lambda x: F.when(_having(["_", "|"], x), F.regexp_replace(x, r"(^| )[_|]+( |$)", " ")).otherwise(x))
+    entry that isn't empty before it comes here (see first_present). entities=False for sources that have none; only that stands within lambdas too."""
+    return _mapped(c, cleaned) if entities else collapse(_bare(text(c)))
 
 
 def strip_boilerplate(c: Column | str, entities: bool = True) -> Column:
     """Clean text without archive terms and rights notices."""
-    return clean(_without_notices(clean(c, entities)), entities)
-
-
-def with_stripped(df: DataFrame, columns: dict[str, str], entities: bool = True) -> DataFrame:
-    """df with strip_boilerplate() of columns that are clean already, by new name, step by step."""
-    return with_clean(df.withColumns({n: _without_notices(F.col(c)) for n, c in columns.items()}), {n: n for n in columns}, entities)
 
+    def one(s: str) -> str:
+        tidy = cleaned(s, entities)
+        return stripped(tidy, tidy.lower(), entities)
 
-def quality_flags(*fields: Column | str, entities: bool = True, cleaned: bool = False) -> Column:
-    """Names of the pattern groups that any field matches, in order of first appearance, joined by `|`. cleaned: fields are clean already."""
+    return _mapped(c, one)
 
-    def flags(low: Column) -> Column:
-        some = _having(QUALITY_WORDINGS, low)
-        hits = F.array(*[F.when(low.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(flag)) for flag, patterns in QUALITY_PATTERNS.items()])
-        return F.when(some, hits).otherwise(F.array().cast("array<string>"))
 
-    found = F.concat(*[let(F.lower(col(f) if cleaned else clean(f, entities)), flags) for f in fields])
-    return F.array_join(F.array_distinct(F.filter(found, lambda x: x.isNotNull())), "|")
+def quality_flags(*fields: Column | str, entities: bool = True) -> Column:
+    """Names of the pattern groups that any field matches, in order of first appearance, joined by `|`."""
+    found = F.concat_ws("|", *[_mapped(f, lambda s: "|".join(flags_of(cleaned(s, entities).lower()))) for f in fields])
+    return F.array_join(F.array_distinct(F.filter(F.split(found, r"\|"), lambda x: x != "")), "|")
 
 
 def matching(c: Column | str, cleaned: bool = False) -> Column:

@@ -157,3 +157,15 @@ def test_title_similarity_and_its_block(spark):
         best = [k for v, k in s if v == top]
         want = "missing_title" if not key(t) else "no_title_match" if top < 0.9 else "title_year" if len(best) == 1 else "ambiguous_title"
         assert got[i]["matched_by"] == want and (want != "title_year" or got[i]["matched_id"] == best[0])
+
+
+def test_cleaning_is_one_arrow_evaluation(spark):
+    """A text is cleaned in one pass outside the JVM, however often its steps would name it, and as step by step."""
+    odd = ["", None, " a  b\x1cc\x85d ", "<p>x</p> &lt;b&gt; &amp;amp; <unclosed", "One , two | All Rights Reserved. ", "İ Σ K _ |"]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    for made, udfs in ((T.clean("v"), 1), (T.strip_boilerplate("v"), 1), (T.quality_flags("v"), 1)):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan and plan.count("run(") == udfs
+    steps = F.trim(F.regexp_replace(T._bare(T.text("v")), T.SPACE, " "))
+    for r in df.where("v is null or not contains(v, '&')").select(T.clean("v").alias("a"), steps.alias("b")).collect():
+        assert r["a"] == r["b"]
