@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.checkpoints import materialized
 from folioscope.functions import text as T
 from folioscope.operators.rank import first_by, top_by
 from folioscope.operators.shares import flag
@@ -14,44 +15,53 @@ STATUSES = ["found", "error", "not_found", "skipped", "not_cached", "rate_limite
 FAILED = STATUSES[1:]
 
 
-def top_values(df: DataFrame, keys: list[str], value: str, n: int, name: str, max_chars: int = 140) -> DataFrame:
+def top_values(df: DataFrame, keys: list[str], value: str, n: int, name: str, max_chars: int = 140, rows: Column | None = None) -> DataFrame:
     """The n most frequent values of each key as `value (count)`, joined by `; `: whole values are counted before anything is gathered, long ones
-    cut for display. Ties by value."""
-    counted = df.where(T.present(value)).groupBy(*keys, T.collapse(T.text(value)).alias("__v")).agg(F.count("*").alias("__c"))
+    cut for display. Ties by value. rows: how many rows one of df stands for."""
+    counted = df.where(T.present(value)).groupBy(*keys, T.collapse(T.text(value)).alias("__v")).agg((F.count("*") if rows is None else F.sum(rows)).alias("__c"))
     best = top_by(counted, keys, [F.desc("__c"), F.asc("__v")], n)
     shown = F.when(F.length("__v") > max_chars, F.concat(F.rtrim(F.substring("__v", 1, max_chars - 3)), F.lit("..."))).otherwise(F.col("__v"))
     listed = F.array_sort(F.collect_list(F.struct("__n", F.concat(shown, F.lit(" ("), "__c", F.lit(")")).alias("s"))))  # n entries a key
     return best.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["s"]), "; ").alias(name))
 
 
-def _prepared(attempts: DataFrame) -> DataFrame:
-    return attempts.withColumn("doi_prefix", T.doi_prefix_family("doi")).where("doi_prefix <> ''")
+def _prepared(counted: DataFrame, rows: str) -> DataFrame:
+    """Counted attempts with the prefix of their DOI, where there is one. The condition names the count, so that Spark doesn't ask it of every attempt."""
+    return counted.withColumn("doi_prefix", T.doi_prefix_family("doi")).where(F.when(F.col(rows) > 0, F.col("doi_prefix")) != "")
 
 
 def _articles(found: bool) -> Column:
     named = F.when(T.present("article_id"), F.col("article_id"))
-    return F.count_distinct(F.when(F.col("attempt_status") == "found", named) if found else named)
+    return F.count_distinct(F.when(F.col("found_attempts") > 0, named) if found else named)
+
+
+def _counted(attempts: DataFrame) -> DataFrame:
+    """The attempts of each DOI, article and source in one row with its prefix: how many, and by status. What is asked of a DOI or an article is
+    worked out for these rows, not for every attempt."""
+    status = F.coalesce("attempt_status", F.lit(""))
+    by_status = [F.sum(flag(status == s)).alias(f"{s}_attempts") for s in STATUSES]
+    return _prepared(attempts.groupBy("doi", "article_id", "attempt_source").agg(F.count("*").alias("attempt_rows"), *by_status, F.sum(flag(~status.isin(*STATUSES))).alias("other_attempts")), "attempt_rows")
 
 
 def by_prefix_source(attempts: DataFrame) -> DataFrame:
     """DOI prefix by source: attempts, articles, articles found, attempts by status, the two most frequent errors."""
     keys = ["doi_prefix", "attempt_source"]
-    work = _prepared(attempts)
-    status = F.coalesce("attempt_status", F.lit(""))
-    counts = work.groupBy(*keys).agg(F.count("*").alias("attempt_rows"), _articles(False).alias("attempted_articles"), _articles(True).alias("found_articles"), *[F.sum(flag(status == s)).alias(f"{s}_attempts") for s in STATUSES], F.sum(flag(~status.isin(*STATUSES))).alias("other_attempts"))
-    return counts.join(top_values(work.where("attempt_status = 'error'"), keys, "attempt_error", 2, "top_errors", 80), keys, "left").na.fill("", ["top_errors"])
+    summed = [F.sum(c).alias(c) for c in (*[f"{s}_attempts" for s in STATUSES], "other_attempts")]
+    counts = _counted(attempts).groupBy(*keys).agg(F.sum("attempt_rows").alias("attempt_rows"), _articles(False).alias("attempted_articles"), _articles(True).alias("found_articles"), *summed)
+    errors = _prepared(attempts.where("attempt_status = 'error'").groupBy("doi", "attempt_source", "attempt_error").agg(F.count("*").alias("__rows")), "__rows")
+    return counts.join(top_values(errors, keys, "attempt_error", 2, "top_errors", 80, F.col("__rows")), keys, "left").na.fill("", ["top_errors"])
 
 
 def by_prefix(attempts: DataFrame) -> DataFrame:
     """What prior attempts gave for each DOI prefix."""
-    failed = [F.sum(flag(F.col("attempt_status") == s)).alias(f"prior_{s}_attempts") for s in FAILED]
-    return _prepared(attempts).groupBy("doi_prefix").agg(_articles(False).alias("prior_attempted_articles"), _articles(True).alias("prior_found_articles"), *failed)
+    failed = [F.sum(f"{s}_attempts").alias(f"prior_{s}_attempts") for s in FAILED]
+    return _counted(attempts).groupBy("doi_prefix").agg(_articles(False).alias("prior_attempted_articles"), _articles(True).alias("prior_found_articles"), *failed)
 
 
 def source_context(summary: DataFrame) -> DataFrame:
     """Of each prefix the source that found most articles (then most attempts found, most attempts, by name) and the one that failed most often."""
     failed = sum((F.col(f"{s}_attempts") for s in FAILED), F.lit(0))
-    work = summary.withColumn("__failed", failed)
+    work = materialized(summary.withColumn("__failed", failed))  # few rows, read twice
     best = first_by(work, ["doi_prefix"], [F.desc("found_articles"), F.desc("found_attempts"), F.desc("attempt_rows"), F.asc("attempt_source")]).select("doi_prefix", F.col("attempt_source").alias("best_prior_source"), F.col("found_articles").alias("best_prior_source_found_articles"))
     worst = first_by(work, ["doi_prefix"], [F.desc("__failed"), F.desc("attempt_rows"), F.asc("attempt_source")]).select("doi_prefix", F.col("attempt_source").alias("top_failure_source"), F.col("__failed").alias("top_failure_attempts"))
     return best.join(worst, "doi_prefix")

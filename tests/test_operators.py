@@ -288,3 +288,23 @@ def test_local_evidence_joins_one_row_a_key(spark):
             ranked.append((not flagged and chars >= 250, not flagged, chars, -x[6], x[5]))
         want[article] = (len(met), max(ranked)[4], max(ranked)[2]) if met else (0, "", 0)
     assert got == want
+
+
+def test_prefixes_are_worked_out_for_counted_attempts(spark):
+    """Attempts of a DOI, article and source are counted before anything is asked of the DOI; distinct articles and errors as before."""
+    from folioscope.operators import attempts as A
+
+    rows = [(str(i % 7), f" HTTPS://doi.org/10.1257/x{i % 5}" if i % 6 else "", f"s{i % 2}", ["found", "error", None, "weird", "not_found"][i % 5], f"e {i % 3}" if i % 5 == 1 else "") for i in range(300)]
+    df = spark.createDataFrame(rows, "article_id string, doi string, attempt_source string, attempt_status string, attempt_error string")
+    plan = A.by_prefix(df)._jdf.queryExecution().optimizedPlan().toString()
+    lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    assert "regexp_replace" not in plan[plan.index(lowest) + len(lowest) :]
+    kept = [r for r in rows if r[1]]
+    got = A.by_prefix(df).first()
+    assert (got["prior_attempted_articles"], got["prior_found_articles"], got["prior_error_attempts"]) == (len({r[0] for r in kept}), len({r[0] for r in kept if r[3] == "found"}), sum(r[3] == "error" for r in kept))
+    for r in A.by_prefix_source(df).collect():
+        mine = [x for x in kept if x[2] == r["attempt_source"]]
+        errors = {e: sum(x[4] == e for x in mine if x[3] == "error") for e in ("e 0", "e 1", "e 2")}
+        best = sorted(((-n, e) for e, n in errors.items() if n))[:2]
+        assert (r["attempt_rows"], r["attempted_articles"], r["other_attempts"]) == (len(mine), len({x[0] for x in mine}), sum(x[3] in (None, "weird") for x in mine))
+        assert r["top_errors"] == "; ".join(f"{e} ({-n})" for n, e in best)
