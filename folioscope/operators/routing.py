@@ -282,9 +282,10 @@ def route_family(tier: Column, group: Column, row_status: Column, text_status: C
     return F.when(tier == "source_metadata_fix", "source_metadata_fix").when(group == "ready_partial_text_extension", "partial_text_extension").when(blocked, "pdf_blocker_metadata").otherwise(of_doi)
 
 
-def review_queue(rows: DataFrame, minimum: int = 250, entities: bool = True) -> DataFrame:
+def review_queue(rows: DataFrame, minimum: int = 250, entities: bool = True, texts: bool = True) -> DataFrame:
     """Split rows (article_id, split_group, row_status, current_text_chars, current_abstract, abstract, source, source_url, source_record_id,
-    recovery_rank, ...) in review order. Rows whose enriched text is usable already are left out."""
+    recovery_rank, ...) in review order. Rows whose enriched text is usable already are left out. texts=False leaves the texts themselves out: flags and
+    states are made of them first, and ranking writes and sorts all that is left."""
     named = lambda c: T.collapse(T.text(c)) if c in rows.columns else F.lit("")
     chars = F.coalesce(T.number("current_text_chars"), F.lit(0.0)).cast("int")
     usable = (named("text_enrichment_status") == "enriched") & ((F.lower(named("has_usable_classification_text")) == "true") | (chars >= minimum))
@@ -295,6 +296,7 @@ def review_queue(rows: DataFrame, minimum: int = 250, entities: bool = True) ->
     work = work.withColumn("quick_win_tier", tier).withColumn("source_route_family", route_family(F.col("quick_win_tier"), named("split_group"), named("row_status"), named("text_enrichment_status"), named("source_artifact"), "doi"))
     place = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("quick_win_tier"))
     rank = F.coalesce(T.number("recovery_rank"), F.lit(999999.0))
+    work = work if texts else work.drop("current_abstract", "abstract")
     return global_rank(work, [place.asc(), F.asc("chars_needed_to_threshold"), rank.asc(), F.asc("journal_short"), F.asc("publication_year"), F.asc("title"), F.asc("article_id")], "review_rank")
 
 

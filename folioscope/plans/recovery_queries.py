@@ -77,12 +77,12 @@ def _split_rows(spark, sf_dir):
 
 
 def review_queue(spark, sf_dir):
-    return R.review_queue(_split_rows(spark, sf_dir)).select("review_rank", "article_id", "completion_status", "review_stage", "quick_win_tier", "source_route_family", "chars_needed_to_threshold", "current_text_quality_flag")
+    return R.review_queue(_split_rows(spark, sf_dir), texts=False).select("review_rank", "article_id", "completion_status", "review_stage", "quick_win_tier", "source_route_family", "chars_needed_to_threshold", "current_text_quality_flag")
 
 
 def automation_rows(spark, sf_dir):
     """Review rows with the route of their DOI or family and their automation status."""
-    q = G.with_review_route(R.review_queue(_split_rows(spark, sf_dir)), _routes(spark, sf_dir))
+    q = G.with_review_route(R.review_queue(_split_rows(spark, sf_dir), texts=False), _routes(spark, sf_dir))
     status = R.automation_status(F.col("completion_status"), F.col("quick_win_tier"), F.col("current_text_quality_flag"), F.col("source_route_family"), F.col("row_status"), T.text("current_route_status"), T.text("decision"))
     return q.withColumn("automation_status", status)
 
@@ -97,7 +97,7 @@ def import_preflight(spark, sf_dir):
 
 def action_rows(spark, sf_dir, whole=True):
     """Evidence rows with what stands beside them; not whole: without cells and automation, which are worked out for all of the queue."""
-    q = R.review_queue(_split_rows(spark, sf_dir)).withColumn("decade", T.decade("publication_year"))
+    q = R.review_queue(_split_rows(spark, sf_dir), texts=False).withColumn("decade", T.decade("publication_year"))
     beside = (cell_targets(spark, sf_dir), automation(spark, sf_dir)) if whole else ()
     return R.action_packet(_evidence(spark, sf_dir), q, *beside)
 
@@ -128,11 +128,11 @@ def progress_overview(spark, sf_dir):
 
 
 def review_summary(spark, sf_dir):
-    return K.queue_summary(R.review_queue(_split_rows(spark, sf_dir)), ["recovery_batch", "review_stage", "quick_win_tier", "split_group", "row_status"])
+    return K.queue_summary(R.review_queue(_split_rows(spark, sf_dir), texts=False), ["recovery_batch", "review_stage", "quick_win_tier", "split_group", "row_status"])
 
 
 def tier_summary(spark, sf_dir):
-    return R.ranked_summary(R.review_queue(_split_rows(spark, sf_dir)), ["source_route_family"], ["quick_win_tier"])
+    return R.ranked_summary(R.review_queue(_split_rows(spark, sf_dir), texts=False), ["source_route_family"], ["quick_win_tier"])
 
 
 def review_guide(spark, sf_dir):

@@ -308,3 +308,15 @@ def test_prefixes_are_worked_out_for_counted_attempts(spark):
         best = sorted(((-n, e) for e, n in errors.items() if n))[:2]
         assert (r["attempt_rows"], r["attempted_articles"], r["other_attempts"]) == (len(mine), len({x[0] for x in mine}), sum(x[3] in (None, "weird") for x in mine))
         assert r["top_errors"] == "; ".join(f"{e} ({-n})" for n, e in best)
+
+
+def test_review_queue_ranks_without_texts(spark):
+    """Flags and states are made of the texts; ranking need not write and sort them."""
+    from folioscope.operators import routing as R
+
+    rows = [(str(i), "t", "10.1/x", "aer", "2001", "ready_partial_text_extension", "", "9", "All rights reserved." if i % 2 else "Text", "", "", "", "", str(i)) for i in range(6)]
+    names = "article_id title doi journal_short publication_year split_group row_status current_text_chars current_abstract abstract source source_url source_record_id recovery_rank".split()
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    whole, bare = R.review_queue(df), R.review_queue(df, texts=False)
+    assert {"current_abstract", "abstract"} & set(bare.columns) == set()
+    assert sorted(map(tuple, whole.select(*bare.columns).collect())) == sorted(map(tuple, bare.collect()))
