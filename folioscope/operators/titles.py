@@ -1,19 +1,22 @@
-"""Similar titles without comparing all: a prefix filter over numbered characters.
+"""Similar titles without comparing all: blocks of titles whose lengths allow the ratio, compared by their character counts.
 
 The matcher's ratio is 2 M / (a + b) for M characters that both titles have in blocks, of a and b in all. M is at most the overlap of the two multisets of
-characters; with the n-th e of a title as a thing of its own (e1, e2, ...) these are sets. For a ratio of r two titles need an overlap T of r (a + b) / 2,
-and then the first T' of what they share, in any fixed order of numbered characters, stand among the first a - T + T' of one and b - T + T' of the other. The order is
-by how unlikely a number is in titles of about the length (see _surprise), within a band of lengths, so titles meet by what is unusual in them: by pairs of their first numbered
-characters (T' = 2) or, where a long title would have too many of these, by single characters that both have unusually often (T' = 1). Each two titles come out once, at the first that they share; what has too small an overlap goes before the matcher sees it. Nothing is missed, as no bound is below the ratio. Of titles of
-many hundred characters the bound excludes few of about one length.
+characters. For a ratio of r two titles need an overlap of r (a + b) / 2, so neither is shorter than r / (2 - r) of the other: titles fall into bands of lengths, and a
+band meets itself and the two beside it. A band is cut into blocks of about BLOCK titles; each two blocks are one group of one task, which adds up the overlaps of all
+its pairs in arrays, 37 counts a title, and gives those that reach the bound. Texts don't travel with the blocks. Each two titles meet in one group only; what has too small an
+overlap goes before the matcher sees it. Nothing is missed, as no bound is below the ratio.
 """
 
 from __future__ import annotations
 
 import difflib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -22,8 +25,9 @@ from folioscope.checkpoints import materialized
 
 #: What normalised titles are made of.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
-#: Numbered characters up to which a title is looked up by pairs of them.
-FEW = 24
+#: Titles in a block, about, and how many of them are compared with another block at once.
+BLOCK, SLICE = 1024, 64
+_CODES = np.frombuffer(ALPHABET.encode(), np.uint8)
 
 
 @F.pandas_udf(DoubleType())
@@ -38,80 +42,94 @@ def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
-def character_counts(c: Column | str) -> Column:
-    """How often each character of ALPHABET is in a normalised title."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit(""))) for ch in ALPHABET])
-
-
-def _least_overlap(a: Column, b: Column, minimum: float) -> Column:
-    return F.ceil((a + b) * (minimum / 2) - 1e-9).cast("int")
-
-
-def _surprise(k: Column, expected: Column) -> Column:
-    """How unlikely k or more are where so many are expected (the exponent of Chernoff's bound); below the expected number negative. It grows with k."""
-    return F.signum(k - expected) * (k * F.log(k / expected) - k + expected)
+def _counts(c: str) -> Column:
+    """How often each character of ALPHABET is in a title, as 32-bit integers."""
+
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([np.bincount(np.frombuffer(v.as_buffer(), np.uint8), minlength=256)[_CODES].astype("<i4").tobytes() for v in s], pa.binary())
+
+    return F.arrow_udf(run, "binary")(c)
+
+
+def _overlaps(minimum: float, within: list[str], left: list[str], right: list[str], ordered: bool):
+    """What a group of two blocks does: the pairs whose overlap reaches the bound."""
+    shortest = minimum / (2 - minimum)
+
+    def side(rows: pa.Table, value: bool) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        own = rows.filter(pc.equal(rows["__left"], value)).sort_by("__size").combine_chunks()
+        return own, own["__size"].to_numpy(), np.frombuffer(b"".join(own["__counts"].to_pylist()), "<i4").reshape(-1, len(ALPHABET))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))  # two blocks
+        (a, a_size, a_counts), (b, b_size, b_counts) = side(rows, True), side(rows, False)
+        if not len(a_size) or not len(b_size):
+            return
+        number = np.int16 if min(a_size[-1], b_size[-1]) < 2**15 and max(a_counts.max(), b_counts.max()) < 2**15 else np.int32
+        a_counts, b_counts = a_counts.astype(number), np.ascontiguousarray(b_counts.T, number)
+        used = np.flatnonzero(a_counts.any(axis=0) & b_counts.any(axis=1)).tolist()
+        a_id, b_id = a["l"].to_numpy(), b["r"].to_numpy()
+        for s in range(0, len(a_size), SLICE):
+            e = min(s + SLICE, len(a_size))
+            low, high = np.searchsorted(b_size, a_size[s] * shortest - 0.5), np.searchsorted(b_size, a_size[e - 1] / shortest + 0.5, side="right")
+            overlap = np.zeros((e - s, high - low), number)
+            for c in used:
+                overlap += np.minimum(a_counts[s:e, c, None], b_counts[None, c, low:high])
+            fits = overlap >= (a_size[s:e, None] + b_size[None, low:high]) * (minimum / 2) - 1e-9
+            if ordered:
+                fits &= a_id[s:e, None] < b_id[None, low:high]
+            i, j = np.nonzero(fits)
+            if len(i):
+                mine, theirs = pa.array(i + s), pa.array(j + low)
+                found = [a[c].combine_chunks().take(mine) for c in [*within, *left]] + [b[c].combine_chunks().take(theirs) for c in right]
+                yield pa.RecordBatch.from_arrays([*found, pa.array(overlap[i, j].astype(np.int32))], [*within, *left, *right, "overlap"])
+
+    return run
+
+
+def overlapping(left: DataFrame, right: DataFrame, minimum: float = 0.9, within: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    """(within, l, ..., r, ..., overlap) for the titles t of left (within, l, t, ...) and of right (within, r, t, ...), l and r being numbers, each once in its table, whose
+    characters' overlap allows a ratio of `minimum`; further columns stay beside their numbers. ordered: only pairs of l < r, for a table that meets itself. Empty titles and
+    nulls pair with nothing. Both tables are read several times."""
+    if not 0 < minimum <= 1:
+        raise ValueError("minimum must be above 0 and at most 1")
+    within = within or []
+    shortest = minimum / (2 - minimum)
+    beside = 1 if shortest < 1 else 0  # equal lengths alone
+    band = F.floor(F.log("__size") / (-math.log(shortest) * (1 + 1e-9))) if beside else F.col("__size").cast("long")
 
+    def sized(df: DataFrame) -> DataFrame:
+        return df.where(" and ".join(["t <> ''", *[f"`{w}` is not null" for w in within]])).withColumn("__size", F.length("t")).withColumn("__band", band)
 
-def _keyed(titles: DataFrame, name: str, usual: list[float], minimum: float, spread: bool) -> DataFrame:
-    """titles with one row for each key (__band, __kind, __key, __at), and __<name>_size, _n (counts), _x (first numbered characters, where there are few), _level and _many.
-    spread: the title is looked up in the bands of lengths beside its own too."""
-    shared = 2 if minimum > 2 / 3 else 1  # below that, two titles may need but one character in common
-    size, shortest = F.col("__size"), minimum / (2 - minimum)
-    shares = F.array(*[F.lit(u) for u in usual])
+    def cells(df: DataFrame, name: str, at: str) -> DataFrame:
+        return df.groupBy(*within, F.col("__band").alias(at)).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
-    def prefix_size(n: Column) -> Column:
-        return F.greatest(F.lit(0), n - _least_overlap(n, F.ceil(n * shortest - 1e-9), minimum) + shared)
+    a, b = sized(left), sized(right)
+    near = F.explode(F.sequence(F.col("__band") - beside, F.col("__band") + beside))
 
-    def one(n: Column, i: Column) -> Column:
-        numbers = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct((-_surprise(k.cast("double"), F.get(F.col("__usual"), i))).alias("o"), (k.cast("long") * len(ALPHABET) + i).alias("c")))
-        return F.when(n > 0, numbers).otherwise(F.array().cast("array<struct<o:double,c:bigint>>"))
+    def blocks(df: DataFrame, number: str, own: tuple[str, str], other: tuple[str, str], others: DataFrame, is_left: bool) -> DataFrame:
+        """One row for each block of the other table that a title meets."""
+        work = df.withColumn("__counts", _counts("t")).drop("t").join(cells(df, "__n", "__band"), [*within, "__band"])
+        work = work.withColumns({own[0]: F.col("__band"), own[1]: F.pmod(F.xxhash64(number), F.col("__n")).cast("int"), other[0]: near})
+        met = work.join(cells(others, "__blocks", other[0]), [*within, other[0]]).withColumn(other[1], F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+        return met.drop("__n", "__blocks", "__band").withColumn("__left", F.lit(is_left))
 
-    work = titles.withColumn("__size", F.length(name)).withColumns({"__n": character_counts(name), "__p": prefix_size(size)})
-    step = -math.log(shortest) if shortest < 1 else 1e-9  # equal lengths alone
-    band = F.floor(F.log(size) / step) if shortest < 1 else size.cast("long")
-    work = work.withColumn("__band", F.explode(F.sequence(band - 1, band + 1) if spread and shortest < 1 else F.array(band)))
-    middle = F.exp((F.col("__band") + 0.5) * step) if shortest < 1 else F.col("__band").cast("double")
-    work = work.withColumn("__usual", F.transform(shares, lambda u: u * middle))
-    work = work.withColumn("__o", F.slice(F.array_sort(F.flatten(F.transform("__n", one))), F.lit(1), F.col("__p")))
-    alone = _least_overlap(size, size, minimum) < 2  # one character: its equal has no second
-    many = (F.col("__p") > FEW) | alone if shared == 2 else F.lit(True)
-    partner_many = prefix_size(F.ceil(size / shortest)) > FEW if shared == 2 else F.lit(True)
-    work = work.withColumns({"__many": many, "__level": -F.element_at("__o", -1)["o"], "__x": F.when(many, F.array().cast("array<bigint>")).otherwise(F.transform("__o", lambda s: s["c"]))})
-    pairs = F.flatten(F.transform("__x", lambda x, i: F.transform(F.slice("__x", i + 2, F.greatest(F.size("__x") - i - 1, F.lit(0))), lambda y: F.struct(F.lit(2).alias("kind"), F.xxhash64(x, y).alias("key"), F.lit(0).alias("at")))))
-    # the characters with a number among the first, however many numbers each has there
-    letters = F.array_distinct(F.transform("__o", lambda s: F.pmod(s["c"], F.lit(len(ALPHABET))).cast("int")))
-    singles = F.transform(letters, lambda i: F.struct(F.lit(1).alias("kind"), i.cast("long").alias("key"), i.alias("at")))
-    none = F.array().cast("array<struct<kind:int,key:bigint,at:int>>")
-    keys = F.concat(F.when(F.col("__many"), none).otherwise(pairs), F.when(F.col("__many") | partner_many, singles).otherwise(none))
-    work = work.withColumn("__k", F.explode(keys)).withColumns({f"__{c}": F.col(f"__k.{c}") for c in ("kind", "key", "at")}).drop("__k", "__p", "__o")
-    return work.withColumnsRenamed({c: f"__{name}_{c[2:]}" for c in ("__size", "__n", "__x", "__many", "__level", "__at", "__usual")})
+    at_l, at_r = ("__lband", "__lblock"), ("__rband", "__rblock")
+    key = [*within, *at_l, *at_r]
+    met = blocks(a, "l", at_l, at_r, b, True).unionByName(blocks(b, "r", at_r, at_l, a, False), allowMissingColumns=True)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each with much to work out
+    mine, theirs = ([c for c in df.columns if c not in (*within, "t")] for df in (left, right))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for df, names in ((left, [*within, *mine]), (right, theirs)) for f in (df.schema[n] for n in names)], "overlap int"])
+    return met.repartition(parts, *key).groupBy(*key).applyInArrow(_overlaps(minimum, within, mine, theirs, ordered), schema)
 
 
 def bounded_pairs(left: DataFrame, right: DataFrame, minimum: float = 0.9, within: list[str] | None = None) -> DataFrame:
     """(within, l, r, overlap) for the titles l of left (within, l) and r of right (within, r), each once in its table, whose characters' overlap allows a ratio of `minimum`.
     Empty titles and nulls pair with nothing."""
-    if not 0 < minimum <= 1:
-        raise ValueError("minimum must be above 0 and at most 1")
     within = within or []
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each with much to work out
-    left, right = materialized(left.where("l <> ''").repartition(parts, "l")), materialized(right.where("r <> ''").repartition(parts, "r"))
-    usual = right.select(F.explode(F.arrays_zip(character_counts("r").alias("n"), F.sequence(F.lit(0), F.lit(len(ALPHABET) - 1)).alias("i"))).alias("x")).groupBy("x.i").agg(F.avg("x.n").alias("n"))
-    means = {r["i"]: r["n"] for r in usual.collect()}  # one number for each character
-    whole = sum(means.values()) or 1.0
-    usual = [max(means.get(i, 0.0) / whole, 1e-4) for i in range(len(ALPHABET))]
-    a, b = _keyed(left, "l", usual, minimum, True), _keyed(right, "r", usual, minimum, False).drop("__r_usual")
-    need = _least_overlap(F.col("__l_size"), F.col("__r_size"), minimum)
-    met = a.join(b, [*within, "__band", "__kind", "__key"]).where(F.least("__l_size", "__r_size") >= need)
-    overlap = F.aggregate(F.zip_with("__l_n", "__r_n", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    met = met.withColumn("overlap", overlap).where(F.col("overlap") >= need)
-    by_pair = F.exists(F.array(F.array_intersect("__l_x", "__r_x")), lambda c: F.xxhash64(F.get(c, F.lit(0)), F.get(c, F.lit(1))) == F.col("__key"))
-    # no character before this one has a number among the first of both
-    level, at = F.greatest("__l_level", "__r_level"), F.col("__l_at")
-    both = lambda i: F.least(F.get("__l_n", i), F.get("__r_n", i)).cast("double")
-    above = lambda i: (both(i) > 0) & (_surprise(both(i), F.get("__l_usual", i)) >= level)
-    by_one = (F.col("__l_many") | F.col("__r_many")) & above(at) & ~F.exists(F.sequence(F.lit(0), F.lit(len(ALPHABET) - 1)), lambda i: (i < at) & above(i))
-    return met.where(F.when(F.col("__kind") == 2, by_pair).otherwise(by_one)).select(*within, "l", "r", "overlap")
+    left, right = (materialized(df.where(f"{n} <> ''").withColumn(f"__{n}", F.monotonically_increasing_id())) for df, n in ((left, "l"), (right, "r")))
+    asked = lambda df, n: df.select(*within, F.col(f"__{n}").alias(n), F.col(n).alias("t"))
+    met = overlapping(asked(left, "l"), asked(right, "r"), minimum, within).withColumnsRenamed({"l": "__l", "r": "__r"})
+    return met.join(left.select("__l", "l"), "__l").join(right.select("__r", "r"), "__r").select(*within, "l", "r", "overlap")
 
 
 def best_titles(asks: DataFrame, known: DataFrame, minimum: float = 0.9, within: list[str] | None = None) -> DataFrame:

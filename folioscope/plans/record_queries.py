@@ -9,6 +9,7 @@ from folioscope.operators import attempts as A
 from folioscope.operators import enrich as E
 from folioscope.operators import labels as L
 from folioscope.operators import link as K
+from folioscope.operators import rank as N
 from folioscope.operators import sample as M
 from folioscope.operators import shares as S
 from folioscope.operators import titles as Y
@@ -158,9 +159,9 @@ def backfill_match(spark, sf_dir):
 
 def title_bound_pairs(spark, sf_dir):
     """Titles of one year whose characters allow a ratio of 0.9."""
-    t = articles(spark, sf_dir).select("publication_year", T.title_key("title").alias("t")).distinct()
-    pairs = Y.bounded_pairs(t.withColumnRenamed("t", "l"), t.withColumnRenamed("t", "r"), 0.9, ["publication_year"])
-    return pairs.where("l < r").select("publication_year", F.md5(F.col("l").cast("binary")).alias("l_md5"), F.md5(F.col("r").cast("binary")).alias("r_md5"), "overlap")
+    t = N.global_rank(articles(spark, sf_dir).select("publication_year", T.title_key("title").alias("t")).distinct(), [F.asc("t"), F.asc("publication_year")], "n")
+    side = lambda n: t.select("publication_year", F.col("n").alias(n), "t", F.md5(F.col("t").cast("binary")).alias(f"{n}_md5"))
+    return Y.overlapping(side("l"), side("r"), 0.9, ["publication_year"], ordered=True).select("publication_year", "l_md5", "r_md5", "overlap")
 
 
 def strata(spark, sf_dir):

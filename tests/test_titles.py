@@ -95,3 +95,16 @@ def test_backfill_against_rules_one_by_one(spark):
             seen.add(match)
         assert got[n][1:] == (how, error), (n, got[n], match, how, error)
         assert error or got[n][0] == match
+
+
+def test_blocks_meet_each_two_titles_once(spark, monkeypatch):
+    """A band of many blocks, long titles that all lie within the bound, other columns beside the numbers, and a table that meets itself."""
+    monkeypatch.setattr(Y, "BLOCK", 7)
+    rng = random.Random(3)
+    titles = sorted({"".join(rng.choices("eeetao ", k=rng.choice([9, 11, 300, 320]))).strip() or "x" for _ in range(150)})
+    rows = [(n, t, f"m{n}", "1990" if n % 3 else "1991") for n, t in enumerate(titles)] + [(900, "", "m", "1990"), (901, "a title", "m", None), (902, None, "m", "1990")]
+    df = spark.createDataFrame(rows, "n long, t string, m string, y string")
+    side = lambda n: df.selectExpr("y", f"n as {n}", "t", f"m as {n}_m")
+    got = Counter(tuple(r) for r in Y.overlapping(side("l"), side("r"), 0.9, ["y"], ordered=True).select("y", "l", "r", "l_m", "r_m", "overlap").collect())
+    want = Counter((ya, i, j, f"m{i}", f"m{j}", overlap(a, b)) for i, a, _, ya in rows[:-3] for j, b, _, yb in rows[:-3] if i < j and ya == yb and 2 * overlap(a, b) >= 0.9 * (len(a) + len(b)) - 1e-9)
+    assert got == want and len(want) > 1000
