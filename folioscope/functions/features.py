@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.plain import cleaned, flags_of, stripped
 from folioscope.functions.text import col, text
 
-_DASHES = dict.fromkeys(map(ord, "‐‑‒–—"), "-")
+_DASHES = "‐‑‒–—"
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -49,6 +49,13 @@ class Phrases:
         return sorted(found)
 
 
+def plain_dashes(s: str) -> str:
+    """Dashes as hyphens. A text without any isn't gone through character by character."""
+    for d in _DASHES if not s.isascii() else "":
+        s = s.replace(d, "-")
+    return s
+
+
 def phrase_forms(phrase: str) -> list[str]:
     """The phrase in lower case with single spaces, each hyphen after its beginning also as a space."""
     p = " ".join(phrase.lower().split())
@@ -76,8 +83,7 @@ def features(fields: list[Column | str], phrases: list[str] | tuple[str, ...] =
                 low = clean.lower()
                 seen += flags_of(low)
                 bare = stripped(clean, low, entities)
-                low = (low if bare is clean else bare.lower()).translate(_DASHES)
-                pieces.append(low)
+                pieces.append(plain_dashes(low if bare is clean else bare.lower()))
             joined = " ".join(p for p in pieces if p)
             chars.append(len(joined))
             flags.append("|".join(dict.fromkeys(seen)))

@@ -43,19 +43,26 @@ def _counted(attempts: DataFrame) -> DataFrame:
     return _prepared(attempts.groupBy("doi", "article_id", "attempt_source").agg(F.count("*").alias("attempt_rows"), *by_status, F.sum(flag(~status.isin(*STATUSES))).alias("other_attempts")), "attempt_rows")
 
 
-def by_prefix_source(attempts: DataFrame) -> DataFrame:
-    """DOI prefix by source: attempts, articles, articles found, attempts by status, the two most frequent errors."""
+def counted_attempts(attempts: DataFrame) -> DataFrame:
+    """The counts that by_prefix_source() and by_prefix() are made of, written once for both."""
+    return materialized(_counted(attempts))
+
+
+def by_prefix_source(attempts: DataFrame, known: DataFrame | None = None, errors: bool = True) -> DataFrame:
+    """DOI prefix by source: attempts, articles, articles found, attempts by status, the two most frequent errors (errors=False leaves these out). known: their counted_attempts()."""
     keys = ["doi_prefix", "attempt_source"]
     summed = [F.sum(c).alias(c) for c in (*[f"{s}_attempts" for s in STATUSES], "other_attempts")]
-    counts = _counted(attempts).groupBy(*keys).agg(F.sum("attempt_rows").alias("attempt_rows"), _articles(False).alias("attempted_articles"), _articles(True).alias("found_articles"), *summed)
-    errors = _prepared(attempts.where("attempt_status = 'error'").groupBy("doi", "attempt_source", "attempt_error").agg(F.count("*").alias("__rows")), "__rows")
-    return counts.join(top_values(errors, keys, "attempt_error", 2, "top_errors", 80, F.col("__rows")), keys, "left").na.fill("", ["top_errors"])
+    counts = (_counted(attempts) if known is None else known).groupBy(*keys).agg(F.sum("attempt_rows").alias("attempt_rows"), _articles(False).alias("attempted_articles"), _articles(True).alias("found_articles"), *summed)
+    if not errors:
+        return counts
+    failed = _prepared(attempts.where("attempt_status = 'error'").groupBy("doi", "attempt_source", "attempt_error").agg(F.count("*").alias("__rows")), "__rows")
+    return counts.join(top_values(failed, keys, "attempt_error", 2, "top_errors", 80, F.col("__rows")), keys, "left").na.fill("", ["top_errors"])
 
 
-def by_prefix(attempts: DataFrame) -> DataFrame:
-    """What prior attempts gave for each DOI prefix."""
+def by_prefix(attempts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """What prior attempts gave for each DOI prefix. known: their counted_attempts()."""
     failed = [F.sum(f"{s}_attempts").alias(f"prior_{s}_attempts") for s in FAILED]
-    return _counted(attempts).groupBy("doi_prefix").agg(_articles(False).alias("prior_attempted_articles"), _articles(True).alias("prior_found_articles"), *failed)
+    return (_counted(attempts) if known is None else known).groupBy("doi_prefix").agg(_articles(False).alias("prior_attempted_articles"), _articles(True).alias("prior_found_articles"), *failed)
 
 
 def source_context(summary: DataFrame) -> DataFrame:

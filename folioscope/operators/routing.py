@@ -11,7 +11,7 @@ from folioscope.checkpoints import materialized
 from folioscope.config import EXCLUDED_SCOPES
 from folioscope.functions import text as T
 from folioscope.functions.features import with_text_features
-from folioscope.operators.attempts import FAILED, by_prefix, by_prefix_source, source_context
+from folioscope.operators.attempts import FAILED, by_prefix, by_prefix_source, counted_attempts, source_context
 from folioscope.operators.enrich import ACCEPTED_TIERS, completion, filter_empty, match_backfill
 from folioscope.operators.rank import first_by, global_rank, numbered, top_by
 from folioscope.operators.shares import flag
@@ -156,14 +156,14 @@ def compact_unique(df: DataFrame, keys: list[str], value: Column, name: str, mos
     return first.join(size, keys).select(*keys, F.when(F.col("__size") > most, F.concat("__s", F.lit("; +"), F.col("__size") - most, F.lit(" more"))).otherwise(F.col("__s")).alias(name))
 
 
-def prefix_plan(work: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Prepared rows by DOI prefix: rows, priorities, lanes, cells, what prior attempts gave, and whether there is an automated route."""
+def prefix_plan(work: DataFrame, attempts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Prepared rows by DOI prefix: rows, priorities, lanes, cells, what prior attempts gave (known: their counted_attempts()), and whether there is an automated route."""
     own = work.where("doi_prefix <> ''")
     prior = ["prior_attempted_articles", "prior_found_articles", *[f"prior_{s}_attempts" for s in FAILED]]
     out = own.groupBy("doi_prefix").agg(*_counts())
     cell = F.concat_ws(" ", F.trim(T.text("journal_short")), F.trim(T.text("decade")))
     out = out.join(compact_unique(own, ["doi_prefix"], F.col("expansion_lane"), "expansion_lanes"), "doi_prefix", "left").join(compact_unique(own, ["doi_prefix"], cell, "journal_decades"), "doi_prefix", "left")
-    out = out.join(by_prefix(attempts).select("doi_prefix", *prior), "doi_prefix", "left").na.fill(0, prior)
+    out = out.join(by_prefix(attempts, known).select("doi_prefix", *prior), "doi_prefix", "left").na.fill(0, prior)
     return out.withColumn("supported", F.col("doi_prefix").isin(*ROUTED_PREFIXES))
 
 
@@ -191,8 +191,9 @@ def lane_decision() -> Column:
 def decision_plan(work: DataFrame, attempts: DataFrame) -> DataFrame:
     """One row for each DOI prefix and each lane of the prepared queue: counts, prior attempts, best and worst prior source, decision."""
     shared = ["row_count", "high_priority_rows", "min_recovery_rank"]
-    context = source_context(by_prefix_source(attempts))
-    prefixes = prefix_plan(work, attempts).join(context, "doi_prefix", "left").select(
+    known = counted_attempts(attempts)
+    context = source_context(by_prefix_source(attempts, known, errors=False))
+    prefixes = prefix_plan(work, attempts, known).join(context, "doi_prefix", "left").select(
         F.col("doi_prefix").alias("decision_unit"), F.lit("doi_prefix").alias("unit_type"), *shared, "prior_attempted_articles", "prior_found_articles", prior_failed().alias("prior_failed_attempts"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("best_prior_source", "top_failure_source")], prefix_decision().alias("decision"),
     )

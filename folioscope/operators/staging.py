@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.checkpoints import materialized
 from folioscope.functions import text as T
 from folioscope.operators.enrich import ACCEPTED_TIERS, tier_error
 from folioscope.operators.rank import first_by
@@ -41,8 +42,8 @@ FEW = 10_000
 
 def with_fallback(rows: DataFrame, table: DataFrame, unit: str, values: list[str], *keys: Column) -> DataFrame:
     """rows with `values` of the table's row for the first of the keys that it has, null where it has none. A unit with several rows counts with the
-    first by its values; blank units are none. The table is broadcast if its size, which is counted, allows."""
-    one = first_by(table.where(T.present(unit)).select(T.collapse(T.text(unit)).alias(unit), *values), [unit], [F.asc(v) for v in values])
+    first by its values; blank units are none. The table is written once, however many keys there are, and broadcast if its size, which is counted, allows."""
+    one = materialized(first_by(table.where(T.present(unit)).select(T.collapse(T.text(unit)).alias(unit), *values), [unit], [F.asc(v) for v in values]))
     if one.count() <= FEW:
         one = F.broadcast(one)
     names = [f"__key{i}" for i in range(len(keys))]

@@ -320,3 +320,21 @@ def test_review_queue_ranks_without_texts(spark):
     whole, bare = R.review_queue(df), R.review_queue(df, texts=False)
     assert {"current_abstract", "abstract"} & set(bare.columns) == set()
     assert sorted(map(tuple, whole.select(*bare.columns).collect())) == sorted(map(tuple, bare.collect()))
+
+
+def test_attempts_are_counted_once_for_all_summaries(spark):
+    from folioscope.operators import attempts as A
+
+    rows = [("10.1257/x", f"a{i % 4}", f"s{i % 3}", ["found", "error", "other", None][i % 4], "e") for i in range(40)] + [("", "a9", "s1", "found", "")]
+    df = spark.createDataFrame(rows, "doi string, article_id string, attempt_source string, attempt_status string, attempt_error string")
+    known = A.counted_attempts(df)
+    assert sorted(map(tuple, A.by_prefix(df, known).collect())) == sorted(map(tuple, A.by_prefix(df).collect()))
+    whole = A.by_prefix_source(df)
+    assert sorted(map(tuple, A.by_prefix_source(df, known).collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, A.by_prefix_source(df, known, errors=False).collect())) == sorted(map(tuple, whole.drop("top_errors").collect()))
+
+
+def test_dashes_are_read_as_hyphens():
+    from folioscope.functions.features import plain_dashes
+
+    assert plain_dashes("a‐b‑c‒d–e—f-g é") == "a-b-c-d-e-f-g é" and plain_dashes("plain") == "plain"

@@ -1,6 +1,7 @@
 """Routes, staging, publishing and progress of what reviewers hand in."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.operators import staging as G
 
@@ -109,3 +110,18 @@ def test_progress_and_kickoff(spark):
     assert first == [(1, "stage"), (2, "pre"), (3, "fill"), (4, "run"), (5, "new2"), (6, "new")]
     none = detail.limit(0)
     assert G.kickoff(none, rows).count() == 0 and G.progress_summary(none).count() == 0 and {r["value"] for r in G.progress_metrics(G.progress_summary(none)).collect()} == {"0", ""}
+
+
+def test_a_route_table_is_worked_out_once_whatever_the_keys(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    routes = spark.createDataFrame([("10.1", "a"), ("oa", "b"), ("x", "c")], "unit string, status string").mapInArrow(count, "unit string, status string")
+    rows = spark.createDataFrame([("1", "10.1", "oa"), ("2", "10.2", "oa"), ("3", "", "")], "id string, k1 string, k2 string")
+    out = G.with_fallback(rows, routes, "unit", ["status"], F.col("k1"), F.col("k2"))
+    assert {r["id"]: r["status"] for r in out.collect()} == {"1": "a", "2": "b", "3": None}
+    assert seen.value == 3
