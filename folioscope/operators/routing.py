@@ -428,7 +428,8 @@ def unique_by(df: DataFrame, key: str = "article_id") -> DataFrame:
 
 def batch_with_context(batch: DataFrame, workplan: DataFrame, articles: DataFrame, attempts: DataFrame) -> DataFrame:
     """Batch rows with their workplan, article and attempt columns, one row each; fails on an article that the batch has twice."""
-    return unique_by(with_context(batch, (workplan, ["article_id"]), (articles, ["article_id"]), (attempts, ["article_id"])))
+    once = attempts.distinct()  # many rows of an article, few different ones: these are sorted, not all
+    return unique_by(with_context(batch, (workplan, ["article_id"]), (articles, ["article_id"]), (once, ["article_id"])))
 
 
 def recent_triage(queue: DataFrame, scope_packet: DataFrame, start: int, journals: list[str] | None = None) -> DataFrame:

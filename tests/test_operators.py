@@ -334,6 +334,16 @@ def test_attempts_are_counted_once_for_all_summaries(spark):
     assert sorted(map(tuple, A.by_prefix_source(df, known, errors=False).collect())) == sorted(map(tuple, whole.drop("top_errors").collect()))
 
 
+def test_equal_attempts_of_a_batch_are_put_together_before_they_are_sorted(spark):
+    from folioscope.operators import routing as R
+
+    one = spark.createDataFrame([("1",), ("2",)], "article_id string")
+    seen = spark.createDataFrame([("1", "b"), ("1", "a"), ("1", "a"), ("3", "a")] * 50, "article_id string, attempt_status string")
+    out = R.batch_with_context(one, one.selectExpr("article_id", "'w' as row_status"), one.selectExpr("article_id", "'j' as journal_short"), seen)
+    assert sorted(map(tuple, out.select("article_id", "row_status", "journal_short", "attempt_status").collect())) == [("1", "w", "j", "a"), ("2", "w", "j", None)]
+    assert "Aggregate [article_id" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dashes_are_read_as_hyphens():
     from folioscope.functions.features import plain_dashes
 
