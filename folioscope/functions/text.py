@@ -14,6 +14,7 @@ from folioscope.functions.plain import cleaned, flags_of, stripped
 
 #: White space as Unicode has it, no-break spaces included, and the four separator controls.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def col(c: Column | str) -> Column:
@@ -30,8 +31,8 @@ def collapse(c: Column | str) -> Column:
 
 
 def blank(c: Column | str) -> Column:
-    """True where nothing but white space is there."""
-    return collapse(text(c)) == ""
+    """True where nothing but white space is there; a text is read up to its first other character."""
+    return ~text(c).rlike(NOT_SPACE)
 
 
 def present(c: Column | str) -> Column:

@@ -70,44 +70,54 @@ def with_review_route(rows: DataFrame, routes: DataFrame) -> DataFrame:
 # --- staging
 
 
-def check_exports(base: DataFrame, exports: DataFrame, imported: DataFrame | None = None, entities: bool = True) -> DataFrame:
+def check_exports(base: DataFrame, exports: DataFrame, imported: DataFrame | None = None, entities: bool = True, texts: bool = True) -> DataFrame:
     """One row for each export row (source_file, row_number, article_id, split_group, the EDITABLE columns): outcome `staged`, `skipped` or `error`,
-    error, and what the split row (article_id, split_group, current_abstract, current_abstract_chars, the EDITABLE columns) becomes, with staged_fields.
+    error, and what the split row (article_id, split_group, current_abstract, current_abstract_chars, the EDITABLE columns) becomes, with staged_fields. texts=False leaves
+    the abstract out: rows are judged by digests and lengths of texts, and the judged rows are written once.
 
     Left alone are rows without id, of articles imported before, without anything new, and partial texts that are current already. A split row that isn't there, isn't
     ready or is named with another group is an error, and so are missing text, source and tier, a partial text that got no longer, and a second export of an article."""
     place = F.array_position(F.array(*[F.lit(g) for g in GROUP_ORDER]), F.col("split_group"))
     own = ["split_group", "current_abstract", "current_abstract_chars", *EDITABLE]
+    mark = lambda c: F.when(F.col(c) != "", F.md5(F.col(c).cast("binary"))).otherwise("")
+    marks = {"mark": mark("abstract"), "chars": F.length("abstract")}
+    unseen = [] if texts else ["abstract"]
     b = base.select(T.clean("article_id", entities).alias("article_id"), place.alias("__place"), *[(T.clean(c, entities) if c in base.columns else F.lit("")).alias(c) for c in own]).where("article_id <> ''")
-    b = first_by(b, ["article_id"], [F.desc("__place"), *[F.asc(c) for c in own]]).select("article_id", *[F.col(c).alias(f"__{c}") for c in own], F.lit(True).alias("__known"))
+    b = first_by(b, ["article_id"], [F.desc("__place"), *[F.asc(c) for c in own]]).withColumns(marks | {"now": mark("current_abstract")})
+    b = b.select("article_id", *[F.col(c).alias(f"__{c}") for c in (*own, *marks, "now") if c not in ("current_abstract", *unseen)], F.lit(True).alias("__known"))
     given = ["split_group", *EDITABLE]
     e = exports.select("source_file", "row_number", T.clean("article_id", entities).alias("article_id"), *[(T.clean(c, entities) if c in exports.columns else F.lit("")).alias(c) for c in given])
+    e = e.withColumns(marks).drop(*unseen)
     done = imported.select(T.clean("article_id", entities).alias("article_id")).where("article_id <> ''").distinct().withColumn("__done", F.lit(True)) if imported is not None else None
     work = e.join(b, "article_id", "left")
     work = work.join(done, "article_id", "left") if done is not None else work.withColumn("__done", F.lit(None).cast("boolean"))
-    new = {c: F.when(F.col(c) != "", F.col(c)).otherwise(F.coalesce(f"__{c}", F.lit(""))) for c in EDITABLE}
+    new = {c: F.when(F.col(c) != "", F.col(c)).otherwise(F.coalesce(f"__{c}", F.lit(""))) for c in (*EDITABLE, "mark") if c not in unseen}
+    new["chars"] = F.when(F.col("mark") != "", F.col("chars")).otherwise(F.coalesce("__chars", F.lit(0)))
     work = work.withColumns({f"__new_{c}": v for c, v in new.items()})
     partial = F.col("__split_group") == GROUP_ORDER[0]
     named = (F.col("__new_source") != "") & ((F.col("__new_source_url") != "") | (F.col("__new_source_record_id") != ""))
-    text, now = F.col("abstract"), F.col("__current_abstract")
+    text, now = F.col("mark"), F.col("__now")
     current = partial & (text != "") & (text == now)
-    offers = named | (text != "") & (partial & (text != now) | (text != F.col("__abstract"))) | (F.concat("source", "source_url", "source_record_id") != "")
+    offers = named | (text != "") & (partial & (text != now) | (text != F.col("__mark"))) | (F.concat("source", "source_url", "source_record_id") != "")
     size = F.coalesce(T.number("__current_abstract_chars").cast("long"), F.lit(0))
-    extended = ~((now != "") & (F.col("__new_abstract") == now)) & ~((size != 0) & (F.length("__new_abstract") <= size))
+    extended = ~((now != "") & (F.col("__new_mark") == now)) & ~((size != 0) & (F.col("__new_chars") <= size))
     error = (
         F.when(F.col("__known").isNull(), "tiered_row_not_in_ready_split").when(~F.col("__split_group").isin(*STAGED_GROUPS), "tiered_row_not_stageable")
         .when((F.col("split_group") != "") & (F.col("split_group") != F.col("__split_group")), "tiered_split_group_mismatch")
-        .when(current | ~offers, "-").when(F.col("__new_abstract") == "", "missing_staged_abstract").when(~named, "missing_staged_source_provenance")
+        .when(current | ~offers, "-").when(F.col("__new_mark") == "", "missing_staged_abstract").when(~named, "missing_staged_source_provenance")
         .when(tier_error("__new_evidence_tier") != "", tier_error("__new_evidence_tier")).when(partial & ~extended, "partial_text_not_extended").otherwise("")
     )
     work = work.withColumn("__error", F.when((F.col("article_id") == "") | F.coalesce("__done", F.lit(False)), "-").otherwise(error))
+    place_of = {c: "mark" if c == "abstract" else c for c in EDITABLE}
+    fields = F.array_join(F.filter(F.array(*[F.when(F.col(f"__new_{m}") != F.col(f"__{m}"), F.lit(c)) for c, m in place_of.items()]), lambda x: x.isNotNull()), "|")
+    kept_columns = [c for c in EDITABLE if c not in unseen]
+    work = materialized(work.select("source_file", "row_number", "article_id", F.coalesce("__split_group", "split_group").alias("split_group"), "__error", fields.alias("__fields"), *[f"__new_{c}" for c in kept_columns]))  # read twice
     good = F.when(F.col("__error") == "", F.struct("source_file", "row_number"))
     first = work.groupBy("article_id").agg(F.min(good).alias("__first"))  # one row an article: no window over its exports
     work = work.join(first, "article_id").withColumn("error", F.when(F.col("__error") == "-", "").when((F.col("__error") == "") & (F.struct("source_file", "row_number") != F.col("__first")), "duplicate_completed_tiered_row").otherwise(F.col("__error")))
     outcome = F.when(F.col("__error") == "-", "skipped").when(F.col("error") != "", "error").otherwise("staged")
-    fields = F.array_join(F.filter(F.array(*[F.when(F.col(f"__new_{c}") != F.col(f"__{c}"), F.lit(c)) for c in EDITABLE]), lambda x: x.isNotNull()), "|")
     kept = F.when(F.col("outcome") == "staged", F.lit(True))
-    return work.withColumn("outcome", outcome).select("source_file", "row_number", "article_id", F.coalesce("__split_group", "split_group").alias("split_group"), "outcome", "error", F.when(kept, fields).otherwise("").alias("staged_fields"), *[F.when(kept, F.col(f"__new_{c}")).otherwise("").alias(c) for c in EDITABLE])
+    return work.withColumn("outcome", outcome).select("source_file", "row_number", "article_id", "split_group", "outcome", "error", F.when(kept, F.col("__fields")).otherwise("").alias("staged_fields"), *[F.when(kept, F.col(f"__new_{c}")).otherwise("").alias(c) for c in kept_columns])
 
 
 def stage_changes(checked: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ def _exports(spark, sf_dir):
     return a.unionByName(b)
 
 
-def _checked(spark, sf_dir):
+def _checked(spark, sf_dir, texts=True):
     base = _split_rows(spark, sf_dir).withColumn("current_abstract_chars", F.col("current_text_chars"))
     imported = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as string) as article_id")
-    return G.check_exports(base, _exports(spark, sf_dir), imported)
+    return G.check_exports(base, _exports(spark, sf_dir), imported, texts=texts)
 
 
 def export_check(spark, sf_dir):
@@ -41,7 +41,7 @@ def _packet(spark, sf_dir):
 
 
 def _progress(spark, sf_dir):
-    checked = _checked(spark, sf_dir)
+    checked = _checked(spark, sf_dir, False)
     failed = table(spark, sf_dir, "labels").where("toxic = 1").selectExpr("cast(doc_id as string) as article_id")
     return G.action_progress(_packet(spark, sf_dir), _exports(spark, sf_dir), checked.where("outcome = 'staged'"), checked.where("outcome = 'error' and source_file = 'a.csv'"), failed)
 

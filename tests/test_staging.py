@@ -125,3 +125,15 @@ def test_a_route_table_is_worked_out_once_whatever_the_keys(spark):
     out = G.with_fallback(rows, routes, "unit", ["status"], F.col("k1"), F.col("k2"))
     assert {r["id"]: r["status"] for r in out.collect()} == {"1": "a", "2": "b", "3": None}
     assert seen.value == 3
+
+
+def test_exports_are_judged_alike_without_their_texts(spark, base):
+    rows = [
+        ("a.csv", 2, "p1", "", "short text", "s", "u", "", TIER, ""), ("a.csv", 3, "p2", "", "a text that is longer than it was", "s", "u", "", TIER, ""), ("a.csv", 4, "p2", "", "short", "s", "u", "", TIER, ""), ("b.csv", 2, "p2", "", "again a text that is longer", "s", "u", "", TIER, ""),
+        ("b.csv", 3, "m1", "", "", "s", "", "", "", ""), ("b.csv", 4, "m2", MANUAL, "new", "s", "", "r", TIER, ""), ("b.csv", 5, "d1", "", " kept ", "", "", "", "", ""), ("b.csv", 6, "x", "", "new", "", "", "", "", ""), ("b.csv", 7, "", "", "new", "", "", "", "", ""),
+    ]
+    exports = spark.createDataFrame(rows, EXPORT)
+    whole, few = G.check_exports(base, exports), G.check_exports(base, exports, texts=False)
+    assert "abstract" not in few.columns
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.drop("abstract").collect()))
+    assert {r["outcome"] for r in few.collect()} == {"staged", "skipped", "error"}
