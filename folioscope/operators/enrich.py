@@ -204,8 +204,8 @@ def filter_empty(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFram
 def match_backfill(backfill: DataFrame, articles: DataFrame, minimum: float = 0.9, require_source: bool = False, entities: bool = True, within: list[str] | None = None) -> DataFrame:
     """One row for each backfill row (row_number, article_id, doi, title, publication_year, abstract, source, ...): matched_id, matched_by and error.
 
-    By article id if one is given, else by DOI (must be unique), else by title within the year; rows without a year ask all years. Titles meet by a prefix filter
-    (see titles), so that no year is compared with itself as a whole. In order of row_number the first row of an article whose title fits is taken; later ones
+    By article id if one is given, else by DOI (must be unique), else by title within the year; rows without a year ask all years. Titles meet by blocks
+    of about one length (see titles). In order of row_number the first row of an article whose title fits is taken; later ones
     are duplicates (`within`: among rows of the same keys). Keys and flags of both tables are written once; texts stay where they are."""
     within = within or []
     needs = source_error(_of(backfill, "source"), _of(backfill, "source_url"), _of(backfill, "source_record_id"), _of(backfill, "evidence_tier")) if require_source else F.lit("")
