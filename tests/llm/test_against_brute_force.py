@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from folioscope.llm import byte_bpe, decontaminate, embedding_dedup, language_id, licenses, line_dedup, ngram_join, registry, secrets, substring_dedup, toxicity
+from folioscope.llm import byte_bpe, decontaminate, embedding_dedup, graph, language_id, licenses, line_dedup, ngram_join, registry, secrets, substring_dedup, toxicity
 from folioscope.llm.common import hash_words, spans, utf8
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -349,6 +349,48 @@ def test_substring_dedup_in_a_crowd_that_shares_part_of_the_passage(spark, c):
     assert found <= set(twins)  # c words are no passage
 
 
+def test_substring_dedup_of_near_copies_in_a_crowd(spark, monkeypatch):
+    """Of 40 documents that share 42 words, two share 60 words but for a changed one behind the 42; also where a group is many blocks."""
+    rng = np.random.default_rng(17)
+    groups, size = 25, 40
+    docs, twins = [], set()
+    for g in range(groups):
+        passage = [f"p{w}" for w in rng.integers(0, 1 << 30, 60)]
+        two = sorted(rng.choice(size, 2, replace=False).tolist())
+        twins.add((g * size + two[1], g * size + two[0]))
+        for d in range(size):
+            edge = [[f"w{w}" for w in rng.integers(0, 1 << 30, 60)] for _ in range(2)]
+            part = passage[:42] if d not in two else passage if d == two[0] else [*passage[:46], "new", *passage[47:]]
+            docs.append(" ".join([*edge[0], *(part if g % 2 else part[::-1]), *edge[1]]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for block in (substring_dedup.BLOCK, 7):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        found = {(r["doc_id"], r["other"]) for r in substring_dedup.repeated_passages(df).collect()}
+        assert found <= twins and len(found) >= 0.9 * groups
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_linked_rows_are_the_components_of_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    width = 46
+    base = rng.integers(0, 1 << 32, 2 * width - 1)
+    around = np.tile(base, (40, 1))
+    for row in around:
+        for _ in range(int(rng.integers(0, 4))):  # words changed, or tokens put in beside the minimum
+            at = int(rng.integers(0, 2 * width - 1))
+            if rng.random() < 0.6:
+                row[max(0, at - 4) : at + 1] = rng.integers(0, 1 << 32, len(row[max(0, at - 4) : at + 1]))
+            elif at > width:
+                row[:] = [*row[:at], *rng.integers(0, 1 << 32, 5), *row[at:]][: len(row)]
+        if rng.random() < 0.5:  # no more on one side
+            row[: int(rng.integers(0, width))] = -1
+    similar = [(x, y) for x in range(40) for y in range(x + 1, 40) if substring_dedup.segments(around[x][around[x] >= 0], around[y][around[y] >= 0], width, 0.8)]
+    found = substring_dedup.linked(around, np.full(40, -1), width, 0.8)
+    assert similar and set(found) <= set(similar) and {y for _, y in found} == {y for _, y in similar}
+    roots = [graph.local_roots(*np.array(pairs).T, 40).tolist() for pairs in (found, similar)]
+    assert roots[0] == roots[1]
+
+
 def test_compact_windows_hold_every_minimum():
     v = np.random.default_rng(2).permutation(60).astype(np.uint64)
     found = substring_dedup.compact_windows(v, 10)
