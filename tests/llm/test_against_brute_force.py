@@ -391,6 +391,43 @@ def test_linked_rows_are_the_components_of_all_pairs(seed):
     assert roots[0] == roots[1]
 
 
+def test_small_groups_compared_together_link_as_each_alone():
+    rng = np.random.default_rng(9)
+    width = 46
+    groups, edges = [], [0]
+    for n in (2, 3, 1, 17, 40, 5):
+        around = np.tile(rng.integers(0, 1 << 32, 2 * width - 1), (n, 1))
+        for row in around:
+            for at in rng.integers(0, len(row), int(rng.integers(0, 4))).tolist():
+                row[max(0, at - 4) : at + 1] = rng.integers(0, 1 << 32) if rng.random() < 0.3 else rng.integers(0, 1 << 32, at + 1 - max(0, at - 4))
+            if rng.random() < 0.4:
+                row[: int(rng.integers(0, width))] = -1
+        groups.append(around)
+        edges.append(edges[-1] + n)
+    side = rng.integers(-1, 1, edges[-1])
+    together = substring_dedup.linked(np.concatenate(groups), side, width, 0.8, edges)
+    alone = [(s + x, s + y) for g, s in zip(groups, edges, strict=False) for x, y in substring_dedup.linked(g, side[s : s + len(g)], width, 0.8)]
+    assert sorted(together) == sorted(alone) and len(alone) > 20
+
+
+@pytest.mark.parametrize("kinds", [3, 20, 200, 10**6])
+def test_matched_runs_are_the_longest_in_order(kinds):
+    rng = np.random.default_rng(kinds)
+    for _ in range(200):
+        a = rng.integers(0, kinds, int(rng.integers(1, 90))).astype(np.uint32)
+        b = np.concatenate([a[int(rng.integers(0, len(a))) :], rng.integers(0, kinds, int(rng.integers(1, 30))), a[: int(rng.integers(0, len(a)))]]).astype(np.uint32)
+        want, i = [], 0
+        while i < len(a):
+            reach = lambda p: next((n for n in range(min(len(a) - i, len(b) - p)) if a[i + n] != b[p + n]), min(len(a) - i, len(b) - p))  # noqa: B023, E731
+            n, p = max((reach(p), -p) for p in range(len(b)))
+            if n:
+                want.append((i, -p, n))
+            i += max(n, 1)
+        *runs, last = substring_dedup.matched_runs(a, b)
+        assert list(zip(*(x.tolist() for x in runs), strict=True)) == want
+        assert last.tolist() == [max(np.flatnonzero(b == t).tolist(), default=-1) for t in a]
+
+
 def test_compact_windows_hold_every_minimum():
     v = np.random.default_rng(2).permutation(60).astype(np.uint64)
     found = substring_dedup.compact_windows(v, 10)
