@@ -391,6 +391,47 @@ def test_linked_rows_are_the_components_of_all_pairs(seed):
     assert roots[0] == roots[1]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_linked_rows_are_all_similar_pairs(seed):
+    """Also such that others connect, except for copies of one passage, which are with their first; with half of the seeds, rows repeat tokens."""
+    rng = np.random.default_rng(seed + 40)
+    width = 46
+    base = rng.integers(0, 1 << 32, 2 * width - 1)
+    if seed % 2:
+        base[10:30], base[60:] = base[10], base[60:] // (1 << 27)
+    around = np.tile(base, (40, 1))
+    for row in around:
+        for at in rng.integers(0, 2 * width - 1, int(rng.integers(0, 4))).tolist():
+            if rng.random() < 0.6:
+                row[max(0, at - 4) : at + 1] = rng.integers(0, 1 << 32, at + 1 - max(0, at - 4))
+            else:
+                row[:] = [*row[:at], *rng.integers(0, 1 << 32, 5), *row[at:]][: len(row)]
+        if rng.random() < 0.5:
+            row[: int(rng.integers(0, width))] = -1
+    similar = {(x, y) for x in range(40) for y in range(x + 1, 40) if substring_dedup.segments(around[x][around[x] >= 0], around[y][around[y] >= 0], width, 0.8)}
+    places = lambda *rows: [i for i in range(width) if (rows[0][i : i + width] >= 0).all() and all((rows[0][i : i + width] == r[i : i + width]).all() for r in rows)]
+    for side in (np.full(40, -1), np.arange(40) % 2):
+        found = substring_dedup.linked(around, side, width, 0.8)
+        assert len(found) == len(set(found)) > 20 and all(p in similar or places(*around[list(p)]) for p in found)
+        for x, y in similar - set(found):
+            if side[x] < 0:  # copies of one passage, both with their first
+                assert any((f, x) in found and (f, y) in found and places(*around[[f, x, y]]) for f in range(x))
+            elif side[x] != side[y]:
+                assert any(side[f] == side[x] and side[g] == side[y] and places(*around[[f, g, x, y]]) for f, g in [*found, *(p[::-1] for p in found)])
+
+
+def test_substring_dedup_lists_each_pair_of_different_near_copies(spark):
+    """Twelve documents share 90 words but for one in the middle, which is another one in each: no two have 50 equal ones, all are similar."""
+    rng = np.random.default_rng(23)
+    passage = [f"p{w}" for w in rng.integers(0, 1 << 30, 90)]
+    docs = []
+    for d in range(12):
+        edge = [[f"w{w}" for w in rng.integers(0, 1 << 30, 60)] for _ in range(2)]
+        docs.append(" ".join([*edge[0], *passage[:43], f"own{d}", *passage[44:], *edge[1]]))
+    found = {(r["doc_id"], r["other"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert found == {(x, y) for x in range(12) for y in range(x)}
+
+
 def test_small_groups_compared_together_link_as_each_alone():
     rng = np.random.default_rng(9)
     width = 46
