@@ -3,8 +3,11 @@
 The matcher's ratio is 2 M / (a + b) for M characters that both titles have in blocks, of a and b in all. M is at most the overlap of the two multisets of
 characters. For a ratio of r two titles need an overlap of r (a + b) / 2, so neither is shorter than r / (2 - r) of the other: titles fall into bands of lengths, and a
 band meets itself and the two beside it. A band is cut into blocks of about BLOCK titles; each two blocks are one group of one task, which adds up the overlaps of all
-its pairs in arrays, 37 counts a title, and gives those that reach the bound. Texts don't travel with the blocks. Each two titles meet in one group only; what has too small an
+its pairs in arrays, 37 counts a title, and gives those that reach the bound. Each two titles meet in one group only; what has too small an
 overlap goes before the matcher sees it. Nothing is missed, as no bound is below the ratio.
+
+Long titles of one language have nearly the same characters, so that most of them reach that bound. M is also at most the length of the longest common subsequence, as the matcher's blocks stand
+in one order in both. Where the matcher is asked next, titles travel with their blocks and that bound is applied there, so that hardly any other pair leaves the group; else texts don't travel.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import difflib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +46,32 @@ def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
+def _places(t: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(t):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def may_reach(a: str, b: str, minimum: float, places: dict[str, int] | None = None) -> bool:
+    """Whether the longest common subsequence of two titles allows a ratio of `minimum`. `places`: _places(b). A subsequence so long lacks few characters of either, so that
+    half of a has its share of it near the same half of b: most pairs end there."""
+    places = _places(b) if places is None else places
+    n, m = len(a), len(b)
+    least = math.ceil(minimum * (n + m) / 2 - 1e-9)
+    if least > min(n, m):
+        return False
+    for i, j in ((n // 2, min(m, n // 2 + m - least)), (n, m)):
+        left = whole = (1 << j) - 1  # bits of b that no step of the subsequence ends at
+        for c in a[:i]:
+            x = left & places.get(c, 0)
+            left = (left + x | left - x) & whole
+        if j - left.bit_count() < least - (n - i):
+            return False
+    return True
+
+
 def _counts(c: str) -> Column:
     """How often each character of ALPHABET is in a title, as 32-bit integers."""
 
@@ -51,8 +81,8 @@ def _counts(c: str) -> Column:
     return F.arrow_udf(run, "binary")(c)
 
 
-def _overlaps(minimum: float, within: list[str], left: list[str], right: list[str], ordered: bool):
-    """What a group of two blocks does: the pairs whose overlap reaches the bound."""
+def _overlaps(minimum: float, within: list[str], left: list[str], right: list[str], ordered: bool, matched: bool):
+    """What a group of two blocks does: the pairs whose overlap reaches the bound, `matched`: and whose longest common subsequence does."""
     shortest = minimum / (2 - minimum)
 
     def side(rows: pa.Table, value: bool) -> tuple[pa.Table, np.ndarray, np.ndarray]:
@@ -68,6 +98,8 @@ def _overlaps(minimum: float, within: list[str], left: list[str], right: list[st
         a_counts, b_counts = a_counts.astype(number), np.ascontiguousarray(b_counts.T, number)
         used = np.flatnonzero(a_counts.any(axis=0) & b_counts.any(axis=1)).tolist()
         a_id, b_id = a["l"].to_numpy(), b["r"].to_numpy()
+        a_t, b_t = (x["t"].to_pylist() if matched else [] for x in (a, b))
+        places = cache(lambda j: _places(b_t[j]))
         for s in range(0, len(a_size), SLICE):
             e = min(s + SLICE, len(a_size))
             low, high = np.searchsorted(b_size, a_size[s] * shortest - 0.5), np.searchsorted(b_size, a_size[e - 1] / shortest + 0.5, side="right")
@@ -78,6 +110,9 @@ def _overlaps(minimum: float, within: list[str], left: list[str], right: list[st
             if ordered:
                 fits &= a_id[s:e, None] < b_id[None, low:high]
             i, j = np.nonzero(fits)
+            if matched:
+                kept = np.array([may_reach(a_t[x + s], b_t[y + low], minimum, places(y + low)) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[kept], j[kept]
             if len(i):
                 mine, theirs = pa.array(i + s), pa.array(j + low)
                 found = [a[c].combine_chunks().take(mine) for c in [*within, *left]] + [b[c].combine_chunks().take(theirs) for c in right]
@@ -86,10 +121,10 @@ def _overlaps(minimum: float, within: list[str], left: list[str], right: list[st
     return run
 
 
-def overlapping(left: DataFrame, right: DataFrame, minimum: float = 0.9, within: list[str] | None = None, ordered: bool = False) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, minimum: float = 0.9, within: list[str] | None = None, ordered: bool = False, matched: bool = False) -> DataFrame:
     """(within, l, ..., r, ..., overlap) for the titles t of left (within, l, t, ...) and of right (within, r, t, ...), l and r being numbers, each once in its table, whose
-    characters' overlap allows a ratio of `minimum`; further columns stay beside their numbers. ordered: only pairs of l < r, for a table that meets itself. Empty titles and
-    nulls pair with nothing. Both tables are read several times."""
+    characters' overlap allows a ratio of `minimum`; further columns stay beside their numbers. ordered: only pairs of l < r, for a table that meets itself. matched: only such
+    whose longest common subsequence allows it as well. Empty titles and nulls pair with nothing. Both tables are read several times."""
     if not 0 < minimum <= 1:
         raise ValueError("minimum must be above 0 and at most 1")
     within = within or []
@@ -108,7 +143,8 @@ def overlapping(left: DataFrame, right: DataFrame, minimum: float = 0.9, within:
 
     def blocks(df: DataFrame, number: str, own: tuple[str, str], other: tuple[str, str], others: DataFrame, is_left: bool) -> DataFrame:
         """One row for each block of the other table that a title meets."""
-        work = df.withColumn("__counts", _counts("t")).drop("t").join(cells(df, "__n", "__band"), [*within, "__band"])
+        counted = df.withColumn("__counts", _counts("t"))
+        work = (counted if matched else counted.drop("t")).join(cells(df, "__n", "__band"), [*within, "__band"])
         work = work.withColumns({own[0]: F.col("__band"), own[1]: F.pmod(F.xxhash64(number), F.col("__n")).cast("int"), other[0]: near})
         met = work.join(cells(others, "__blocks", other[0]), [*within, other[0]]).withColumn(other[1], F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
         return met.drop("__n", "__blocks", "__band").withColumn("__left", F.lit(is_left))
@@ -119,16 +155,16 @@ def overlapping(left: DataFrame, right: DataFrame, minimum: float = 0.9, within:
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each with much to work out
     mine, theirs = ([c for c in df.columns if c not in (*within, "t")] for df in (left, right))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for df, names in ((left, [*within, *mine]), (right, theirs)) for f in (df.schema[n] for n in names)], "overlap int"])
-    return met.repartition(parts, *key).groupBy(*key).applyInArrow(_overlaps(minimum, within, mine, theirs, ordered), schema)
+    return met.repartition(parts, *key).groupBy(*key).applyInArrow(_overlaps(minimum, within, mine, theirs, ordered, matched), schema)
 
 
-def bounded_pairs(left: DataFrame, right: DataFrame, minimum: float = 0.9, within: list[str] | None = None) -> DataFrame:
-    """(within, l, r, overlap) for the titles l of left (within, l) and r of right (within, r), each once in its table, whose characters' overlap allows a ratio of `minimum`.
-    Empty titles and nulls pair with nothing."""
+def bounded_pairs(left: DataFrame, right: DataFrame, minimum: float = 0.9, within: list[str] | None = None, matched: bool = False) -> DataFrame:
+    """(within, l, r, overlap) for the titles l of left (within, l) and r of right (within, r), each once in its table, whose characters' overlap allows a ratio of `minimum`,
+    matched: and whose longest common subsequence does. Empty titles and nulls pair with nothing."""
     within = within or []
     left, right = (materialized(df.where(f"{n} <> ''").withColumn(f"__{n}", F.monotonically_increasing_id())) for df, n in ((left, "l"), (right, "r")))
     asked = lambda df, n: df.select(*within, F.col(f"__{n}").alias(n), F.col(n).alias("t"))
-    met = overlapping(asked(left, "l"), asked(right, "r"), minimum, within).withColumnsRenamed({"l": "__l", "r": "__r"})
+    met = overlapping(asked(left, "l"), asked(right, "r"), minimum, within, matched=matched).withColumnsRenamed({"l": "__l", "r": "__r"})
     return met.join(left.select("__l", "l"), "__l").join(right.select("__r", "r"), "__r").select(*within, "l", "r", "overlap")
 
 
@@ -137,7 +173,7 @@ def best_titles(asks: DataFrame, known: DataFrame, minimum: float = 0.9, within:
     it, and the smallest key among them. Equal titles are compared once, each two titles by one evaluation of the matcher."""
     within = within or []
     right = known.groupBy(*within, F.col("t").alias("r")).agg(F.count("*").alias("n"), F.min("key").alias("key"))
-    pairs = bounded_pairs(asks.select(*within, F.col("t").alias("l")).distinct(), right.select(*within, "r"), minimum, within)
+    pairs = bounded_pairs(asks.select(*within, F.col("t").alias("l")).distinct(), right.select(*within, "r"), minimum, within, matched=True)
     scored = pairs.withColumn("s", title_ratio("l", "r")).where(F.col("s") >= minimum)
     counted = scored.join(right, [*within, "r"]).groupBy(*within, "l", "s").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
     return counted.groupBy(*within, F.col("l").alias("t")).agg(F.max(F.struct("s", "n", "key")).alias("x")).select(*within, "t", F.col("x.s").alias("best"), "x.n", "x.key")

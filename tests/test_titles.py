@@ -108,3 +108,26 @@ def test_blocks_meet_each_two_titles_once(spark, monkeypatch):
     got = Counter(tuple(r) for r in Y.overlapping(side("l"), side("r"), 0.9, ["y"], ordered=True).select("y", "l", "r", "l_m", "r_m", "overlap").collect())
     want = Counter((ya, i, j, f"m{i}", f"m{j}", overlap(a, b)) for i, a, _, ya in rows[:-3] for j, b, _, yb in rows[:-3] if i < j and ya == yb and 2 * overlap(a, b) >= 0.9 * (len(a) + len(b)) - 1e-9)
     assert got == want and len(want) > 1000
+
+
+def test_the_longest_common_subsequence_bounds_the_ratio():
+    for minimum, longest, seed in ((0.9, 14, 31), (0.9, 120, 32), (0.5, 20, 33), (1.0, 6, 34)):
+        titles = some_titles(70, seed, longest)
+        reached = [(a, b) for a in titles for b in titles if difflib.SequenceMatcher(None, a, b).ratio() >= minimum]
+        assert reached and all(Y.may_reach(a, b, minimum) for a, b in reached)
+        a, b = "ab" * 20, "ba" * 20 + "cccc"  # the subsequence is 39 long
+        assert [Y.may_reach(a, b, m) for m in (78 / 84 - 1e-6, 78 / 84 + 1e-6)] == [True, False]
+    assert not Y.may_reach("abc", "", 0.9) and Y.may_reach("abc", "abc", 1.0)
+
+
+def test_long_titles_with_the_same_letters_do_not_reach_the_matcher(spark):
+    """Sixty different titles of some 500 letters, with the same letters: all pairs are within the bound of overlaps, none but equal and near ones come out."""
+    rng = random.Random(41)
+    words = ["".join(rng.choices("eeeetttaaooiinnsshrdlu", k=rng.randint(2, 8))) for _ in range(300)]
+    titles = [" ".join(rng.choices(words, k=90)) for _ in range(60)]
+    known = titles + [t[:100] + "x" + t[101:] for t in titles[:20]]
+    left = spark.createDataFrame([("1990", t) for t in titles], "y string, l string")
+    right = spark.createDataFrame([("1990", t) for t in known], "y string, r string")
+    pairs = lambda matched: {(r["l"], r["r"]) for r in Y.bounded_pairs(left, right, 0.9, ["y"], matched=matched).collect()}
+    want = {(t, t) for t in titles} | set(zip(titles, known[60:], strict=False))
+    assert len(pairs(False)) > 1000 and pairs(True) == want
